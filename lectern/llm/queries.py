@@ -25,4 +25,20 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(said(F.filter("pii", lambda x: x["kind"].isin(*BASE))), 256).alias("base_sha256"), said(F.col("pii")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules, op5_pii)}
+#: Where the public tokenizer files are; a parameter of every function that reads one.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.bpe import round_trip_digests
+
+    return round_trip_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.mpeg import audio_columns
+
+    return audio_columns(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules, op5_pii, op7_bpe, op8_mpeg_audio)}
