@@ -41,4 +41,10 @@ def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules, op5_pii, op7_bpe, op8_mpeg_audio)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.ngram_join import ngram_jaccard
+
+    return ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules, op5_pii, op7_bpe, op8_mpeg_audio, op10_ngram_jaccard)}
