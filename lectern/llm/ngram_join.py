@@ -90,7 +90,7 @@ def _measure(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInPandas(run, "id long, n long, sig long, part int, counts binary")
 
 
-def _heavy(measured: DataFrame, documents: int) -> np.ndarray:
+def heavy_slots(measured: DataFrame, documents: int) -> np.ndarray:
     """Which slots of the sketch are heavy; the sums of the tasks' counts are a table of 16 rows."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -252,7 +252,7 @@ def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
     measured = written(_measure(docs, "id", "text"), "measured")
     sizes = measured.where("part < 0").select("id", "n", "sig")
-    heavy = _heavy(measured, sizes.count())
+    heavy = heavy_slots(measured, sizes.count())
     shared = written(_shared(_prefixes(docs, "id", "text", heavy, buckets(docs), threshold)), "shared")
     # One text of each class that shares a token.
     classes = written(sizes.where("n > 0").groupBy("sig").agg(F.min("id").alias("id")), "classes")

@@ -47,4 +47,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules, op5_pii, op7_bpe, op8_mpeg_audio, op10_ngram_jaccard)}
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules, op5_pii, op7_bpe, op8_mpeg_audio, op9_suffix_array, op10_ngram_jaccard)}
