@@ -53,4 +53,31 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules, op5_pii, op7_bpe, op8_mpeg_audio, op9_suffix_array, op10_ngram_jaccard)}
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages")).drop("n_repeated")
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"), epochs=1.0, seed=17).select("doc_id", "source", "copy", "shuffle_key", "text")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.weak_labels import quality_classifier
+
+    return quality_classifier(table(spark, sf_dir, "documents"))
+
+
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.licences import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_html_text, op2_mix_sources, op3_quality_classifier, op4_quality_rules, op5_pii, op6_licences, op7_bpe, op8_mpeg_audio, op9_suffix_array, op10_ngram_jaccard)
+}
