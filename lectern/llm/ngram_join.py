@@ -3,11 +3,13 @@
 1. A sketch of how often shingles occur, over all documents and of fixed size, gives the order of tokens: those of the
    sketch's heavy slots last, else by hash. Any order gives the same links; this one keeps what many documents share out
    of the prefixes.
-2. Two sets of similarity t or more share a token among the first n - ceil(t n) + 1 of either in this order. Prefix
-   tokens meet by hash bucket; equal sets are one class by then, so copies cost nothing. Tokens of one class only go.
+2. Two sets of similarity t or more have ceil(t n) tokens of either in common, so they share l tokens among the first
+   n - ceil(t n) + l of either in this order, for every l. With l as a share of n (EXTRA), prefix tokens meet by hash
+   bucket; equal sets are one class by then, so copies cost nothing. Tokens of one class only go, and so do classes with
+   fewer shared tokens than l allows: a passage in common is not enough to stay.
 3. Classes that share a token are partitioned into groups by their smallest shingle: those linked to a group's leader are
    its members, others lead groups of their own. Large groups are cut by size, each part with its own leader.
-4. A class and a group that share a token are a candidate. With the class's set and the union of the group's tokens in
+4. A class and a group that share l tokens are a candidate. With the class's set and the union of the group's tokens in
    one task, the overlap is bounded: under ceil(t n) the group stays closed. Open groups are compared member by member
    until a link is found; groups already linked to the class's group are skipped.
 5. Components of the links, each named by its smallest document.
@@ -39,6 +41,8 @@ SLOTS = 1 << 20
 HEAVY_SHARE = 0.001
 #: Members of a group, and classes that are compared with a group in one task.
 GROUP, QUERIES = 1000, 2000
+#: Share of a set's tokens (in hundredths) by which prefixes are longer than they must be, and that two sets must share.
+EXTRA = 8
 #: Characters per numpy batch.
 BATCH = 1 << 21
 #: Leaders of a group that a class is compared with before it leads one of its own.
@@ -50,6 +54,11 @@ def need(n, threshold: int):
     return -(-n * threshold // 100)
 
 
+def common(n):
+    """How many prefix tokens a set of n tokens shares with any set of the same size or more that it links with."""
+    return np.maximum(1, EXTRA * n // 100)
+
+
 def _batches(pdfs: Iterator[pd.DataFrame], key: str, text: str) -> Iterator[tuple[np.ndarray, list]]:
     """(ids, texts) of about BATCH characters each."""
     ids, texts, held = [], [], 0
@@ -126,7 +135,7 @@ def _prefixes(docs: DataFrame, key: str, text: str, heavy: np.ndarray, n_buckets
                 if not n[i]:
                     continue
                 x, y = h[first[i] : first[i + 1]], is_late[first[i] : first[i + 1]]
-                p = int(n[i] - need(n[i], threshold) + 1)
+                p = int(min(n[i], n[i] - need(n[i], threshold) + common(n[i])))
                 early = x[~y]
                 tokens.append(early[:p] if len(early) >= p else np.concatenate([early, x[y][: p - len(early)]]))
                 owners.append(np.full(len(tokens[-1]), sig[i]))
@@ -173,8 +182,9 @@ def _sets(texts: DataFrame) -> DataFrame:
         for sigs, batch in _batches(pdfs, "sig", "text"):
             h, first = shingles(batch)
             m = mix(h ^ np.uint64(0xA0761D6478BD642F))
-            low = np.minimum.reduceat(m, first[:-1]) if len(m) else m
-            yield pd.DataFrame({"sig": sigs, "low": low.view(np.int64), "tokens": [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]})
+            low = np.minimum.reduceat(np.append(m, np.uint64(0)), first[:-1])
+            own = _signatures(h, first) == sigs  # not so for another text under the same id
+            yield pd.DataFrame({"sig": sigs, "low": low.view(np.int64), "tokens": [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]})[own]
 
     return texts.mapInPandas(run, "sig long, low long, tokens binary")
 
@@ -209,8 +219,8 @@ def _lead(sets: DataFrame, threshold: int) -> DataFrame:
                 leaders.append((sig, q))
         return pd.DataFrame({"sig": pdf["sig"], "leader": out})
 
-    sizes = sets.groupBy("low").count().where("count > 1")
-    parts = sets.join(sizes, "low").withColumn("salt", F.pmod(F.xxhash64("sig"), F.ceil(F.col("count") / GROUP)))
+    large = sets.groupBy("low").count().where(F.col("count") > GROUP)  # few: each has over GROUP classes
+    parts = sets.join(large, "low", "left").withColumn("salt", F.pmod(F.xxhash64("sig"), F.ceil(F.coalesce("count", F.lit(1)) / GROUP)))
     return parts.groupBy("low", "salt").applyInPandas(run, "sig long, leader long")
 
 
@@ -254,17 +264,19 @@ def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     sizes = measured.where("part < 0").select("id", "n", "sig")
     heavy = heavy_slots(measured, sizes.count())
     shared = written(_shared(_prefixes(docs, "id", "text", heavy, buckets(docs), threshold)), "shared")
-    # One text of each class that shares a token.
-    classes = written(sizes.where("n > 0").groupBy("sig").agg(F.min("id").alias("id")), "classes")
-    wanted = classes.join(shared.select("sig").distinct(), "sig").select(F.col("id").alias("_id"), "sig")
-    sets = written(_sets(docs.join(wanted, docs["id"] == wanted["_id"]).select("sig", "text")).dropDuplicates(["sig"]), "sets")
-    grouped = _lead(sets, threshold)
-    leaders = written(sets.select("sig").join(grouped, "sig", "left").select("sig", F.coalesce("leader", "sig").alias("leader")), "leaders")
+    # The fewest tokens that a class shares with one it links with; that one has at least threshold % of its size.
+    least = F.greatest(F.lit(1), F.floor(EXTRA * F.ceil(F.col("n") * threshold / 100) / 100))
+    classes = written(sizes.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n")).withColumn("least", least), "classes")
+    wanted = written(shared.groupBy("sig").agg(F.count("*").alias("c")).join(classes, "sig").where("c >= least").select(F.col("id").alias("_id"), "sig", "least"), "wanted")
+    # One text of each such class.
+    sets = written(_sets(docs.join(wanted, docs["id"] == wanted["_id"]).select("sig", "text")), "sets")
+    leaders = written(_lead(sets, threshold), "leaders")
     places = written(shared.join(leaders, "sig"), "places")
     groups = places.select("token", F.col("leader").alias("g")).distinct()
     several = groups.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     groups = groups.join(several, "token")
-    candidates = written(places.join(groups, "token").where("leader < g").select("sig", F.col("leader").alias("own"), F.col("g").alias("leader")).distinct(), "candidates")
+    pairs = places.join(groups, "token").where("leader < g").groupBy("sig", F.col("leader").alias("own"), F.col("g").alias("leader")).agg(F.count("*").alias("c"))
+    candidates = written(pairs.join(wanted.select("sig", "least"), "sig").where("c >= least").select("sig", "own", "leader"), "candidates")
     between = _open_groups(candidates, sets, leaders, threshold)
     links = between.union(leaders.where("sig != leader").select("sig", "leader"))
     named = links.join(classes.select(F.col("sig").alias("a"), F.col("id").alias("ida")), "a").join(classes.select(F.col("sig").alias("b"), F.col("id").alias("idb")), "b")
