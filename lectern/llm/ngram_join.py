@@ -44,7 +44,7 @@ GROUP, QUERIES = 1000, 2000
 #: Share of a set's tokens (in hundredths) by which prefixes are longer than they must be, and that two sets must share.
 EXTRA = 8
 #: Characters per numpy batch.
-BATCH = 1 << 21
+BATCH = 1 << 20
 #: Leaders of a group that a class is compared with before it leads one of its own.
 LEADERS = 8
 
@@ -99,8 +99,8 @@ def _measure(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInPandas(run, "id long, n long, sig long, part int, counts binary")
 
 
-def heavy_slots(measured: DataFrame, documents: int) -> np.ndarray:
-    """Which slots of the sketch are heavy; the sums of the tasks' counts are a table of 16 rows."""
+def heavy_slots(measured: DataFrame, excess: float) -> np.ndarray:
+    """Which slots of the sketch count over `excess` more than the mean; the sums of the tasks' counts are 16 rows."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SLOTS // 16, np.int64)
@@ -115,7 +115,7 @@ def heavy_slots(measured: DataFrame, documents: int) -> np.ndarray:
     for r in sums.collect():
         counts[r["part"]] = np.frombuffer(r["counts"], "<i8")
     counts = counts.ravel()
-    return counts > counts.mean() + max(8, HEAVY_SHARE * documents)
+    return counts > counts.mean() + excess
 
 
 def _prefixes(docs: DataFrame, key: str, text: str, heavy: np.ndarray, n_buckets: int, threshold: int) -> DataFrame:
@@ -262,7 +262,7 @@ def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
     measured = written(_measure(docs, "id", "text"), "measured")
     sizes = measured.where("part < 0").select("id", "n", "sig")
-    heavy = heavy_slots(measured, sizes.count())
+    heavy = heavy_slots(measured, max(8, HEAVY_SHARE * sizes.count()))
     shared = written(_shared(_prefixes(docs, "id", "text", heavy, buckets(docs), threshold)), "shared")
     # The fewest tokens that a class shares with one it links with; that one has at least threshold % of its size.
     least = F.greatest(F.lit(1), F.floor(EXTRA * F.ceil(F.col("n") * threshold / 100) / 100))

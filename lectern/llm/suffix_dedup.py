@@ -40,6 +40,8 @@ from lectern.llm.suffix_array import permuted_prefixes, suffix_array
 GRAM = 32
 #: Low bits of a window key that hold the place in the batch.
 PLACE = np.uint64((1 << 28) - 1)
+#: Occurrences above which an anchor is dealt out string by string; what one shard holds of one anchor stays under it.
+HOT = 50_000
 #: Bytes of segments per shard.
 SHARD = 4 << 20
 
@@ -92,18 +94,16 @@ def _first_of(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tup
 
 
 def _sketch(docs: DataFrame, length: int) -> DataFrame:
-    """Counts of anchors per slot, in 16 parts from each task; and the number of documents that each task saw."""
+    """Counts of anchors per slot, in 16 parts from each task."""
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(SLOTS, np.int64)
-        seen = 0
-        for ids, texts in _batches(pdfs, "id", "text"):
-            seen += len(ids)
+        for _, texts in _batches(pdfs, "id", "text"):
             counts += np.bincount((segments(texts, length)[3] >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
         parts = counts.reshape(16, -1)
-        yield pd.DataFrame({"part": range(16), "n": [seen] + [0] * 15, "counts": [p.astype("<i8").tobytes() for p in parts]})
+        yield pd.DataFrame({"part": range(16), "counts": [p.astype("<i8").tobytes() for p in parts]})
 
-    return docs.mapInPandas(run, "part int, n long, counts binary")
+    return docs.mapInPandas(run, "part int, counts binary")
 
 
 def _entries(docs: DataFrame, heavy: np.ndarray, n_buckets: int, length: int) -> DataFrame:
@@ -238,13 +238,13 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)]
 
 
-def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, keep_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row; with keep_text, also the kept bytes (binary)."""
     spark = docs.sparkSession
     every = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     named = every.where("id is not null")
     counted = written(_sketch(named, length), "anchors")
-    heavy = heavy_slots(counted, counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    heavy = heavy_slots(counted, hot)
     found = written(_judge(_entries(named, heavy, buckets(named), length), length), "segments")
     asked = found.where("ask")
     size = asked.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()[0]

@@ -31,7 +31,7 @@ TRAIN_ROWS = 3000
 EM_ROUNDS, TRAIN_ROUNDS = 200, 150
 #: Characters per numpy batch.
 BATCH = 1 << 20
-MEASURES = 7
+MEASURES = 8
 BINS = 12
 
 _UPPER, _DIGIT, _SYMBOL, _MARK = (np.zeros(256, bool) for _ in range(4))
@@ -63,14 +63,21 @@ class Batch:
         self.shape = spans_hash(prefix_sums(shape[inside]), place[start], place[end])
         per = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[ends])
         size = np.maximum(np.bincount(self.owner, weights=end - start, minlength=self.n_docs), 1)
-        order = np.lexsort((self.word, self.owner))
-        w, o = self.word[order], self.owner[order]
-        new = np.ones(len(w), bool)
-        new[1:] = (w[1:] != w[:-1]) | (o[1:] != o[:-1])
-        distinct = np.bincount(o[new], minlength=self.n_docs)
+        distinct = self._distinct(self.word, self.owner)
+        pair = self.word[:-1] * np.uint64(3) + self.word[1:]
+        inside = self.owner[:-1] == self.owner[1:]
+        pairs = self._distinct(pair[inside], self.owner[:-1][inside])
         lines = self._lines(texts)
         n = np.maximum(self.n, 1)
-        self.measures = np.stack([per(_SYMBOL[b]) / size, per(_UPPER[b]) / size, per(_MARK[b]) / n, per(_DIGIT[b]) / size, distinct / np.minimum(n, 1000), lines, size / n], axis=1)
+        self.measures = np.stack([per(_SYMBOL[b]) / size, per(_UPPER[b]) / size, per(_MARK[b]) / n, per(_DIGIT[b]) / size, distinct / np.minimum(n, 1000), lines, size / n, pairs / np.minimum(n, 3000)], axis=1)
+
+    def _distinct(self, h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """How many distinct hashes each document has."""
+        order = np.lexsort((h, owner))
+        h, o = h[order], owner[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+        return np.bincount(o[new], minlength=self.n_docs)
 
     @staticmethod
     def _lines(texts: list[str | None]) -> np.ndarray:
@@ -83,7 +90,7 @@ class Batch:
 
     def votes(self) -> np.ndarray:
         """(documents, labellers): 1 good, 0 bad, 2 abstains. All abstain on fewer than 20 words."""
-        symbols, upper, marks, digits, distinct, lines, length = self.measures.T
+        symbols, upper, marks, digits, distinct, lines, length, pairs = self.measures.T
         pick = lambda bad, good: np.where(bad, 0, np.where(good, 1, 2))
         v = np.stack(
             [
@@ -94,7 +101,8 @@ class Batch:
                 pick(distinct < 0.12, distinct > 0.35),
                 pick(lines > 0.4, lines < 0.1),
                 pick((length < 3) | (length > 12), (length > 4) & (length < 8)),
-                pick((symbols + marks > 0.3) | (upper > 0.4), (symbols == 0) & (lines < 0.3)),
+                pick((symbols > 0.02) | (marks > 0.3) | (upper > 0.3), (symbols == 0) & (marks == 0)),
+                pick((pairs < 0.25) | (lines > 0.3), pairs > 0.5),
             ],
             axis=1,
         )
@@ -105,7 +113,7 @@ class Batch:
         """(document, feature, value) triples: shares of hashed words and shapes, and one bucket per measure."""
         share = 1 / np.maximum(self.n, 1)[self.owner]
         half = np.uint64(DIM // 2)
-        edges = [(0.005, 0.5), (0.01, 0.8), (0.02, 3), (0.01, 0.6), (0.01, 1), (0.02, 1), (1, 30)]
+        edges = [(0.005, 0.5), (0.01, 0.8), (0.02, 3), (0.01, 0.6), (0.01, 1), (0.02, 1), (1, 30), (0.01, 1)]
         bins = np.stack([np.digitize(self.measures[:, j], np.geomspace(lo, hi, BINS - 1)) for j, (lo, hi) in enumerate(edges)], axis=1)
         bins[self.n < 20] = BINS - 1  # too short for measures: a bucket of their own, shared with the extreme
         docs = np.arange(self.n_docs)
@@ -113,7 +121,7 @@ class Batch:
         return np.concatenate([self.owner, self.owner, *[docs] * MEASURES]), np.concatenate(f), np.concatenate([share, 4 * share, *[np.full(self.n_docs, 1.0)] * MEASURES])
 
 
-LABELLERS = 8
+LABELLERS = 9
 _POWERS = 3 ** np.arange(LABELLERS)
 
 
