@@ -7,8 +7,10 @@
    n - ceil(t n) + l of either in this order, for every l. With l as a share of n (EXTRA), prefix tokens meet by hash
    bucket; equal sets are one class by then, so copies cost nothing. Tokens of one class only go, and so do classes with
    fewer shared tokens than l allows: a passage in common is not enough to stay.
-3. Classes that share a token are partitioned into groups by their smallest shingle: those linked to a group's leader are
-   its members, others lead groups of their own. Large groups are cut by size, each part with its own leader.
+3. The classes left are partitioned into groups of similar ones: in each of ROUNDS rounds, classes of equal smallest
+   shingle (by a hash of the round) are compared with a leader among them; those linked follow it, and only leaders enter
+   the next round. Many classes of one smallest shingle are cut by size, each part with its own leaders. What is
+   connected this way needs no candidates any more, so a large group of near copies costs a few comparisons per copy.
 4. A class and a group that share l tokens are a candidate. With the class's set and the union of the group's tokens in
    one task, the overlap is bounded: under ceil(t n) the group stays closed. Open groups are compared member by member
    until a link is found; groups already linked to the class's group are skipped.
@@ -37,8 +39,8 @@ from lectern.llm.components import components
 
 #: Slots of the frequency sketch: 4 MB, whatever the input.
 SLOTS = 1 << 20
-#: A slot is heavy if it counts more than this share of all documents above the mean slot.
-HEAVY_SHARE = 0.001
+#: Rounds of grouping.
+ROUNDS = 4
 #: Members of a group, and classes that are compared with a group in one task.
 GROUP, QUERIES = 1000, 2000
 #: Share of a set's tokens (in hundredths) by which prefixes are longer than they must be, and that two sets must share.
@@ -94,18 +96,19 @@ def _measure(docs: DataFrame, key: str, text: str) -> DataFrame:
             counts += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
             yield pd.DataFrame({"id": ids, "n": np.diff(first), "sig": _signatures(h, first), "part": -1, "counts": None})
         parts = counts.reshape(16, -1)
-        yield pd.DataFrame({"id": 0, "n": 0, "sig": 0, "part": range(16), "counts": [p.astype("<i8").tobytes() for p in parts]})
+        yield pd.DataFrame({"id": 0, "n": 0, "sig": 0, "part": range(16), "counts": [p.astype("<i4" if p.max() < 1 << 31 else "<i8").tobytes() for p in parts]})
 
     return docs.select(key, text).mapInPandas(run, "id long, n long, sig long, part int, counts binary")
 
 
-def heavy_slots(measured: DataFrame, excess: float) -> np.ndarray:
-    """Which slots of the sketch count over `excess` more than the mean; the sums of the tasks' counts are 16 rows."""
+def heavy_slots(measured: DataFrame, excess: float | None = None) -> np.ndarray:
+    """Which slots of the sketch count over `excess` more than the mean (by default, more than chance would); the sums of
+    the tasks' counts are 16 rows."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SLOTS // 16, np.int64)
         for c in pdf["counts"]:
-            total += np.frombuffer(c, "<i8")
+            total += np.frombuffer(c, "<i8" if len(c) == 8 * len(total) else "<i4")
         return pd.DataFrame({"part": [pdf["part"][0]], "salt": [0], "counts": [total.tobytes()]})
 
     schema = "part int, salt int, counts binary"
@@ -115,7 +118,7 @@ def heavy_slots(measured: DataFrame, excess: float) -> np.ndarray:
     for r in sums.collect():
         counts[r["part"]] = np.frombuffer(r["counts"], "<i8")
     counts = counts.ravel()
-    return counts > counts.mean() + excess
+    return counts > counts.mean() + (8 + 4 * counts.mean() ** 0.5 if excess is None else excess)
 
 
 def _prefixes(docs: DataFrame, key: str, text: str, heavy: np.ndarray, n_buckets: int, threshold: int) -> DataFrame:
@@ -176,17 +179,16 @@ def _shared(prefixes: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(sig, low, tokens) of texts (sig, text): the smallest mixed token and the packed sorted set."""
+    """(sig, lows, tokens) of texts (sig, text): the smallest token by each round's hash, and the packed sorted set."""
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for sigs, batch in _batches(pdfs, "sig", "text"):
             h, first = shingles(batch)
-            m = mix(h ^ np.uint64(0xA0761D6478BD642F))
-            low = np.minimum.reduceat(np.append(m, np.uint64(0)), first[:-1])
+            lows = [np.minimum.reduceat(np.append(mix(h ^ np.uint64(0xA0761D6478BD642F * (2 * r + 1) % (1 << 64))), np.uint64(0)), first[:-1]).view(np.int64) for r in range(ROUNDS)]
             own = _signatures(h, first) == sigs  # not so for another text under the same id
-            yield pd.DataFrame({"sig": sigs, "low": low.view(np.int64), "tokens": [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]})[own]
+            yield pd.DataFrame({"sig": sigs, "lows": list(np.stack(lows, axis=1)), "tokens": [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]})[own]
 
-    return texts.mapInPandas(run, "sig long, low long, tokens binary")
+    return texts.mapInPandas(run, "sig long, lows array<bigint>, tokens binary")
 
 
 def linked(q: np.ndarray, sets: list[np.ndarray], threshold: int) -> np.ndarray:
@@ -204,8 +206,8 @@ def linked(q: np.ndarray, sets: list[np.ndarray], threshold: int) -> np.ndarray:
     return out
 
 
-def _lead(sets: DataFrame, threshold: int) -> DataFrame:
-    """(sig, leader): a class leads itself unless it links with an earlier leader of its group."""
+def _lead(sets: DataFrame, number: int, threshold: int) -> DataFrame:
+    """(sig, leader) in one round: a class leads itself unless it links with an earlier leader of its group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sig")
@@ -219,6 +221,7 @@ def _lead(sets: DataFrame, threshold: int) -> DataFrame:
                 leaders.append((sig, q))
         return pd.DataFrame({"sig": pdf["sig"], "leader": out})
 
+    sets = sets.withColumn("low", F.col("lows")[number])
     large = sets.groupBy("low").count().where(F.col("count") > GROUP)  # few: each has over GROUP classes
     parts = sets.join(large, "low", "left").withColumn("salt", F.pmod(F.xxhash64("sig"), F.ceil(F.coalesce("count", F.lit(1)) / GROUP)))
     return parts.groupBy("low", "salt").applyInPandas(run, "sig long, leader long")
@@ -226,11 +229,14 @@ def _lead(sets: DataFrame, threshold: int) -> DataFrame:
 
 def _open_groups(candidates: DataFrame, sets: DataFrame, leaders: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) between classes, from candidates (sig, own, leader): at least one for each two groups that link."""
-    many = candidates.groupBy("leader").count().select("leader", F.ceil(F.col("count") / QUERIES).cast("int").alias("parts"))
-    queries = candidates.join(many, "leader").withColumn("part", F.pmod(F.xxhash64("own"), F.col("parts")).cast("int"))
-    queries = queries.join(sets.select("sig", "tokens"), "sig").select("leader", "part", "sig", "own", "tokens", F.lit(1).alias("asks"))
-    members = leaders.join(many, "leader").select("leader", "sig", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    members = members.join(sets.select("sig", "tokens"), "sig").select("leader", "part", "sig", F.col("leader").alias("own"), "tokens", F.lit(0).alias("asks"))
+    asks = candidates.groupBy("leader").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    sizes = leaders.join(asks, "leader", "left_semi").groupBy("leader").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
+    many = asks.join(sizes, "leader")
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    queries = candidates.join(many, "leader").select("leader", "sig", "own", F.pmod(F.xxhash64("own"), F.col("parts")).cast("int").alias("part"), every("blocks", "block"))
+    queries = queries.join(sets.select("sig", "tokens"), "sig").select("leader", "part", "block", "sig", "own", "tokens", F.lit(1).alias("asks"))
+    members = leaders.join(many, "leader").select("leader", "sig", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), every("parts", "part"))
+    members = members.join(sets.select("sig", "tokens"), "sig").select("leader", "part", "block", "sig", F.col("leader").alias("own"), "tokens", F.lit(0).alias("asks"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         inside, asking = pdf[pdf["asks"] == 0], pdf[pdf["asks"] == 1].sort_values(["own", "sig"])
@@ -254,7 +260,7 @@ def _open_groups(candidates: DataFrame, sets: DataFrame, leaders: DataFrame, thr
                     break
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return queries.unionByName(members).groupBy("leader", "part").applyInPandas(run, "a long, b long")
+    return queries.unionByName(members).groupBy("leader", "part", "block").applyInPandas(run, "a long, b long")
 
 
 def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
@@ -262,7 +268,7 @@ def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
     measured = written(_measure(docs, "id", "text"), "measured")
     sizes = measured.where("part < 0").select("id", "n", "sig")
-    heavy = heavy_slots(measured, max(8, HEAVY_SHARE * sizes.count()))
+    heavy = heavy_slots(measured)
     shared = written(_shared(_prefixes(docs, "id", "text", heavy, buckets(docs), threshold)), "shared")
     # The fewest tokens that a class shares with one it links with; that one has at least threshold % of its size.
     least = F.greatest(F.lit(1), F.floor(EXTRA * F.ceil(F.col("n") * threshold / 100) / 100))
@@ -270,7 +276,11 @@ def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     wanted = written(shared.groupBy("sig").agg(F.count("*").alias("c")).join(classes, "sig").where("c >= least").select(F.col("id").alias("_id"), "sig", "least"), "wanted")
     # One text of each such class.
     sets = written(_sets(docs.join(wanted, docs["id"] == wanted["_id"]).select("sig", "text")), "sets")
-    leaders = written(_lead(sets, threshold), "leaders")
+    leaders, active = None, sets
+    for r in range(ROUNDS):
+        step = written(_lead(active, r, threshold), "round")
+        leaders = step if leaders is None else written(leaders.join(step.select(F.col("sig").alias("leader"), F.col("leader").alias("next")), "leader").select("sig", F.col("next").alias("leader")), "leaders")
+        active = sets.join(step.where("sig = leader").select("sig"), "sig", "left_semi")
     places = written(shared.join(leaders, "sig"), "places")
     groups = places.select("token", F.col("leader").alias("g")).distinct()
     several = groups.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")

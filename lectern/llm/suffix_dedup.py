@@ -101,7 +101,7 @@ def _sketch(docs: DataFrame, length: int) -> DataFrame:
         for _, texts in _batches(pdfs, "id", "text"):
             counts += np.bincount((segments(texts, length)[3] >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
         parts = counts.reshape(16, -1)
-        yield pd.DataFrame({"part": range(16), "counts": [p.astype("<i8").tobytes() for p in parts]})
+        yield pd.DataFrame({"part": range(16), "counts": [p.astype("<i4" if p.max() < 1 << 31 else "<i8").tobytes() for p in parts]})
 
     return docs.mapInPandas(run, "part int, counts binary")
 
