@@ -46,7 +46,7 @@ GROUP, QUERIES = 1000, 2000
 #: Share of a set's tokens (in hundredths) by which prefixes are longer than they must be, and that two sets must share.
 EXTRA = 8
 #: Characters per numpy batch.
-BATCH = 1 << 20
+BATCH = 1 << 19
 #: Leaders of a group that a class is compared with before it leads one of its own.
 LEADERS = 8
 

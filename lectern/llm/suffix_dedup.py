@@ -211,21 +211,25 @@ def shard_covers(doc: np.ndarray, start: np.ndarray, parts: list[bytes], length:
 
 def _compare(asked: DataFrame, texts: DataFrame, shards: int, length: int) -> DataFrame:
     """(doc, start, end) covered, among the segments asked for: their bytes are cut, dealt to shards and sorted."""
-    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "anchor")).alias("spans"))
+    wanted = asked.groupBy("doc").agg(*[F.collect_list(c).alias(c) for c in ("start", "end", "anchor")])
+
+    names = ["shard", "doc", "start", "part"]
 
     def cut(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            for i in range(0, len(pdf), 100):
-                out = []
-                for doc, text, spans in zip(pdf["doc"][i : i + 100], pdf["text"][i : i + 100], pdf["spans"][i : i + 100], strict=True):
-                    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-                    out += [(x["anchor"] % shards, doc, x["start"], raw[x["start"] : x["end"]]) for x in spans if x["end"] <= len(raw)]
-                yield pd.DataFrame(out, columns=["shard", "doc", "start", "part"])
+            out = []
+            for doc, text, starts, ends, anchors in zip(pdf["doc"], pdf["text"], pdf["start"], pdf["end"], pdf["anchor"], strict=True):
+                raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+                out += [(k, doc, s, raw[s:e]) for k, s, e in zip((anchors % shards).tolist(), starts.tolist(), ends.tolist(), strict=True) if e <= len(raw)]
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(shard_covers(pdf["doc"].to_numpy(), pdf["start"].to_numpy(np.int64), list(pdf["part"]), length), columns=["doc", "start", "end"]).astype({"doc": "int64", "start": "int32", "end": "int32"})
 
-    parts = texts.join(wanted, texts["id"] == wanted["doc"]).select("doc", "text", "spans").mapInPandas(cut, "shard long, doc long, start int, part binary")
+    parts = texts.join(wanted, texts["id"] == wanted["doc"]).select("doc", "text", "start", "end", "anchor").mapInPandas(cut, "shard long, doc long, start int, part binary")
     return parts.groupBy("shard").applyInPandas(sort, "doc long, start int, end int")
 
 
