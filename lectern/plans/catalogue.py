@@ -1,5 +1,7 @@
 """All queries of the library and, where SQL can express them, their DuckDB statements."""
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lectern.plans import record_queries, text_queries
+
+QUERIES: dict = text_queries.Q | record_queries.Q
+ORACLES: dict = text_queries.S | record_queries.S

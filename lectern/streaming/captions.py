@@ -1,0 +1,53 @@
+"""Live caption streams with Structured Streaming: windows, sessions, and committed lines by keyed state."""
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+#: A pending line is committed at punctuation or at this many characters (fixed values).
+COMMIT_CHARS = 160
+ENDINGS = tuple(".!?…。！？؟،;:")
+#: Chunks quieter than this are silence, which flushes what is pending (fixed value).
+SILENCE_RMS = 0.0001
+
+
+def windowed_counts(events: DataFrame, time: str = "ts", late: str = "10 minutes", size: str = "1 hour", by: str = "event_type") -> DataFrame:
+    return events.withWatermark(time, late).groupBy(F.window(time, size), by).agg(F.count("*").alias("n"))
+
+
+def session_counts(events: DataFrame, key: str = "user_id", time: str = "ts", late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
+    return events.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n"))
+
+
+def commit(pending: str, chunks: list[tuple[int, str, float]]) -> tuple[str, list[tuple[int, str]]]:
+    """(what stays pending, committed (seq, line)) after chunks (seq, text, rms) in order; silence flushes."""
+    out = []
+    for seq, text, rms in chunks:
+        if rms < SILENCE_RMS:
+            if pending:
+                out.append((seq, pending))
+            pending = ""
+            continue
+        text = (text or "").strip()
+        pending = f"{pending} {text}".strip() if text else pending
+        if pending and (pending.endswith(ENDINGS) or len(pending) >= COMMIT_CHARS):
+            out.append((seq, pending))
+            pending = ""
+    return pending, out
+
+
+def committed_lines(chunks: DataFrame) -> DataFrame:
+    """Stream of (session, seq, line) from a stream of (session, seq, text, rms); state per session is the pending text."""
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pending = state.get[0] if state.exists else ""
+        rows = pd.concat(list(pdfs)).sort_values("seq")
+        pending, out = commit(pending, list(rows[["seq", "text", "rms"]].itertuples(index=False, name=None)))
+        state.update((pending,))
+        yield pd.DataFrame([(key[0], s, x) for s, x in out], columns=["session", "seq", "line"])
+
+    return chunks.groupBy("session").applyInPandasWithState(step, "session long, seq long, line string", "pending string", "append", GroupStateTimeout.NoTimeout)
