@@ -10,7 +10,9 @@
 3. The classes left are partitioned into groups of similar ones: in each of ROUNDS rounds, classes of equal smallest
    shingle (by a hash of the round) are compared with a leader among them; those linked follow it, and only leaders enter
    the next round. Many classes of one smallest shingle are cut by size, each part with its own leaders. What is
-   connected this way needs no candidates any more, so a large group of near copies costs a few comparisons per copy.
+   connected this way needs no comparison any more, so a large group of near copies costs a few per copy. Leaders that
+   share a smallest shingle then form a group with their followers, linked or not: tokens of similar documents meet few
+   groups, however many documents there are.
 4. A class and a group that share l tokens are a candidate. With the class's set and the union of the group's tokens in
    one task, the overlap is bounded: under ceil(t n) the group stays closed. Open groups are compared member by member
    until a link is found; groups already linked to the class's group are skipped.
@@ -227,40 +229,59 @@ def _lead(sets: DataFrame, number: int, threshold: int) -> DataFrame:
     return parts.groupBy("low", "salt").applyInPandas(run, "sig long, leader long")
 
 
-def _open_groups(candidates: DataFrame, sets: DataFrame, leaders: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) between classes, from candidates (sig, own, leader): at least one for each two groups that link."""
-    asks = candidates.groupBy("leader").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    sizes = leaders.join(asks, "leader", "left_semi").groupBy("leader").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
-    many = asks.join(sizes, "leader")
+def _groups(sets: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(sig, leader, g): leaders that share a smallest shingle, of the round in which most do, are one group with all that
+    follow them. Similar sets mostly fall together whether they link or not; any partition gives the same links."""
+    lows = sets.join(leaders.where("sig = leader").select("sig"), "sig", "left_semi").select("sig", F.posexplode("lows").alias("r", "low"))
+    sizes = lows.groupBy("r", "low").agg(F.count("*").alias("c"))
+    best = lows.join(sizes, ["r", "low"]).groupBy("sig").agg(F.max(F.struct("c", "r", "low")).alias("x"))
+    return leaders.join(best.select(F.col("sig").alias("leader"), F.xxhash64("x.r", "x.low").alias("g")), "leader").select("sig", "leader", "g")
+
+
+def _open_groups(candidates: DataFrame, sets: DataFrame, grouped: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between classes, from candidates (sig, leader, g): at least one for each two leaders' classes that link."""
+    asks = candidates.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    sizes = grouped.join(asks, "g", "left_semi").groupBy("g").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
+    many = asks.join(sizes, "g")
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
-    queries = candidates.join(many, "leader").select("leader", "sig", "own", F.pmod(F.xxhash64("own"), F.col("parts")).cast("int").alias("part"), every("blocks", "block"))
-    queries = queries.join(sets.select("sig", "tokens"), "sig").select("leader", "part", "block", "sig", "own", "tokens", F.lit(1).alias("asks"))
-    members = leaders.join(many, "leader").select("leader", "sig", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), every("parts", "part"))
-    members = members.join(sets.select("sig", "tokens"), "sig").select("leader", "part", "block", "sig", F.col("leader").alias("own"), "tokens", F.lit(0).alias("asks"))
+    queries = candidates.join(many, "g").select("g", "sig", "leader", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part"), every("blocks", "block"), F.lit(1).alias("asks"))
+    members = grouped.join(many, "g").select("g", "sig", "leader", every("parts", "part"), F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"))
+    rows = queries.unionByName(members).join(sets.select("sig", "tokens"), "sig")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        inside, asking = pdf[pdf["asks"] == 0], pdf[pdf["asks"] == 1].sort_values(["own", "sig"])
-        sigs, sets_ = inside["sig"].tolist(), [np.frombuffer(t, np.uint64) for t in inside["tokens"]]
-        if not sigs:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        union = np.unique(np.concatenate(sets_))
-        found, done = [], set()
-        for sig, own, raw in zip(asking["sig"].tolist(), asking["own"].tolist(), asking["tokens"], strict=True):
-            if own in done:
-                continue
-            q = np.frombuffer(raw, np.uint64)
-            at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-            if int((union[at] == q).sum()) < need(len(q), threshold):
-                continue  # no member can have enough of q
-            for i in range(0, len(sets_), 64):
-                hit = np.flatnonzero(linked(q, sets_[i : i + 64], threshold))
-                if len(hit):
-                    found.append((sig, sigs[i + hit[0]]))
-                    done.add(own)
-                    break
+        inside, asking = pdf[pdf["asks"] == 0].sort_values("sig"), pdf[pdf["asks"] == 1].sort_values(["leader", "sig"])
+        found: list[tuple[int, int]] = []
+        if len(inside):
+            sets_ = [np.frombuffer(t, np.uint64) for t in inside["tokens"]]
+            sigs, union = inside["sig"].to_numpy(), np.unique(np.concatenate(sets_))
+            label = inside["leader"].to_numpy().copy()  # of what is connected as far as this task knows
+            same: dict[int, int] = {}
+            for sig, own, raw in zip(asking["sig"].tolist(), asking["leader"].tolist(), asking["tokens"], strict=True):
+                own = same.get(own, own)
+                q = np.frombuffer(raw, np.uint64)
+                at = np.minimum(np.searchsorted(union, q), len(union) - 1)
+                if int((union[at] == q).sum()) < need(len(q), threshold):
+                    continue  # no member can have enough of q: the group stays closed
+                while len(rest := np.flatnonzero(label != own)):
+                    hit = np.zeros(0, np.int64)
+                    for i in range(0, len(rest), 128):
+                        hit = np.flatnonzero(linked(q, [sets_[j] for j in rest[i : i + 128]], threshold))
+                        if len(hit):
+                            hit = rest[i : i + 128][hit]
+                            break
+                    if not len(hit):
+                        break
+                    for j in hit.tolist():
+                        if label[j] != own:
+                            found.append((sig, int(sigs[j])))
+                            for k, v in list(same.items()):
+                                if v == label[j]:
+                                    same[k] = own
+                            same[int(label[j])] = own
+                            label[label == label[j]] = own
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return queries.unionByName(members).groupBy("leader", "part", "block").applyInPandas(run, "a long, b long")
+    return rows.groupBy("g", "part", "block").applyInPandas(run, "a long, b long")
 
 
 def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
@@ -281,13 +302,16 @@ def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
         step = written(_lead(active, r, threshold), "round")
         leaders = step if leaders is None else written(leaders.join(step.select(F.col("sig").alias("leader"), F.col("leader").alias("next")), "leader").select("sig", F.col("next").alias("leader")), "leaders")
         active = sets.join(step.where("sig = leader").select("sig"), "sig", "left_semi")
-    places = written(shared.join(leaders, "sig"), "places")
-    groups = places.select("token", F.col("leader").alias("g")).distinct()
-    several = groups.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    groups = groups.join(several, "token")
-    pairs = places.join(groups, "token").where("leader < g").groupBy("sig", F.col("leader").alias("own"), F.col("g").alias("leader")).agg(F.count("*").alias("c"))
-    candidates = written(pairs.join(wanted.select("sig", "least"), "sig").where("c >= least").select("sig", "own", "leader"), "candidates")
-    between = _open_groups(candidates, sets, leaders, threshold)
+    grouped = written(_groups(sets, leaders), "groups")
+    places = written(shared.join(grouped, "sig"), "places")
+    # Per token the groups that have it, with one leader of theirs, and whether there are others.
+    holds = places.groupBy("token", "g").agg(F.min("leader").alias("one"), F.max("leader").alias("last"))
+    several = holds.groupBy("token").agg(F.min("one").alias("lo"), F.max("last").alias("hi")).where("lo != hi").select("token")
+    holds = holds.join(several, "token").select("token", F.col("g").alias("to"), "one", "last")
+    # A class asks the groups from its own upwards; its own only if other leaders' classes there have the token too.
+    pairs = places.join(holds, "token").where("g < to or (g = to and one != last)").groupBy("sig", "leader", F.col("to").alias("g")).agg(F.count("*").alias("c"))
+    candidates = written(pairs.join(wanted.select("sig", "least"), "sig").where("c >= least").select("sig", "leader", "g"), "candidates")
+    between = _open_groups(candidates, sets, grouped, threshold)
     links = between.union(leaders.where("sig != leader").select("sig", "leader"))
     named = links.join(classes.select(F.col("sig").alias("a"), F.col("id").alias("ida")), "a").join(classes.select(F.col("sig").alias("b"), F.col("id").alias("idb")), "b")
     comp = components(named.select("ida", "idb"), "ida", "idb")
