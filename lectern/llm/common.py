@@ -46,6 +46,6 @@ def input_bytes(df: DataFrame) -> int:
 
 def buckets(df: DataFrame, mb: int = 16) -> int:
     """How many buckets keep each one's share of the input near `mb` MB of (compressed) files; where no file stands behind
-    df (Spark then reports an endless size), the number of shuffle partitions."""
+    df (Spark then reports a size of many petabytes), the number of shuffle partitions."""
     least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
-    return least if size >= 1 << 62 else max(least, math.ceil(size / (mb << 20)))
+    return least if size >= 1 << 52 else max(least, math.ceil(size / (mb << 20)))
