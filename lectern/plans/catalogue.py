@@ -1,7 +1,7 @@
 """All queries of the library and, where SQL can express them, their DuckDB statements."""
 from __future__ import annotations
 
-from lectern.plans import record_queries, text_queries
+from lectern.plans import format_queries, record_queries, text_queries
 
-QUERIES: dict = text_queries.Q | record_queries.Q
-ORACLES: dict = text_queries.S | record_queries.S
+QUERIES: dict = text_queries.Q | record_queries.Q | format_queries.Q
+ORACLES: dict = text_queries.S | record_queries.S | format_queries.S
