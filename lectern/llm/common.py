@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space: the separators of words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -49,3 +50,11 @@ def buckets(df: DataFrame, mb: int = 16) -> int:
     df (Spark then reports a size of many petabytes), the number of shuffle partitions."""
     least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
     return least if size >= 1 << 52 else max(least, math.ceil(size / (mb << 20)))
+
+
+def smallest_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The rows whose keys have the `rows` smallest hashes: the same sample whatever the partitioning. Only hashes are
+    sorted; the rows themselves are filtered where they stand (rows of equal keys stay together)."""
+    h = F.xxhash64(key)
+    cut = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.where(F.lit(False)) if cut is None else df.where(h <= cut)

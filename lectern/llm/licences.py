@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import smallest_by_hash
+
 #: Notices by family (fixed values: the usual wording of public licences).
 TEMPLATES = {
     "apache-2.0": [
@@ -194,7 +196,7 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", trai
     kind = own.schema[0].dataType.simpleString()
     # Rows of smallest hash; of each, lines without licence words, to a fixed number and length.
     lines = F.slice(F.filter(F.split("text", "\n"), lambda x: (F.length(x) > 20) & ~x.rlike("(?i)" + CUE.pattern)), 1, 4)
-    some = own.where("text is not null").orderBy(F.xxhash64("id"), "id").limit(train_rows).select(F.transform(lines, lambda x: F.substring(x, 1, 400)).alias("lines"))
+    some = smallest_by_hash(own.where("text is not null"), "id", train_rows).select(F.transform(lines, lambda x: F.substring(x, 1, 400)).alias("lines"))
     model = LicenceModel([x for r in some.collect() for x in r["lines"]])  # some 100 kB; sent with the function
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -44,6 +44,8 @@ PLACE = np.uint64((1 << 28) - 1)
 HOT = 50_000
 #: Bytes of segments per shard.
 SHARD = 4 << 20
+#: Bytes of segments per suffix array, unless a single anchor has more.
+WHOLE = 1 << 19
 
 
 def segments(texts: list[str | None], length: int = 100) -> tuple[np.ndarray, ...]:
@@ -213,23 +215,33 @@ def _compare(asked: DataFrame, texts: DataFrame, shards: int, length: int) -> Da
     """(doc, start, end) covered, among the segments asked for: their bytes are cut, dealt to shards and sorted."""
     wanted = asked.groupBy("doc").agg(*[F.collect_list(c).alias(c) for c in ("start", "end", "anchor")])
 
-    names = ["shard", "doc", "start", "part"]
+    names = ["shard", "anchor", "doc", "start", "part"]
 
     def cut(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             out = []
             for doc, text, starts, ends, anchors in zip(pdf["doc"], pdf["text"], pdf["start"], pdf["end"], pdf["anchor"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-                out += [(k, doc, s, raw[s:e]) for k, s, e in zip((anchors % shards).tolist(), starts.tolist(), ends.tolist(), strict=True) if e <= len(raw)]
+                out += [(a % shards, a, doc, s, raw[s:e]) for a, s, e in zip(anchors.tolist(), starts.tolist(), ends.tolist(), strict=True) if e <= len(raw)]
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
             yield pd.DataFrame(out, columns=names)
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(shard_covers(pdf["doc"].to_numpy(), pdf["start"].to_numpy(np.int64), list(pdf["part"]), length), columns=["doc", "start", "end"]).astype({"doc": "int64", "start": "int32", "end": "int32"})
-
-    parts = texts.join(wanted, texts["id"] == wanted["doc"]).select("doc", "text", "start", "end", "anchor").mapInPandas(cut, "shard long, doc long, start int, part binary")
+        # Anchors one after another, as many as WHOLE holds per suffix array: memory follows that, not the shard.
+        pdf = pdf.sort_values("anchor", kind="stable")
+        anchor, size = pdf["anchor"].to_numpy(), pdf["part"].map(len).to_numpy()
+        begin = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        total = np.add.reduceat(size, begin)
+        cut = begin[np.concatenate(([True], np.diff((np.cumsum(total) - total) // WHOLE) > 0))]
+        found = []
+        for a, z in zip(cut, [*cut[1:], len(pdf)], strict=True):
+            own = pdf.iloc[a:z]
+            found += shard_covers(own["doc"].to_numpy(), own["start"].to_numpy(np.int64), list(own["part"]), length)
+        return pd.DataFrame(found, columns=["doc", "start", "end"]).astype({"doc": "int64", "start": "int32", "end": "int32"})
+
+    parts = texts.join(wanted, texts["id"] == wanted["doc"]).select("doc", "text", "start", "end", "anchor").mapInPandas(cut, "shard long, anchor long, doc long, start int, part binary")
     return parts.groupBy("shard").applyInPandas(sort, "doc long, start int, end int")
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytewords import flat, prefix_sums, spans_hash, words
+from lectern.llm.common import smallest_by_hash
 
 #: Hashed features, rows of the training sample, rounds of EM and of training.
 DIM = 1 << 15
@@ -207,8 +208,8 @@ def quality_classifier(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     pairs = list(zip(cut[:-1], cut[1:], strict=True))
                     yield pd.DataFrame({"p": table[b.votes() @ _POWERS], "f": [f[a:z].tobytes() for a, z in pairs], "v": [v[a:z].tobytes() for a, z in pairs]})
 
-        # The rows of smallest hash: the same sample whatever the partitioning, of at most train_rows rows.
-        some = own.where("text is not null").orderBy(F.xxhash64("id"), "id").limit(train_rows)
+        # A bounded sample; train_rows is its documented size.
+        some = smallest_by_hash(own.where("text is not null"), "id", train_rows)
         got = some.mapInPandas(sample, "p double, f binary, v binary").collect()
         if got:
             f, v = [np.frombuffer(r["f"], np.int32) for r in got], [np.frombuffer(r["v"], np.float32) for r in got]
