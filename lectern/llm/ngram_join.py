@@ -208,6 +208,26 @@ def linked(q: np.ndarray, sets: list[np.ndarray], threshold: int) -> np.ndarray:
     return out
 
 
+def overlaps(queries: list[np.ndarray], members: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections, by products of 0-1 matrices over the tokens that several of the sets have, a block of
+    columns at a time: counts under 2 ** 24 are exact in single precision."""
+    flat = np.concatenate([*queries, *members])
+    owner = np.repeat(np.arange(len(queries) + len(members)), [len(x) for x in (*queries, *members)])
+    tokens, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    keep = count[at] > 1
+    column, owner = shared[at[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(queries), len(members)), np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, z = np.searchsorted(column, [begin, begin + columns])
+        m = np.zeros((len(queries) + len(members), columns), np.float32)
+        m[owner[a:z], column[a:z] - begin] = 1
+        out += m[: len(queries)] @ m[len(queries) :].T
+    return out.astype(np.int64)
+
+
 def _lead(sets: DataFrame, number: int, threshold: int) -> DataFrame:
     """(sig, leader) in one round: a class leads itself unless it links with an earlier leader of its group."""
 
@@ -252,33 +272,28 @@ def _open_groups(candidates: DataFrame, sets: DataFrame, grouped: DataFrame, thr
         inside, asking = pdf[pdf["asks"] == 0].sort_values("sig"), pdf[pdf["asks"] == 1].sort_values(["leader", "sig"])
         found: list[tuple[int, int]] = []
         if len(inside):
-            sets_ = [np.frombuffer(t, np.uint64) for t in inside["tokens"]]
-            sigs, union = inside["sig"].to_numpy(), np.unique(np.concatenate(sets_))
-            label = inside["leader"].to_numpy().copy()  # of what is connected as far as this task knows
-            same: dict[int, int] = {}
+            sets_, sigs = [np.frombuffer(t, np.uint64) for t in inside["tokens"]], inside["sig"].tolist()
+            union = np.unique(np.concatenate(sets_))
+            asked = []
             for sig, own, raw in zip(asking["sig"].tolist(), asking["leader"].tolist(), asking["tokens"], strict=True):
-                own = same.get(own, own)
                 q = np.frombuffer(raw, np.uint64)
                 at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-                if int((union[at] == q).sum()) < need(len(q), threshold):
-                    continue  # no member can have enough of q: the group stays closed
-                while len(rest := np.flatnonzero(label != own)):
-                    hit = np.zeros(0, np.int64)
-                    for i in range(0, len(rest), 128):
-                        hit = np.flatnonzero(linked(q, [sets_[j] for j in rest[i : i + 128]], threshold))
-                        if len(hit):
-                            hit = rest[i : i + 128][hit]
-                            break
-                    if not len(hit):
-                        break
-                    for j in hit.tolist():
-                        if label[j] != own:
-                            found.append((sig, int(sigs[j])))
-                            for k, v in list(same.items()):
-                                if v == label[j]:
-                                    same[k] = own
-                            same[int(label[j])] = own
-                            label[label == label[j]] = own
+                if int((union[at] == q).sum()) >= need(len(q), threshold):
+                    asked.append((sig, own, q))  # for the others the group stays closed: no member can have enough of q
+            sizes = np.array([len(x) for x in sets_])
+            label = inside["leader"].to_numpy().copy()  # of what is connected as far as this task knows
+            same: dict[int, int] = {}
+            for i in range(0, len(asked), 500):
+                part = asked[i : i + 500]
+                both = overlaps([q for _, _, q in part], sets_)
+                for (sig, own, q), row in zip(part, both, strict=True):
+                    own = same.get(own, own)
+                    for j in np.flatnonzero((100 * row >= threshold * (len(q) + sizes - row)) & (label != own)).tolist():
+                        old = int(label[j])
+                        if old != own:
+                            found.append((sig, sigs[j]))
+                            same = {k: own if v == old else v for k, v in same.items()} | {old: own}
+                            label[label == old] = own
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("g", "part", "block").applyInPandas(run, "a long, b long")
