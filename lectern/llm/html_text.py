@@ -59,19 +59,26 @@ def _aside(name: str, attributes: str, in_main: bool) -> bool:
     return said.get("role", "").lower() in ASIDE_ROLES or said.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes)) or any(ASIDE_WORDS.search(said[k]) for k in ("class", "id") if k in said)
 
 
+def _main(name: str, attributes: str) -> bool:
+    if name in MAIN:
+        return True
+    return "=" in attributes and any(m[0].lower() == "role" and "main" in (m[1] or m[2] or m[3]).lower().split() for m in ATTRIBUTE.findall(attributes))
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
-    """(OPEN, INSIDE or OUTSIDE, text) of each block of a page, in order; raw elements and comments are gone."""
+    """(OPEN, INSIDE or OUTSIDE, text) of each block of a page, in order; raw elements and comments are gone. A page
+    names its article if the scanner opened an article or main element, by tag or role; else its blocks are OPEN."""
     out: list[tuple[int, str]] = []
     held: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, aside, main
     main = asides = 0
-    named = re.search(r"<(?:article|main)[\s>]|role\s*=\s*[\"']?main", page, re.I) is not None
+    named = False
 
     def flush() -> None:
         if held:
             text = SPACE.sub(" ", html.unescape("".join(held))).strip()
             if text:
-                out.append((OUTSIDE if asides else INSIDE if main else OUTSIDE if named else OPEN, text))
+                out.append((OUTSIDE if asides else INSIDE if main else OPEN, text))
             held.clear()
 
     at, end, low = 0, len(page), None
@@ -111,7 +118,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if not closing:
             if name in ("p", "li", "td", "th", "tr", "dt", "dd", "b", "i", "em", "strong", "span", "a") and not m[3].strip():
                 continue  # says nothing about the region, and is often left open
-            aside, is_main = _aside(name, m[3], main > 0), name in MAIN or 'role="main"' in m[3]
+            aside, is_main = _aside(name, m[3], main > 0), _main(name, m[3])
+            named = named or is_main
             stack.append((name, aside, is_main))
             asides += aside
             main += is_main
@@ -124,7 +132,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
                     del stack[i:]
                     break
     flush()
-    return out
+    return [(OUTSIDE if kind == OPEN else kind, text) for kind, text in out] if named else out
 
 
 def repeated_runs(streams: list[list[int]], pages_of: list[int], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
