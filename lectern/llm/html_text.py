@@ -3,8 +3,8 @@
 A scanner cuts a page into blocks and notes for each what its open elements say: inside an article (or main) and outside
 menus, headers, footers, sidebars, notices, adverts, forms and comments; inside one of those; or undecided, on pages
 without such elements. Per host, the tokens of the blocks that structure doesn't settle are concatenated, and a suffix
-array finds runs of RUN tokens or more that stand on several distinct pages. An undecided block that such runs cover by
-more than half is boilerplate; the unique rest is kept.
+array finds runs of RUN tokens or more that stand on several distinct pages. They are cut out of undecided blocks; the
+unique rest is kept. Pages with the same sequence of blocks are one page, so copies don't make each other boilerplate.
 
 Blocks inside an article are not dropped for being repeated: articles quote and share passages, and a menu inside an
 article is marked as one. So where a page names its article, structure alone settles it.
@@ -173,19 +173,20 @@ def repeated_runs(streams: list[list[int]], pages_of: list[int], run: int = RUN,
 def host_texts(pages: list[list[tuple[int, str]]]) -> list[tuple[str, int]]:
     """(main text, boilerplate tokens found by repetition) of pages of one host, given their blocks."""
     number: dict[str, int] = {}
-    streams, page_of, at = [], [], {}
+    streams, page_of, at, same = [], [], {}, {}
     for i, own in enumerate(pages):
+        page = same.setdefault(tuple(own), i)  # copies of a page are that page
         for j, (kind, text) in enumerate(own):
             if kind != INSIDE:
                 at[i, j] = len(streams)
                 streams.append([number.setdefault(t, len(number) + 1) for t in text.split()])
-                page_of.append(i)
+                page_of.append(page)
     covered = repeated_runs(streams, page_of) if streams and len(number) < 1 << 24 else [np.zeros(len(s), bool) for s in streams]
     out = []
     for i, own in enumerate(pages):
         cover = {j: covered[at[i, j]] for j in range(len(own)) if (i, j) in at}
-        kept = [t for j, (kind, t) in enumerate(own) if kind == INSIDE or kind == OPEN and 2 * int(cover[j].sum()) <= len(cover[j])]
-        out.append(("\n".join(kept), sum(int(c.sum()) for c in cover.values())))
+        kept = [t if kind == INSIDE or not cover[j].any() else " ".join(w for w, c in zip(t.split(), cover[j].tolist(), strict=True) if not c) for j, (kind, t) in enumerate(own) if kind != OUTSIDE]
+        out.append(("\n".join(t for t in kept if t), sum(int(c.sum()) for c in cover.values())))
     return out
 
 

@@ -15,3 +15,14 @@ def test_pages_are_named_by_elements_that_were_opened(spark):
     for i in range(len(rows)):
         story = f"the story {i} of the day in full"
         assert got[i] == (story if i < len(opened) else f"menu\n{story}")
+
+
+def test_copies_keep_their_text_and_only_runs_are_cut(spark):
+    story = "<p>a story of nine words that stands here alone</p><p>short end</p>"
+    menu = "<p>home news sport culture about us and contact</p>"
+    mixed = "<p>home news sport culture about us then some words of {} only</p>"
+    rows = [(i, "http://h.x/", story + menu) for i in range(3)] + [(3, "http://h.x/", story + menu)] * 2
+    rows += [(4, "http://h.x/", mixed.format("four")), (5, "http://h.x/", "<p>a tail alone</p>" + menu)]
+    got = texts(spark, rows)
+    assert all(got[i] == "a story of nine words that stands here alone\nshort end" for i in range(4))
+    assert got[4] == "then some words of four only" and got[5] == "a tail alone"
