@@ -9,7 +9,9 @@ unique rest is kept. Pages with the same sequence of blocks are one page, so cop
 Blocks inside an article are not dropped for being repeated: articles quote and share passages, and a menu inside an
 article is marked as one. So where a page names its article, structure alone settles it.
 
-Hosts of many pages are dealt to parts by page id, of about PART characters each; boilerplate repeats in every part.
+Hosts of many pages are dealt to parts by page id, of about PART characters each. A run may stand once in each of two
+parts, so parts also send the hashes of their runs, with the pages they stand on, to buckets of the host by hash; a
+bucket answers each part which of its runs stand on several pages of the whole host. Size of a host changes no result.
 
 Defined results: a null or empty html gives an empty text; unclosed and crossed tags end where an outer element ends; a
 null or odd url counts as the host ""; repeated pages keep their articles; other columns are ignored; an empty table
@@ -17,9 +19,10 @@ gives an empty table.
 """
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,6 +49,8 @@ SPACE = re.compile(r"\s+")
 #: Tokens of a repeated run, distinct pages it stands on, and characters of html per part of a host.
 RUN, PAGES, PART = 6, 2, 8 << 20
 OPEN, INSIDE, OUTSIDE = 0, 1, 2
+#: Odd factors of the hash of a run: one for each token, and one for how many they are.
+MIX = np.random.default_rng(1).integers(0, 1 << 63, RUN + 1, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _aside(name: str, attributes: str, in_main: bool) -> bool:
@@ -170,8 +175,27 @@ def repeated_runs(streams: list[list[int]], pages_of: list[int], run: int = RUN,
     return [covered[a : b - 1] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
 
 
-def host_texts(pages: list[list[tuple[int, str]]]) -> list[tuple[str, int]]:
-    """(main text, boilerplate tokens found by repetition) of pages of one host, given their blocks."""
+def run_hashes(streams: list[list[int]], words: Iterable[str], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(stream, first token, tokens, 64-bit hash) of each run that repeated_runs compares: `run` tokens of a block, or a
+    shorter block as a whole. words are the tokens in the order of their numbers; hashes depend on content only."""
+    lengths = np.array([len(s) for s in streams], np.int64)
+    text = np.concatenate([np.array(s, np.int64) for s in streams])
+    owner = np.repeat(np.arange(len(streams)), lengths)
+    first = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    left = lengths[owner] - first
+    at = np.flatnonzero((left >= run) | (first == 0))
+    size = np.minimum(left[at], run)
+    codes = np.frombuffer(b"".join([bytes(8), *(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words)]), np.uint64)
+    hashed = size.astype(np.uint64) * MIX[run]
+    for j in range(run):
+        live = size > j
+        hashed[live] += codes[text[at[live] + j]] * MIX[j]
+    return owner[at], first[at], size, hashed
+
+
+def host_texts(pages: list[list[tuple[int, str]]], known: np.ndarray | None = None) -> list[tuple[str, int]]:
+    """(main text, boilerplate tokens found by repetition) of pages of one host, or of a part of it, given their blocks;
+    `known` has hashes of runs that stand on several pages of the whole host."""
     number: dict[str, int] = {}
     streams, page_of, at, same = [], [], {}, {}
     for i, own in enumerate(pages):
@@ -182,6 +206,11 @@ def host_texts(pages: list[list[tuple[int, str]]]) -> list[tuple[str, int]]:
                 streams.append([number.setdefault(t, len(number) + 1) for t in text.split()])
                 page_of.append(page)
     covered = repeated_runs(streams, page_of) if streams and len(number) < 1 << 24 else [np.zeros(len(s), bool) for s in streams]
+    if streams and known is not None and len(known):
+        owner, first, size, hashed = run_hashes(streams, number)
+        hit = np.isin(hashed, known)
+        for k, a, n in zip(owner[hit].tolist(), first[hit].tolist(), size[hit].tolist(), strict=True):
+            covered[k][a : a + n] = True
     out = []
     for i, own in enumerate(pages):
         cover = {j: covered[at[i, j]] for j in range(len(own)) if (i, j) in at}
@@ -190,6 +219,48 @@ def host_texts(pages: list[list[tuple[int, str]]]) -> list[tuple[str, int]]:
     return out
 
 
+def _joined(found: list[tuple[int, str]]) -> str:
+    return "\x00".join(t.replace("\x00", "") for _, t in found)
+
+
+def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A part's runs by bucket: (hash, least and greatest page of the part that it stands on), as numbers in a blob."""
+    pdf = pdf.drop_duplicates("page")
+    number: dict[str, int] = {}
+    streams, page_of = [], []
+    for page, texts in zip(pdf["page"], pdf["texts"], strict=True):
+        for t in texts.split("\x00") if texts else []:
+            streams.append([number.setdefault(w, len(number) + 1) for w in t.split()])
+            page_of.append(page)
+    host, part, n = pdf["host"].iloc[0], pdf["part"].iloc[0], int(pdf["parts"].iloc[0])
+    rows = []
+    if any(streams):
+        owner, _, _, hashed = run_hashes(streams, number)
+        page = np.array(page_of, np.int64)[owner]
+        order = np.lexsort((page, hashed, hashed % np.uint64(n)))
+        hashed, page = hashed[order], page[order]
+        start = np.flatnonzero(np.concatenate(([True], hashed[1:] != hashed[:-1])))
+        found = np.stack([hashed[start].view(np.int64), page[start], page[np.append(start[1:], len(page)) - 1]], axis=1)
+        bucket = (hashed[start] % np.uint64(n)).astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        rows = [(host, part, int(bucket[a]), found[a:b].tobytes()) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(found)], strict=True)]
+    return pd.DataFrame(rows, columns=["host", "part", "bucket", "runs"])
+
+
+def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each part, the hashes among its runs of a bucket that stand on several pages of the host, but on one of the part."""
+    own = [np.frombuffer(b, np.int64).reshape(-1, 3) for b in pdf["runs"]]
+    found = np.concatenate(own)
+    _, which = np.unique(found[:, 0], return_inverse=True)
+    least, most = np.full(which.max() + 1, np.iinfo(np.int64).max), np.full(which.max() + 1, np.iinfo(np.int64).min)
+    np.minimum.at(least, which, found[:, 1])
+    np.maximum.at(most, which, found[:, 2])
+    new = (least[which] != most[which]) & (found[:, 1] == found[:, 2])
+    ends = np.cumsum([len(x) for x in own])
+    rows = [(h, p, x[new[e - len(x) : e], 0].tobytes()) for h, p, x, e in zip(pdf["host"], pdf["part"], own, ends.tolist(), strict=True)]
+    return pd.DataFrame([x for x in rows if x[2]], columns=["host", "part", "known"])
+
+
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(key, url, text, n_chars, n_repeated) of every page: its main text, its code points, and how many tokens outside
     the article the host's suffix array found repeated."""
@@ -204,15 +275,31 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
             for i in range(0, len(pdf), 200):
                 part = pdf.iloc[i : i + 200]
                 found = [blocks(t) if isinstance(t, str) else [] for t in part["html"]]
-                yield part[["id", "url", "host", "part"]].assign(kinds=[bytes(k for k, _ in f) for f in found], texts=["\x00".join(t.replace("\x00", "") for _, t in f) for f in found])
+                yield part[["id", "url", "host", "part"]].assign(kinds=[bytes(k for k, _ in f) for f in found], texts=[_joined(f) for f in found])
+
+    def scan_runs(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for i in range(0, len(pdf), 200):
+                part = pdf.iloc[i : i + 200]
+                found = [blocks(t) if isinstance(t, str) else [] for t in part["html"]]
+                names = [hashlib.blake2b(bytes(k for k, _ in f) + b"\x00" + _joined(f).encode("utf-8", "surrogatepass"), digest_size=8).digest() for f in found]
+                yield part[["host", "part", "parts"]].assign(page=np.frombuffer(b"".join(names), np.int64), texts=[_joined([x for x in f if x[0] != INSIDE]) for f in found])
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+    def group(pdf: pd.DataFrame, known: np.ndarray | None = None) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         own = [list(zip(k, t.split("\x00"), strict=True)) if len(k) else [] for k, t in zip(pdf["kinds"], pdf["texts"], strict=True)]
-        done = host_texts(own)
+        done = host_texts(own, known)
         return pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": [t for t, _ in done], "n_chars": [len(t) for t, _ in done], "n_repeated": [n for _, n in done]})
 
     kind = pages.select(f"`{key}`").schema[0].dataType.simpleString()
-    scanned = dealt.select("id", "url", "html", "host", "part").mapInPandas(scan, f"id {kind}, url string, host string, part long, kinds binary, texts string")
-    out = scanned.groupBy("host", "part").applyInPandas(group, f"id {kind}, url string, text string, n_chars long, n_repeated long")
+    scanned = dealt.select("id", "url", "html", "host", "part").mapInPandas(scan, f"id {kind}, url string, host string, part long, kinds binary, texts string").groupBy("host", "part")
+    result = f"id {kind}, url string, text string, n_chars long, n_repeated long"
+    if parts.isEmpty():
+        out = scanned.applyInPandas(lambda pdf: group(pdf), result)
+    else:
+        # Pages of such hosts are scanned twice: that takes less disk than a table of their blocks.
+        runs = dealt.where("parts > 1").select("html", "host", "part", "parts").mapInPandas(scan_runs, "host string, part long, parts long, page long, texts string")
+        asked = runs.groupBy("host", "part").applyInPandas(_ask, "host string, part long, bucket long, runs binary")
+        known = asked.groupBy("host", "bucket").applyInPandas(_answer, "host string, part long, known binary")
+        out = scanned.cogroup(known.groupBy("host", "part")).applyInPandas(lambda pdf, k: group(pdf, np.frombuffer(b"".join(k["known"]), np.uint64)), result)
     return out.withColumnsRenamed({"id": key, "url": url})

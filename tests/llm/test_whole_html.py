@@ -1,4 +1,6 @@
 """Main text of pages: what the scanner names, copies of pages, runs inside blocks, hosts of several parts."""
+import random
+
 from lectern.llm import html_text
 
 
@@ -26,3 +28,19 @@ def test_copies_keep_their_text_and_only_runs_are_cut(spark):
     got = texts(spark, rows)
     assert all(got[i] == "a story of nine words that stands here alone\nshort end" for i in range(4))
     assert got[4] == "then some words of four only" and got[5] == "a tail alone"
+
+
+def test_parts_of_a_host_change_no_result(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(400))
+    notes = [" ".join(word() for _ in range(rng.choice([2, 4, 7, 12]))) for _ in range(60)]
+    rows = []
+    for i in range(200):
+        own = [" ".join(word() for _ in range(20)), rng.choice(notes), rng.choice(notes) + " " + word(), ""]
+        rows.append((i, rng.choice(["http://h.x/", "http://h.x/", "http://g.x/"]), "".join(f"<p>{x}</p>" for x in own) + rng.choice(["", "<main>its article</main>"])))
+    rows += [(200 + i, "http://h.x/", rows[i][2]) for i in range(30)]  # copies, mostly in other parts
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [sorted(tuple(r) for r in html_text.main_text(df).collect())]
+    monkeypatch.setattr(html_text, "PART", 1500)
+    got.append(sorted(tuple(r) for r in html_text.main_text(df).collect()))
+    assert got[0] == got[1] and sum(r[-1] for r in got[0]) > 1000
