@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 BITS = 48
 #: Standard deviations above the mean up to which the distribution is tabulated; the rest has a mass under 1e-15.
 TAIL = 12
+#: Largest mean whose exp(-mean) is far enough from a double's zero for sums to begin at 0.
+SMALL = 600.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -33,11 +35,17 @@ def uniform(*parts: Column) -> Column:
 
 
 def poisson_inverse(u: Column, mean: Column) -> Column:
-    """The smallest k whose Poisson distribution function exceeds u. The terms are summed in k's order."""
+    """The smallest k whose Poisson distribution function exceeds u. The terms are summed in k's order; means above SMALL
+    begin TAIL standard deviations below the mean, with that term by Stirling's series."""
+    large = mean > SMALL
+    low = F.when(large, F.floor(mean - TAIL * F.sqrt(mean))).otherwise(0).cast("int")
     most = F.ceil(mean + TAIL * F.sqrt(mean) + 12).cast("int")
-    begin = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("sum"), F.lit(0).alias("k"))
+    k = F.greatest(low, F.lit(1)).cast("double")
+    stirling = F.exp(k * F.log(mean / k) + (k - mean) - 1 / (12 * k) + 1 / (360 * k * k * k)) / F.sqrt(2 * math.pi * k)
+    term = F.when(large, stirling).otherwise(F.exp(-mean))
+    begin = F.struct(term.alias("term"), term.alias("sum"), low.alias("k"))
     step = lambda s, i: F.struct((s["term"] * mean / i).alias("term"), (s["sum"] + s["term"] * mean / i).alias("sum"), (s["k"] + F.when(u >= s["sum"], 1).otherwise(0)).alias("k"))
-    return F.aggregate(F.sequence(F.lit(1), most), begin, step, lambda s: s["k"])
+    return F.aggregate(F.sequence(low + 1, most), begin, step, lambda s: s["k"])
 
 
 def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, text: str = "text", source: str = "source", epochs: float = 1.0) -> DataFrame:
