@@ -200,13 +200,11 @@ def markdown_export(spark, d):
     "select a, b, round(2.0 * common / (x.chars + y.chars), 6) dice from m join z x on x.doc_id = a join z y on y.doc_id = b"
 )
 def bag_dice_similarity(spark, d):
-    # Each document is compared with the one before it in every line's list: as many pairs as lines, however common one is.
+    # All pairs that share a line, as J10 says: a line of n documents makes n * (n - 1) / 2 rows.
     c = lines(spark, d).where(F.length("l") >= 40).groupBy("doc_id", "l").agg(F.count("*").alias("n"))
-    z = c.groupBy("doc_id").agg(F.sum(F.col("n") * F.length("l")).alias("chars"))
-    p = c.select(F.lag("doc_id").over(Window.partitionBy("l").orderBy("doc_id")).alias("a"), F.col("doc_id").alias("b")).where("a is not null").distinct()
-    x, y = c.select(F.col("doc_id").alias("a"), "l", F.col("n").alias("na")), c.select(F.col("doc_id").alias("b"), "l", F.col("n").alias("nb"))
-    m = p.join(x, "a").join(y, ["b", "l"]).groupBy("a", "b").agg(F.sum(F.least("na", "nb") * F.length("l")).alias("common"))
-    m = m.join(z.select(F.col("doc_id").alias("a"), F.col("chars").alias("ca")), "a").join(z.select(F.col("doc_id").alias("b"), F.col("chars").alias("cb")), "b")
+    c = c.join(c.groupBy("doc_id").agg(F.sum(F.col("n") * F.length("l")).alias("chars")), "doc_id")
+    x, y = [c.select(F.col("doc_id").alias(k), "l", F.col("n").alias("n" + k), F.col("chars").alias("c" + k)) for k in ("a", "b")]
+    m = x.join(y, "l").where("a < b").groupBy("a", "b", "ca", "cb").agg(F.sum(F.least("na", "nb") * F.length("l")).alias("common"))
     return m.select("a", "b", F.round(2.0 * F.col("common") / (F.col("ca") + F.col("cb")), 6).alias("dice"))
 
 
