@@ -136,7 +136,7 @@ def ends_sentence_rate(spark, d):
 )
 def sentence_split_offsets(spark, d):
     s = F.regexp_extract_all("text", F.lit(r"[^.!?]+[.!?]*"), F.lit(0))
-    e = t(spark, d, "documents").where("n_chars < 2000").select("doc_id", F.posexplode(s).alias("pos", "s"))
+    e = t(spark, d, "documents").select("doc_id", F.posexplode(s).alias("pos", "s"))
     w = Window.partitionBy("doc_id").orderBy("pos")
     return e.select("doc_id", F.col("pos").cast("long").alias("pos"), (F.sum(F.length("s")).over(w) - F.length("s")).cast("long").alias("start"), F.length("s").cast("long").alias("len"))
 

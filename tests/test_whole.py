@@ -18,3 +18,9 @@ def test_dice_of_all_pairs_that_share_a_line(spark, tmp_path):
     size = {k: sum(n * len(x) for x, n in b.items()) for k, b in bags.items()}
     want = {(a, b): round(2 * sum(n * len(x) for x, n in (bags[a] & bags[b]).items()) / (size[a] + size[b]), 6) for a in bags for b in bags if a < b and bags[a] & bags[b]}
     assert got == want and len(want) == 66
+
+
+def test_sentences_of_texts_of_any_length(spark, tmp_path):
+    docs = [(0, "One. Two! Three?", 16), (1, "A long one. " * 400, 4800), (2, "No length. Known", None), (3, None, None), (4, "", 0)]
+    got = sorted(run(spark, tmp_path, "sentence_split_offsets", "documents", docs, "doc_id long, text string, n_chars long"))
+    assert got == [(k, i, m.start(), len(m[0])) for k, t, _ in docs for i, m in enumerate(re.finditer(r"[^.!?]+[.!?]*", t or ""))]
