@@ -236,16 +236,29 @@ def stream_windows(spark, d):
 
 @query()
 def stream_overlap_merge(spark, d):
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    c = t(spark, d, "conversations").withColumn("w", words(F.col("text")))
-    left, right = F.slice("w", 1, 10), F.slice("w", 7, 10)
-    return c.where(F.size("w") >= 16).select("conv_id", "turn", (X.merge_overlap(left, right) == F.slice("w", 1, 16)).alias("whole"))
+    # Fragments of ten words, each of which repeats the last four of the one before, cover all words of a text.
+    c = t(spark, d, "conversations").withColumn("w", F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " "))
+    more = F.greatest(F.ceil((F.size("w") - 10) / 6), F.lit(0)).cast("int")
+    fragments = F.transform(F.sequence(F.lit(0), more), lambda i: F.slice("w", 6 * i + 1, F.lit(10)))
+    # Only the last ten words merged so far can meet a fragment; the rest is set aside in pieces.
+    begin = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("tail"))
+
+    def step(a, f):
+        m = X.merge_overlap(a["tail"], f)
+        cut = F.greatest(F.size(m) - 10, F.lit(0))
+        return F.struct(F.concat(a["done"], F.array(F.slice(m, 1, cut))).alias("done"), F.slice(m, cut + 1, F.lit(10)).alias("tail"))
+
+    whole = F.aggregate(fragments, begin, step, lambda a: F.concat(F.flatten(a["done"]), a["tail"]))
+    return c.select("conv_id", "turn", (whole == F.col("w")).alias("whole"))
 
 
 @query("select conv_id, cast(turn as bigint) as cue, cast(30 * turn as double) as start, cast(30 * turn + 2.5 as double) as \"end\", regexp_replace(trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g')), '<[^>]*>', '', 'g') as text from conversations where turn < 100 and trim(string_split(text, chr(10))[1]) <> ''")
 def captions_parse(spark, d):
-    c = t(spark, d, "conversations").where("turn < 100").withColumn("line", F.trim(F.split("text", "\n")[0])).where("line <> ''")
-    stamp = lambda s: F.replace(X.srt_time(s), F.lit(","), F.lit("."))
-    cue = F.concat(stamp(30.0 * F.col("turn")), F.lit(" --> "), stamp(30.0 * F.col("turn") + 2.5), F.lit("\n"), F.col("line"))
+    # A cue's body is all lines of a turn; a blank line would end the cue, so blank lines are left out of the file.
+    body = F.array_join(F.filter(F.split("text", r"\r\n?|\n"), lambda x: x.rlike(r"\S")), "\n")
+    c = t(spark, d, "conversations").withColumn("body", body).where("body <> ''")
+    hours = lambda s: F.floor(s / 3600).cast("string")
+    stamp = lambda s: F.concat(F.lpad(hours(s), F.greatest(F.length(hours(s)), F.lit(2)), F.lit("0")), F.replace(F.substring(X.srt_time(s), 3, 10), F.lit(","), F.lit(".")))
+    cue = F.concat(stamp(30.0 * F.col("turn")), F.lit(" --> "), stamp(30.0 * F.col("turn") + 2.5), F.lit("\n"), F.col("body"))
     files = c.select("conv_id", "turn", F.concat(F.lit("WEBVTT\n\nNOTE made\n\n"), cue).alias("file"))
     return captions.parse_captions(files.withColumn("k", F.struct("conv_id", "turn")), "k", "file").select("k.conv_id", F.col("k.turn").alias("cue"), "start", "end", "text")

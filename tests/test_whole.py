@@ -24,3 +24,29 @@ def test_sentences_of_texts_of_any_length(spark, tmp_path):
     docs = [(0, "One. Two! Three?", 16), (1, "A long one. " * 400, 4800), (2, "No length. Known", None), (3, None, None), (4, "", 0)]
     got = sorted(run(spark, tmp_path, "sentence_split_offsets", "documents", docs, "doc_id long, text string, n_chars long"))
     assert got == [(k, i, m.start(), len(m[0])) for k, t, _ in docs for i, m in enumerate(re.finditer(r"[^.!?]+[.!?]*", t or ""))]
+
+
+TURNS = [(1, 0, "user", "one line"), (1, 1, "user", "\n \nfirst <b>line</b>\r\nsecond\tline\n\n\nthird"), (1, 150, "user", "late\nturn"), (2, 13000, "user", "much\nlater"), (2, 1, "user", " \n\t"), (2, 2, "user", None)]
+
+
+def test_cues_of_all_lines_and_turns(spark, tmp_path):
+    got = sorted(run(spark, tmp_path, "captions_parse", "conversations", TURNS, "conv_id long, turn int, role string, text string"))
+    want = [(c, i, 30.0 * i, 30.0 * i + 2.5, " ".join(re.sub("<[^>]*>", "", t).split())) for c, i, _, t in TURNS if t and t.split()]
+    assert got == sorted(want) and (1, 1, 30.0, 32.5, "first line second line third") in got
+
+
+def test_fragments_of_all_words_merge(spark, tmp_path):
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (1, 9, 10, 11, 15, 16, 17, 22, 23, 500)] + ["", None]
+    # Where a text repeats itself, the longest overlap can be longer than the true one; only such texts don't come back whole.
+    texts += ["same " * 30, " ".join(f"w{i}" for i in range(60)) + " end" * 20]
+    rows = [(1, i, "user", t) for i, t in enumerate(texts)]
+
+    def merged(w):
+        left = []
+        for f in [w[i * 6 : i * 6 + 10] for i in range(max(-(-(len(w) - 10) // 6), 0) + 1)]:
+            n = next(n for n in range(min(len(left), len(f), 12), -1, -1) if n == 0 or left[-n:] == f[:n])
+            left = left + f[n:]
+        return left == w
+
+    got = {i: x for _, i, x in run(spark, tmp_path, "stream_overlap_merge", "conversations", rows, "conv_id long, turn int, role string, text string")}
+    assert got == {i: merged((t or "").split() or [""]) for i, t in enumerate(texts)} and [got[i] for i in range(12)] == [True] * 12 and not got[13]
