@@ -70,22 +70,22 @@ _BLOCKS = "blocks as (select doc_id, line, l, (line % 2) * 450.0 + 20 as x, (lin
 def reading_order(spark, d):
     b = blocks(spark, d)
     column = F.when(F.col("x") + F.col("w") / 2 < 450, 0).otherwise(1)
-    return b.select("doc_id", "line", F.row_number().over(Window.partitionBy("doc_id").orderBy(column, "y", "x", "line")).cast("long").alias("ord"))
+    return b.select("doc_id", "line", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", column, "y", "x", "line")).cast("long").alias("ord"))
 
 
 def blocks(spark, d):
-    """Positioned blocks made from the lines of documents: two columns of a 900-point page."""
-    b = lines(spark, d).where("line < 60 and l <> ''")
-    return b.select("doc_id", "line", "l", ((F.col("line") % 2) * 450.0 + 20).alias("x"), (F.floor(F.col("line") / 2) * 20.0).alias("y"), (F.length("l") % 300 + 100.0).alias("w"), F.lit(18.0).alias("h"))
+    """Positioned blocks made from the lines of documents: two columns of 900-point pages of 60 lines each."""
+    b = lines(spark, d).where("l <> ''")
+    return b.select("doc_id", F.floor(F.col("line") / 60).alias("page"), "line", "l", ((F.col("line") % 2) * 450.0 + 20).alias("x"), (F.floor(F.col("line") % 60 / 2) * 20.0).alias("y"), (F.length("l") % 300 + 100.0).alias("w"), F.lit(18.0).alias("h"))
 
 
 @query("with " + _LINES + ", " + _BLOCKS + " select a.doc_id, cast(count(*) as bigint) as n_overlaps, round(sum(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)), 4) width from blocks a join blocks b on a.doc_id = b.doc_id and a.y = b.y and a.line < b.line where least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) group by a.doc_id")
 def overlapping_blocks(spark, d):
     # Blocks meet by page and baseline, of which each has a few.
-    a = blocks(spark, d).select("doc_id", "y", F.col("line").alias("la"), F.col("x").alias("xa"), F.col("w").alias("wa"))
-    b = blocks(spark, d).select("doc_id", "y", F.col("line").alias("lb"), F.col("x").alias("xb"), F.col("w").alias("wb"))
+    a = blocks(spark, d).select("doc_id", "page", "y", F.col("line").alias("la"), F.col("x").alias("xa"), F.col("w").alias("wa"))
+    b = blocks(spark, d).select("doc_id", "page", "y", F.col("line").alias("lb"), F.col("x").alias("xb"), F.col("w").alias("wb"))
     right, left = F.least(F.col("xa") + F.col("wa"), F.col("xb") + F.col("wb")), F.greatest("xa", "xb")
-    return a.join(b, ["doc_id", "y"]).where((F.col("la") < F.col("lb")) & (right > left)).groupBy("doc_id").agg(F.count("*").alias("n_overlaps"), F.round(F.sum(right - left), 4).alias("width"))
+    return a.join(b, ["doc_id", "page", "y"]).where((F.col("la") < F.col("lb")) & (right > left)).groupBy("doc_id").agg(F.count("*").alias("n_overlaps"), F.round(F.sum(right - left), 4).alias("width"))
 
 
 @query("with " + _LINES + ", h as (select doc_id, line, l, row_number() over (partition by doc_id, l order by line) r from lines where length(l) between 1 and 60) select doc_id, line, substr(l, 1, 180) title from h where r = 1")

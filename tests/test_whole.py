@@ -50,3 +50,41 @@ def test_fragments_of_all_words_merge(spark, tmp_path):
 
     got = {i: x for _, i, x in run(spark, tmp_path, "stream_overlap_merge", "conversations", rows, "conv_id long, turn int, role string, text string")}
     assert got == {i: merged((t or "").split() or [""]) for i, t in enumerate(texts)} and [got[i] for i in range(12)] == [True] * 12 and not got[13]
+
+
+LONG = [(k, "\n".join("" if i % 7 == 3 else "x" * ((i * 37 + k) % 420) for i in range(n))) for k, n in enumerate([1, 59, 60, 61, 130, 400])]
+
+
+def boxes(text):
+    for i, x in enumerate(text.split("\n")):
+        if x:
+            yield i, i // 60, i % 2 * 450 + 20, i % 60 // 2 * 20, 100 + len(x) % 300
+
+
+def test_blocks_of_all_lines_are_ordered(spark, tmp_path):
+    got = run(spark, tmp_path, "reading_order", "documents", LONG, "doc_id long, text string")
+    want = [(k, b[0], i + 1) for k, t in LONG for i, b in enumerate(sorted(boxes(t), key=lambda b: (b[1], b[2] + b[4] / 2 >= 450, b[3], b[2], b[0])))]
+    assert sorted(got) == sorted(want) and len([x for x in want if x[0] == 5]) > 300
+
+
+def test_blocks_of_all_lines_overlap(spark, tmp_path):
+    # Blocks of one baseline are 450 points apart and 399 wide at most: none overlaps, on whatever page.
+    assert run(spark, tmp_path, "overlapping_blocks", "documents", LONG, "doc_id long, text string") == []
+
+
+def test_overlaps_are_counted_on_every_page(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lectern.plans import format_queries
+
+    own = format_queries.blocks
+    monkeypatch.setattr(format_queries, "blocks", lambda s, d: own(s, d).withColumn("w", F.col("w") + 300))
+    got = run(spark, tmp_path, "overlapping_blocks", "documents", LONG, "doc_id long, text string")
+    want = defaultdict(list)
+    for k, t in LONG:
+        b = list(boxes(t))
+        for x in b:
+            for y in b:
+                if x[0] < y[0] and (x[1], x[3]) == (y[1], y[3]) and (width := min(x[2] + x[4], y[2] + y[4]) + 300 - max(x[2], y[2])) > 0:
+                    want[k].append(width)
+    assert {k: (n, w) for k, n, w in got} == {k: (len(v), sum(v)) for k, v in want.items()} and len(want[5]) > 60
