@@ -18,18 +18,38 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 ARROW_ROWS = "1000"
 
 
+#: Rows of two numbers that are broadcast, counted first: 2 MB.
+SMALL_ROWS = 100_000
+#: Folders that this process has made.
+_ours: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests), one of this machine."""
+    """This application's folder in the cluster's shared one; it goes when the driver ends. On one machine (local mode,
+    tests) an unset folder is a temporary one; on a cluster it must be set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    own = f"{where.rstrip('/')}/lectern-{spark.sparkContext.applicationId}"
+    if own not in _ours:
+        _ours.add(own)
+        path, fs = _hadoop(spark, own)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return own
+
+
+def _hadoop(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +57,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        path, fs = _hadoop(df.sparkSession, df._written_to)
+        fs.delete(path, True)
+
+
+def replayable(df: DataFrame) -> DataFrame:
+    """df if it only reads, filters and projects files, so that each attempt of a task sees the same rows in the same
+    order; otherwise written as a table first."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().apply(0)
+    return df if plan.nodeName().startswith("Relation") or "LogicalRelation" in plan.getClass().getName() else written(df, "input")
+
+
+def dealt(df: DataFrame, key: str, size: str, most: int, name: str) -> DataFrame:
+    """df with `part`: groups of `key` whose `size` sums to over `most` are cut into parts by the hash of `name`. Only these
+    groups are joined, from a written table, which is broadcast while it is small."""
+    large = df.groupBy(key).agg(F.ceil(F.sum(size) / most).cast("int").alias("_parts")).where("_parts > 1")
+    large = written(large, "large")
+    large = F.broadcast(large) if large.count() <= SMALL_ROWS else large
+    return df.join(large, key, "left").withColumn("part", F.pmod(F.xxhash64(name), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -27,7 +27,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a < b")
         edges = written(small.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum("u"), F.sum("v"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now == mark:
             return edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component")).union(edges.select("u", "u").distinct())
         mark = now

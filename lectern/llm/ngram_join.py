@@ -1,30 +1,29 @@
 """Exact Jaccard self-join of documents on word shingles: a token-group matrix.
 
-1. A sketch of how often shingles occur, over all documents and of fixed size, gives the order of tokens: those of the
-   sketch's heavy slots last, else by hash. Any order gives the same links; this one keeps what many documents share out
-   of the prefixes.
-2. Two sets of similarity t or more have ceil(t n) tokens of either in common, so they share l tokens among the first
-   n - ceil(t n) + l of either in this order, for every l. With l as a share of n (EXTRA), prefix tokens meet by hash
-   bucket; equal sets are one class by then, so copies cost nothing. Tokens of one class only go, and so do classes with
-   fewer shared tokens than l allows: a passage in common is not enough to stay.
-3. The classes left are partitioned into groups of similar ones: in each of ROUNDS rounds, classes of equal smallest
-   shingle (by a hash of the round) are compared with a leader among them; those linked follow it, and only leaders enter
-   the next round. Many classes of one smallest shingle are cut by size, each part with its own leaders. What is
-   connected this way needs no comparison any more, so a large group of near copies costs a few per copy. Leaders that
-   share a smallest shingle then form a group with their followers, linked or not: tokens of similar documents meet few
-   groups, however many documents there are.
-4. A class and a group that share l tokens are a candidate. With the class's set and the union of the group's tokens in
-   one task, the overlap is bounded: under ceil(t n) the group stays closed. Open groups are compared member by member
-   until a link is found; groups already linked to the class's group are skipped.
-5. Components of the links, each named by its smallest document.
-
-Step 2 finds every pair of different sets that could link, and steps 3 and 4 drop only those that a bound or the sets
-themselves rule out or that are connected already, so components are exact (shingles are 64-bit hashes of all their
-bytes). No step collects rows at the driver but the sketch, whose size is a constant.
-
-Defined results: a document without words has an empty set and is its own component; equal sets link; documents with a
-null id are dropped first (they can't be named); repeated rows of one id count as one document each, with equal
-components; other columns are ignored; an empty table gives an empty table.
+1. A token that stands in one document only is in no overlap. Batches of texts send their distinct tokens, packed by hash
+   bucket; a bucket answers each batch which of its tokens stand elsewhere, too (tokens of several documents of a batch go
+   out once, so a token of all documents costs one posting per batch). A document keeps its shared tokens, and leaves when
+   they are fewer than the overlap that a link needs. Of equal sets, only the first batch keeps one: a class.
+2. Classes of equal smallest token (by a hash of the round) are compared with leaders among them, in ROUNDS rounds; those
+   linked follow their leader, and only leaders enter the next round. Copies with small edits are connected after that.
+3. What is left to find are links between followers of different leaders. By buckets again, classes keep the tokens that
+   stand under several leaders, and leave when these are too few.
+4. The classes left are partitioned into groups of similar ones (equal smallest token, blocks of GROUP tokens), and each
+   group's token union is stored as an index. A link of class q with a member shares need(q) tokens with the group's
+   union, hence `least` of any |q| - need(q) + least of q's tokens; the rarest are looked up in the index. Groups that have
+   fewer stay closed, and so do those of q's own leader only.
+5. Members go only to where a class asks; there the bound by the whole union is tried first, then sets are compared by
+   products of 0-1 matrices, without pairs that are connected already.
+6. Components of the links, each named by its smallest document.
+
+Steps drop only what a bound rules out or what is connected already, so components are exact; tokens are 48-bit hashes of
+all bytes of a shingle, so that two sets of 500 count a wrong common token with a chance of 1e-9. Nothing is collected.
+Every group that goes to one task is cut by size (`dealt`), each part with all rows of the other side.
+
+Defined results: a document without words has an empty set and is its own component; equal sets link; a document with a
+null id links like any other and is returned, but names no component (null if no document of it has an id); repeated rows
+of one id count as one document each, with equal components; other columns are ignored; an empty table gives an empty
+table.
 """
 from __future__ import annotations
 
@@ -32,25 +31,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytewords import mix, shingles
-from lectern.llm.common import buckets, written
+from lectern.llm.common import buckets, dealt, replayable, written
 from lectern.llm.components import components
 
-#: Slots of the frequency sketch: 4 MB, whatever the input.
-SLOTS = 1 << 20
-#: Rounds of grouping.
-ROUNDS = 4
-#: Members of a group, and classes that are compared with a group in one task.
-GROUP, QUERIES = 1000, 2000
-#: Share of a set's tokens (in hundredths) by which prefixes are longer than they must be, and that two sets must share.
-EXTRA = 8
-#: Characters per numpy batch.
-BATCH = 1 << 19
-#: Leaders of a group that a class is compared with before it leads one of its own.
+#: Rounds of leaders.
+ROUNDS = 2
+#: Tokens of a group's block, and of the classes that are compared with it in one task.
+GROUP, QUERIES = 1 << 19, 1 << 20
+#: Share of the needed overlap (in hundredths) that is looked up in the index.
+LOOKED_UP = 25
+#: Characters per batch.
+BATCH = 1 << 22
+#: Leaders of a part that a class is compared with before it leads one of its own.
 LEADERS = 8
+TOKEN = np.uint64((1 << 48) - 1)
 
 
 def need(n, threshold: int):
@@ -58,27 +57,33 @@ def need(n, threshold: int):
     return -(-n * threshold // 100)
 
 
-def common(n):
-    """How many prefix tokens a set of n tokens shares with any set of the same size or more that it links with."""
-    return np.maximum(1, EXTRA * n // 100)
+def pack(tokens: np.ndarray) -> bytes:
+    """48-bit numbers in six bytes each: the low halves, then the high ones."""
+    return tokens.astype("<u4").tobytes() + (tokens >> np.uint64(32)).astype("<u2").tobytes()
 
 
-def _batches(pdfs: Iterator[pd.DataFrame], key: str, text: str) -> Iterator[tuple[np.ndarray, list]]:
-    """(ids, texts) of about BATCH characters each."""
-    ids, texts, held = [], [], 0
+def unpack(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    return np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
+def _batches(pdfs: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """(ids, whether they are given, texts) of about BATCH characters each."""
+    ids, given, texts, held = [], [], [], 0
     for pdf in pdfs:
-        for i, t in zip(pdf[key].tolist(), pdf[text].tolist(), strict=True):
+        for i, g, t in zip(pdf["id"].tolist(), pdf["given"].tolist(), pdf["text"].tolist(), strict=True):
             ids.append(i)
+            given.append(g)
             texts.append(t if isinstance(t, str) else None)
             held += len(texts[-1] or "")
             if held > BATCH:
-                yield np.array(ids, np.int64), texts
-                ids, texts, held = [], [], 0
+                yield np.array(ids, np.int64), np.array(given, np.uint8), texts
+                ids, given, texts, held = [], [], [], 0
     if ids:
-        yield np.array(ids, np.int64), texts
+        yield np.array(ids, np.int64), np.array(given, np.uint8), texts
 
 
-def _signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A 64-bit name of each set: sums of mixed tokens, mixed with the size; 0 for the empty set."""
     s = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(mix(h + np.uint64(0x5851F42D4C957F2D)), out=s[1:])
@@ -88,123 +93,154 @@ def _signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sig.view(np.int64)
 
 
-def _measure(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per document (id, size, signature); and the slots of the sketch with their counts, in one table."""
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(SLOTS, np.int64)
-        for ids, texts in _batches(pdfs, key, text):
-            h, first = shingles(texts)
-            counts += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
-            yield pd.DataFrame({"id": ids, "n": np.diff(first), "sig": _signatures(h, first), "part": -1, "counts": None})
-        parts = counts.reshape(16, -1)
-        yield pd.DataFrame({"id": 0, "n": 0, "sig": 0, "part": range(16), "counts": [p.astype("<i4" if p.max() < 1 << 31 else "<i8").tobytes() for p in parts]})
-
-    return docs.select(key, text).mapInPandas(run, "id long, n long, sig long, part int, counts binary")
+def _runs(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    if not len(sorted_):
+        return np.zeros(1, np.int64)
+    return np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1], [True])))
 
 
-def heavy_slots(measured: DataFrame, excess: float | None = None) -> np.ndarray:
-    """Which slots of the sketch count over `excess` more than the mean (by default, more than chance would); the sums of
-    the tasks' counts are 16 rows."""
+def _by_bucket(bucket: np.ndarray, owner: np.ndarray, owners: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """Per bucket: the places of its tokens in order of owners, and how many of them each owner has."""
+    order = np.argsort(bucket * owners + owner, kind="stable")
+    cut = _runs(bucket[order])
+    for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        at = order[a:z]
+        yield int(bucket[at[0]]), at, np.bincount(owner[at], minlength=owners).astype("<u4").tobytes()
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SLOTS // 16, np.int64)
-        for c in pdf["counts"]:
-            total += np.frombuffer(c, "<i8" if len(c) == 8 * len(total) else "<i4")
-        return pd.DataFrame({"part": [pdf["part"][0]], "salt": [0], "counts": [total.tobytes()]})
 
-    schema = "part int, salt int, counts binary"
-    sums = measured.where("part >= 0").select("part", F.pmod(F.xxhash64("counts"), F.lit(64)).cast("int").alias("salt"), "counts")
-    sums = sums.groupBy("part", "salt").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema)
-    counts = np.zeros((16, SLOTS // 16), np.int64)
-    for r in sums.collect():
-        counts[r["part"]] = np.frombuffer(r["counts"], "<i8")
-    counts = counts.ravel()
-    return counts > counts.mean() + (8 + 4 * counts.mean() ** 0.5 if excess is None else excess)
+POSTING = "bucket long, batch long, kind int, a binary, b binary, c binary"
+#: Kinds of rows: tokens of a batch; those of several of its documents; names of classes; its documents.
+TOKENS, INSIDE, NAMES, DOCS = range(4)
 
 
-def _prefixes(docs: DataFrame, key: str, text: str, heavy: np.ndarray, n_buckets: int, threshold: int) -> DataFrame:
-    """Prefix tokens with their class, packed by bucket: a row holds what one batch has for one bucket."""
-    packed = np.packbits(heavy)  # 128 kB
+def _post(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """What each batch sends to the buckets (step 1). Batches are numbered by task and place, the same in every attempt."""
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        late = np.unpackbits(packed).astype(bool)
-        for _, texts in _batches(pdfs, key, text):
+        base = TaskContext.get().partitionId() << 32
+        for k, (ids, given, texts) in enumerate(_batches(pdfs)):
+            batch = base + k
             h, first = shingles(texts)
-            n = np.diff(first)
-            sig = _signatures(h, first)
-            _, one = np.unique(sig, return_index=True)  # a class once per batch
-            tokens, owners = [], []
-            is_late = late[(h >> np.uint64(44)).astype(np.int64)]
-            for i in one.tolist():
-                if not n[i]:
-                    continue
-                x, y = h[first[i] : first[i + 1]], is_late[first[i] : first[i + 1]]
-                p = int(min(n[i], n[i] - need(n[i], threshold) + common(n[i])))
-                early = x[~y]
-                tokens.append(early[:p] if len(early) >= p else np.concatenate([early, x[y][: p - len(early)]]))
-                owners.append(np.full(len(tokens[-1]), sig[i]))
-            if not tokens:
-                continue
-            t, o = np.concatenate(tokens), np.concatenate(owners)
-            b = (mix(t) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            t, o, b = t[order], o[order], b[order]
-            cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True])))
-            yield pd.DataFrame({"bucket": b[cut[:-1]], "tokens": [t[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], "sigs": [o[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]})
-
-    return docs.select(key, text).mapInPandas(run, "bucket long, tokens binary, sigs binary")
-
-
-def _shared(prefixes: DataFrame) -> DataFrame:
-    """(token, sig) of tokens that several classes have."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, s = np.frombuffer(b"".join(pdf["tokens"]), np.int64), np.frombuffer(b"".join(pdf["sigs"]), np.int64)
+            n, sig = np.diff(first), signatures(h, first)
+            rows = [(batch % n_buckets, batch, DOCS, ids.tobytes() + given.tobytes(), n.astype("<i8").tobytes(), sig.tobytes())]
+            _, one = np.unique(sig, return_index=True)
+            one = np.sort(one[n[one] > 0])  # a class once per batch, in order
+            held = np.zeros(len(n), bool)
+            held[one] = True
+            if len(one):
+                names = sig[one].view(np.uint64)
+                where = (mix(names + np.uint64(1)) % np.uint64(n_buckets)).astype(np.int64)
+                for b, at, _ in _by_bucket(where, np.zeros(len(one), np.int64), 1):
+                    rows.append((b, batch, NAMES, names[at].tobytes(), at.astype("<u4").tobytes(), None))
+                t = h[np.repeat(held, n)] & TOKEN
+                owner = np.repeat(np.arange(len(one)), n[one])
+                order = np.argsort(t, kind="stable")
+                t, owner = t[order], owner[order]
+                cut = _runs(t)[:-1]
+                count = np.diff(np.append(cut, len(t)))
+                more = np.ones(len(t), bool)
+                more[cut] = False
+                if more.any():
+                    x = np.flatnonzero(more)
+                    x = x[np.argsort(owner[x], kind="stable")]
+                    rows.append((batch % n_buckets, batch, INSIDE, pack(t[x]), np.bincount(owner[x], minlength=len(one)).astype("<u4").tobytes(), None))
+                t, owner, several = t[cut], owner[cut], count > 1
+                where = (mix(t) % np.uint64(n_buckets)).astype(np.int64)
+                for b, at, counts in _by_bucket(where, owner, len(one)):
+                    rows.append((b, batch, TOKENS, pack(t[at]), counts, np.packbits(several[at]).tobytes()))
+            yield pd.DataFrame(rows, columns=["bucket", "batch", "kind", "a", "b", "c"])
+
+    return docs.select("id", "given", "text").mapInPandas(run, POSTING)
+
+
+def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's answers: tokens that stand elsewhere or in several documents of a batch, and names that an earlier batch
+    has; other rows pass."""
+    kind = pdf["kind"].to_numpy()
+    out = [pdf[(kind == INSIDE) | (kind == DOCS)]]
+    asked = pdf[kind == TOKENS]
+    if len(asked):
+        parts = [unpack(a) for a in asked["a"]]
+        sizes = np.array([len(p) for p in parts])
+        t, own = np.concatenate(parts), np.concatenate([np.unpackbits(np.frombuffer(c, np.uint8), count=n).astype(bool) for c, n in zip(asked["c"], sizes, strict=True)])
+        del parts
         order = np.argsort(t)
-        t, s = t[order], s[order]
-        again = np.zeros(len(t), bool)
-        again[1:] = t[1:] == t[:-1]
-        again[:-1] |= again[1:]
-        t, s = t[again], s[again]  # few are left: most tokens stand in one place only
-        order = np.lexsort((s, t))
-        t, s = t[order], s[order]
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-        t, s = t[new], s[new]
-        again = np.zeros(len(t), bool)
-        again[1:] = t[1:] == t[:-1]
+        x = t[order]
+        again = np.zeros(len(x), bool)
+        again[1:] = x[1:] == x[:-1]
         again[:-1] |= again[1:]
-        return pd.DataFrame({"token": t[again], "sig": s[again]})
-
-    return prefixes.groupBy("bucket").applyInPandas(run, "token long, sig long")
-
-
-def _sets(texts: DataFrame) -> DataFrame:
-    """(sig, lows, tokens) of texts (sig, text): the smallest token by each round's hash, and the packed sorted set."""
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for sigs, batch in _batches(pdfs, "sig", "text"):
-            h, first = shingles(batch)
-            lows = [np.minimum.reduceat(np.append(mix(h ^ np.uint64(0xA0761D6478BD642F * (2 * r + 1) % (1 << 64))), np.uint64(0)), first[:-1]).view(np.int64) for r in range(ROUNDS)]
-            own = _signatures(h, first) == sigs  # not so for another text under the same id
-            yield pd.DataFrame({"sig": sigs, "lows": list(np.stack(lows, axis=1)), "tokens": [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]})[own]
-
-    return texts.mapInPandas(run, "sig long, lows array<bigint>, tokens binary")
+        shared = own
+        shared[order[again]] = True
+        rows, begin = [], 0
+        for batch, n, b in zip(asked["batch"], sizes.tolist(), asked["b"], strict=True):
+            keep = shared[begin : begin + n]
+            counts = np.frombuffer(b, "<u4")
+            owner = np.repeat(np.arange(len(counts)), counts)[keep]
+            rows.append((0, batch, TOKENS, pack(t[begin : begin + n][keep]), np.bincount(owner, minlength=len(counts)).astype("<u4").tobytes(), None))
+            begin += n
+        out.append(pd.DataFrame(rows, columns=pdf.columns))
+    asked = pdf[kind == NAMES]
+    if len(asked):
+        sizes = [len(a) // 8 for a in asked["a"]]
+        sig, at, batch = np.frombuffer(b"".join(asked["a"]), np.uint64), np.frombuffer(b"".join(asked["b"]), "<u4"), np.repeat(asked["batch"].to_numpy(), sizes)
+        order = np.lexsort((batch, sig))
+        late = order[1:][sig[order][1:] == sig[order][:-1]]
+        late = late[np.argsort(batch[late], kind="stable")]
+        cut = _runs(batch[late])
+        out.append(pd.DataFrame([(0, int(batch[late[a]]), NAMES, None, at[late[a:z]].tobytes(), None) for a, z in zip(cut[:-1], cut[1:], strict=True)], columns=pdf.columns))
+    return pd.concat(out, ignore_index=True)
+
+
+def lowest(tokens: np.ndarray, first: np.ndarray, number: int) -> np.ndarray:
+    """The smallest token of each set (none is empty) by the hash of a round."""
+    return np.minimum.reduceat(mix(tokens ^ np.uint64(0xA0761D6478BD642F * (2 * number + 1) % (1 << 64))), first[:-1]).view(np.int64)
+
+
+KEPT = "id long, given boolean, n long, sig long, lows array<bigint>, size long, tokens binary"
+
+
+def _keep(threshold: int):
+    """From all rows of a batch: its documents (id, n, sig), and the classes left with their shared tokens."""
 
-
-def linked(q: np.ndarray, sets: list[np.ndarray], threshold: int) -> np.ndarray:
-    """Which of the sets link with q; both are sorted and distinct."""
-    sizes = np.array([len(s) for s in sets])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        doc = pdf[pdf["kind"] == DOCS].iloc[0]
+        n, sig = np.frombuffer(doc["b"], "<i8"), np.frombuffer(doc["c"], np.int64)
+        ids, given = np.frombuffer(doc["a"], np.int64, len(n)), np.frombuffer(doc["a"], np.uint8, len(n), 8 * len(n))
+        out = [pd.DataFrame({"id": ids, "given": given.astype(bool), "n": n, "sig": sig, "lows": None, "size": None, "tokens": None})]
+        _, one = np.unique(sig, return_index=True)
+        one = np.sort(one[n[one] > 0])
+        asked = pdf[(pdf["kind"] == TOKENS) | (pdf["kind"] == INSIDE)]
+        if len(one) and len(asked):
+            t = np.concatenate([unpack(a) for a in asked["a"]])
+            owner = np.concatenate([np.repeat(np.arange(len(one)), np.frombuffer(b, "<u4")) for b in asked["b"]])
+            wanted = np.bincount(owner, minlength=len(one)) >= need(n[one], threshold)
+            for b in pdf.loc[pdf["kind"] == NAMES, "b"]:
+                wanted[np.frombuffer(b, "<u4")] = False
+            keep = wanted[owner]
+            t, owner = t[keep], owner[keep]
+            order = np.lexsort((t, owner))
+            t, cut = t[order], _runs(owner[order])
+            if len(t):
+                c = one[wanted]
+                lows = np.stack([lowest(t, cut, r) for r in range(ROUNDS)], axis=1)
+                out.append(pd.DataFrame({"id": None, "given": None, "n": n[c], "sig": sig[c], "lows": list(lows), "size": np.diff(cut), "tokens": [pack(t[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)]}))
+        return pd.concat(out, ignore_index=True).astype({"id": "Int64", "given": "boolean", "size": "Int64"})
+
+    return run
+
+
+def linked(q: np.ndarray, n: int, sets: list[np.ndarray], ns: np.ndarray, threshold: int) -> np.ndarray:
+    """Which of the sets (shared tokens, sorted; whole sizes ns) link with q (whole size n)."""
     out = np.zeros(len(sets), bool)
-    fit = np.flatnonzero((100 * np.minimum(sizes, len(q)) >= threshold * np.maximum(sizes, len(q))))
+    fit = np.flatnonzero(100 * np.minimum(ns, n) >= threshold * np.maximum(ns, n))
     if not len(fit):
         return out
     every = np.concatenate([sets[i] for i in fit])
     at = np.minimum(np.searchsorted(q, every), len(q) - 1)
-    starts = np.concatenate(([0], np.cumsum(sizes[fit])[:-1]))
+    starts = np.concatenate(([0], np.cumsum([len(sets[i]) for i in fit])[:-1]))
     both = np.add.reduceat((q[at] == every).astype(np.int64), starts)
-    out[fit] = 100 * both >= threshold * (len(q) + sizes[fit] - both)
+    out[fit] = 100 * both >= threshold * (n + ns[fit] - both)
     return out
 
 
@@ -219,117 +255,184 @@ def overlaps(queries: list[np.ndarray], members: list[np.ndarray], columns: int
     column, owner = shared[at[keep]], owner[keep]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    out = np.zeros((len(queries), len(members)), np.float32)
+    out = np.zeros((len(queries), len(members)), np.int64)
     for begin in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
         a, z = np.searchsorted(column, [begin, begin + columns])
         m = np.zeros((len(queries) + len(members), columns), np.float32)
         m[owner[a:z], column[a:z] - begin] = 1
-        out += m[: len(queries)] @ m[len(queries) :].T
-    return out.astype(np.int64)
+        out += (m[: len(queries)] @ m[len(queries) :].T).astype(np.int64)
+    return out
+
+
+LED = "sig long, leader long, n long, lows array<bigint>, size long, tokens binary"
 
 
-def _lead(sets: DataFrame, number: int, threshold: int) -> DataFrame:
-    """(sig, leader) in one round: a class leads itself unless it links with an earlier leader of its group."""
+def _lead(sets: DataFrame, number: int, threshold: int, whole: bool) -> DataFrame:
+    """Each class with its leader (step 2): itself unless it links with an earlier leader of its part. Followers carry
+    their tokens on only if `whole`."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sig")
-        leaders: list[tuple[int, np.ndarray]] = []
+        names, sets_, ns, out = [], [], [], []
+        for sig, n, raw in zip(pdf["sig"].tolist(), pdf["n"].tolist(), pdf["tokens"], strict=True):
+            q = unpack(raw)
+            hit = np.flatnonzero(linked(q, n, sets_, np.array(ns), threshold)) if names else []
+            out.append(names[hit[0]] if len(hit) else sig)
+            if not len(hit) and len(names) < LEADERS:
+                names.append(sig)
+                sets_.append(q)
+                ns.append(n)
+        pdf = pdf.assign(leader=out)
+        if not whole:
+            pdf["tokens"] = pdf["tokens"].where(pdf["leader"] == pdf["sig"], None)
+        return pdf[["sig", "leader", "n", "lows", "size", "tokens"]]
+
+    parts = dealt(sets.withColumn("low", F.col("lows")[number]), "low", "size", GROUP, "sig")
+    return parts.groupBy("low", "part").applyInPandas(run, LED)
+
+
+def _outside(led: DataFrame, n_buckets: int, threshold: int) -> DataFrame:
+    """(sig, leader, n, low, size, tokens, rare): classes (sig, leader, n, tokens) with at least need(n) tokens that stand
+    under several leaders (step 3); `rare` are those to look up, the least frequent ones."""
+
+    def post(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            if not len(pdf):
+                continue
+            parts = [unpack(x) for x in pdf["tokens"]]
+            t, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            who = pdf[["sig", "leader", "n"]].to_numpy(np.int64)
+            rows = []
+            for b, at, counts in _by_bucket((mix(t) % np.uint64(n_buckets)).astype(np.int64), owner, len(parts)):
+                c = np.frombuffer(counts, "<u4")
+                rows.append((b, pack(t[at]), who[c > 0].tobytes(), c[c > 0].tobytes()))
+            yield pd.DataFrame(rows, columns=["bucket", "a", "who", "counts"])
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.concatenate([unpack(a) for a in pdf["a"]])
+        who = np.frombuffer(b"".join(pdf["who"]), np.int64).reshape(-1, 3)
+        owner = np.repeat(np.arange(len(who)), np.frombuffer(b"".join(pdf["counts"]), "<u4"))
+        order = np.argsort(t)
+        t, owner = t[order], owner[order]
+        cut = _runs(t)
+        leader = who[owner, 1]
+        several = np.minimum.reduceat(leader, cut[:-1]) != np.maximum.reduceat(leader, cut[:-1])
+        count = np.diff(cut)
+        keep = np.repeat(several, count)
+        t, owner, often = t[keep], owner[keep], np.repeat(np.minimum(count, 1 << 31), count)[keep]
+        to = (mix(who[:, 0].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+        rows = []
+        for b, at, counts in _by_bucket(to[owner], owner, len(who)):
+            c = np.frombuffer(counts, "<u4")
+            rows.append((b, pack(t[at]), who[c > 0].tobytes(), c[c > 0].tobytes(), often[at].astype("<u4").tobytes()))
+        return pd.DataFrame(rows, columns=["to", "a", "who", "counts", "often"])
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, often = np.concatenate([unpack(a) for a in pdf["a"]]), np.frombuffer(b"".join(pdf["often"]), "<u4")
+        who, counts = np.frombuffer(b"".join(pdf["who"]), np.int64).reshape(-1, 3), np.frombuffer(b"".join(pdf["counts"]), "<u4")
+        names, inverse = np.unique(who[:, 0], return_inverse=True)
+        row = np.zeros((len(names), 3), np.int64)
+        row[inverse] = who
+        owner = np.repeat(inverse, counts)
+        wanted = np.bincount(owner, minlength=len(names)) >= need(row[:, 2], threshold)
+        x = wanted[owner]
+        t, often, owner = t[x], often[x], owner[x]
+        order = np.lexsort((t, owner))
+        t, often, cut = t[order], often[order], _runs(owner[order])
         out = []
-        for sig, raw in zip(pdf["sig"].tolist(), pdf["tokens"], strict=True):
-            q = np.frombuffer(raw, np.uint64)
-            hit = np.flatnonzero(linked(q, [x[1] for x in leaders], threshold)) if leaders else []
-            out.append(leaders[hit[0]][0] if len(hit) else sig)
-            if not len(hit) and len(leaders) < LEADERS:
-                leaders.append((sig, q))
-        return pd.DataFrame({"sig": pdf["sig"], "leader": out})
-
-    sets = sets.withColumn("low", F.col("lows")[number])
-    large = sets.groupBy("low").count().where(F.col("count") > GROUP)  # few: each has over GROUP classes
-    parts = sets.join(large, "low", "left").withColumn("salt", F.pmod(F.xxhash64("sig"), F.ceil(F.coalesce("count", F.lit(1)) / GROUP)))
-    return parts.groupBy("low", "salt").applyInPandas(run, "sig long, leader long")
-
-
-def _groups(sets: DataFrame, leaders: DataFrame) -> DataFrame:
-    """(sig, leader, g): leaders that share a smallest shingle, of the round in which most do, are one group with all that
-    follow them. Similar sets mostly fall together whether they link or not; any partition gives the same links."""
-    lows = sets.join(leaders.where("sig = leader").select("sig"), "sig", "left_semi").select("sig", F.posexplode("lows").alias("r", "low"))
-    sizes = lows.groupBy("r", "low").agg(F.count("*").alias("c"))
-    best = lows.join(sizes, ["r", "low"]).groupBy("sig").agg(F.max(F.struct("c", "r", "low")).alias("x"))
-    return leaders.join(best.select(F.col("sig").alias("leader"), F.xxhash64("x.r", "x.low").alias("g")), "leader").select("sig", "leader", "g")
-
-
-def _open_groups(candidates: DataFrame, sets: DataFrame, grouped: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) between classes, from candidates (sig, leader, g): at least one for each two leaders' classes that link."""
-    asks = candidates.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    sizes = grouped.join(asks, "g", "left_semi").groupBy("g").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
-    many = asks.join(sizes, "g")
-    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
-    queries = candidates.join(many, "g").select("g", "sig", "leader", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part"), every("blocks", "block"), F.lit(1).alias("asks"))
-    members = grouped.join(many, "g").select("g", "sig", "leader", every("parts", "part"), F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"))
-    rows = queries.unionByName(members).join(sets.select("sig", "tokens"), "sig")
+        for (sig, leader, n), a, z in zip(row[wanted].tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            own, least = t[a:z], least_common(need(n, threshold))
+            first = np.argsort(often[a:z], kind="stable")[: z - a - need(n, threshold) + least]
+            out.append((sig, leader, n, int(lowest(own, np.array([0, len(own)]), 0)[0]), z - a, pack(own), own[first].astype(np.int64), least))
+        return pd.DataFrame(out, columns=["sig", "leader", "n", "low", "size", "tokens", "rare", "least"])
+
+    posted = led.select("sig", "leader", "n", "tokens").mapInPandas(post, "bucket long, a binary, who binary, counts binary")
+    answers = posted.groupBy("bucket").applyInPandas(answer, "to long, a binary, who binary, counts binary, often binary")
+    return answers.groupBy("to").applyInPandas(keep, "sig long, leader long, n long, low long, size long, tokens binary, rare array<bigint>, least long")
+
+
+def least_common(needed: int) -> int:
+    """How many tokens of the looked-up ones a class shares with the union of a group that it may link with."""
+    return max(1, needed * LOOKED_UP // 100)
+
+
+def _unions(members: DataFrame) -> DataFrame:
+    """(token, g, one, last): each group's token union, with the smallest and largest leader of the group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        union = np.unique(np.concatenate([unpack(x) for x in pdf["tokens"]]))
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "tokens": [union.astype(np.int64)], "one": [pdf["leader"].min()], "last": [pdf["leader"].max()]})
+
+    packed = members.groupBy("g").applyInPandas(run, "g long, tokens array<bigint>, one long, last long")
+    return packed.select(F.explode("tokens").alias("token"), "g", "one", "last")
+
+
+def _open(candidates: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between classes, from candidates (sig, to): at least one for each two leaders' classes that link (step 5)."""
+    asks = candidates.join(members.select("sig", "size"), "sig").withColumnRenamed("to", "g")
+    asks = written(dealt(written(asks, "asks"), "g", "size", QUERIES, "sig").select("sig", "g", "part"), "asks")
+    asking = asks.join(members.select("sig", "leader", "n", "tokens"), "sig").withColumn("asks", F.lit(1))
+    parts = asks.select("g", "part").distinct()  # a group's members go to each part of those that ask
+    inside = parts.join(members.select("g", "sig", "leader", "n", "tokens"), "g").withColumn("asks", F.lit(0))
+    columns = ["g", "part", "asks", "sig", "leader", "n", "tokens"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         inside, asking = pdf[pdf["asks"] == 0].sort_values("sig"), pdf[pdf["asks"] == 1].sort_values(["leader", "sig"])
         found: list[tuple[int, int]] = []
-        if len(inside):
-            sets_, sigs = [np.frombuffer(t, np.uint64) for t in inside["tokens"]], inside["sig"].tolist()
-            union = np.unique(np.concatenate(sets_))
-            asked = []
-            for sig, own, raw in zip(asking["sig"].tolist(), asking["leader"].tolist(), asking["tokens"], strict=True):
-                q = np.frombuffer(raw, np.uint64)
-                at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-                if int((union[at] == q).sum()) >= need(len(q), threshold):
-                    asked.append((sig, own, q))  # for the others the group stays closed: no member can have enough of q
-            sizes = np.array([len(x) for x in sets_])
-            label = inside["leader"].to_numpy().copy()  # of what is connected as far as this task knows
-            same: dict[int, int] = {}
-            for i in range(0, len(asked), 500):
-                part = asked[i : i + 500]
-                both = overlaps([q for _, _, q in part], sets_)
-                for (sig, own, q), row in zip(part, both, strict=True):
-                    own = same.get(own, own)
-                    for j in np.flatnonzero((100 * row >= threshold * (len(q) + sizes - row)) & (label != own)).tolist():
-                        old = int(label[j])
-                        if old != own:
-                            found.append((sig, sigs[j]))
-                            same = {k: own if v == old else v for k, v in same.items()} | {old: own}
-                            label[label == old] = own
+        sets, sigs, sizes = [unpack(t) for t in inside["tokens"]], inside["sig"].tolist(), inside["n"].to_numpy()
+        union = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+        asked = []
+        for sig, own, n, raw in zip(asking["sig"].tolist(), asking["leader"].tolist(), asking["n"].tolist(), asking["tokens"], strict=True):
+            q = unpack(raw)
+            at = np.minimum(np.searchsorted(union, q), len(union) - 1)
+            if len(union) and int((union[at] == q).sum()) >= need(n, threshold):
+                asked.append((sig, own, n, q))  # for the others the group stays closed: no member can have enough of q
+        label = inside["leader"].to_numpy().copy()  # of what is connected as far as this task knows
+        same: dict[int, int] = {}
+        for i in range(0, len(asked), 500):
+            some = asked[i : i + 500]
+            both = overlaps([q for *_, q in some], sets)
+            for (sig, own, n, _), row in zip(some, both, strict=True):
+                own = same.get(own, own)
+                for j in np.flatnonzero((100 * row >= threshold * (n + sizes - row)) & (label != own)).tolist():
+                    old = int(label[j])
+                    if old != own:
+                        found.append((sig, sigs[j]))
+                        same = {k: own if v == old else v for k, v in same.items()} | {old: own}
+                        label[label == old] = own
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("g", "part", "block").applyInPandas(run, "a long, b long")
+    return asking.select(columns).union(inside.select(columns)).groupBy("g", "part").applyInPandas(run, "a long, b long")
 
 
 def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
     """(key, n_shingles, component_id) of every document; threshold in hundredths. See the module's text."""
-    docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
-    measured = written(_measure(docs, "id", "text"), "measured")
-    sizes = measured.where("part < 0").select("id", "n", "sig")
-    heavy = heavy_slots(measured)
-    shared = written(_shared(_prefixes(docs, "id", "text", heavy, buckets(docs), threshold)), "shared")
-    # The fewest tokens that a class shares with one it links with; that one has at least threshold % of its size.
-    least = F.greatest(F.lit(1), F.floor(EXTRA * F.ceil(F.col("n") * threshold / 100) / 100))
-    classes = written(sizes.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n")).withColumn("least", least), "classes")
-    wanted = written(shared.groupBy("sig").agg(F.count("*").alias("c")).join(classes, "sig").where("c >= least").select(F.col("id").alias("_id"), "sig", "least"), "wanted")
-    # One text of each such class.
-    sets = written(_sets(docs.join(wanted, docs["id"] == wanted["_id"]).select("sig", "text")), "sets")
-    leaders, active = None, sets
-    for r in range(ROUNDS):
-        step = written(_lead(active, r, threshold), "round")
-        leaders = step if leaders is None else written(leaders.join(step.select(F.col("sig").alias("leader"), F.col("leader").alias("next")), "leader").select("sig", F.col("next").alias("leader")), "leaders")
-        active = sets.join(step.where("sig = leader").select("sig"), "sig", "left_semi")
-    grouped = written(_groups(sets, leaders), "groups")
-    places = written(shared.join(grouped, "sig"), "places")
-    # Per token the groups that have it, with one leader of theirs, and whether there are others.
-    holds = places.groupBy("token", "g").agg(F.min("leader").alias("one"), F.max("leader").alias("last"))
-    several = holds.groupBy("token").agg(F.min("one").alias("lo"), F.max("last").alias("hi")).where("lo != hi").select("token")
-    holds = holds.join(several, "token").select("token", F.col("g").alias("to"), "one", "last")
-    # A class asks the groups from its own upwards; its own only if other leaders' classes there have the token too.
-    pairs = places.join(holds, "token").where("g < to or (g = to and one != last)").groupBy("sig", "leader", F.col("to").alias("g")).agg(F.count("*").alias("c"))
-    candidates = written(pairs.join(wanted.select("sig", "least"), "sig").where("c >= least").select("sig", "leader", "g"), "candidates")
-    between = _open_groups(candidates, sets, grouped, threshold)
-    links = between.union(leaders.where("sig != leader").select("sig", "leader"))
-    named = links.join(classes.select(F.col("sig").alias("a"), F.col("id").alias("ida")), "a").join(classes.select(F.col("sig").alias("b"), F.col("id").alias("idb")), "b")
-    comp = components(named.select("ida", "idb"), "ida", "idb")
-    of_class = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("sig", F.coalesce("component", "id").alias("component_id"))
+    n_buckets = buckets(docs)
+    docs = replayable(docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")))
+    docs = docs.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("given"), "text")
+    kept = written(_post(docs, n_buckets).groupBy("bucket").applyInPandas(_answer, POSTING).groupBy("batch").applyInPandas(_keep(threshold), KEPT), "kept")
+    sizes = kept.where("tokens is null").select(F.when(F.col("given"), F.col("id")).alias("id"), "n", "sig")
+    led = written(_lead(kept.where("tokens is not null"), 0, threshold, True), "led")
+    leaders, active = led.select("sig", "leader"), led.where("sig = leader")
+    links = leaders.where("sig != leader")
+    for r in range(1, ROUNDS):
+        step = written(_lead(active, r, threshold, False), "round")
+        active = step.where("sig = leader")
+        links = links.union(step.select("sig", "leader").where("sig != leader"))
+        leaders = leaders.join(step.select(F.col("sig").alias("leader"), F.col("leader").alias("next")), "leader", "left").select("sig", F.coalesce("next", "leader").alias("leader"))
+    labelled = led.drop("leader").join(leaders, "sig")
+    left = dealt(written(_outside(labelled, n_buckets, threshold), "outside"), "low", "size", GROUP, "sig")
+    members = written(left.withColumn("g", F.xxhash64("low", "part")).drop("low", "part"), "members")
+    unions = written(_unions(members), "unions")
+    rare = members.select("sig", "g", "leader", "least", F.explode("rare").alias("token"))
+    # A class asks the groups from its own upwards, where they have other leaders' classes.
+    pairs = rare.join(unions.select("token", F.col("g").alias("to"), "one", "last"), "token").where("g <= to and (one != leader or last != leader)")
+    candidates = written(pairs.groupBy("sig", "to", "least").agg(F.count("*").alias("c")).where("c >= least").select("sig", "to"), "candidates")
+    links = written(links.toDF("a", "b").union(_open(candidates, members, threshold)), "links")
+    comp = written(components(links), "components")
+    classes = sizes.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"))
+    names = comp.join(classes, comp["node"] == classes["sig"]).groupBy("component").agg(F.min("id").alias("name"))
+    of_class = classes.join(comp.join(names, "component").select(F.col("node").alias("sig"), "name"), "sig", "left").select("sig", F.coalesce("name", "id").alias("component_id"))
     out = sizes.join(of_class, "sig", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bytewords import flat, mix, prefix_sums, spans_hash
 from lectern.llm.common import buckets, written
-from lectern.llm.ngram_join import SLOTS, _batches, heavy_slots
+from lectern.llm.sketch import SLOTS, batches, heavy_slots
 from lectern.llm.suffix_array import permuted_prefixes, suffix_array
 
 #: Bytes of an anchor gram.
@@ -100,7 +100,7 @@ def _sketch(docs: DataFrame, length: int) -> DataFrame:
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(SLOTS, np.int64)
-        for _, texts in _batches(pdfs, "id", "text"):
+        for _, texts in batches(pdfs, "id", "text"):
             counts += np.bincount((segments(texts, length)[3] >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
         parts = counts.reshape(16, -1)
         yield pd.DataFrame({"part": range(16), "counts": [p.astype("<i4" if p.max() < 1 << 31 else "<i8").tobytes() for p in parts]})
@@ -114,7 +114,7 @@ def _entries(docs: DataFrame, heavy: np.ndarray, n_buckets: int, length: int) ->
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hot = np.unpackbits(packed).astype(bool)
-        for ids, texts in _batches(pdfs, "id", "text"):
+        for ids, texts in batches(pdfs, "id", "text"):
             at, start, count, anchor, content, place, sums = segments(texts, length)
             if not len(at):
                 continue
