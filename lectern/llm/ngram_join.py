@@ -41,6 +41,8 @@ from lectern.llm.components import components
 
 #: Rounds of leaders.
 ROUNDS = 2
+#: Tokens of the small groups that one call of a Python function gets together.
+BUNDLE = 1 << 20
 #: Tokens of a group's block, and of the classes that are compared with it in one task.
 GROUP, QUERIES = 1 << 19, 1 << 20
 #: Share of the needed overlap (in hundredths) that is looked up in the index.
@@ -271,10 +273,9 @@ def _lead(sets: DataFrame, number: int, threshold: int, whole: bool) -> DataFram
     """Each class with its leader (step 2): itself unless it links with an earlier leader of its part. Followers carry
     their tokens on only if `whole`."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sig")
+    def one(sigs: np.ndarray, counts: np.ndarray, raws: list[bytes]) -> list[int]:
         names, sets_, ns, out = [], [], [], []
-        for sig, n, raw in zip(pdf["sig"].tolist(), pdf["n"].tolist(), pdf["tokens"], strict=True):
+        for sig, n, raw in zip(sigs.tolist(), counts.tolist(), raws, strict=True):
             q = unpack(raw)
             hit = np.flatnonzero(linked(q, n, sets_, np.array(ns), threshold)) if names else []
             out.append(names[hit[0]] if len(hit) else sig)
@@ -282,13 +283,39 @@ def _lead(sets: DataFrame, number: int, threshold: int, whole: bool) -> DataFram
                 names.append(sig)
                 sets_.append(q)
                 ns.append(n)
-        pdf = pdf.assign(leader=out)
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["low", "part", "sig"], ignore_index=True)
+        sig, n, raws = pdf["sig"].to_numpy(), pdf["n"].to_numpy(), pdf["tokens"].tolist()
+        leader = sig.copy()
+        for a, z in _groups(pdf["low"].to_numpy(), pdf["part"].to_numpy()):
+            if z - a > 1:
+                leader[a:z] = one(sig[a:z], n[a:z], raws[a:z])
+        pdf["leader"] = leader
         if not whole:
             pdf["tokens"] = pdf["tokens"].where(pdf["leader"] == pdf["sig"], None)
         return pdf[["sig", "leader", "n", "lows", "size", "tokens"]]
 
     parts = dealt(sets.withColumn("low", F.col("lows")[number]), "low", "size", GROUP, "sig")
-    return parts.groupBy("low", "part").applyInPandas(run, LED)
+    return _bundled(parts, sets, "low", "part").applyInPandas(run, LED)
+
+
+def _groups(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of equal keys."""
+    if len(keys[0]):
+        new = np.ones(len(keys[0]) + 1, bool)
+        new[1:-1] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        cut = np.flatnonzero(new).tolist()
+        yield from zip(cut[:-1], cut[1:], strict=True)
+
+
+def _bundled(rows: DataFrame, sizes: DataFrame, *keys: str):
+    """rows grouped into bundles of whole groups by `keys`, of about BUNDLE tokens each as `sizes` sums them: a call of a
+    Python function costs milliseconds, and most groups have two rows."""
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUNDLE))
+    return rows.withColumn("bundle", F.pmod(F.xxhash64(*keys), F.lit(n))).groupBy("bundle")
 
 
 def _outside(led: DataFrame, n_buckets: int, threshold: int) -> DataFrame:
@@ -360,10 +387,12 @@ def _unions(members: DataFrame) -> DataFrame:
     """(token, g, one, last): each group's token union, with the smallest and largest leader of the group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        union = np.unique(np.concatenate([unpack(x) for x in pdf["tokens"]]))
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "tokens": [union.astype(np.int64)], "one": [pdf["leader"].min()], "last": [pdf["leader"].max()]})
+        pdf = pdf.sort_values("g", ignore_index=True)
+        g, leader, raws = pdf["g"].to_numpy(), pdf["leader"].to_numpy(), pdf["tokens"].tolist()
+        rows = [(g[a], np.unique(np.concatenate([unpack(x) for x in raws[a:z]])).astype(np.int64), leader[a:z].min(), leader[a:z].max()) for a, z in _groups(g)]
+        return pd.DataFrame(rows, columns=["g", "tokens", "one", "last"])
 
-    packed = members.groupBy("g").applyInPandas(run, "g long, tokens array<bigint>, one long, last long")
+    packed = _bundled(members, members, "g").applyInPandas(run, "g long, tokens array<bigint>, one long, last long")
     return packed.select(F.explode("tokens").alias("token"), "g", "one", "last")
 
 
@@ -376,16 +405,15 @@ def _open(candidates: DataFrame, members: DataFrame, threshold: int) -> DataFram
     inside = parts.join(members.select("g", "sig", "leader", "n", "tokens"), "g").withColumn("asks", F.lit(0))
     columns = ["g", "part", "asks", "sig", "leader", "n", "tokens"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        inside, asking = pdf[pdf["asks"] == 0].sort_values("sig"), pdf[pdf["asks"] == 1].sort_values(["leader", "sig"])
-        found: list[tuple[int, int]] = []
+    def one(pdf: pd.DataFrame, found: list[tuple[int, int]]) -> None:
+        inside, asking = pdf[pdf["asks"] == 0], pdf[pdf["asks"] == 1].sort_values(["leader", "sig"])
         sets, sigs, sizes = [unpack(t) for t in inside["tokens"]], inside["sig"].tolist(), inside["n"].to_numpy()
-        union = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+        union = np.unique(np.concatenate(sets))
         asked = []
         for sig, own, n, raw in zip(asking["sig"].tolist(), asking["leader"].tolist(), asking["n"].tolist(), asking["tokens"], strict=True):
             q = unpack(raw)
             at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-            if len(union) and int((union[at] == q).sum()) >= need(n, threshold):
+            if int((union[at] == q).sum()) >= need(n, threshold):
                 asked.append((sig, own, n, q))  # for the others the group stays closed: no member can have enough of q
         label = inside["leader"].to_numpy().copy()  # of what is connected as far as this task knows
         same: dict[int, int] = {}
@@ -400,9 +428,16 @@ def _open(candidates: DataFrame, members: DataFrame, threshold: int) -> DataFram
                         found.append((sig, sigs[j]))
                         same = {k: own if v == old else v for k, v in same.items()} | {old: own}
                         label[label == old] = own
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        pdf = pdf.sort_values(["g", "part", "asks", "sig"], ignore_index=True)
+        for a, z in _groups(pdf["g"].to_numpy(), pdf["part"].to_numpy()):
+            one(pdf.iloc[a:z], found)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return asking.select(columns).union(inside.select(columns)).groupBy("g", "part").applyInPandas(run, "a long, b long")
+    rows = asking.select(columns).union(inside.select(columns))
+    return _bundled(rows, asks.join(members.select("sig", "size"), "sig"), "g", "part").applyInPandas(run, "a long, b long")
 
 
 def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
