@@ -8,7 +8,7 @@
    linked follow their leader, and only leaders enter the next round. Copies with small edits are connected after that.
 3. What is left to find are links between followers of different leaders. By buckets again, classes keep the tokens that
    stand under several leaders, and leave when these are too few.
-4. The classes left are partitioned into groups of similar ones (equal smallest token, blocks of GROUP tokens), and each
+4. The classes left are partitioned into groups of similar ones (by their most common smallest token; blocks of GROUP tokens); each
    group's token union is stored as an index. A link of class q with a member shares need(q) tokens with the group's
    union, hence `least` of any |q| - need(q) + least of q's tokens; the rarest are looked up in the index. Groups that have
    fewer stay closed, and so do those of q's own leader only.
@@ -43,8 +43,10 @@ from lectern.llm.components import components
 ROUNDS = 2
 #: Tokens of the small groups that one call of a Python function gets together.
 BUNDLE = 1 << 20
-#: Tokens of a group's block, and of the classes that are compared with it in one task.
-GROUP, QUERIES = 1 << 19, 1 << 20
+#: Tokens of a part of a round, of a group's block, and of the classes that are compared with a block in one task.
+PART, GROUP, QUERIES = 1 << 17, 1 << 18, 1 << 19
+#: Hashes by which classes find their group.
+HASHES = 4
 #: Share of the needed overlap (in hundredths) that is looked up in the index.
 LOOKED_UP = 25
 #: Characters per batch.
@@ -297,7 +299,7 @@ def _lead(sets: DataFrame, number: int, threshold: int, whole: bool) -> DataFram
             pdf["tokens"] = pdf["tokens"].where(pdf["leader"] == pdf["sig"], None)
         return pdf[["sig", "leader", "n", "lows", "size", "tokens"]]
 
-    parts = dealt(sets.withColumn("low", F.col("lows")[number]), "low", "size", GROUP, "sig")
+    parts = dealt(sets.withColumn("low", F.col("lows")[number]), "low", "size", PART, "sig")
     return _bundled(parts, sets, "low", "part").applyInPandas(run, LED)
 
 
@@ -319,7 +321,7 @@ def _bundled(rows: DataFrame, sizes: DataFrame, *keys: str):
 
 
 def _outside(led: DataFrame, n_buckets: int, threshold: int) -> DataFrame:
-    """(sig, leader, n, low, size, tokens, rare): classes (sig, leader, n, tokens) with at least need(n) tokens that stand
+    """(sig, leader, n, lows, size, tokens, rare, least): classes (sig, leader, n, tokens) with at least need(n) tokens that stand
     under several leaders (step 3); `rare` are those to look up, the least frequent ones."""
 
     def post(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -370,12 +372,22 @@ def _outside(led: DataFrame, n_buckets: int, threshold: int) -> DataFrame:
         for (sig, leader, n), a, z in zip(row[wanted].tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             own, least = t[a:z], least_common(need(n, threshold))
             first = np.argsort(often[a:z], kind="stable")[: z - a - need(n, threshold) + least]
-            out.append((sig, leader, n, int(lowest(own, np.array([0, len(own)]), 0)[0]), z - a, pack(own), own[first].astype(np.int64), least))
-        return pd.DataFrame(out, columns=["sig", "leader", "n", "low", "size", "tokens", "rare", "least"])
+            lows = [int(lowest(own, np.array([0, len(own)]), r)[0]) for r in range(HASHES)]
+            out.append((sig, leader, n, lows, z - a, pack(own), own[first].astype(np.int64), least))
+        return pd.DataFrame(out, columns=["sig", "leader", "n", "lows", "size", "tokens", "rare", "least"])
 
     posted = led.select("sig", "leader", "n", "tokens").mapInPandas(post, "bucket long, a binary, who binary, counts binary")
     answers = posted.groupBy("bucket").applyInPandas(answer, "to long, a binary, who binary, counts binary, often binary")
-    return answers.groupBy("to").applyInPandas(keep, "sig long, leader long, n long, low long, size long, tokens binary, rare array<bigint>, least long")
+    return answers.groupBy("to").applyInPandas(keep, "sig long, leader long, n long, lows array<bigint>, size long, tokens binary, rare array<bigint>, least long")
+
+
+def _grouped(left: DataFrame) -> DataFrame:
+    """(sig, size, group): of a class's smallest tokens by several hashes, the one that most classes have names its group, so
+    that edited copies of one text mostly share a group. Any partition gives the same links."""
+    lows = left.select("sig", "size", F.posexplode("lows").alias("r", "low"))
+    often = lows.groupBy("r", "low").agg(F.count("*").alias("c"))
+    best = lows.join(often, ["r", "low"]).groupBy("sig", "size").agg(F.max(F.struct("c", "r", "low")).alias("x"))
+    return best.select("sig", "size", F.xxhash64("x.r", "x.low").alias("group"))
 
 
 def least_common(needed: int) -> int:
@@ -456,8 +468,9 @@ def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
         links = links.union(step.select("sig", "leader").where("sig != leader"))
         leaders = leaders.join(step.select(F.col("sig").alias("leader"), F.col("leader").alias("next")), "leader", "left").select("sig", F.coalesce("next", "leader").alias("leader"))
     labelled = led.drop("leader").join(leaders, "sig")
-    left = dealt(written(_outside(labelled, n_buckets, threshold), "outside"), "low", "size", GROUP, "sig")
-    members = written(left.withColumn("g", F.xxhash64("low", "part")).drop("low", "part"), "members")
+    left = written(_outside(labelled, n_buckets, threshold), "outside")
+    blocks = dealt(_grouped(left), "group", "size", GROUP, "sig").select("sig", F.xxhash64("group", "part").alias("g"))
+    members = written(left.drop("lows").join(blocks, "sig"), "members")
     unions = written(_unions(members), "unions")
     rare = members.select("sig", "g", "leader", "least", F.explode("rare").alias("token"))
     # A class asks the groups from its own upwards, where they have other leaders' classes.
