@@ -56,9 +56,9 @@ OP2 = """
 with d as (select doc_id, source, "text", length(coalesce("text", '')) c, cast(concat('0x', substr(md5('17:count:' || doc_id), 1, 12)) as bigint) / 281474976710656.0 u from documents),
 s as (select source, sum(c) chars from d group by source having sum(c) > 0),
 r as (select source, 1.0::double / (select count(*)::double from s) * (select sum(chars)::double from s) * 1.0 / chars rate from s),
-k as (select source, rate, n, sum(exp(-rate + n * ln(rate) - lgamma(n + 1))) over (partition by source order by n) f from r, (select unnest(range(0, 400)) n)),
+k as (select source, rate, n, sum(exp(-rate + n * ln(rate) - lgamma(n + 1))) over (partition by source order by n) f from r, (select unnest(range(0, (select cast(ceil(max(rate) + 12 * sqrt(max(rate)) + 13) as bigint) from r))) n)),
 m as (select doc_id, d.source, "text", (select count(*) from k where k.source = d.source and k.f <= d.u) n from d)
-select doc_id, source, cast(copy as int) as copy, md5('17:order:' || doc_id || ':' || copy) shuffle_key, "text" from (select doc_id, source, "text", unnest(range(0, n)) as copy from m)
+select doc_id, source, copy, md5('17:order:' || doc_id || ':' || copy) shuffle_key, "text" from (select doc_id, source, "text", unnest(range(0, n)) as copy from m)
 """
 
 ORACLES: dict[str, str] = {"op1_html_text": OP1, "op2_mix_sources": OP2, "op4_quality_rules": OP4, "op5_pii": _pii()}
