@@ -101,7 +101,15 @@ def buckets(df: DataFrame, mb: int = 16) -> int:
 
 def smallest_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
     """The rows whose keys have the `rows` smallest hashes: the same sample whatever the partitioning. Only hashes are
-    sorted; the rows themselves are filtered where they stand (rows of equal keys stay together)."""
+    sorted; the rows themselves are filtered where they stand. Where many rows have one key (or none), so that more than
+    twice as many would come, they are thinned by the hash of their place to about `rows`."""
     h = F.xxhash64(key)
     cut = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    return df.where(F.lit(False)) if cut is None else df.where(h <= cut)
+    if cut is None:
+        return df.where(F.lit(False))
+    some = df.where(h <= cut)
+    found = some.select(F.lit(1)).count()
+    if found <= 2 * rows:
+        return some
+    share = F.lit(rows / found)
+    return some.withColumn("_place", F.monotonically_increasing_id()).where(F.pmod(F.xxhash64("_place"), F.lit(1 << 20)) < share * (1 << 20)).drop("_place")
