@@ -1,4 +1,10 @@
-"""From raw documents to tokens, in five stages; each reads what its predecessor kept, as a table."""
+"""From raw documents to tokens, in five stages; each reads what its predecessor kept, as a table.
+
+Defined results: a null or empty text has no words, so the rules reject it; a stage that is given one keeps it (near
+duplicates, personal data) or gives it no copies if its source has no characters at all (mix), and it has no tokens. Rows
+without an id are judged like others, and none of them is dropped as a near duplicate. All rows of a component's smallest id stay, so
+repeated rows of one id stay together. Texts of any length are read whole. Columns beyond those of documents, whatever their
+names, pass through all stages but the last. An empty table gives an empty table."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +22,16 @@ from lectern.llm.queries import TOKENIZERS
 SEED, EPOCHS = 17, 1.0
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """Each row as one column, so that no column of an operator meets one of its own; with the id and the text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id"), F.col("text"))
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base and every quality rule accept."""
     # The verdict goes through a generator: a filter on it would be moved below the steps that compute the metrics and
     # compute them anew for every rule.
-    return quality_rules(docs).withColumn("_keep", F.explode(F.array("kept"))).where("_keep").select(docs.columns)
+    return quality_rules(whole(docs)).withColumn("_keep", F.explode(F.array("kept"))).where("_keep").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +42,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with <KIND> for each span of personal data; n_chars follows the new text."""
-    clean = redact(find_pii(docs))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    clean = redact(find_pii(whole(docs)))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return clean.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that all sources have the same share of characters in expectation, shuffled."""
-    return mix_sources(docs, epochs=EPOCHS, seed=SEED).select(docs.columns)
+    return mix_sources(docs, epochs=EPOCHS, seed=SEED, copy="_mix_copy", shuffle_key="_mix_key").drop("_mix_copy", "_mix_key")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
