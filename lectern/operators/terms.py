@@ -1,44 +1,131 @@
-"""Dictionary terms in texts: an n-gram equi-join instead of a containment join, scores, and resolution of conflicts."""
+"""Dictionary terms in texts: an equi-join on the token that begins a term instead of a containment join; then scores, ranks
+and the resolution of rival meanings.
+
+A dictionary has term_id, source, target, domain (null: the user's own, generic) and, if given, aliases, variants (accepted
+targets), requires_context and strict. Texts and spellings are compared in the form of `normal_term`; a match may not touch
+a letter a-z or a digit on either side, so "C++" and "p-value" are terms, and scripts without spaces match anywhere."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = "[a-z0-9]+"
+from lectern.functions.normal import normal_target, normal_term
+
+TOKEN = "[a-z0-9]+|[^a-z0-9]"
+#: Fields that a dictionary may leave out.
+OPTIONAL = {"aliases": "array<string>", "variants": "array<string>", "requires_context": "boolean", "strict": "boolean", "note": "string"}
+#: Spellings up to which the dictionary is broadcast; their number is counted.
+BROADCAST_SPELLINGS = 50_000
+
+
+def completed(terms: DataFrame) -> DataFrame:
+    """terms with all optional fields."""
+    return terms.withColumns({c: F.lit(None).cast(kind) for c, kind in OPTIONAL.items() if c not in terms.columns})
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+def spellings(terms: DataFrame) -> DataFrame:
+    """(term_id, alias): the distinct normal spellings of each term's source and aliases; empty ones go."""
+    every = F.array_union(F.array("source"), F.coalesce("aliases", F.array().cast("array<string>")))
+    return completed(terms).select("term_id", F.explode(every).alias("alias")).select("term_id", normal_term(F.col("alias")).alias("alias")).where("alias <> ''").distinct()
 
 
-def grams(docs: DataFrame, key: str, text: str, most: int) -> DataFrame:
-    """(key, gram) distinct word n-grams of up to `most` words; partial aggregation keeps one row per text and gram."""
-    t = docs.select(key, tokens(F.col(text)).alias("_t"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.when(F.size("_t") >= n, F.transform(F.sequence(F.lit(1), F.size("_t") - n + 1), lambda i: F.array_join(F.slice("_t", i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    return t.select(key, F.explode(F.array_distinct(runs)).alias("gram"))
+def match_terms(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per text, term and spelling that stands in the text: key, all fields of the term, alias, score (its length).
 
+    Each token of a text carries the characters that follow, as many tokens as the longest spelling has; a spelling meets
+    the tokens equal to its first one and is confirmed on those characters. No text is shuffled."""
+    a = spellings(terms).withColumn("first", F.regexp_extract("alias", f"^({TOKEN})", 1))
+    n, most = a.agg(F.count("*"), F.max(F.regexp_count("alias", F.lit(TOKEN)))).first()
+    a = F.broadcast(a) if n <= BROADCAST_SPELLINGS else a
+    t = docs.select(key, F.regexp_extract_all(normal_term(F.col(text)), F.lit(TOKEN), F.lit(0)).alias("_t"))
+    here = F.transform("_t", lambda w, i: F.struct(w.alias("first"), F.coalesce(F.get("_t", i - 1), F.lit(" ")).alias("before"), i.alias("at")))
+    starts = t.select(key, "_t", F.explode(F.filter(here, lambda x: x["first"] != " ")).alias("x")).select(key, "x.first", "x.before", F.array_join(F.slice("_t", F.col("x.at") + 1, F.lit((most or 0) + 1)), "").alias("rest"))
+    word = lambda c: c.rlike("^[a-z0-9]")
+    size = F.length("alias")
+    open_before = word(F.col("first")) | ~word(F.col("before"))
+    open_after = ~word(F.substr(F.col("rest"), size + 1, F.lit(1)))
+    hit = starts.join(a, "first").where(F.startswith("rest", F.col("alias")) & open_before & open_after).select(key, "term_id", "alias").distinct()
+    return hit.join(F.broadcast(completed(terms)) if n <= BROADCAST_SPELLINGS else completed(terms), "term_id").withColumn("score", size.cast("long"))
 
-def match_terms(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
-    """Rows of terms (term_id, source, ...) whose words stand in a text as whole words; score is the source's length."""
-    t = terms.withColumn("gram", F.array_join(tokens(F.col("source")), " "))
-    return grams(docs, key, text, most).join(t, "gram").withColumn("score", F.length("source").cast("long")).drop("gram")
+
+def scored(matches: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row per text and term: its longest spelling found counts."""
+    fields = [c for c in matches.columns if c not in (key, "term_id", "alias", "score")]
+    return matches.groupBy(key, "term_id").agg(F.max("score").alias("score"), *[F.first(c).alias(c) for c in fields])
 
 
 def ranked(matches: DataFrame, key: str = "doc_id", limit: int = 40) -> DataFrame:
-    """Best matches of each text: longest first, then by term."""
+    """The best terms of each text: longest spelling first, then in the dictionary's order."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), "term_id")
-    return matches.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit)
-
-
-def resolved(matches: DataFrame, key: str = "doc_id", requested: str | None = None) -> DataFrame:
-    """Matches after conflicts: where a source has several targets in a text, the requested domain's only row wins, else
-    the domain with the most evidence (sum of scores) if no other has as much; else all of them go."""
-    evidence = matches.groupBy(key, "domain").agg(F.sum("score").alias("evidence"))
-    m = matches.join(evidence, [key, "domain"])
-    g = Window.partitionBy(key, F.lower("source"))
-    m = m.withColumn("targets", F.size(F.collect_set("target").over(g))).withColumn("asked", F.count_if(F.col("domain") == F.lit(requested)).over(g) if requested else F.lit(0))
-    m = m.withColumn("top", F.max("evidence").over(g))
-    m = m.withColumn("tops", F.count_if(F.col("evidence") == F.col("top")).over(g))
-    best = (F.col("evidence") == F.col("top")) & (F.col("tops") == 1)
-    keep = F.when(F.col("targets") == 1, True).when(F.col("asked") == 1, F.col("domain") == F.lit(requested or "")).otherwise(best)
-    return m.where(keep).drop("targets", "asked", "top", "tops")
+    return scored(matches, key).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit)
+
+
+def resolved(matches: DataFrame, key: str = "doc_id", requested: Column | str | None = None, generic_wins: bool = False) -> DataFrame:
+    """Matches after conflicts, one row per text and term, with `evidence`: the sum of scores of its domain in the text.
+
+    A term that requires context stays only where its domain has other evidence, or is the requested one. Where a spelling
+    has several targets, the requested domain's only row wins, else the only row of most evidence; else all of them go.
+    With `generic_wins`, terms without a domain replace those of equal source, and their groups are left alone."""
+    asked = requested if isinstance(requested, Column) else F.lit(requested).cast("string")
+    m = matches.withColumn("_asked", F.coalesce(F.col("domain") == asked, F.lit(False)))
+    if generic_wins:
+        own = F.max(F.col("domain").isNull()).over(Window.partitionBy(key, normal_term(F.col("source"))))
+        m = m.withColumn("_own", own).where(F.col("domain").isNull() | ~F.col("_own")).drop("_own")
+    term = Window.partitionBy(key, "term_id")
+    m = m.withColumn("_best", F.max("score").over(term)).withColumn("_first", F.row_number().over(term.orderBy(F.desc("score"), "alias")) == 1)
+    m = m.withColumn("evidence", F.coalesce(F.sum(F.when(F.col("_first") & F.col("domain").isNotNull(), F.col("_best"))).over(Window.partitionBy(key, "domain")), F.lit(0)))
+    g = Window.partitionBy(key, "alias")
+    m = m.withColumn("_targets", F.size(F.collect_set("target").over(g))).withColumn("_top", F.max("evidence").over(g))
+    m = m.withColumn("_tops", F.count_if(F.col("evidence") == F.col("_top")).over(g)).withColumn("_asks", F.count_if("_asked").over(g))
+    m = m.withColumn("_generic", F.max(F.col("domain").isNull()).over(g))
+    alone = (F.col("_targets") <= 1) | (F.col("_generic") if generic_wins else F.lit(False))
+    stays = F.when(alone, True).when(F.col("_asks") == 1, F.col("_asked")).when(F.col("_tops") == 1, F.col("evidence") == F.col("_top")).otherwise(False)
+    lone = F.coalesce("requires_context", F.lit(False)) & F.col("domain").isNotNull() & ~F.col("_asked") & (F.col("evidence") - F.col("_best") <= 0)
+    m = m.withColumn("_stays", F.min(stays & ~lone).over(term))
+    return m.where(F.col("_stays") & F.col("_first")).withColumn("score", F.col("_best")).drop("_asked", "_best", "_first", "_targets", "_top", "_tops", "_asks", "_generic", "_stays")
+
+
+def missing_targets(pairs: DataFrame, chosen: DataFrame, key: str, translation: str) -> DataFrame:
+    """(key, source, target) of terms in `chosen` whose target and variants all lack in the translation of the key."""
+    accepted = F.transform(F.array_union(F.array("target"), F.coalesce("variants", F.array().cast("array<string>"))), lambda x: x)
+    c = chosen.select(key, "term_id", "source", "target", F.explode(accepted).alias("_a")).withColumn("_a", normal_target(F.col("_a")))
+    said = pairs.select(key, normal_target(F.col(translation)).alias("_said"))
+    found = c.join(said, key, "left").groupBy(key, "term_id", "source", "target").agg(F.max(F.coalesce(F.contains("_said", F.col("_a")), F.lit(False))).alias("found"))
+    return found.where(~F.col("found")).select(key, "source", "target")
+
+
+def safe_terms(terms: DataFrame) -> DataFrame:
+    """(alias, target, n_targets, safe): spellings of several words with one target and no need of context are safe."""
+    s = spellings(terms).join(completed(terms).select("term_id", "target", F.coalesce("requires_context", F.lit(False)).alias("_ctx")), "term_id")
+    g = s.groupBy("alias").agg(F.countDistinct("target").alias("n_targets"), F.min("target").alias("target"), F.max("_ctx").alias("_ctx"))
+    return g.select("alias", "target", "n_targets", ((F.col("n_targets") == 1) & F.contains("alias", F.lit(" ")) & ~F.col("_ctx")).alias("safe"))
+
+
+def term_spans(docs: DataFrame, names: DataFrame, key: str, text: str, name: str = "alias") -> DataFrame:
+    """(key, alias, start, end) of whole-word places of spellings (equal length and case aside) in texts; end is exclusive.
+    Places of one spelling do not overlap, and are found from the left."""
+    n = names.count()
+    small = F.broadcast(names.select(F.lower(name).alias("alias"))) if n <= BROADCAST_SPELLINGS else names.select(F.lower(name).alias("alias"))
+    t = docs.select(key, F.lower(text).alias("_x")).join(small, F.contains("_x", F.col("alias")))
+    gaps = F.split("_x", F.concat(F.lit(r"(?<!\w)\Q"), F.col("alias"), F.lit(r"\E(?!\w)")), -1)
+    e = t.select(key, "alias", F.posexplode(F.slice(gaps, 1, F.size(gaps) - 1)).alias("i", "gap"))
+    w = Window.partitionBy(key, "alias").orderBy("i")
+    start = F.sum(F.length("gap") + F.length("alias")).over(w) - F.length("alias")
+    return e.withColumn("start", start).select(key, "alias", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("alias")).cast("long").alias("end"))
+
+
+def protected_spans(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", most: int = 4) -> DataFrame:
+    """The first `most` places of safe terms of each text, longest first at one place, that do not overlap and do not lie
+    inside a longer known spelling (an anti-join of intervals)."""
+    index = safe_terms(terms)
+    safe = index.where("safe").select("alias", "target")
+    longer = index.where("not safe").select(F.col("alias").alias("long"))
+    blockers = longer.join(safe, F.contains("long", F.col("alias")) & (F.length("long") > F.length("alias"))).select(F.col("long").alias("alias")).distinct()
+    spans = term_spans(docs, safe, key, text)
+    blocked = term_spans(docs, blockers, key, text).select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    free = spans.join(blocked, (F.col(key) == F.col("_k")) & (F.col("_s") <= F.col("start")) & (F.col("_e") >= F.col("end")), "left_anti")
+    # Of overlapping places, the leftmost and there the longest stays: a fold over a text's few places.
+    g = free.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("neg"), "alias"))).alias("x"))
+    step = lambda s, x: F.when((F.size(s) == 0) | (-F.element_at(s, -1)["neg"] <= x["start"]), F.concat(s, F.array(x))).otherwise(s)
+    kept = F.aggregate("x", F.array().cast("array<struct<start:bigint,neg:bigint,alias:string>>"), step)
+    return g.select(key, F.posexplode(F.slice(kept, 1, most)).alias("n", "y")).select(key, F.col("n").cast("long").alias("n"), F.col("y.start").alias("start"), (-F.col("y.neg")).alias("end"), F.col("y.alias").alias("alias")).join(safe, "alias")

@@ -1,7 +1,5 @@
-"""All queries of the library and, where SQL can express them, their DuckDB statements."""
+"""All queries of the library and, where SQL can express them, their DuckDB statements: importing a module registers its own."""
 from __future__ import annotations
 
-from lectern.plans import format_queries, record_queries, text_queries
-
-QUERIES: dict = text_queries.Q | record_queries.Q | format_queries.Q
-ORACLES: dict = text_queries.S | record_queries.S | format_queries.S
+from lectern.plans import format_queries, quality_queries, record_queries, stream_queries, term_queries, text_queries  # noqa: F401
+from lectern.plans.registry import ORACLES, QUERIES  # noqa: F401

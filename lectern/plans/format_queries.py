@@ -5,21 +5,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import formats as Y
-from lectern.plans.text_queries import _LINES, lines, t
-
-Q: dict = {}
-S: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        Q[f.__name__] = f
-        if sql:
-            S[f.__name__] = sql
-        return f
-
-    return add
-
+from lectern.plans.registry import query, t
+from lectern.plans.text_queries import _LINES, lines
 
 @query("select event_id, json_extract_string(props, '$.k') is not null has_k, md5(regexp_replace(props, '\\s+', '', 'g')) body from events")
 def loose_json_repair(spark, d):
@@ -50,23 +37,10 @@ def upper_medians(spark, d):
     return t(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("v")).select("o_custkey", Y.upper_median(F.col("v")).alias("upper_median"))
 
 
-_TOKENS = "list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')"
-
-
-@query(f"with w as (select conv_id, turn, {_TOKENS} w, lag({_TOKENS}) over (partition by conv_id order by turn) b from conversations) select conv_id, turn, cast(case when b is null then 0 else coalesce(list_min(list_filter(range(1, least(len(w), len(b)) + 1), lambda i: w[i] <> b[i])) - 1, least(len(w), len(b))) end as bigint) confirmed from w")
-def stream_prefix_confirm(spark, d):
-    w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
-    c = t(spark, d, "conversations").select("conv_id", "turn", w.alias("w")).withColumn("b", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn")))
-    least = F.least(F.size("w"), F.size("b"))
-    differ = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), lambda i: F.get("w", i - 1) != F.get("b", i - 1)))
-    n = F.when(F.col("b").isNull() | (least <= 0), 0).otherwise(F.coalesce(differ - 1, least))
-    return c.select("conv_id", "turn", n.cast("long").alias("confirmed"))
-
-
-_BLOCKS = "blocks as (select doc_id, line, l, (line % 2) * 450.0 + 20 as x, (line // 2) * 20.0 as y, 100.0 + length(l) % 300 as w, 18.0 as h from lines where line < 60 and l <> '')"
+_BLOCKS = "blocks as (select doc_id, line // 60 as page, line, l, ((line % 2) * 450 + 20)::double as x, ((line % 60 // 2) * 20)::double as y, (250 + length(l) % 400)::double as w, 18.0::double as h from lines where l <> '')"
 
 
-@query("with " + _LINES + ", " + _BLOCKS + " select doc_id, line, cast(row_number() over (partition by doc_id order by case when x + w / 2 < 450 then 0 else 1 end, y, x, line) as bigint) ord from blocks")
+@query("with " + _LINES + ", " + _BLOCKS + " select doc_id, line, cast(row_number() over (partition by doc_id order by page, case when x + w / 2 < 450 then 0 else 1 end, y, x, line) as bigint) ord from blocks")
 def reading_order(spark, d):
     b = blocks(spark, d)
     column = F.when(F.col("x") + F.col("w") / 2 < 450, 0).otherwise(1)
@@ -74,12 +48,13 @@ def reading_order(spark, d):
 
 
 def blocks(spark, d):
-    """Positioned blocks made from the lines of documents: two columns of 900-point pages of 60 lines each."""
+    """Positioned blocks made from the lines of documents: two columns of 900-point pages of 60 lines each; the widest reach
+    into the other column."""
     b = lines(spark, d).where("l <> ''")
-    return b.select("doc_id", F.floor(F.col("line") / 60).alias("page"), "line", "l", ((F.col("line") % 2) * 450.0 + 20).alias("x"), (F.floor(F.col("line") % 60 / 2) * 20.0).alias("y"), (F.length("l") % 300 + 100.0).alias("w"), F.lit(18.0).alias("h"))
+    return b.select("doc_id", F.floor(F.col("line") / 60).alias("page"), "line", "l", ((F.col("line") % 2) * 450.0 + 20).alias("x"), (F.floor(F.col("line") % 60 / 2) * 20.0).alias("y"), (F.length("l") % 400 + 250.0).alias("w"), F.lit(18.0).alias("h"))
 
 
-@query("with " + _LINES + ", " + _BLOCKS + " select a.doc_id, cast(count(*) as bigint) as n_overlaps, round(sum(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)), 4) width from blocks a join blocks b on a.doc_id = b.doc_id and a.y = b.y and a.line < b.line where least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) group by a.doc_id")
+@query("with " + _LINES + ", " + _BLOCKS + " select a.doc_id, cast(count(*) as bigint) as n_overlaps, round(sum(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)), 4) width from blocks a join blocks b on a.doc_id = b.doc_id and a.page = b.page and a.y = b.y and a.line < b.line where least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) group by a.doc_id")
 def overlapping_blocks(spark, d):
     # Blocks meet by page and baseline, of which each has a few.
     a = blocks(spark, d).select("doc_id", "page", "y", F.col("line").alias("la"), F.col("x").alias("xa"), F.col("w").alias("wa"))

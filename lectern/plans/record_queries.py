@@ -6,24 +6,12 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import sequences as O
+from lectern.operators.bags import similar_bags
 from lectern.operators.numbering import number_rows
-from lectern.plans.text_queries import _LINES, lines, t
+from lectern.plans.registry import query, t
+from lectern.plans.text_queries import _LINES, lines
 from lectern.sources import captions
 
-Q: dict = {}
-S: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        Q[f.__name__] = f
-        if sql:
-            S[f.__name__] = sql
-        return f
-
-    return add
-
-
 @query("select conv_id, turn, md5(coalesce(right(string_agg(text, ' ') over (partition by conv_id order by turn rows between 4 preceding and 1 preceding), 1600), '')) context from conversations")
 def context_window_prev4(spark, d):
     return O.context_before(t(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", F.md5("context").alias("context"))
@@ -194,18 +182,14 @@ def markdown_export(spark, d):
 
 
 @query(
-    "with " + _LINES + ", c as (select doc_id, l, count(*) n from lines where length(l) >= 40 group by all), z as (select doc_id, sum(n * length(l)) chars from c group by 1), "
-    "p as (select distinct a, b from (select lag(doc_id) over (partition by l order by doc_id) a, doc_id b from c) where a is not null), "
-    "m as (select a, b, sum(least(x.n, y.n) * length(x.l)) common from p join c x on x.doc_id = a join c y on y.doc_id = b and y.l = x.l group by all) "
-    "select a, b, round(2.0 * common / (x.chars + y.chars), 6) dice from m join z x on x.doc_id = a join z y on y.doc_id = b"
+    "with " + _LINES + ", c as (select doc_id, l, count(*) n from lines where l <> '' group by all), z as (select doc_id, sum(n * length(l)) chars, sum(n) blocks from c group by 1), "
+    "m as (select x.doc_id a, y.doc_id b, sum(least(x.n, y.n) * length(x.l)) common from c x join c y on y.l = x.l and x.doc_id < y.doc_id group by all), "
+    "d as (select a, b, round(2.0 * common / (x.chars + y.chars), 6) dice from m join z x on x.doc_id = a join z y on y.doc_id = b where 200 * common >= 72 * (x.chars + y.chars)), "
+    "k as (select doc_id, md5(string_agg(l || chr(1) || n, chr(2) order by l)) bag from c group by 1), r as (select bag, min(doc_id) rep from k group by 1) "
+    "select a, b, dice from d where a in (select rep from r) and b in (select rep from r) union all select rep as a, doc_id as b, 1.0 from k join r using (bag) where doc_id <> rep"
 )
 def bag_dice_similarity(spark, d):
-    # All pairs that share a line, as J10 says: a line of n documents makes n * (n - 1) / 2 rows.
-    c = lines(spark, d).where(F.length("l") >= 40).groupBy("doc_id", "l").agg(F.count("*").alias("n"))
-    c = c.join(c.groupBy("doc_id").agg(F.sum(F.col("n") * F.length("l")).alias("chars")), "doc_id")
-    x, y = [c.select(F.col("doc_id").alias(k), "l", F.col("n").alias("n" + k), F.col("chars").alias("c" + k)) for k in ("a", "b")]
-    m = x.join(y, "l").where("a < b").groupBy("a", "b", "ca", "cb").agg(F.sum(F.least("na", "nb") * F.length("l")).alias("common"))
-    return m.select("a", "b", F.round(2.0 * F.col("common") / (F.col("ca") + F.col("cb")), 6).alias("dice"))
+    return similar_bags(lines(spark, d).where("l <> ''").select("doc_id", "l"), "doc_id", "l")
 
 
 _CACHE = "with " + _LINES + ", cur as (select doc_id, line, l from lines where l <> ''), saved as (select doc_id, case when line % 4 = 0 then line else line + 1 end line, l from lines where l <> '' and line % 7 <> 3), one as (select c.doc_id, c.line, c.l from cur c join saved s on c.doc_id = s.doc_id and c.line = s.line and c.l = s.l), "
@@ -229,11 +213,6 @@ def cache_match_three_tier(spark, d):
     return cur.join(hit, ["doc_id", "line"], "left").groupBy("doc_id").agg(count(1, "same_place"), count(2, "same_page"), count(0, "unmatched"))
 
 
-@query("select event_type, time_bucket(interval 1 hour, ts) as start, cast(count(*) as bigint) n, round(sum(value), 4) total from events group by all")
-def stream_windows(spark, d):
-    return t(spark, d, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").alias("start"), "n", "total")
-
-
 @query()
 def stream_overlap_merge(spark, d):
     # Fragments of ten words, each of which repeats the last four of the one before, cover all words of a text.
@@ -252,7 +231,10 @@ def stream_overlap_merge(spark, d):
     return c.select("conv_id", "turn", (whole == F.col("w")).alias("whole"))
 
 
-@query("select conv_id, cast(turn as bigint) as cue, cast(30 * turn as double) as start, cast(30 * turn + 2.5 as double) as \"end\", regexp_replace(trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g')), '<[^>]*>', '', 'g') as text from conversations where turn < 100 and trim(string_split(text, chr(10))[1]) <> ''")
+@query(
+    "select * from (select conv_id, cast(turn as bigint) as cue, cast(30 * turn as double) as start, cast(30 * turn + 2.5 as double) as \"end\", "
+    "trim(regexp_replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) as text from conversations where text is not null) where text <> ''"
+)
 def captions_parse(spark, d):
     # A cue's body is all lines of a turn; a blank line would end the cue, so blank lines are left out of the file.
     body = F.array_join(F.filter(F.split("text", r"\r\n?|\n"), lambda x: x.rlike(r"\S")), "\n")

@@ -1,110 +1,11 @@
 """Queries on single texts and on dictionary terms."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import terms as J
-
-ASCII_WORD = "[A-Za-z][A-Za-z'-]*"
-#: A small dictionary of words that the corpora have (id, source, target, domain): "on" and "with" have rival targets.
-WORDS = [
-    (1, "the", "t-the", "general"), (2, "and", "t-and", "general"), (3, "that", "t-that", "general"), (4, "with", "t-with", "finance"), (5, "with", "u-with", "statistics"),
-    (6, "on", "t-on", "finance"), (7, "on", "u-on", "general"), (8, "der", "t-der", "statistics"), (9, "und", "t-und", "statistics"), (10, "les", "t-les", "finance"),
-    (11, "que", "t-que", "finance"), (12, "que", "u-que", "statistics"),
-]
-#: Domain hints (fixed for the demonstration corpora): a domain's score is how often its hints occur as substrings.
-HINTS = [("general", ("the ", "and ")), ("finance", ("tion", "ing")), ("statistics", ("der ", "ment"))]
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def terms(spark: SparkSession, d: str) -> DataFrame:
-    fixed = spark.createDataFrame(WORDS, "term_id long, source string, target string, domain string")
-    b = t(spark, d, "benchmark").select("item_id", J.tokens(F.col("text")).alias("w")).where(F.size("w") >= 2)
-    two = b.select((F.col("item_id") + 100).alias("term_id"), F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("source"), F.concat(F.lit("b"), F.col("item_id")).alias("target"), F.when(F.col("item_id") % 2 == 0, "finance").otherwise("statistics").alias("domain"))
-    return fixed.unionByName(two)
-
-
-_VALUES = ", ".join(f"({i}, '{s}', '{g}', '{m}')" for i, s, g, m in WORDS)
-TERMS_SQL = (
-    f"terms as (select * from (values {_VALUES}) v(term_id, source, target, domain) union all select item_id + 100, w[1] || ' ' || w[2], 'b' || item_id, case when item_id % 2 = 0 then 'finance' else 'statistics' end "
-    "from (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from benchmark) where len(w) >= 2)"
-)
-MATCH_SQL = TERMS_SQL + ", hits as (select doc_id, term_id, source, target, domain, cast(length(source) as bigint) score from (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' x from documents) join terms on contains(x, ' ' || source || ' '))"
-Q: dict = {}
-S: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with its DuckDB statement."""
-
-    def add(f):
-        Q[f.__name__] = f
-        if sql:
-            S[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query("with " + MATCH_SQL + " select doc_id, term_id, source, score, rank from (select *, row_number() over (partition by doc_id order by score desc, term_id) rank from hits) where rank <= 10")
-def term_longest_match_topk(spark, d):
-    return J.ranked(J.match_terms(t(spark, d, "documents"), terms(spark, d)), limit=10).select("doc_id", "term_id", "source", "score", "rank")
-
-
-@query(
-    "with " + MATCH_SQL + ", e as (select doc_id, domain, sum(score) evidence from hits group by all), m as (select * from hits join e using (doc_id, domain)), "
-    "g as (select doc_id, source, count(distinct target) targets, max(evidence) top from m group by all), k as (select m.doc_id, m.source, count(*) tops from m join g using (doc_id, source) where evidence = top group by all) "
-    "select doc_id, term_id, source, target, domain, cast(evidence as bigint) evidence from m join g using (doc_id, source) join k using (doc_id, source) where targets = 1 or (evidence = top and tops = 1)"
-)
-def term_conflict_resolution(spark, d):
-    out = J.resolved(J.match_terms(t(spark, d, "documents"), terms(spark, d)))
-    return out.select("doc_id", "term_id", "source", "target", "domain", "evidence")
-
-
-@query(
-    "with " + TERMS_SQL + ", c as (select conv_id, turn, role, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' x from conversations) "
-    "select a.conv_id, a.turn, cast(count(*) as bigint) missing from c a join terms on contains(a.x, ' ' || source || ' ') join c b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and not contains(b.x, ' ' || source || ' ') group by all"
-)
-def term_missing_review(spark, d):
-    c = t(spark, d, "conversations").withColumn("k", F.concat_ws(":", "conv_id", "turn"))
-    hits = J.match_terms(c, terms(spark, d), "k").select("k", "term_id", "source")
-    asked = c.where("role = 'user'").select("conv_id", "turn", "k").join(hits, "k").withColumn("k", F.concat_ws(":", "conv_id", F.col("turn") + 1))
-    answered = c.select("k").join(asked, "k")
-    return answered.join(hits.select("k", "source").distinct(), ["k", "source"], "left_anti").groupBy("conv_id", "turn").agg(F.count("*").alias("missing"))
-
-
-@query("with " + TERMS_SQL + " select source, cast(count(distinct target) as bigint) n_targets, min(target) target, count(distinct target) = 1 and contains(source, ' ') safe from terms group by source")
-def safe_term_index(spark, d):
-    g = terms(spark, d).groupBy("source").agg(F.countDistinct("target").alias("n_targets"), F.min("target").alias("target"))
-    return g.withColumn("safe", (F.col("n_targets") == 1) & F.contains("source", F.lit(" ")))
-
-
-@query(
-    "select p_name as name, p_brand as brand, k, row_number() over (order by k, p_brand, p_partkey) as ord from (select p_partkey, p_name, p_brand, row_number() over (partition by p_brand order by p_partkey) k from part) where k <= 8"
-)
-def hotword_round_robin(spark, d):
-    p = t(spark, d, "part").withColumn("k", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).cast("long")).where("k <= 8")
-    # At most eight rows per brand are left; their global order is a small sort.
-    return p.withColumn("ord", F.row_number().over(Window.orderBy("k", "p_brand", "p_partkey")).cast("long")).select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), "k", "ord")
-
-
-_SCORES = [(m, " + ".join(f"(length(text) - length(replace(text, '{h}', ''))) / {len(h)}" for h in hs)) for m, hs in HINTS]
-
-
-@query(
-    "select doc_id, case when general = 0 and finance = 0 and statistics = 0 then 'academic' when general >= finance and general >= statistics then 'general' when finance >= statistics then 'finance' else 'statistics' end as domain, cast(greatest(general, finance, statistics) as bigint) score from (select doc_id, "
-    + ", ".join(f"{s.replace(') /', ') //')} as {m}" for m, s in _SCORES) + " from (select doc_id, lower(text) as text from documents))"
-)
-def hint_domain_argmax(spark, d):
-    low = F.lower("text")
-    scores = [F.struct(sum(((F.length(low) - F.length(F.replace(low, F.lit(h), F.lit("")))) / len(h)).cast("long") for h in hs).alias("score"), F.lit(-i).alias("ord"), F.lit(m).alias("domain")) for i, (m, hs) in enumerate(HINTS)]
-    best = F.array_max(F.array(*scores))
-    return t(spark, d, "documents").select("doc_id", best.alias("b")).select("doc_id", F.when(F.col("b.score") == 0, "academic").otherwise(F.col("b.domain")).alias("domain"), F.col("b.score").alias("score"))
+from lectern.plans.registry import query, t
 
 
 @query(r"select doc_id, cast(len(regexp_extract_all(text, '[A-Z]{2,6}[0-9]{0,4}')) as bigint) acronyms, cast(len(regexp_extract_all(text, '\[[0-9,; -]+\]')) as bigint) citations, cast(len(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) as bigint) numbers from documents")
@@ -119,11 +20,11 @@ def mask_roundtrip_ok(spark, d):
     return x.select("doc_id", F.size("v").cast("long").alias("literals"), (X.restored(F.col("m"), F.col("v")) == F.col("text")).alias("ok"), X.omits_literal(F.col("m"), F.col("v")).alias("omits"))
 
 
-@query(r"select doc_id, md5(trim(regexp_replace(lower(strip_accents(text)), '[ \t\n\r\-]+', ' ', 'g'))) as norm from documents where lang <> 'xx'")
+@query(r"select doc_id, md5(trim(regexp_replace(lower(strip_accents(text)), '[ \t\n\r\-]+', ' ', 'g'))) as norm from documents")
 def normalize_text_collapse(spark, d):
     # Latin letters with accents, as a fixed table for translate(): no Python is needed for them.
     plain = F.translate(F.lower("text"), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return t(spark, d, "documents").where("lang <> 'xx'").select("doc_id", F.md5(F.trim(F.regexp_replace(plain, r"[ \t\n\r\-]+", " "))).alias("norm"))
+    return t(spark, d, "documents").select("doc_id", F.md5(F.trim(F.regexp_replace(plain, r"[ \t\n\r\-]+", " "))).alias("norm"))
 
 
 @query("select role, cast(count(*) as bigint) n, round(avg(case when regexp_matches(rtrim(text), '[.!?…。！？؟،;:]$') then 1.0 else 0.0 end), 6) rate from conversations group by role")
@@ -132,7 +33,7 @@ def ends_sentence_rate(spark, d):
 
 
 @query(
-    r"select doc_id, pos, cast(sum(length(s)) over (partition by doc_id order by pos) - length(s) as bigint) as start, cast(length(s) as bigint) len from (select doc_id, unnest(ss) s, cast(unnest(range(0, len(ss))) as bigint) pos from (select doc_id, regexp_extract_all(text, '[^.!?]+[.!?]*') ss from documents where n_chars < 2000))"
+    r"select doc_id, pos, cast(sum(length(s)) over (partition by doc_id order by pos) - length(s) as bigint) as start, cast(length(s) as bigint) len from (select doc_id, unnest(ss) s, cast(unnest(range(0, len(ss))) as bigint) pos from (select doc_id, regexp_extract_all(text, '[^.!?]+[.!?]*') ss from documents))"
 )
 def sentence_split_offsets(spark, d):
     s = F.regexp_extract_all("text", F.lit(r"[^.!?]+[.!?]*"), F.lit(0))
@@ -168,34 +69,11 @@ def line_blocks_policy(spark, d):
     return b.join(dense, "doc_id").groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if(keep).alias("preserved"), F.first("dense").alias("dense"))
 
 
-@query(
-    "with " + _LINES + r""", m as (select doc_id, line, regexp_replace(l, '\s+', '', 'g') c, len(regexp_extract_all(l, '[A-Za-z][A-Za-z''-]*')) words, len(regexp_extract_all(l, '[=<>^_+]')) sym, len(regexp_extract_all(l, '[()\[\]{}]')) br, len(regexp_extract_all(l, '[0-9]')) dg from lines)
-select doc_id, line, cast(sym as bigint) symbols from m where sym >= 2 and (words <= 12 or (sym * 2 + br + dg) >= 0.24 * greatest(1, length(c)))"""
-)
-def equation_like_blocks(spark, d):
-    l = F.col("l")  # noqa: E741
-    sym, words = X.count(l, "[=<>^_+]"), X.count(l, "[A-Za-z][A-Za-z'-]*")
-    mass = sym * 2 + X.count(l, r"[()\[\]{}]") + X.count(l, "[0-9]")
-    size = F.greatest(F.lit(1), F.length(F.regexp_replace(l, r"\s+", "")))
-    return lines(spark, d).where((sym >= 2) & ((words <= 12) | (mass >= 0.24 * size))).select("doc_id", "line", sym.alias("symbols"))
-
-
-@query("select doc_id, length(text) >= 70 and len(regexp_extract_all(text, '[A-Za-z]')) >= 45 and len(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]{1,}')) >= 8 prose from documents")
-def prose_detector(spark, d):
-    c = F.col("text")
-    return t(spark, d, "documents").select("doc_id", ((F.length(c) >= 70) & (X.count(c, "[A-Za-z]") >= 45) & (X.count(c, "[A-Za-z][A-Za-z'-]{1,}") >= 8)).alias("prose"))
-
-
 @query("with " + _LINES + " select cast(count(*) as bigint) n_lines, cast(count(*) filter (" + " or ".join("regexp_matches(l, '(?i)" + p.replace("'", "''") + "')" for p in X.CREDIT_LINES) + ") as bigint) n_credits from lines")
 def credit_line_filter(spark, d):
     return lines(spark, d).agg(F.count("*").alias("n_lines"), F.count_if(X.credit_line(F.col("l"))).alias("n_credits"))
 
 
-@query(r"select doc_id, len(regexp_extract_all(text, '(?i)\b(doi|et al|vol|pp)\b')) >= 2 bibliography, regexp_matches(text, '(?i)(licensed under|all rights reserved|released under)') notice from documents")
-def bibliography_metadata_flags(spark, d):
-    return t(spark, d, "documents").select("doc_id", (X.count(F.col("text"), r"(?i)\b(doi|et al|vol|pp)\b") >= 2).alias("bibliography"), F.col("text").rlike("(?i)(licensed under|all rights reserved|released under)").alias("notice"))
-
-
 _COVER = "select a.conv_id, a.turn, case when len(a.w) < 8 or len(b.w) < 8 then 0.0 else round(len(list_intersect(a.w, b.w)) / len(a.w), 6) end as coverage from c a join c b on a.conv_id = b.conv_id and b.turn = a.turn + 1"
 
 
@@ -209,30 +87,3 @@ def source_coverage_similarity(spark, d):
 @query("select source, cast(sum(ceil((n_chars + 500) / 3.8)) as bigint) tokens_in, cast(sum(ceil(n_chars / 2.4)) as bigint) tokens_out from documents group by source")
 def token_usage_estimate(spark, d):
     return t(spark, d, "documents").groupBy("source").agg(F.sum(F.ceil((F.col("n_chars") + 500) / 3.8)).cast("long").alias("tokens_in"), F.sum(F.ceil(F.col("n_chars") / 2.4)).cast("long").alias("tokens_out"))
-
-
-_KINDS = {"list": r"\*|#", "table": r"\|", "figures": "[0-9]", "shout": "[!?]"}
-
-
-@query(
-    "select doc_id, case when greatest(list_, table_, figures, shout) = 0 then 'prose' when list_ = greatest(list_, table_, figures, shout) then 'list' when table_ = greatest(table_, figures, shout) then 'table' when figures >= shout then 'figures' else 'shout' end kind from (select doc_id, "
-    + ", ".join(f"len(regexp_extract_all(text, '{p}')) as {k + '_' if k in ('list', 'table') else k}" for k, p in _KINDS.items()) + " from documents)"
-)
-def classify_document_scores(spark, d):
-    s = F.array_max(F.array(*[F.struct(X.count(F.col("text"), p).alias("score"), F.lit(-i).alias("ord"), F.lit(k).alias("kind")) for i, (k, p) in enumerate(_KINDS.items())]))
-    return t(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", F.when(F.col("s.score") == 0, "prose").otherwise(F.col("s.kind")).alias("kind"))
-
-
-@query("with " + TERMS_SQL + ", f as (select 'conflict' as failure, source as item from terms group by source having count(distinct target) > 1 union all select 'short source', source from terms where length(source) < 3 union all select 'few terms', domain from terms group by domain having count(*) < 5) select failure, item, cast(count(*) as bigint) n from f group by all")
-def glossary_gate_failures(spark, d):
-    g = terms(spark, d)
-    conflict = g.groupBy("source").agg(F.countDistinct("target").alias("n")).where("n > 1").select(F.lit("conflict").alias("failure"), F.col("source").alias("item"))
-    short = g.where(F.length("source") < 3).select(F.lit("short source").alias("failure"), F.col("source").alias("item"))
-    few = g.groupBy("domain").count().where("count < 5").select(F.lit("few terms").alias("failure"), F.col("domain").alias("item"))
-    return conflict.union(short).union(few).groupBy("failure", "item").agg(F.count("*").alias("n"))
-
-
-@query("with " + TERMS_SQL + ", f as (select source, min(term_id) term_id, min(target) target from terms group by source having count(distinct target) = 1) select term_id, '\"' || replace(source, '\"', '\"\"') || '\",\"' || replace(target, '\"', '\"\"') || '\"' as line from f")
-def csv_quoted_export(spark, d):
-    f = terms(spark, d).groupBy("source").agg(F.min("term_id").alias("term_id"), F.min("target").alias("target"), F.countDistinct("target").alias("n")).where("n = 1")
-    return f.select("term_id", F.to_csv(F.struct("source", "target"), {"quoteAll": "true", "escape": '"'}).alias("line"))

@@ -1,11 +1,9 @@
-import pandas as pd
 from pyspark.sql import functions as F
 
 from lectern.operators import providers
 from lectern.operators import sequences as O
 from lectern.operators.numbering import number_rows
 from lectern.sources.captions import origin, parse_captions
-from lectern.streaming import captions as L
 
 
 def test_captions(spark):
@@ -57,15 +55,3 @@ def test_provider_passes(spark):
     rows = spark.createDataFrame([(1, "abc"), (2, "bad"), (3, " "), (4, None)], "k int, text string")
     got = {r["k"]: (r["translation"], r["error"]) for r in providers.translate(rows, "text", "en", "zh", lambda x, s, t: [None if "bad" in y else y[::-1] for y in x]).collect()}
     assert got[1] == ("cba", None) and got[2] == ("bad", "failed") and got[3][1] is None
-
-
-def test_stream_commits_lines(spark, tmp_path):
-    src, out = tmp_path / "in", tmp_path / "ck"
-    src.mkdir()
-    rows = [(1, i, t, r) for i, (t, r) in enumerate([("the bond", 1.0), ("yields.", 1.0), ("tail", 1.0), ("", 0.0), ("y" * 170, 1.0)])]
-    spark.createDataFrame(pd.DataFrame(rows, columns=["session", "seq", "text", "rms"])).coalesce(1).write.mode("overwrite").parquet(str(src))
-    stream = spark.readStream.schema("session long, seq long, text string, rms double").parquet(str(src))
-    q = L.committed_lines(stream).writeStream.format("memory").queryName("lines").option("checkpointLocation", str(out)).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted((r["seq"], r["line"]) for r in spark.sql("select * from lines").collect())
-    assert got == L.commit("", [x[1:] for x in rows])[1] == [(1, "the bond yields."), (3, "tail"), (4, "y" * 170)]
