@@ -63,12 +63,6 @@ def overlapping_blocks(spark, d):
     return a.join(b, ["doc_id", "page", "y"]).where((F.col("la") < F.col("lb")) & (right > left)).groupBy("doc_id").agg(F.count("*").alias("n_overlaps"), F.round(F.sum(right - left), 4).alias("width"))
 
 
-@query("with " + _LINES + ", h as (select doc_id, line, l, row_number() over (partition by doc_id, l order by line) r from lines where length(l) between 1 and 60) select doc_id, line, substr(l, 1, 180) title from h where r = 1")
-def outline_headings(spark, d):
-    h = lines(spark, d).where(F.length("l").between(1, 60))
-    return h.groupBy("doc_id", "l").agg(F.min("line").alias("line")).select("doc_id", "line", F.substring("l", 1, 180).alias("title"))
-
-
 @query("with " + _LINES + " select doc_id, case when sum(length(l)) < 200 then '' else sha256(string_agg(trim(regexp_replace(l, '\\s+', ' ', 'g')), chr(10) order by line)) end signature from lines where length(l) >= 8 and not regexp_matches(l, '(?i)(licensed|released under|all rights)') group by doc_id")
 def stable_signature(spark, d):
     kept = lines(spark, d).where((F.length("l") >= 8) & ~F.col("l").rlike("(?i)(licensed|released under|all rights)"))

@@ -174,13 +174,6 @@ def json_props_path(spark, d):
     return t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.get_json_object("props", "$.k")).alias("n_k"), F.sum(F.length("props")).alias("chars"))
 
 
-@query("select conv_id, md5(string_agg('### ' || lpad(cast(turn + 1 as varchar), 4, '0') || ' ' || role || chr(10) || text, chr(10) order by turn)) as doc from conversations group by conv_id")
-def markdown_export(spark, d):
-    row = F.concat(F.lit("### "), F.lpad((F.col("turn") + 1).cast("string"), 4, "0"), F.lit(" "), F.col("role"), F.lit("\n"), F.col("text"))
-    g = t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", row.alias("row")))).alias("rows"))
-    return g.select("conv_id", F.md5(F.array_join(F.col("rows.row"), "\n")).alias("doc"))
-
-
 @query(
     "with " + _LINES + ", c as (select doc_id, l, count(*) n from lines where l <> '' group by all), z as (select doc_id, sum(n * length(l)) chars, sum(n) blocks from c group by 1), "
     "m as (select x.doc_id a, y.doc_id b, sum(least(x.n, y.n) * length(x.l)) common from c x join c y on y.l = x.l and x.doc_id < y.doc_id group by all), "
