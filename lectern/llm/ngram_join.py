@@ -49,8 +49,8 @@ PART, GROUP, QUERIES = 1 << 17, 1 << 18, 1 << 19
 HASHES = 4
 #: Share of the needed overlap (in hundredths) that is looked up in the index.
 LOOKED_UP = 25
-#: Characters per batch.
-BATCH = 1 << 22
+#: Characters per batch, and per slice of it that is hashed at once.
+BATCH, PIECE = 1 << 21, 1 << 18
 #: Leaders of a part that a class is compared with before it leads one of its own.
 LEADERS = 8
 TOKEN = np.uint64((1 << 48) - 1)
@@ -87,6 +87,21 @@ def _batches(pdfs: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndar
         yield np.array(ids, np.int64), np.array(given, np.uint8), texts
 
 
+def _hashed(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """shingles() of slices of PIECE characters: what it holds per byte stays small beside what it gives."""
+    parts, some, held = [], [], 0
+    for t in texts:
+        some.append(t)
+        held += len(t or "")
+        if held > PIECE:
+            parts.append(shingles(some))
+            some, held = [], 0
+    parts.append(shingles(some))
+    first = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(np.concatenate([np.diff(f) for _, f in parts]), out=first[1:])
+    return np.concatenate([h for h, _ in parts]), first
+
+
 def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A 64-bit name of each set: sums of mixed tokens, mixed with the size; 0 for the empty set."""
     s = np.zeros(len(h) + 1, np.uint64)
@@ -125,7 +140,7 @@ def _post(docs: DataFrame, n_buckets: int) -> DataFrame:
         base = TaskContext.get().partitionId() << 32
         for k, (ids, given, texts) in enumerate(_batches(pdfs)):
             batch = base + k
-            h, first = shingles(texts)
+            h, first = _hashed(texts)
             n, sig = np.diff(first), signatures(h, first)
             rows = [(batch % n_buckets, batch, DOCS, ids.tobytes() + given.tobytes(), n.astype("<i8").tobytes(), sig.tobytes())]
             _, one = np.unique(sig, return_index=True)
