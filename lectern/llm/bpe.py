@@ -27,8 +27,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Chunks between spaces that a worker remembers; beyond it the memory starts anew, and results stay the same.
-REMEMBERED = 600_000
+#: Chunks between spaces that a worker remembers, and their characters; beyond either the memory starts anew, and results
+#: stay the same.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 4_000_000
 #: Symbols above which a word is merged by a heap rather than in rounds.
 LONG_WORD = 400
 #: White_Space of Unicode (fixed values).
@@ -43,9 +44,27 @@ def byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+#: Letters that Unicode 16 and 17 added and the library knows, where Python's database is older; and the lower case of those
+#: that are capitals, by the first and last of a run (fixed values).
+LATER_LETTERS = "1C89-1C8A A7CB-A7CE A7D2 A7D4 A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 16EA0-16EB8 18CFF 1E5D0-1E5ED 1E5F0"
+LATER_CAPITALS = "1C89>1C8A A7CB>264 A7CC>A7CD A7CE>A7CF A7D2>A7D3 A7D4>A7D5 A7DA>A7DB A7DC>19B 10D50-10D65>10D70 16EA0-16EB8>16EBB"
+
+
+def _runs(text: str) -> list[tuple[int, int]]:
+    return [(int(a, 16), int(z or a, 16)) for a, _, z in (x.partition("-") for x in text.split())]
+
+
+LOWER = {a + i: int(to, 16) + i for run, _, to in (x.partition(">") for x in LATER_CAPITALS.split()) for a, z in _runs(run) for i in range(z - a + 1)}
+_CAPITAL = re.compile("[" + "".join(map(chr, LOWER)) + "]")
+
+
+def lower(text: str) -> str:
+    """Lower case as the library has it."""
+    return (text.translate(LOWER) if not text.isascii() and _CAPITAL.search(text) else text).lower()
+
+
 def _classes() -> tuple[str, str]:
-    """Regular expression classes of letters and of numbers, from Python's Unicode database: letters that later versions
-    of Unicode assign count as other characters."""
+    """Regular expression classes of letters and of numbers, from Python's Unicode database and LATER_LETTERS."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
     out = []
     for kind in "LN":
@@ -59,7 +78,7 @@ def _classes() -> tuple[str, str]:
                 start = None
             last = c
         out.append("".join(runs))
-    return out[0], out[1]
+    return out[0] + "".join(f"{chr(a)}-{chr(z)}" for a, z in _runs(LATER_LETTERS)), out[1]
 
 
 class WordBPE:
@@ -89,6 +108,7 @@ class WordBPE:
         self.inner = np.array([self.vocab[s] for s in symbols], np.int64)
         self.final = np.array([self.vocab[s + self.suffix] for s in symbols], np.int64)
         self.known: dict[str, tuple[str, str, int]] = {}
+        self.known_chars = 0
 
     def chunks(self, text: str) -> list[str]:
         """A text without special tokens, normalised and cut at white space. No word of the split pattern crosses white
@@ -96,7 +116,7 @@ class WordBPE:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # Capital sigma becomes the plain small one wherever it stands; str.lower would look at its place in the word.
-        text = text.replace("Σ", "σ").lower()
+        text = lower(text.replace("Σ", "σ"))
         if self.separators.search(text):  # str.split takes these for white space, Unicode doesn't
             return [c for c in self.spaces.split(text) if c]
         return text.split()
@@ -210,13 +230,15 @@ class WordBPE:
     def batch(self, texts: list[str | None]) -> Iterator[list[tuple[str, str, int]]]:
         """For each text, (ids, token strings, count) of each of its chunks that has tokens."""
         split = [self.split(t) for t in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.known_chars > REMEMBERED_CHARS:
             self.known.clear()
+            self.known_chars = 0
         new = set().union(*split).difference(self.known)
         for i in [c for c in new if isinstance(c, int)]:
             self.known[i] = (str(i), self.strings[i], 1)
             new.discard(i)
         if new:
+            self.known_chars += sum(map(len, new))
             self.learn(new)
         known = self.known
         for s in split:

@@ -25,14 +25,17 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(said(F.filter("pii", lambda x: x["kind"].isin(*BASE))), 256).alias("base_sha256"), said(F.col("pii")).alias("spans"))
 
 
-#: Where the public tokenizer files are; a parameter of every function that reads one.
-TOKENIZERS = "/opt/tokenizers"
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is; a parameter of every function that reads one."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.bpe import round_trip_digests
 
-    return round_trip_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
