@@ -16,7 +16,7 @@ from lectern.llm.mixing import mix_sources
 from lectern.llm.ngram_join import ngram_jaccard
 from lectern.llm.pii import find_pii, redact
 from lectern.llm.quality_rules import quality_rules
-from lectern.llm.queries import TOKENIZERS
+from lectern.llm.queries import tokenizer_file
 
 #: Seed and size of the mix, as a multiple of the characters that reach it.
 SEED, EPOCHS = 17, 1.0
@@ -54,7 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document's ids and of the text decoded from them."""
-    return round_trip_digests(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return round_trip_digests(docs, tokenizer_file("word_bpe_49k.json"))
 
 
 STAGES = [("quality_rules", rules), ("ngram_jaccard", near_duplicates), ("pii", personal_data), ("mix_sources", mix), ("bpe", tokens)]
