@@ -4,9 +4,10 @@ The writer makes MPEG-1 layer III frames (mono, 48 kHz, 80 kbit/s: 240 bytes) th
 information claims no main data, so the rest of each frame is ancillary data, of which 192 bytes are payload. Before
 them stand an ID3v2 tag and an Info frame with the frame count, the byte count and a seek table.
 
-The reader is general: it skips ID3v2 and ID3v1 tags, resynchronises on frame headers after garbage, reads Xing, Info
-and VBRI tables, verifies the CRC-16 of protected frames, and reports exact durations (samples over the sampling rate)
-and the byte offset of every frame.
+The reader is general: it reads the text fields of ID3v2 and ID3v1 tags, resynchronises on frame headers after garbage,
+reads the counts and seek tables of Xing, Info and VBRI frames, verifies the CRC-16 of protected frames (layers I and III;
+it has not the tables that layer II needs), and reports exact durations (samples over the sampling rate) and the byte offset
+of every frame. Streams of free format are passed over as garbage.
 
 Defined results: a null or empty text becomes one unit of spaces; texts of any length are stored whole, frame by frame
 in numpy; equal texts give equal bytes; other columns stay; an empty table gives an empty table.
@@ -100,7 +101,14 @@ class Stream:
     skipped: int = 0
     table: str = ""
     table_frames: int = 0
+    table_bytes: int = 0
+    #: Byte positions that the table gives, from the stream's first frame: at each hundredth (Xing, Info), or after each
+    #: `table_step` frames (VBRI).
+    table_seek: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    table_step: int = 0
     tags: list[str] = field(default_factory=list)
+    #: Text fields of the tags by name; the first of a name counts.
+    texts: dict[str, str] = field(default_factory=dict)
 
     @property
     def duration_us(self) -> int:
@@ -124,16 +132,91 @@ def parse_header(b: bytes) -> tuple[int, int, int, int, int, bool] | None:
     return samples // 8 * 1000 * kbit // hz + pad, samples, hz, side, layer, not b[1] & 1
 
 
+def _synchsafe(b: bytes) -> int:
+    return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
+
+
+def _id3v2(body: bytes, version: int, texts: dict[str, str]) -> None:
+    """Text frames of an ID3v2 tag (versions 3 and 4); others are passed over, a broken rest is left."""
+    at = 0
+    while at + 10 <= len(body) and body[at : at + 4].strip(b"\0").isalnum():
+        name = body[at : at + 4].decode("latin-1")
+        size = _synchsafe(body[at + 4 : at + 8]) if version == 4 else struct.unpack(">I", body[at + 4 : at + 8])[0]
+        value = body[at + 10 : at + 10 + size]
+        if name[0] == "T" and value and value[0] < 4 and name != "TXXX":
+            form = ("latin-1", "utf-16", "utf-16-be", "utf-8")[value[0]]
+            texts.setdefault(name, value[1:].decode(form, "replace").rstrip("\0"))
+        at += 10 + size
+
+
+#: Fields of an ID3v1 tag: frame name of the same meaning, first and last byte.
+ID3V1 = (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93), ("TYER", 93, 97))
+
+
+def _table(frame: bytes, begin: int, out: Stream) -> bool:
+    """Whether a first frame is a table frame; what it says goes into the stream."""
+    kind = frame[begin : begin + 4]
+    if kind in (b"Xing", b"Info"):
+        flags = struct.unpack(">I", frame[begin + 4 : begin + 8])[0]
+        at = begin + 8
+        out.table = kind.decode()
+        if flags & 1:
+            out.table_frames, at = struct.unpack(">I", frame[at : at + 4])[0], at + 4
+        if flags & 2:
+            out.table_bytes, at = struct.unpack(">I", frame[at : at + 4])[0], at + 4
+        if flags & 4 and len(frame) >= at + 100:
+            out.table_seek = np.frombuffer(frame, np.uint8, 100, at).astype(np.int64) * out.table_bytes // 256
+        return True
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        out.table = "VBRI"
+        out.table_bytes, out.table_frames = struct.unpack(">II", frame[46:54])
+        entries, scale, width, out.table_step = struct.unpack(">HHHH", frame[54:62])
+        raw = np.frombuffer(frame[62 : 62 + entries * width], np.uint8)
+        if 1 <= width <= 4 and len(raw) == entries * width:
+            sizes = (raw.reshape(entries, width).astype(np.int64) << (8 * np.arange(width)[::-1])).sum(axis=1) * scale
+            out.table_seek = np.cumsum(sizes)
+        return True
+    return False
+
+
+def _same_headers(whole: np.ndarray, at: int, size: int, most: int) -> int:
+    """How many frames of one size in a row have the first one's header; looked at in growing blocks, so that the work
+    follows the run."""
+    n, block, head = 1, 16, whole[at : at + 4]
+    while n < most:
+        k = min(block, most - n)
+        same = (whole[at + n * size : at + (n + k) * size].reshape(k, size)[:, :4] == head).all(axis=1)
+        if not same.all():
+            return n + int(np.argmin(same))
+        n, block = n + k, 2 * block
+    return n
+
+
+def _covered(header: bytes, layer: int, side: int) -> int:
+    """Bytes after the checksum that it covers; -1 in layer II, whose tables of bits this reader does not have."""
+    if layer == 3:
+        return side
+    if layer == 2:
+        return -1
+    mode, bound = header[3] >> 6, 4 * (header[3] >> 4 & 3) + 4
+    return 16 if mode == 3 else 32 if mode != 1 else (bound * 2 + 32 - bound) // 2
+
+
 def read_stream(data: bytes) -> Stream:
     """Parses a whole stream. A header counts if the stream ends after its frame or another header follows there."""
     at, end, out = 0, len(data), Stream(np.zeros(0, np.int64))
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
-        s = data[at + 6 : at + 10]
-        at += 10 + (s[0] << 21 | s[1] << 14 | s[2] << 7 | s[3]) + (10 if data[at + 5] & 16 else 0)
+        size = _synchsafe(data[at + 6 : at + 10])
+        _id3v2(data[at + 10 : at + 10 + size], data[at + 3], out.texts)
+        at += 10 + size + (10 if data[at + 5] & 16 else 0)
         out.tags.append("ID3v2")
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         out.tags.append("ID3v1")
+        for name, a, z in ID3V1:
+            value = data[end + a : end + z].split(b"\0")[0].decode("latin-1").strip()
+            if value:
+                out.texts.setdefault(name, value)
     whole = np.frombuffer(data, np.uint8)
     parts: list[np.ndarray] = []
     first = True
@@ -145,31 +228,20 @@ def read_stream(data: bytes) -> Stream:
             at = nxt if nxt >= 0 else end
             continue
         size, samples, hz, side, layer, protected = h
-        # A run of frames with one header and one length is read at once.
-        most = (end - at) // size
-        rows = whole[at : at + most * size].reshape(most, size)
-        same = (rows[:, :4] == rows[0, :4]).all(axis=1)
-        n = most if same.all() else int(np.argmin(same))
-        begin = 4 + 2 * protected + side
-        kind = bytes(rows[0, begin : begin + 4])
-        vbri = bytes(rows[0, 36:40]) == b"VBRI" if size >= 62 else False
-        if first and (kind in (b"Xing", b"Info") or vbri):
-            out.table = "VBRI" if vbri else kind.decode()
-            if vbri:
-                out.table_frames = struct.unpack(">I", bytes(rows[0, 50:54]))[0]
-            elif rows[0, begin + 7] & 1:
-                out.table_frames = struct.unpack(">I", bytes(rows[0, begin + 8 : begin + 12]))[0]
-            n, counted = 1, 0
-        else:
+        table = first and layer == 3 and _table(data[at : at + size], 4 + 2 * protected + side, out)
+        n = 1 if table else _same_headers(whole, at, size, (end - at) // size)
+        rows = whole[at : at + n * size].reshape(n, size)
+        if not table:
             parts.append(at + np.arange(n, dtype=np.int64) * size)
-            counted = n
-        if protected and layer == 3:
-            covered = np.ascontiguousarray(rows[:n, np.r_[2:4, 6 : 6 + side]])
-            kinds, count = np.unique(np.concatenate([covered, rows[:n, 4:6]], axis=1), axis=0, return_counts=True) if n > 1 and (rows[:n, : 6 + side] != rows[0, : 6 + side]).any() else (np.concatenate([covered[:1], rows[:1, 4:6]], axis=1), np.array([n]))
-            good = [crc16(k[:-2].tobytes()) == int(k[-2]) << 8 | int(k[-1]) for k in kinds]
+            out.samples += n * samples
+        covered = _covered(data[at : at + 4], layer, side) if protected else -1
+        if covered >= 0 and size >= 6 + covered:
+            block = rows[:, : 6 + covered]
+            kinds, count = (block[:1], np.array([n])) if (block == block[0]).all() else np.unique(block, axis=0, return_counts=True)
+            good = np.array([crc16(k[2:4].tobytes() + k[6:].tobytes()) == int(k[4]) << 8 | int(k[5]) for k in kinds])
             out.checked += n
-            out.failed += int(count[~np.array(good)].sum())
-        out.rate, out.samples, first = hz, out.samples + counted * samples, False
+            out.failed += int(count[~good].sum())
+        out.rate, first = hz, False
         at += n * size
     out.skipped += max(0, end - at)
     out.offsets = np.concatenate(parts) if parts else out.offsets
@@ -191,7 +263,7 @@ def _row(text: str | None) -> tuple:
     s = read_stream(media)
     back = payload_from(media, s)
     seek = hashlib.sha256(s.offsets.astype("<i8").tobytes()).hexdigest()[:16]
-    feature = f"frames={len(s.offsets)};samples={s.samples};rate={s.rate};duration_us={s.duration_us};crc={s.checked - s.failed}/{s.checked};skipped={s.skipped};table={s.table}:{s.table_frames};first={int(s.offsets[0])};seek={seek}"
+    feature = f"frames={len(s.offsets)};samples={s.samples};rate={s.rate};duration_us={s.duration_us};crc={s.checked - s.failed}/{s.checked};skipped={s.skipped};table={s.table}:{s.table_frames}:{s.table_bytes}:{len(s.table_seek)};by={s.texts.get('TSSE', '')};first={int(s.offsets[0])};seek={seek}"
     return n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, s.offsets
 
 
