@@ -38,7 +38,10 @@ RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "if
 ASIDE = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "figcaption"} - {"figcaption"}
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 #: Words of a class or id that mark other than main text.
-ASIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|header|cookies?|consent|notices?|newsletter|subscribe|comments?|replies|discussion|respond|share|social|related|recommended|popup|modal|widget|pagination|pager|login|signup)(?:$|[\s_-])", re.I)
+ASIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|cookies?|consent|newsletter|subscribe|comments?|recommended|popup|modal|pagination|pager|login|signup)(?:$|[\s_-])", re.I)
+#: Words that mark other text only where all other parts of the name are neutral: "share-bar" is one, "share-price" is not.
+UNSURE = frozenset("side header notice notices replies discussion respond share social related widget".split())
+NEUTRAL = frozenset("site page top bottom left right global main primary secondary box bar list section area wrap wrapper container block link links button buttons item items inner outer panel form tools posts articles stories media icons".split())
 MAIN = {"article", "main"}
 #: Elements that begin and end a block.
 BLOCK = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "table", "tr", "td", "th", "caption", "thead", "tbody", "section", "article", "main", "figure", "figcaption", "hr", "address", "body", "html", "details", "summary", "fieldset"} | ASIDE
@@ -53,6 +56,17 @@ OPEN, INSIDE, OUTSIDE = 0, 1, 2
 MIX = np.random.default_rng(1).integers(0, 1 << 63, RUN + 1, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _marks_aside(names: str) -> bool:
+    """Whether a class or id says that an element is beside the main text."""
+    if ASIDE_WORDS.search(names):
+        return True
+    for name in names.lower().split():
+        parts = [p for p in re.split("[_-]", name) if p and not p.isdigit()]
+        if any(p in UNSURE for p in parts) and all(p in UNSURE or p in NEUTRAL for p in parts):
+            return True
+    return False
+
+
 def _aside(name: str, attributes: str, in_main: bool) -> bool:
     if name in ASIDE:
         return not (name == "header" and in_main)  # an article's own header has its title
@@ -61,7 +75,7 @@ def _aside(name: str, attributes: str, in_main: bool) -> bool:
     said = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)}
     if name in MAIN or name in ("body", "html"):
         return False
-    return said.get("role", "").lower() in ASIDE_ROLES or said.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes)) or any(ASIDE_WORDS.search(said[k]) for k in ("class", "id") if k in said)
+    return said.get("role", "").lower() in ASIDE_ROLES or said.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes)) or any(_marks_aside(said[k]) for k in ("class", "id") if k in said)
 
 
 def _main(name: str, attributes: str) -> bool:
@@ -148,16 +162,17 @@ def repeated_runs(streams: list[list[int]], pages_of: list[int], run: int = RUN,
     lengths = np.array([len(s) + 1 for s in streams])
     text = np.concatenate([np.array([*s, 0], np.int64) for s in streams])
     owner = np.repeat(np.arange(len(streams)), lengths)
-    # Bytes of the tokens' numbers, most significant first: the induced sort works on small symbols.
-    wide = np.stack([text >> 16 & 255, text >> 8 & 255, text & 255], axis=1).astype(np.uint8).ravel()
-    sa = suffix_array(wide, 3 * run)
-    shared = permuted_prefixes(wide, sa, 3 * run)
-    group = np.cumsum(shared[sa] < 3 * run)
+    # Bytes of the tokens' numbers, most significant first, as many as the largest needs: the induced sort works on small symbols.
+    b = max(3, (int(text.max()).bit_length() + 7) // 8)
+    wide = np.stack([text >> 8 * k & 255 for k in reversed(range(b))], axis=1).astype(np.uint8).ravel()
+    sa = suffix_array(wide, b * run)
+    shared = permuted_prefixes(wide, sa, b * run)
+    group = np.cumsum(shared[sa] < b * run)
     left = np.repeat(np.cumsum(lengths), lengths) - 1 - np.arange(len(text))
     page = np.array(pages_of)[owner]
     whole = np.concatenate(([True], text[:-1] == 0)) & (left < run) & (left > 0)  # a short block agrees up to its 0
-    use = (sa % 3 == 0) & ((left[sa // 3] >= run) | whole[sa // 3])
-    at, group = sa[use] // 3, group[use]
+    use = (sa % b == 0) & ((left[sa // b] >= run) | whole[sa // b])
+    at, group = sa[use] // b, group[use]
     if len(at):
         short = whole[at]
         if short.any():  # such blocks are equal if all their tokens and the 0 are: grouped by content
@@ -205,7 +220,7 @@ def host_texts(pages: list[list[tuple[int, str]]], known: np.ndarray | None = No
                 at[i, j] = len(streams)
                 streams.append([number.setdefault(t, len(number) + 1) for t in text.split()])
                 page_of.append(page)
-    covered = repeated_runs(streams, page_of) if streams and len(number) < 1 << 24 else [np.zeros(len(s), bool) for s in streams]
+    covered = repeated_runs(streams, page_of) if streams else []
     if streams and known is not None and len(known):
         owner, first, size, hashed = run_hashes(streams, number)
         hit = np.isin(hashed, known)
@@ -219,8 +234,14 @@ def host_texts(pages: list[list[tuple[int, str]]], known: np.ndarray | None = No
     return out
 
 
-def _joined(found: list[tuple[int, str]]) -> str:
-    return "\x00".join(t.replace("\x00", "") for _, t in found)
+def _joined(found: list[tuple[int, str]]) -> tuple[str, bytes]:
+    """The texts of blocks as one, and the length of each: no character is a separator."""
+    return "".join(t for _, t in found), np.array([len(t) for _, t in found], "<i4").tobytes()
+
+
+def _apart(texts: str | None, sizes: bytes) -> list[str]:
+    ends = np.cumsum(np.frombuffer(sizes, "<i4")).tolist()
+    return [texts[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
 def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -228,8 +249,8 @@ def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.drop_duplicates("page")
     number: dict[str, int] = {}
     streams, page_of = [], []
-    for page, texts in zip(pdf["page"], pdf["texts"], strict=True):
-        for t in texts.split("\x00") if texts else []:
+    for page, texts, sizes in zip(pdf["page"], pdf["texts"], pdf["sizes"], strict=True):
+        for t in _apart(texts, sizes):
             streams.append([number.setdefault(w, len(number) + 1) for w in t.split()])
             page_of.append(page)
     host, part, n = pdf["host"].iloc[0], pdf["part"].iloc[0], int(pdf["parts"].iloc[0])
@@ -275,30 +296,33 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
             for i in range(0, len(pdf), 200):
                 part = pdf.iloc[i : i + 200]
                 found = [blocks(t) if isinstance(t, str) else [] for t in part["html"]]
-                yield part[["id", "url", "host", "part"]].assign(kinds=[bytes(k for k, _ in f) for f in found], texts=[_joined(f) for f in found])
+                joined = [_joined(f) for f in found]
+                yield part[["id", "url", "host", "part"]].assign(kinds=[bytes(k for k, _ in f) for f in found], texts=[t for t, _ in joined], sizes=[n for _, n in joined])
 
     def scan_runs(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             for i in range(0, len(pdf), 200):
                 part = pdf.iloc[i : i + 200]
                 found = [blocks(t) if isinstance(t, str) else [] for t in part["html"]]
-                names = [hashlib.blake2b(bytes(k for k, _ in f) + b"\x00" + _joined(f).encode("utf-8", "surrogatepass"), digest_size=8).digest() for f in found]
-                yield part[["host", "part", "parts"]].assign(page=np.frombuffer(b"".join(names), np.int64), texts=[_joined([x for x in f if x[0] != INSIDE]) for f in found])
+                whole = [(bytes(k for k, _ in f), *_joined(f)) for f in found]
+                names = [hashlib.blake2b(kinds + sizes + text.encode("utf-8", "surrogatepass"), digest_size=8).digest() for kinds, text, sizes in whole]
+                joined = [_joined([x for x in f if x[0] != INSIDE]) for f in found]
+                yield part[["host", "part", "parts"]].assign(page=np.frombuffer(b"".join(names), np.int64), texts=[t for t, _ in joined], sizes=[n for _, n in joined])
 
     def group(pdf: pd.DataFrame, known: np.ndarray | None = None) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        own = [list(zip(k, t.split("\x00"), strict=True)) if len(k) else [] for k, t in zip(pdf["kinds"], pdf["texts"], strict=True)]
+        own = [list(zip(k, _apart(t, n), strict=True)) for k, t, n in zip(pdf["kinds"], pdf["texts"], pdf["sizes"], strict=True)]
         done = host_texts(own, known)
         return pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": [t for t, _ in done], "n_chars": [len(t) for t, _ in done], "n_repeated": [n for _, n in done]})
 
     kind = pages.select(f"`{key}`").schema[0].dataType.simpleString()
-    scanned = dealt.select("id", "url", "html", "host", "part").mapInPandas(scan, f"id {kind}, url string, host string, part long, kinds binary, texts string").groupBy("host", "part")
+    scanned = dealt.select("id", "url", "html", "host", "part").mapInPandas(scan, f"id {kind}, url string, host string, part long, kinds binary, texts string, sizes binary").groupBy("host", "part")
     result = f"id {kind}, url string, text string, n_chars long, n_repeated long"
     if parts.isEmpty():
         out = scanned.applyInPandas(lambda pdf: group(pdf), result)
     else:
         # Pages of such hosts are scanned twice: that takes less disk than a table of their blocks.
-        runs = dealt.where("parts > 1").select("html", "host", "part", "parts").mapInPandas(scan_runs, "host string, part long, parts long, page long, texts string")
+        runs = dealt.where("parts > 1").select("html", "host", "part", "parts").mapInPandas(scan_runs, "host string, part long, parts long, page long, texts string, sizes binary")
         asked = runs.groupBy("host", "part").applyInPandas(_ask, "host string, part long, bucket long, runs binary")
         known = asked.groupBy("host", "bucket").applyInPandas(_answer, "host string, part long, known binary")
         out = scanned.cogroup(known.groupBy("host", "part")).applyInPandas(lambda pdf, k: group(pdf, np.frombuffer(b"".join(k["known"]), np.uint64)), result)

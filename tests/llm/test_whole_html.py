@@ -44,3 +44,15 @@ def test_parts_of_a_host_change_no_result(spark, monkeypatch):
     monkeypatch.setattr(html_text, "PART", 1500)
     got.append(sorted(tuple(r) for r in html_text.main_text(df).collect()))
     assert got[0] == got[1] and sum(r[-1] for r in got[0]) > 1000
+
+
+def test_no_character_is_lost_and_names_are_read_whole(spark):
+    rows = [
+        (1, "http://a.b/", "<article><p>a\x00b</p><p>c\x01d</p></article>"),
+        (2, "http://a.b/", '<article><p>first</p><div class="share-price">Shares rose</div><div class="share-bar">Share this</div><p class="header">no</p><div id=side_2>x</div><div class="country-side">hills</div></article>'),
+        (3, "http://a.b/", "<article>" + "<p>long text of words </p>" * 50_000 + "</article>"),
+    ]
+    got = texts(spark, rows + rows[:1])
+    assert got[1] == "a\x00b\nc\x01d" and got[2] == "first\nShares rose\nhills" and got[3].count("\n") == 49_999
+    extra = spark.createDataFrame([(1, "http://a.b/", "<main>x</main>", "p", 1)], "page_id long, url string, html string, part string, host int")
+    assert html_text.main_text(extra).first()["text"] == "x" and html_text.main_text(extra.limit(0)).count() == 0
