@@ -2,12 +2,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.shared import discard, shared_dir, written  # noqa: F401
+
 #: ASCII white space: the separators of words.
 SPACES = " \t\n\x0b\x0c\r"
 #: The same as a regular expression class for Java and RE2.
@@ -20,8 +20,6 @@ ARROW_ROWS = "1000"
 
 #: Rows of two numbers that are broadcast, counted first: 2 MB.
 SMALL_ROWS = 100_000
-#: Folders that this process has made.
-_ours: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,46 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder in the cluster's shared one; it goes when the driver ends. On one machine (local mode,
-    tests) an unset folder is a temporary one; on a cluster it must be set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    own = f"{where.rstrip('/')}/lectern-{spark.sparkContext.applicationId}"
-    if own not in _ours:
-        _ours.add(own)
-        path, fs = _hadoop(spark, own)
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-    return own
-
-
-def _hadoop(spark: SparkSession, where: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends here, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
-    for df in tables:
-        path, fs = _hadoop(df.sparkSession, df._written_to)
-        fs.delete(path, True)
-
-
 def replayable(df: DataFrame) -> DataFrame:
     """df if it only reads, filters and projects files, so that each attempt of a task sees the same rows in the same
     order; otherwise written as a table first."""
