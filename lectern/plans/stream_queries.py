@@ -34,7 +34,7 @@ _STEP = "case when quiet then '' when t = '' or dropped then pending when done t
 
 
 @query(
-    "with recursive c as (select conv_id as session, turn as seq, trim(substr(trim(text), 1, 60)) as t, turn % 7 = 6 as quiet, false as dropped, row_number() over (partition by conv_id order by turn) r from conversations), "
+    "with recursive c as (select conv_id as session, turn as seq, regexp_replace(substr(trim(text), 1, 60), '^\\s+|\\s+$', '', 'g') as t, turn % 7 = 6 as quiet, false as dropped, row_number() over (partition by conv_id order by turn) r from conversations), "
     "j as (select *, t as joined, t <> '' and not quiet and (regexp_matches(t, '[.!?…。！？؟،;:]$') or length(t) >= 160) as done, '' as pending, null::varchar as line from c where r = 1), "
     f"f as (select session, r, {_STEP} as pending, case when quiet then nullif(pending, '') when done then joined end as line, seq from j union all "
     f"select x.session, x.r, {_STEP}, case when quiet then nullif(pending, '') when done then joined end, seq from (select y.*, t <> '' and not quiet and (regexp_matches(joined, '[.!?…。！？؟،;:]$') or length(joined) >= 160) as done from (select c.*, f.pending, trim(f.pending || ' ' || c.t) as joined from f join c on c.session = f.session and c.r = f.r + 1) y) x) "
