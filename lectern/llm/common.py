@@ -57,17 +57,17 @@ def buckets(df: DataFrame, mb: int = 16) -> int:
     return least if size >= 1 << 52 else max(least, math.ceil(size / (mb << 20)))
 
 
-def smallest_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
+def smallest_by_hash(df: DataFrame, key: str, rows: int, text: str = "text") -> DataFrame:
     """The rows whose keys have the `rows` smallest hashes: the same sample whatever the partitioning. Only hashes are
     sorted; the rows themselves are filtered where they stand. Where many rows have one key (or none), so that more than
-    twice as many would come, they are thinned by the hash of their place to about `rows`."""
+    twice as many would come, they count once for each text and are thinned to about `rows` by the hash of key and text."""
     h = F.xxhash64(key)
     cut = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     if cut is None:
         return df.where(F.lit(False))
-    some = df.where(h <= cut)
-    found = some.select(F.lit(1)).count()
-    if found <= 2 * rows:
+    some, content = df.where(h <= cut), F.xxhash64(key, text)
+    if some.select(F.lit(1)).count() <= 2 * rows:
         return some
-    share = F.lit(rows / found)
-    return some.withColumn("_place", F.monotonically_increasing_id()).where(F.pmod(F.xxhash64("_place"), F.lit(1 << 20)) < share * (1 << 20)).drop("_place")
+    found = some.select(content.alias("h")).distinct().count()
+    thin = some.where(F.pmod(F.xxhash64(F.lit("thin"), content), F.lit(1 << 20)) < F.lit(min(1.0, rows / found)) * (1 << 20))
+    return thin.withColumn("_content", content).dropDuplicates(["_content"]).drop("_content")

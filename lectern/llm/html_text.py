@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,12 +34,12 @@ from lectern.llm.common import written
 from lectern.llm.suffix_array import permuted_prefixes, suffix_array
 
 #: Elements whose content is never text.
-RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "select", "title", "head"}
+RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "select", "title"}
 #: Elements that hold no main text, by name and by role.
-ASIDE = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "figcaption"} - {"figcaption"}
+ASIDE = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog"}
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
-#: Words of a class or id that mark other than main text.
-ASIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|cookies?|consent|newsletter|subscribe|comments?|recommended|popup|modal|pagination|pager|login|signup)(?:$|[\s_-])", re.I)
+#: Parts of a class or id that mark other than main text; "navy" and "menuetto" are none.
+ASIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertis(?:ing|ements?)|sponsor(?:s|ed)?|promos?|promotion(?:s|al)?|banner|navs?|navbar|navigation|menus?|menubar|breadcrumbs?|sidebar|footer|cookies?|consent|newsletter|subscribe|comments?|recommended|popup|modal|pagination|pager|login|signup)(?:$|[\s_-])", re.I)
 #: Words that mark other text only where all other parts of the name are neutral: "share-bar" is one, "share-price" is not.
 UNSURE = frozenset("side header notice notices replies discussion respond share social related widget".split())
 NEUTRAL = frozenset("site page top bottom left right global main primary secondary box bar list section area wrap wrapper container block link links button buttons item items inner outer panel form tools posts articles stories media icons".split())
@@ -46,8 +47,10 @@ MAIN = {"article", "main"}
 #: Elements that begin and end a block.
 BLOCK = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "table", "tr", "td", "th", "caption", "thead", "tbody", "section", "article", "main", "figure", "figcaption", "hr", "address", "body", "html", "details", "summary", "fieldset"} | ASIDE
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: A value's quote that is never closed is no quote: its tag ends at the next ">". No alternative gives back what it took.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"(?<![A-Za-z-])([A-Za-z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+QUOTED = re.compile(r"\"[^\"]*+\"|'[^']*+'")
 SPACE = re.compile(r"\s+")
 #: Tokens of a repeated run, distinct pages it stands on, and characters of html per part of a host.
 RUN, PAGES, PART = 6, 2, 8 << 20
@@ -75,7 +78,7 @@ def _aside(name: str, attributes: str, in_main: bool) -> bool:
     said = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)}
     if name in MAIN or name in ("body", "html"):
         return False
-    return said.get("role", "").lower() in ASIDE_ROLES or said.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes)) or any(_marks_aside(said[k]) for k in ("class", "id") if k in said)
+    return said.get("role", "").lower() in ASIDE_ROLES or said.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", QUOTED.sub('""', attributes))) or any(_marks_aside(said[k]) for k in ("class", "id") if k in said)
 
 
 def _main(name: str, attributes: str) -> bool:
@@ -90,6 +93,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     held: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, aside, main
+    opened: Counter[str] = Counter()  # names in the stack: an end tag of another name ends nothing
     main = asides = 0
     named = False
 
@@ -120,7 +124,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             low = page.lower() if low is None else low
             close = low.find(f"</{name}", at)
             at = end if close < 0 else page.find(">", close) + 1 or end
-            if name in ("title", "head"):
+            if name == "title":
                 flush()
             continue
         if name in BLOCK:
@@ -132,6 +136,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             continue
         if name in BLOCK and stack and stack[-1][0] == "p" and (not closing or name != "p"):
             _, aside, is_main = stack.pop()  # a block ends an open paragraph
+            opened["p"] -= 1
             asides -= aside
             main -= is_main
         if not closing:
@@ -140,16 +145,16 @@ def blocks(page: str) -> list[tuple[int, str]]:
             aside, is_main = _aside(name, m[3], main > 0), _main(name, m[3])
             named = named or is_main
             stack.append((name, aside, is_main))
+            opened[name] += 1
             asides += aside
             main += is_main
-        else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    for _, aside, is_main in stack[i:]:
-                        asides -= aside
-                        main -= is_main
-                    del stack[i:]
-                    break
+        elif opened[name] > 0:
+            found = ""
+            while found != name:
+                found, aside, is_main = stack.pop()
+                opened[found] -= 1
+                asides -= aside
+                main -= is_main
     flush()
     return [(OUTSIDE if kind == OPEN else kind, text) for kind, text in out] if named else out
 

@@ -101,7 +101,7 @@ def cascade_order(docs: DataFrame, rules: Sequence[Rule], text: str = "text", ke
     hashes (of `key`, or of the text).
 
     The sample only settles the order of evaluation. Rules that reject nothing there come last, cheapest first."""
-    some = smallest_by_hash(docs, key or text, sample_rows).select(text)
+    some = smallest_by_hash(docs, key or text, sample_rows, text).select(text)
     some = with_metrics(some, text).cache()
     try:
         some.count()

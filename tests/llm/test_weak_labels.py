@@ -6,6 +6,7 @@ import re
 import numpy as np
 
 from lectern.llm import weak_labels as W
+from lectern.llm.common import smallest_by_hash
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -109,3 +110,12 @@ def test_query_on_odd_rows(spark):
     assert len(twice) == 2 and twice[0] == twice[1]
     assert all(r["kept"] == (r["score"] >= 0.5) for r in got)
     assert W.quality_classifier(df.limit(0)).count() == 0
+
+
+def test_sample_of_repeated_ids_is_the_same_in_any_partitioning(spark):
+    rows = [(None, f"text {i % 900}") for i in range(3000)] + [(i, f"own {i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    for n in (10, 400):
+        got = [sorted(r["text"] for r in smallest_by_hash(df.repartition(k), "id", n).collect()) for k in (1, 3, 7)]
+        assert got[0] == got[1] == got[2] and n / 3 <= len(got[0]) <= 2 * n
+    assert smallest_by_hash(df.limit(0), "id", 5).count() == 0

@@ -1,5 +1,6 @@
 """Main text of pages: what the scanner names, copies of pages, runs inside blocks, hosts of several parts."""
 import random
+import time
 
 from lectern.llm import html_text
 
@@ -56,3 +57,22 @@ def test_no_character_is_lost_and_names_are_read_whole(spark):
     assert got[1] == "a\x00b\nc\x01d" and got[2] == "first\nShares rose\nhills" and got[3].count("\n") == 49_999
     extra = spark.createDataFrame([(1, "http://a.b/", "<main>x</main>", "p", 1)], "page_id long, url string, html string, part string, host int")
     assert html_text.main_text(extra).first()["text"] == "x" and html_text.main_text(extra.limit(0)).count() == 0
+
+
+def test_names_quotes_and_heads(spark):
+    rows = [
+        (1, "http://a.b/", '<article><p class="navy-history">ships</p><p id="menuetto">dance</p><p class=promontory-guide>cliffs</p><p class="main-nav">no</p><p class="promo_box">no</p></article>'),
+        (2, "http://a.b/", '<p class="x>Hello one</p>'),
+        (3, "http://a.b/", "<main><p title=\"a hidden place\">seen</p><p hidden>not seen</p><p data-x='>'>quoted</p><p class=\"" + "y" * 200_000 + "\">long name</p></main>"),
+        (4, "http://a.b/", "<head><title>no</title><body><article>an end tag of head may be left out</article>"),
+    ]
+    assert texts(spark, rows) == {1: "ships\ndance\ncliffs", 2: "Hello one", 3: "seen\nquoted\nlong name", 4: "an end tag of head may be left out"}
+
+
+def test_odd_markup_takes_linear_time():
+    n = 60_000
+    odd = ['<p class="' * n, "<p>" * n + '<p class="', "<p a='\"" * n, "<div>" * n + "</b>" * n, "<p " + "a" * 5 * n + ">", "<p a=" + " " * 5 * n, "<!" * n, "<" * n]
+    began = time.perf_counter()
+    for page in odd:
+        html_text.blocks(page)
+    assert time.perf_counter() - began < 20
