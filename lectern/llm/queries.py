@@ -80,7 +80,13 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.conversations import repair_conversations
+
+    return repair_conversations(table(spark, sf_dir, "conversations"), damage=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_text, op2_mix_sources, op3_quality_classifier, op4_quality_rules, op5_pii, op6_licences, op7_bpe, op8_mpeg_audio, op9_suffix_array, op10_ngram_jaccard)
+    for f in (op1_html_text, op2_mix_sources, op3_quality_classifier, op4_quality_rules, op5_pii, op6_licences, op7_bpe, op8_mpeg_audio, op9_suffix_array, op10_ngram_jaccard, op13_conversation_repair)
 }
