@@ -61,4 +61,18 @@ m as (select doc_id, d.source, "text", (select count(*) from k where k.source =
 select doc_id, source, copy, md5('17:order:' || doc_id || ':' || copy) shuffle_key, "text" from (select doc_id, source, "text", unnest(range(0, n)) as copy from m)
 """
 
-ORACLES: dict[str, str] = {"op1_html_text": OP1, "op2_mix_sources": OP2, "op4_quality_rules": OP4, "op5_pii": _pii()}
+# No page of the tables names another address, so what the rules leave open is allowed; tests carry decisions on by hand.
+_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+OP11 = (
+    r"""
+with u as (select page_id, case when contains(url, '://') then substr(url, position('://' in url) + 3) else '' end r from pages),
+h as (select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) "path" from u),
+rules as (select unnest(["""
+    + ", ".join(f"{{v: '{v}', h: '{h}', p: '{p}'}}" for v, h, p in _RULES)
+    + r"""], recursive := true)),
+m as (select page_id, h || p rule, v, row_number() over (partition by page_id order by length(h || p) desc) n from h join rules on (host = h or ends_with(host, '.' || h)) and starts_with("path", p))
+select h.page_id, host, "path", rule, coalesce(v, 'allow') verdict from h left join m on m.page_id = h.page_id and n = 1
+"""
+)
+
+ORACLES: dict[str, str] = {"op1_html_text": OP1, "op2_mix_sources": OP2, "op4_quality_rules": OP4, "op5_pii": _pii(), "op11_url_filter": OP11}

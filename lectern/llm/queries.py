@@ -80,6 +80,12 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages")).drop("via")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.conversations import repair_conversations
 
@@ -88,5 +94,5 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_text, op2_mix_sources, op3_quality_classifier, op4_quality_rules, op5_pii, op6_licences, op7_bpe, op8_mpeg_audio, op9_suffix_array, op10_ngram_jaccard, op13_conversation_repair)
+    for f in (op1_html_text, op2_mix_sources, op3_quality_classifier, op4_quality_rules, op5_pii, op6_licences, op7_bpe, op8_mpeg_audio, op9_suffix_array, op10_ngram_jaccard, op11_url_filter, op13_conversation_repair)
 }
