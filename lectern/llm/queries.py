@@ -86,6 +86,14 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).drop("via")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.hard_negatives import mine
+
+    rows = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", noisy), F.col("vec_id") % 50 == 0)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.conversations import repair_conversations
 
@@ -94,5 +102,5 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_text, op2_mix_sources, op3_quality_classifier, op4_quality_rules, op5_pii, op6_licences, op7_bpe, op8_mpeg_audio, op9_suffix_array, op10_ngram_jaccard, op11_url_filter, op13_conversation_repair)
+    for f in (op1_html_text, op2_mix_sources, op3_quality_classifier, op4_quality_rules, op5_pii, op6_licences, op7_bpe, op8_mpeg_audio, op9_suffix_array, op10_ngram_jaccard, op11_url_filter, op12_hard_negatives, op13_conversation_repair)
 }
