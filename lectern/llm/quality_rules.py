@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Every rule is a boolean column that rejects a text and computes what it needs itself, beyond the contract's metrics. A
-sample of rows, chosen by hash before anything is computed, gives each rule's cost (seconds a row that it adds to a job over
-the sample) and selectivity (share rejected); the cascade asks the rule with most rejection per second first and stops at
-the first that rejects, so what later rules need is not computed for that text. Texts that fail the base ask none. The
+sample of rows, chosen by hash before anything is computed, gives each rule's cost (steps a row: the characters that its
+expressions pass over, by the rule's own account, averaged over the sample) and selectivity (share rejected), all of them in
+one job; the cascade asks the rule with most rejection per step first and stops at the first that rejects, so what later
+rules need is not computed for that text. Steps, unlike seconds, order the rules alike on any machine and in any run. Texts that fail the base ask none. The
 verdict is the conjunction of all rules, so the order changes the cost, never the result.
 
 Defined results: a null or empty text has no words and fails the base rule; ties, repeated rows, null ids and further
@@ -12,7 +13,6 @@ row: nothing is shuffled.
 """
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -23,16 +23,20 @@ from lectern.llm.common import SPACE_CLASS, SPACES, smallest_by_hash
 
 #: Symbols that markup debris leaves (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
-#: Rows of the sample on which costs and selectivities are estimated, and times that each rule is timed.
-SAMPLE_ROWS, TIMES = 2000, 3
+#: Rows of the sample on which costs and selectivities are estimated.
+SAMPLE_ROWS = 2000
+#: Steps a character of the expressions that rules use, in units of a translation's: pattern replacement, split into an array.
+REPLACE, SPLIT = 4, 3
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A named test; `rejects` is true for a text that has to go. It may use the metric columns and `text`."""
+    """A named test; `rejects` is true for a text that has to go. It may use the metric columns and `text`. `steps` is what
+    it costs on a text, in steps; without it, one for each character."""
 
     name: str
     rejects: Column
+    steps: Column | None = None
 
 
 def word_list(text: Column) -> Column:
@@ -82,47 +86,38 @@ def base_failed() -> Column:
 def default_rules(text: str = "text") -> list[Rule]:
     """Rules beyond the base. All arithmetic is on integers, so any SQL engine gives the same verdict."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    upper = F.length(body) - F.length(F.regexp_replace(body, "[A-Z]", ""))
-    marks = F.length(body) - F.length(F.translate(body, "!?", ""))
-    digits = F.length(body) - F.length(F.translate(body, "0123456789", ""))
+    chars, arithmetic = F.length(body), F.lit(1)
+    upper = chars - F.length(F.regexp_replace(body, "[A-Z]", ""))
+    marks = chars - F.length(F.translate(body, "!?", ""))
+    digits = chars - F.length(F.translate(body, "0123456789", ""))
+    again = F.col("n_dup_lines") > 0
+    long = F.col("n_words") >= 50
     return [
-        Rule("symbols", 20 * F.col("n_symbols") > F.col("word_chars")),
-        Rule("repeated_lines", (F.col("n_dup_lines") > 0) & (10 * F.col("n_dup_lines") > 3 * F.size(full_lines(body)))),
-        Rule("word_length", (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words"))),
-        Rule("few_distinct_words", (F.col("n_words") >= 50) & (100 * F.size(F.array_distinct(word_list(body))) < 8 * F.least(F.col("n_words"), F.lit(2000)))),
-        Rule("upper_case", 10 * upper > 3 * F.col("word_chars")),
-        Rule("shouting", 2 * marks > F.col("n_words")),
-        Rule("digits", 10 * digits > 3 * F.col("word_chars")),
+        Rule("symbols", 20 * F.col("n_symbols") > F.col("word_chars"), arithmetic),
+        Rule("repeated_lines", again & (10 * F.col("n_dup_lines") > 3 * F.size(full_lines(body))), 1 + F.when(again, SPLIT * chars).otherwise(0)),
+        Rule("word_length", (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words")), arithmetic),
+        Rule("few_distinct_words", long & (100 * F.size(F.array_distinct(word_list(body))) < 8 * F.least(F.col("n_words"), F.lit(2000))), 1 + F.when(long, 2 * SPLIT * chars).otherwise(0)),
+        Rule("upper_case", 10 * upper > 3 * F.col("word_chars"), REPLACE * chars),
+        Rule("shouting", 2 * marks > F.col("n_words"), chars),
+        Rule("digits", 10 * digits > 3 * F.col("word_chars"), chars),
     ]
 
 
 def cascade_order(docs: DataFrame, rules: Sequence[Rule], text: str = "text", key: str | None = None, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds a row, share rejected), best rejection per cost first, from about `sample_rows` rows of the smallest
-    hashes (of `key`, or of the text).
-
-    The sample only settles the order of evaluation. Rules that reject nothing there come last, cheapest first."""
-    some = smallest_by_hash(docs, key or text, sample_rows, text).select(text)
-    some = with_metrics(some, text).cache()
+    """(rule, steps a row, share rejected), best rejection per step first, from about `sample_rows` rows of the smallest
+    hashes (of `key`, or of the text) whose base does not fail.
+
+    The sample only settles the order of evaluation. Rules that reject nothing there come last, cheapest first; of equals,
+    the one that was named first."""
+    # Cached, so that metrics are computed once and not anew for each rule; small, and recomputed if an executor goes.
+    some = with_metrics(smallest_by_hash(docs, key or text, sample_rows, text).select(text), text).cache()
+    whole = F.length(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    asked = [x for r in rules for x in (F.count_if(F.coalesce(r.rejects, F.lit(False))), F.sum(F.coalesce(whole if r.steps is None else r.steps, F.lit(0))))]
     try:
-        some.count()
-        asked = some.where(~base_failed())  # of cached rows: their metrics are not computed anew for the filter
-        rows = max(asked.count(), 1)
-
-        def timed(test: Column) -> tuple[float, int]:
-            runs = []
-            for _ in range(TIMES):
-                began = time.perf_counter()
-                out = asked.agg(F.count_if(F.coalesce(test, F.lit(False)))).first()[0]
-                runs.append(time.perf_counter() - began)
-            return min(runs), out
-
-        idle, _ = timed(F.col("n_words") < 0)  # what a job over the sample takes anyway
-        measured = []
-        for r in rules:
-            seconds, out = timed(r.rejects)
-            measured.append((r, max(seconds - idle, 1e-4) / rows, out / rows))
+        rows, *found = some.where(~base_failed()).agg(F.count("*"), *asked).first()
     finally:
         some.unpersist()
+    measured = [(r, max(steps or 0, 1) / max(rows, 1), out / max(rows, 1)) for r, out, steps in zip(rules, found[::2], found[1::2], strict=True)]
     return sorted(measured, key=lambda x: (-x[2] / x[1], x[1]))
 
 
