@@ -12,6 +12,8 @@ PAGE = ["doc", "page"]
 #: Shares of a page's width below which a block can be of a column, and of a gap between columns; points of the
 #: least gap; share of blocks that a column has; columns at most; area that makes an overlap; longest list of lines of a page.
 NARROW, GAP, LEAST_GAP, SUBSTANTIAL, MOST_BANDS, SAME_AREA, MOST_LINES = 0.72, 0.105, 34.0, 0.06, 4, 0.45, 5000
+#: Share of its lines that a copy has in common with its original, and points by which they may differ (fixed values).
+SAME_LINES, LINE_NEAR = 0.65, 1.2
 
 
 def overlap(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
@@ -53,13 +55,18 @@ def _sides(blocks: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
 
 
 def without_overlapping_copies(blocks: DataFrame, least: int = 80) -> DataFrame:
-    """blocks without those whose letters stand in another block of the page that covers SAME_AREA of them. Of two blocks
-    of equal letters each covers the other, and both go as the rule says."""
+    """blocks without those whose letters stand in another block of the page that covers SAME_AREA of them, or, where blocks
+    have `lines` (baselines), SAME_LINES of whose lines it has, to LINE_NEAR points. Of two blocks of equal letters each
+    covers the other, and both go as the rule says."""
     letters = F.lower(F.regexp_replace("text", r"[^A-Za-z0-9㐀-鿿]+", ""))
-    a, b = _sides(blocks.withColumn("letters", letters), ["block", "letters", "x", "right", "y", "bottom", "width", "height"])
+    lines = F.col("lines") if "lines" in blocks.columns else F.array().cast("array<double>")
+    names = ["block", "letters", "x", "right", "y", "bottom", "width", "height", "_lines"]
+    a, b = _sides(blocks.withColumn("letters", letters).withColumn("_lines", lines).where(F.length("letters") >= least), names)
     shared = overlap(F.col("a_x"), F.col("a_right"), F.col("b_x"), F.col("b_right")) * overlap(F.col("a_y"), F.col("a_bottom"), F.col("b_y"), F.col("b_bottom"))
     copy = (F.col("a_block") != F.col("b_block")) & (F.length("a_letters") >= least) & (F.length("b_letters") >= F.length("a_letters")) & F.contains("b_letters", F.col("a_letters"))
-    gone = a.join(b, PAGE).where(copy & (shared >= SAME_AREA * F.greatest(F.lit(1.0), F.col("a_width") * F.col("a_height")))).select(*PAGE, F.col("a_block").alias("block")).distinct()
+    met = F.size(F.filter("a__lines", lambda y: F.exists("b__lines", lambda z: F.abs(y - z) <= LINE_NEAR)))
+    in_lines = met >= SAME_LINES * F.greatest(F.size("a__lines"), F.lit(1))
+    gone = a.join(b, PAGE).where(copy & ((shared >= SAME_AREA * F.greatest(F.lit(1.0), F.col("a_width") * F.col("a_height"))) | in_lines)).select(*PAGE, F.col("a_block").alias("block")).distinct()
     return blocks.join(gone, [*PAGE, "block"], "left_anti")
 
 

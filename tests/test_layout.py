@@ -26,6 +26,9 @@ def test_copies_regions_and_empty_pages(spark):
     long = "many words of a block that stand in another one, too " * 3
     b = page(spark, [(0, 0, 300, long + "and more"), (5, 5, 280, long), (0, 200, 300, "short"), (0, 200, 300, "short")])
     assert [r["block"] for r in L.without_overlapping_copies(b).orderBy("block").collect()] == [0, 2, 3]
+    apart = page(spark, [(0, 0, 300, long + "and more"), (600, 500, 280, long)]).withColumn("lines", F.when(F.col("block") == 0, F.array(*[F.lit(float(x)) for x in (10, 20, 30, 40)])).otherwise(F.array(*[F.lit(float(x)) for x in (11, 21.1, 31.3)])))
+    assert [r["block"] for r in L.without_overlapping_copies(apart).collect()] == [0]
+    assert L.without_overlapping_copies(apart.withColumn("lines", F.transform("lines", lambda y: y * (F.col("block") + 1)))).count() == 2
     for f in (L.without_overlapping_copies, L.overlay_height, lambda x: L.column_bands(x, 900.0), lambda x: L.in_reading_order(x, 900.0)):
         assert f(b.limit(0)).count() == 0
 
