@@ -42,15 +42,25 @@ def normal_target(text: Column) -> Column:
     return F.regexp_replace(plain, r"(?U)[\s\-–—·•‐‑‒'’]+", "")
 
 
+#: Characters of page texts that show nothing (fixed values).
+INVISIBLE = "\u00ad\u200b\u200c\u200d\ufeff"
+
+
 def normal_source(text: Column) -> Column:
     """A page text's spelling: compatibility letters, no invisible characters, single spaces."""
     plain = _beyond_ascii(text, _form("NFKC", marks=True))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, "[­​-‍⁠﻿]", ""), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, f"[{INVISIBLE}]", ""), r"(?U)\s+", " "))
+
+
+def normal_source_of(text: str) -> str:
+    """The same for one text, where Python reads it anyway."""
+    return " ".join(unicodedata.normalize("NFKC", text).translate(dict.fromkeys(map(ord, INVISIBLE))).split())
 
 
 def normal_caption(text: Column) -> Column:
-    """A caption's spelling: single spaces, none between Han letters, after CJK punctuation or before any punctuation."""
-    x = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-    x = F.regexp_replace(x, r"(?<=\p{IsHan}) (?=\p{IsHan})", "")
-    x = F.regexp_replace(x, "(?<=[，。！？；：、]) ", "")
-    return F.regexp_replace(x, " (?=[,.!?;:，。！？；：、])", "")
+    """A caption's spelling: single spaces, none between two Han letters, after CJK punctuation before Han, or before any
+    punctuation. Pairs are read from the left, so of three Han letters apart the third stays apart."""
+    x = F.regexp_replace(text, r"(?U)\s+", " ")
+    x = F.regexp_replace(x, "([㐀-鿿]) ([㐀-鿿])", "$1$2")
+    x = F.regexp_replace(x, "([，。；：！？]) (?=[㐀-鿿])", "$1")
+    return F.trim(F.regexp_replace(x, " ([,.;:!?，。；：！？])", "$1"))

@@ -1,11 +1,15 @@
-"""Dictionary terms in texts: an equi-join on the token that begins a term instead of a containment join; then scores, ranks
-and the resolution of rival meanings.
+"""Dictionary terms in texts: one pass with an automaton of all spellings, or, where they are too many to be sent to every
+task, an equi-join on the token that begins a term; then scores, ranks and the resolution of rival meanings.
 
 A dictionary has term_id, source, target, domain (null: the user's own, generic) and, if given, aliases, variants (accepted
 targets), requires_context and strict. Texts and spellings are compared in the form of `normal_term`; a match may not touch
 a letter a-z or a digit on either side, so "C++" and "p-value" are terms, and scripts without spaces match anywhere."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,21 +35,86 @@ def spellings(terms: DataFrame) -> DataFrame:
 
 def match_terms(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per text, term and spelling that stands in the text: key, all fields of the term, alias, score (its length).
-
-    Each token of a text carries the characters that follow, as many tokens as the longest spelling has; a spelling meets
-    the tokens equal to its first one and is confirmed on those characters. No text is shuffled."""
-    a = spellings(terms).withColumn("first", F.regexp_extract("alias", f"^({TOKEN})", 1))
-    n, most = a.agg(F.count("*"), F.max(F.regexp_count("alias", F.lit(TOKEN)))).first()
-    a = F.broadcast(a) if n <= BROADCAST_SPELLINGS else a
-    t = docs.select(key, F.regexp_extract_all(normal_term(F.col(text)), F.lit(TOKEN), F.lit(0)).alias("_t"))
-    here = F.transform("_t", lambda w, i: F.struct(w.alias("first"), F.coalesce(F.get("_t", i - 1), F.lit(" ")).alias("before"), i.alias("at")))
-    starts = t.select(key, "_t", F.explode(F.filter(here, lambda x: x["first"] != " ")).alias("x")).select(key, "x.first", "x.before", F.array_join(F.slice("_t", F.col("x.at") + 1, F.lit((most or 0) + 1)), "").alias("rest"))
+    Both ways give the same rows, and neither shuffles a text."""
+    a = spellings(terms)
+    known = a.select("alias").distinct()
+    n = known.count()
+    t = docs.select(key, normal_term(F.col(text)).alias("_x"))
+    hit = _by_automaton(t, [r["alias"] for r in known.collect()], key) if n <= BROADCAST_SPELLINGS else _by_first_token(t, known, key)
+    small = (lambda x: F.broadcast(x)) if n <= BROADCAST_SPELLINGS else (lambda x: x)
+    return hit.join(small(a), "alias").join(small(completed(terms)), "term_id").withColumn("score", F.length("alias").cast("long"))
+
+
+def _open(x: str, start: int, end: int) -> bool:
+    """Whether no letter a-z and no digit touches a place."""
+    word = lambda c: c.isascii() and c.isalnum()
+    return not (start and word(x[start - 1])) and not (end < len(x) and word(x[end]))
+
+
+def _scan(texts: DataFrame, spellings: list[str], key: str, of, fields: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """(key, fields): what of(text, [(spelling, start)]) makes of each text (_x), with the places of all spellings found in
+    one pass. Spellings are at most BROADCAST_SPELLINGS, counted before they were collected; a task builds its automaton
+    once."""
+    names = {pa.string(): "string", pa.int64(): "long"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = ahocorasick.Automaton()
+        for s in spellings:
+            machine.add_word(s, s)
+        machine.make_automaton()
+        for b in batches:
+            row, found = [], []
+            for i, x in enumerate(b.column("_x").to_pylist() if spellings else ()):
+                made = of(x, [(s, end + 1 - len(s)) for end, s in machine.iter(x)]) if x else ()
+                row += [i] * len(made)
+                found += made
+            cols = zip(*found, strict=True) if found else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(row, pa.int64())), *[pa.array(c, k) for c, (_, k) in zip(cols, fields, strict=True)]], names=[key, *[n for n, _ in fields]])
+
+    return texts.select(key, "_x").mapInArrow(run, f"`{key}` {dict(texts.dtypes)[key]}, " + ", ".join(f"`{n}` {names[k]}" for n, k in fields))
+
+
+def _by_automaton(texts: DataFrame, spellings: list[str], key: str) -> DataFrame:
+    """(key, alias): the spellings that stand in each text (_x)."""
+    return _scan(texts, spellings, key, lambda x, places: [(s,) for s in {s for s, i in places if _open(x, i, i + len(s))}], [("alias", pa.string())])
+
+
+def contained(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", name: str = "alias") -> DataFrame:
+    """(key, alias): the distinct spellings that a text contains, wherever they begin and end, both in their normal form; the
+    empty one, which every text contains, included."""
+    n = names.select(normal_term(F.col(name)).alias("alias")).where("alias is not null").distinct()
+    t = docs.select(key, normal_term(F.col(text)).alias("_x"))
+    if n.count() > BROADCAST_SPELLINGS:
+        return t.join(n, F.contains("_x", F.col("alias"))).select(key, "alias")
+    words = [r["alias"] for r in n.collect()]
+    found = _scan(t, [w for w in words if w], key, lambda x, places: [(s,) for s in {s for s, _ in places}], [("alias", pa.string())])
+    return found.unionByName(t.where("_x is not null").select(key, F.lit("").alias("alias"))) if "" in words else found
+
+
+def _from_left(x: str, places: list[tuple[str, int]]) -> list[tuple[str, int, int]]:
+    """Whole-word places of each spelling that do not overlap its own earlier ones."""
+    word = lambda c: c.isascii() and (c.isalnum() or c == "_")
+    out, free = [], {}
+    for s, i in sorted(places, key=lambda p: p[1]):
+        end = i + len(s)
+        if i >= free.get(s, 0) and not (i and word(x[i - 1])) and not (end < len(x) and word(x[end])):
+            free[s] = end
+            out.append((s, i, end))
+    return out
+
+
+def _by_first_token(texts: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The same by joins: tokens meet spellings by their first one, as small rows; only where they meet is the text cut, as
+    long as that spelling is."""
+    a = known.withColumn("first", F.regexp_extract("alias", f"^({TOKEN})", 1))
+    most = a.agg(F.max(F.regexp_count("alias", F.lit(TOKEN)))).first()[0] or 0
+    t = texts.select(key, F.regexp_extract_all("_x", F.lit(TOKEN), F.lit(0)).alias("_t"))
+    here = F.transform("_t", lambda w, i: F.struct(w.alias("first"), F.coalesce(F.get("_t", i - 1), F.lit(" ")).alias("before"), F.array_join(F.slice("_t", i + 1, F.lit(most + 1)), "").alias("rest")))
+    starts = t.select(key, F.explode(F.filter(here, lambda x: x["first"] != " ")).alias("x")).select(key, "x.*")
     word = lambda c: c.rlike("^[a-z0-9]")
-    size = F.length("alias")
     open_before = word(F.col("first")) | ~word(F.col("before"))
-    open_after = ~word(F.substr(F.col("rest"), size + 1, F.lit(1)))
-    hit = starts.join(a, "first").where(F.startswith("rest", F.col("alias")) & open_before & open_after).select(key, "term_id", "alias").distinct()
-    return hit.join(F.broadcast(completed(terms)) if n <= BROADCAST_SPELLINGS else completed(terms), "term_id").withColumn("score", size.cast("long"))
+    open_after = ~word(F.substr(F.col("rest"), F.length("alias") + 1, F.lit(1)))
+    return starts.join(a, "first").where(F.startswith("rest", F.col("alias")) & open_before & open_after).select(key, "alias").distinct()
 
 
 def scored(matches: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -57,7 +126,7 @@ def scored(matches: DataFrame, key: str = "doc_id") -> DataFrame:
 def ranked(matches: DataFrame, key: str = "doc_id", limit: int = 40) -> DataFrame:
     """The best terms of each text: longest spelling first, then in the dictionary's order."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), "term_id")
-    return scored(matches, key).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit)
+    return scored(matches.repartition(key), key).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit)
 
 
 def resolved(matches: DataFrame, key: str = "doc_id", requested: Column | str | None = None, generic_wins: bool = False) -> DataFrame:
@@ -67,7 +136,8 @@ def resolved(matches: DataFrame, key: str = "doc_id", requested: Column | str |
     has several targets, the requested domain's only row wins, else the only row of most evidence; else all of them go.
     With `generic_wins`, terms without a domain replace those of equal source, and their groups are left alone."""
     asked = requested if isinstance(requested, Column) else F.lit(requested).cast("string")
-    m = matches.withColumn("_asked", F.coalesce(F.col("domain") == asked, F.lit(False)))
+    # Dealt by text once: every window below is within a text, so none of them shuffles again.
+    m = matches.repartition(key).withColumn("_asked", F.coalesce(F.col("domain") == asked, F.lit(False)))
     if generic_wins:
         own = F.max(F.col("domain").isNull()).over(Window.partitionBy(key, normal_term(F.col("source"))))
         m = m.withColumn("_own", own).where(F.col("domain").isNull() | ~F.col("_own")).drop("_own")
@@ -104,11 +174,16 @@ def safe_terms(terms: DataFrame) -> DataFrame:
 def term_spans(docs: DataFrame, names: DataFrame, key: str, text: str, name: str = "alias") -> DataFrame:
     """(key, alias, start, end) of whole-word places of spellings (equal length and case aside) in texts; end is exclusive.
     Places of one spelling do not overlap, and are found from the left."""
-    n = names.count()
-    small = F.broadcast(names.select(F.lower(name).alias("alias"))) if n <= BROADCAST_SPELLINGS else names.select(F.lower(name).alias("alias"))
-    t = docs.select(key, F.lower(text).alias("_x")).join(small, F.contains("_x", F.col("alias")))
+    known = names.select(F.lower(name).alias("alias")).where("alias <> ''").distinct()
+    t = docs.select(key, F.lower(text).alias("_x"))
+    if known.count() <= BROADCAST_SPELLINGS:
+        return _scan(t, [r["alias"] for r in known.collect()], key, _from_left, [("alias", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    # Too many for a task: texts meet the spellings whose first token they have, then each pair is searched.
+    first = F.regexp_extract("alias", f"^({TOKEN})", 1)
+    have = t.select(key, "_x", F.explode(F.array_distinct(F.regexp_extract_all("_x", F.lit(TOKEN), F.lit(0)))).alias("_first"))
+    met = have.join(known.withColumn("_first", first), "_first").where(F.contains("_x", F.col("alias")))
     gaps = F.split("_x", F.concat(F.lit(r"(?<!\w)\Q"), F.col("alias"), F.lit(r"\E(?!\w)")), -1)
-    e = t.select(key, "alias", F.posexplode(F.slice(gaps, 1, F.size(gaps) - 1)).alias("i", "gap"))
+    e = met.select(key, "alias", F.posexplode(F.slice(gaps, 1, F.size(gaps) - 1)).alias("i", "gap"))
     w = Window.partitionBy(key, "alias").orderBy("i")
     start = F.sum(F.length("gap") + F.length("alias")).over(w) - F.length("alias")
     return e.withColumn("start", start).select(key, "alias", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("alias")).cast("long").alias("end"))
@@ -120,7 +195,8 @@ def protected_spans(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text
     index = safe_terms(terms)
     safe = index.where("safe").select("alias", "target")
     longer = index.where("not safe").select(F.col("alias").alias("long"))
-    blockers = longer.join(safe, F.contains("long", F.col("alias")) & (F.length("long") > F.length("alias"))).select(F.col("long").alias("alias")).distinct()
+    # A longer spelling matters only if it has a safe one inside: found as in any text.
+    blockers = term_spans(longer, safe, "long", "long").select(F.col("long").alias("alias")).distinct()
     spans = term_spans(docs, safe, key, text)
     blocked = term_spans(docs, blockers, key, text).select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
     free = spans.join(blocked, (F.col(key) == F.col("_k")) & (F.col("_s") <= F.col("start")) & (F.col("_e") >= F.col("end")), "left_anti")
@@ -129,3 +205,27 @@ def protected_spans(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text
     step = lambda s, x: F.when((F.size(s) == 0) | (-F.element_at(s, -1)["neg"] <= x["start"]), F.concat(s, F.array(x))).otherwise(s)
     kept = F.aggregate("x", F.array().cast("array<struct<start:bigint,neg:bigint,alias:string>>"), step)
     return g.select(key, F.posexplode(F.slice(kept, 1, most)).alias("n", "y")).select(key, F.col("n").cast("long").alias("n"), F.col("y.start").alias("start"), (-F.col("y.neg")).alias("end"), F.col("y.alias").alias("alias")).join(safe, "alias")
+
+
+def with_markers(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", most: int = 4) -> DataFrame:
+    """(key, marked, values, literals): each text with markers for its literals and, numbered on, for the places of safe terms
+    outside them; values are what the markers stand for, terms by their targets; literals is how many are no terms."""
+    from lectern.functions.text import MARK, literals, masked
+
+    c = F.coalesce(F.col(text), F.lit(""))
+    base = docs.select(key, masked(c).alias("_m"), literals(c).alias("_v"))
+    spans = protected_spans(base, terms, key, "_m", most)
+    at = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "target"))).alias("_s"))
+    x = base.join(at, key, "left").withColumn("_s", F.coalesce("_s", F.array().cast("array<struct<start:bigint,end:bigint,target:string>>")))
+    n, size = F.size("_v"), F.size("_s")
+    before = lambda i: F.when(i > 0, F.get("_s", i - 1)["end"]).otherwise(F.lit(0).cast("long"))
+    piece = F.transform("_s", lambda s, i: F.concat(F.substr(F.col("_m"), (before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int")), F.lit(MARK[0]), (n + i).cast("string"), F.lit(MARK[1])))
+    tail = F.substr(F.col("_m"), (before(size) + 1).cast("int"), F.length("_m"))
+    return x.select(key, F.concat(F.array_join(piece, ""), tail).alias("marked"), F.concat("_v", F.transform("_s", lambda s: s["target"])).alias("values"), n.alias("literals"))
+
+
+def markers_kept(answer: Column, values: Column, literals: Column) -> Column:
+    """Whether an answer has no unknown marker, and the marker of each term exactly once."""
+    marks = F.transform(F.regexp_extract_all(answer, F.lit("QS_PROTECTED_([0-9]+)"), F.lit(1)), lambda m: F.coalesce(m.try_cast("int"), F.lit(2**31 - 1)))
+    wanted = F.filter(F.sequence(F.lit(0), F.size(values)), lambda i: (i >= literals) & (i < F.size(values)))
+    return ~F.exists(marks, lambda m: m >= F.size(values)) & F.forall(wanted, lambda i: F.size(F.filter(marks, lambda m: m == i)) == 1)

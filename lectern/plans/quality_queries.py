@@ -36,7 +36,7 @@ def _prose(x: str) -> str:
 
 
 def _clean(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(nfc_normalize(coalesce({x}, '')), '[­\\x{{200b}}-\\x{{200d}}\\x{{2060}}\\x{{feff}}]', '', 'g'), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace(nfc_normalize(coalesce({x}, '')), '[­\\x{{200b}}-\\x{{200d}}\\x{{feff}}]', '', 'g'), '\\s+', ' ', 'g'))"
 
 
 #: What stands before each document, so that every rule has texts that it fires on.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import split as P
 from lectern.functions import web as W
-from lectern.functions.normal import normal_source
+from lectern.functions.normal import normal_caption, normal_source
 from lectern.operators import transcripts as T
 from lectern.plans.quality_queries import _clean
 from lectern.plans.registry import query, t
@@ -19,6 +19,16 @@ def normalize_source_text(spark, d):
     return t(spark, d, "documents").select("doc_id", F.md5(normal_source(F.coalesce("text", F.lit("")))).alias("norm"))
 
 
+_SPACED = "regexp_replace(coalesce(text, ''), '([a-z])', '\\1 中 文 字， 好 .', 'g')"
+
+
+@query("select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _SPACED + ", '\\s+', ' ', 'g'), '([㐀-鿿]) ([㐀-鿿])', '\\1\\2', 'g'), '([，。；：！？]) ([㐀-鿿])', '\\1\\2', 'g'), ' ([,.;:!?，。；：！？])', '\\1', 'g'))) norm from documents")
+def normalize_captions(spark, d):
+    """Texts with spaced Han letters and marks behind each small letter, as captions."""
+    spaced = F.regexp_replace(F.coalesce("text", F.lit("")), "([a-z])", "$1 中 文 字， 好 .")
+    return t(spark, d, "documents").select("doc_id", F.md5(normal_caption(spaced)).alias("norm"))
+
+
 @query()
 def translation_chunks(spark, d):
     """Chunks of each text: their number, whether all fit, and whether they hold all of its characters but white space."""

@@ -90,10 +90,9 @@ def term_generic_override(spark, d):
 
 @query("with " + TERMS_SQL + f", c as (select doc_id, term_id, source, row_number() over (partition by doc_id order by length(source) desc, term_id) r from (select doc_id, {_norm('text')} x from documents) join terms on contains(x, {_norm('source')})) select doc_id, term_id, source, r as rank from c where r <= 80")
 def term_flat_matches(spark, d):
-    # The flat variant: plain containment, no aliases, longest first. The dictionary is small and counted.
+    # The flat variant: plain containment, no aliases, longest first.
     g = terms(spark, d).select("term_id", "source", normal_term(F.col("source")).alias("alias"))
-    g = F.broadcast(g) if g.count() <= J.BROADCAST_SPELLINGS else g
-    m = t(spark, d, "documents").select("doc_id", normal_term(F.col("text")).alias("x")).join(g, F.contains("x", F.col("alias")))
+    m = J.contained(t(spark, d, "documents"), g, "doc_id", "text").join(g, "alias")
     w = Window.partitionBy("doc_id").orderBy(F.desc(F.length("source")), "term_id")
     return m.select("doc_id", "term_id", "source").withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 80")
 
@@ -127,6 +126,15 @@ def protected_term_spans(spark, d):
     return J.protected_spans(t(spark, d, "documents"), terms(spark, d)).select("doc_id", "n", "start", "end", "target")
 
 
+@query()
+def term_markers(spark, d):
+    """Texts with markers for literals and safe terms: how many of each, whether all are kept, and the text by its targets."""
+    from lectern.functions.text import restored
+
+    m = J.with_markers(t(spark, d, "documents"), terms(spark, d))
+    return m.select("doc_id", F.col("literals").cast("long").alias("literals"), (F.size("values") - F.col("literals")).cast("long").alias("terms"), J.markers_kept(F.col("marked"), F.col("values"), F.col("literals")).alias("kept"), F.md5(restored(F.col("marked"), F.col("values"))).alias("said"))
+
+
 @query("select p_name as name, p_brand as brand, k, row_number() over (order by k, p_brand, p_partkey) as ord from (select p_partkey, p_name, p_brand, row_number() over (partition by p_brand order by p_partkey) k from (select *, row_number() over (partition by lower(p_name) order by p_partkey) u from part) where u = 1) where k <= 8")
 def hotword_round_robin(spark, d):
     p = t(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_partkey").alias("place"))

@@ -101,3 +101,51 @@ def test_normal_forms(spark):
     assert got[0]["0"] == plain(x) and got[1]["0"] is None and got[2]["1"] == ""
     assert got[0]["1"] == re.sub(r"[\s\-–—·•‐‑‒'’]+", "", unicodedata.normalize("NFKC", x).casefold())
     assert got[0]["2"].startswith("Ünïted—first’s xy") and got[0]["3"].endswith("量化，好!")
+
+
+def test_matches_by_automaton_and_by_joins(spark, monkeypatch):
+    words = ["a", "ab", "c++", "@", "p-value", "long run of words", "run", "été", "中文", "x_y", "words"]
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice([*words, "zz", "abab", "(ab)", "1a", "run-of", "Long Run of  words", "@@", "中文字", "x_y_z"]) for _ in range(rng.randrange(12)))) for i in range(80)] + [(80, None), (81, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    g = spark.createDataFrame([(i, w, f"t{i}", None, [w.upper()], False) for i, w in enumerate(words)], DICT)
+    names = g.select(F.col("source").alias("alias"))
+    got = []
+    for most in (50_000, 0):
+        monkeypatch.setattr(J, "BROADCAST_SPELLINGS", most)
+        got.append([sorted(map(str, f.collect())) for f in (J.match_terms(d, g).select("doc_id", "term_id", "alias", "score"), J.term_spans(d, names, "doc_id", "text"), J.contained(d, names))])
+    assert got[0] == got[1] and all(len(x) > 50 for x in got[0])
+    spans = {(r["doc_id"], r["alias"], r["start"], r["end"]) for r in J.term_spans(d, names, "doc_id", "text").collect()}
+    assert spans == {(i, w, m.start(), m.end()) for i, t in docs if t for w in words for m in re.finditer(r"(?<![A-Za-z0-9_])" + re.escape(w) + r"(?![A-Za-z0-9_])", t.lower())}
+
+
+def test_markers_go_there_and_back(spark):
+    terms = spark.createDataFrame([(1, "neural network", "神经网络", "ml", [], False), (2, "deep neural network", "深度网络", "ml", ["deep neural networks"], True), (3, "loss value", "损失值", "ml", [], False)], DICT)
+    rows = [(1, "A neural network has a loss value of 5 % and neural network is NN"), (2, "deep neural network only"), (3, "nothing 12 here"), (4, None), (5, "neural network, neural network, neural network, neural network, neural network")]
+    m = {r["doc_id"]: r for r in J.with_markers(spark.createDataFrame(rows, "doc_id long, text string"), terms).collect()}
+    assert m[1]["marked"] == "A ⟪QS_PROTECTED_2⟫ has a ⟪QS_PROTECTED_3⟫ of ⟪QS_PROTECTED_0⟫ and ⟪QS_PROTECTED_4⟫ is ⟪QS_PROTECTED_1⟫"
+    assert m[1]["values"] == ["5 %", "NN", "神经网络", "损失值", "神经网络"] and m[1]["literals"] == 2
+    assert m[2]["values"] == [] and m[3]["values"] == ["12"] and m[4]["marked"] == "" and m[5]["marked"].endswith("⟪QS_PROTECTED_3⟫, neural network")
+    cases = [("QS_PROTECTED_2 ⟪QS_PROTECTED_3⟫⟪QS_PROTECTED_4⟫", True), ("⟪QS_PROTECTED_2⟫⟪QS_PROTECTED_3⟫", False), ("⟪QS_PROTECTED_2⟫⟪QS_PROTECTED_2⟫⟪QS_PROTECTED_3⟫⟪QS_PROTECTED_4⟫", False), ("⟪QS_PROTECTED_2⟫⟪QS_PROTECTED_3⟫⟪QS_PROTECTED_4⟫⟪QS_PROTECTED_5⟫", False), ("⟪QS_PROTECTED_99999999999⟫⟪QS_PROTECTED_2⟫⟪QS_PROTECTED_3⟫⟪QS_PROTECTED_4⟫", False)]
+    got = spark.createDataFrame(cases, "a string, want boolean").select("want", J.markers_kept(F.col("a"), F.array(*[F.lit("v")] * 5), F.lit(2)).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in got)
+
+
+def test_models_that_damage_markers(spark):
+    from lectern.operators import providers
+
+    terms = spark.createDataFrame([(1, "neural network", "神经网络", "ml", [], False)], DICT)
+    rows = [(i, f"the neural network {i}" if i % 2 else f"plain text {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keeps = lambda texts, a, b: [f"说 {t}" for t in texts]
+    breaks = lambda texts, a, b: [f"说 {t}".replace("⟪QS_PROTECTED_1⟫", "") for t in texts]
+    some = lambda texts, a, b: [f"说 {t}".replace("⟪QS_PROTECTED_1⟫", "") if "the" in t and len(t) % 2 else f"说 {t}" for t in texts]
+    run = lambda p, n: {r["doc_id"]: (r["translation"], r["way"], r["error"]) for r in providers.translate_with_terms(df, terms, "doc_id", "text", "en", "zh", p, n).collect()}
+    got = run(keeps, 5)
+    assert len(got) == 40 and got[1] == ("说 the 神经网络 1", "terms", None) and got[2] == ("说 plain text 2", "literals", None)
+    got = run(breaks, 5)
+    ways = [w for _, w, _ in got.values()]
+    assert ways.count("plain") == 5 and ways.count("bypassed") == 15 and all(t == f"说 {rows[i][1]}" and e is None for i, (t, _, e) in got.items())
+    calls = run(some, 0)
+    assert all(t.startswith("说 ") for t, *_ in calls.values()) and {w for _, w, _ in calls.values()} <= {"terms", "plain", "literals"}
+    assert run(lambda texts, a, b: ["说"] * len(texts), 3)[2][2] == "literal lost"
