@@ -206,24 +206,6 @@ def cache_match_three_tier(spark, d):
     return cur.join(hit, ["doc_id", "line"], "left").groupBy("doc_id").agg(count(1, "same_place"), count(2, "same_page"), count(0, "unmatched"))
 
 
-@query()
-def stream_overlap_merge(spark, d):
-    # Fragments of ten words, each of which repeats the last four of the one before, cover all words of a text.
-    c = t(spark, d, "conversations").withColumn("w", F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " "))
-    more = F.greatest(F.ceil((F.size("w") - 10) / 6), F.lit(0)).cast("int")
-    fragments = F.transform(F.sequence(F.lit(0), more), lambda i: F.slice("w", 6 * i + 1, F.lit(10)))
-    # Only the last ten words merged so far can meet a fragment; the rest is set aside in pieces.
-    begin = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("tail"))
-
-    def step(a, f):
-        m = X.merge_overlap(a["tail"], f)
-        cut = F.greatest(F.size(m) - 10, F.lit(0))
-        return F.struct(F.concat(a["done"], F.array(F.slice(m, 1, cut))).alias("done"), F.slice(m, cut + 1, F.lit(10)).alias("tail"))
-
-    whole = F.aggregate(fragments, begin, step, lambda a: F.concat(F.flatten(a["done"]), a["tail"]))
-    return c.select("conv_id", "turn", (whole == F.col("w")).alias("whole"))
-
-
 @query(
     "select * from (select conv_id, cast(turn as bigint) as cue, cast(30 * turn as double) as start, cast(30 * turn + 2.5 as double) as \"end\", "
     "trim(regexp_replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) as text from conversations where text is not null) where text <> ''"

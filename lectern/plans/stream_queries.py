@@ -8,11 +8,17 @@ from lectern.streaming import live
 
 
 def turns(spark, d):
-    return live.read(spark, f"{d}/conversations.parquet").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), "role", "text")
+    """Turns of conversations in three steps: the first three, the next three, and the rest."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), "role", "text")
+    return live.in_parts(c, "session", F.least(F.floor(F.col("seq") / 3), F.lit(2)), 3, "turns")
 
 
 def events(spark, d):
-    return live.read(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    """Events in three steps of equal time."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    share = (F.unix_micros("ts") - F.lit(first)) / F.lit(max((last or 0) - (first or 0), 1))
+    return live.in_parts(e, "user_id", F.coalesce(F.least(F.floor(share * 3), F.lit(2)), F.lit(0)), 3, "events")
 
 
 @query("select event_type, time_bucket(interval 1 hour, ts) as start, cast(count(*) as bigint) n, round(sum(value), 4) total from events group by all")
@@ -34,14 +40,14 @@ _STEP = "case when quiet then '' when t = '' or dropped then pending when done t
 
 
 @query(
-    "with recursive c as (select conv_id as session, turn as seq, regexp_replace(substr(trim(text), 1, 60), '^\\s+|\\s+$', '', 'g') as t, turn % 7 = 6 as quiet, false as dropped, row_number() over (partition by conv_id order by turn) r from conversations), "
+    "with recursive c as (select conv_id as session, turn as seq, regexp_replace(trim(coalesce(text, '')), '^\\s+|\\s+$', '', 'g') as t, turn % 7 = 6 as quiet, false as dropped, row_number() over (partition by conv_id order by turn) r from conversations), "
     "j as (select *, t as joined, t <> '' and not quiet and (regexp_matches(t, '[.!?…。！？؟،;:]$') or length(t) >= 160) as done, '' as pending, null::varchar as line from c where r = 1), "
     f"f as (select session, r, {_STEP} as pending, case when quiet then nullif(pending, '') when done then joined end as line, seq from j union all "
     f"select x.session, x.r, {_STEP}, case when quiet then nullif(pending, '') when done then joined end, seq from (select y.*, t <> '' and not quiet and (regexp_matches(joined, '[.!?…。！？؟،;:]$') or length(joined) >= 160) as done from (select c.*, f.pending, trim(f.pending || ' ' || c.t) as joined from f join c on c.session = f.session and c.r = f.r + 1) y) x) "
-    "select session, seq as line_seq, md5(line) line from f where line is not null"
+    "select session, seq as line_seq, md5(line) line from f where line is not null union all select session, seq, md5(line) from (select session, arg_max(seq, r) seq, arg_max(pending, r) line from f group by session) where line <> ''"
 )
 def stream_committed_lines(spark, d):
-    chunks = turns(spark, d).select("session", "seq", F.substring(F.trim("text"), 1, 60).alias("text"), F.when(F.col("seq") % 7 == 6, 0.0).otherwise(0.5).alias("rms"))
+    chunks = turns(spark, d).select("session", "seq", "text", F.when(F.col("seq") % 7 == 6, 0.0).otherwise(0.5).alias("rms"))
     return live.run_to_end(live.committed_lines(chunks), "lines").select("session", "line_seq", F.md5("line").alias("line"))
 
 
@@ -51,23 +57,23 @@ _W = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
 @query(
     f"with w as (select conv_id, turn, {_W} w, list_transform({_W}, lambda x: lower(x)) l, lag(list_transform({_W}, lambda x: lower(x))) over (partition by conv_id order by turn) b from (select conv_id, turn, 'the same words ' || (case when turn % 3 > 0 then 'go on ' else '' end) || text as text from conversations)), "
     "p as (select *, case when b is null then 0 else coalesce(list_min(list_filter(range(1, least(len(l), len(b)) + 1), lambda i: l[i] <> b[i])) - 1, least(len(l), len(b))) end lcp from w), "
-    "m as (select *, max(lcp) over (partition by conv_id order by turn) top from p) select conv_id as session, turn as at_seq, cast(top as bigint) n_committed, md5(array_to_string(w[top + 1:], ' ')) rest from m"
+    "m as (select *, max(lcp) over (partition by conv_id order by turn) top from p), n as (select *, coalesce(lag(top) over (partition by conv_id order by turn), 0) was from m) select conv_id as session, turn as at_seq, cast(top as bigint) n_committed, md5(array_to_string(w[was + 1:top], ' ')) added, md5(array_to_string(w[top + 1:], ' ')) rest from n"
 )
 def stream_prefix_confirm(spark, d):
     lead = F.when(F.col("seq") % 3 > 0, "go on ").otherwise("")
     h = turns(spark, d).select("session", "seq", F.concat(F.lit("the same words "), lead, F.coalesce("text", F.lit(""))).alias("text"))
     out = live.run_to_end(live.confirmed(h), "prefix")
-    return out.select("session", "at_seq", F.when(F.col("committed") == "", 0).otherwise(F.size(F.split("committed", " "))).cast("long").alias("n_committed"), F.md5("rest").alias("rest"))
+    return out.select("session", "at_seq", "n_committed", F.md5("added").alias("added"), F.md5("rest").alias("rest"))
 
 
-@query("with m as (select conv_id as session, turn // 3 as record, turn as seq, case when turn % 5 = 4 then 'fast-preview' when turn % 3 = 0 then 'source-final' else 'final' end stage, text, case when turn % 3 = 0 then '' when turn % 7 = 1 then ' ' else 'T:' || text end as translation from conversations) select session, record, md5(arg_min(text, seq)) as text, md5(coalesce(arg_max(trim(translation), seq) filter (trim(translation) <> ''), '')) as translation, max(seq) last_seq from m where stage not like '%preview%' group by all")
+@query("with m as (select conv_id as session, turn // 3 as record, turn as seq, case when turn % 5 = 4 then 'fast-preview' when turn % 3 = 0 then 'source-final' else 'final' end stage, text, case when turn % 3 = 0 then '' when turn % 7 = 1 then ' ' else 'T:' || text end as translation from conversations) select session, record, md5(arg_min(text, seq)) as text, md5(coalesce(arg_max(trim(translation), seq) filter (trim(translation) <> ''), '')) as translation from m where stage not like '%preview%' group by all")
 def stream_final_rows(spark, d):
     seq = F.col("seq")
     stage = F.when(seq % 5 == 4, "fast-preview").when(seq % 3 == 0, "source-final").otherwise("final")
     said = F.when(seq % 3 == 0, "").when(seq % 7 == 1, " ").otherwise(F.concat(F.lit("T:"), "text"))
     m = turns(spark, d).select("session", F.floor(seq / 3).alias("record"), "seq", stage.alias("stage"), "text", said.alias("translation"))
-    out = live.run_to_end(live.final_rows(m, "session", "record"), "finals", "update", ["session", "record"])
-    return out.select("session", "record", F.md5("text").alias("text"), F.md5(F.coalesce("translation", F.lit(""))).alias("translation"), "last_seq")
+    out = live.latest(live.run_to_end(live.final_rows(m, "session", "record"), "finals"), ["session", "record"])
+    return out.select("session", "record", F.md5("text").alias("text"), F.md5(F.coalesce("translation", F.lit(""))).alias("translation"))
 
 
 @query("with r as (select user_id % 50 as request_id, event_id as seq, event_type as payload from events), f as (select *, first_value(payload) over (partition by request_id order by seq) first, row_number() over (partition by request_id order by seq) n from r) select request_id, job, cast(count(*) as bigint) n from (select request_id, case when n = 1 then 'accepted' when payload = first then 'known' else 'conflict' end job from f) group by all")
@@ -88,10 +94,27 @@ def active_cue_changes(spark, d):
     return live.active_changes(clock, cues)
 
 
-@query("select session, cast(sum(length(x)) as bigint) as chars, cast(count(*) as bigint) as n_lines from (select conv_id as session, unnest([text]) x from conversations where length(text) >= 160 or regexp_matches(text, '[.!?…。！？؟;:]$')) group by 1")
+@query(
+    "with w as (select conv_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from conversations), x as (select conv_id, array_to_string(w[1:len(w) // 2], ' ') p, array_to_string(w, ' ') f from w), "
+    "l as (select conv_id, unnest([case when length(p) >= 160 or regexp_matches(p, '[.!?…。！？؟;:]$') then p end, nullif(f, '')]) l from x) select conv_id as session, cast(sum(length(l)) as bigint) as chars, cast(count(*) as bigint) as n_lines from l where l is not null group by 1"
+)
 def stream_whole_captions(spark, d):
-    """Turns that are complete in themselves pass the caption buffer as they are; they come far apart."""
-    t = turns(spark, d).where((F.length("text") >= 160) | F.col("text").rlike("[.!?…。！？؟;:]$"))
-    one = F.trim(F.regexp_replace("text", r"\s", "_"))
-    out = live.run_to_end(live.buffered_captions(t.select("session", "seq", (F.col("seq") * 10_000).alias("at"), one.alias("text"))), "captions")
+    """Each turn grows: first half of its words, then all of them; turns come far apart, the last one waits for the end."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    x = turns(spark, d).withColumn("w", words)
+    grown = F.explode(F.array(*[F.struct((2 * F.col("seq") + i).alias("seq"), (F.col("seq") * 10_000 + 500 * i).alias("at"), F.array_join(part, " ").alias("text")) for i, part in enumerate((F.slice("w", F.lit(1), F.floor(F.size("w") / 2).cast("int")), F.col("w")))]))
+    out = live.run_to_end(live.buffered_captions(x.select("session", grown.alias("c")).select("session", "c.*")), "captions")
     return out.groupBy("session").agg(F.sum(F.length("line")).alias("chars"), F.count("*").alias("n_lines"))
+
+
+@query()
+def stream_overlap_merge(spark, d):
+    """Fragments of ten words, each of which repeats the last four of the one before, give all words of a text again."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").withColumn("w", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    more = F.greatest(F.ceil((F.size("w") - 10) / 6), F.lit(0)).cast("int")
+    cut = F.posexplode(F.transform(F.sequence(F.lit(0), more), lambda i: F.array_join(F.slice("w", 6 * i + 1, F.lit(10)), " ")))
+    fragments = c.select(F.concat_ws(":", "conv_id", "turn").alias("session"), cut.alias("seq", "text")).withColumn("seq", F.col("seq").cast("long"))
+    out = live.run_to_end(live.merged_fragments(live.in_parts(fragments, "session", F.least(F.floor(F.col("seq") / 4), F.lit(2)), 3, "fragments")), "merged")
+    said = out.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at_seq", "added"))), lambda x: F.when(x["added"] != "", x["added"])), " ").alias("said"))
+    whole = c.select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("session"), F.array_join("w", " ").alias("w"))
+    return whole.join(said, "session").select("conv_id", "turn", (F.col("said") == F.col("w")).alias("whole"))

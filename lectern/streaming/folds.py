@@ -58,14 +58,15 @@ def caption_buffer(state: tuple[str, int, int], at: int, text: str | None) -> tu
     return (pending, begun, at), out
 
 
-def confirmed_prefix(previous: list[str], committed: list[str], hypothesis: str | None) -> tuple[list[str], list[str], str]:
-    """(this hypothesis, committed words, the rest): words that two hypotheses in turn begin with are committed for good."""
+def confirmed_prefix(previous: list[str], committed: int, hypothesis: str | None) -> tuple[list[str], list[str], str]:
+    """(this hypothesis, words that it commits, the rest): words that two hypotheses in turn begin with are committed for
+    good; `committed` says how many were before."""
     now = (hypothesis or "").split()
     same = 0
     while same < min(len(previous), len(now)) and previous[same].casefold() == now[same].casefold():
         same += 1
-    committed = committed + now[len(committed) : same]
-    return now, committed, " ".join(now[len(committed) :])
+    added = now[committed:same]
+    return now, added, " ".join(now[committed + len(added) :])
 
 
 def kept_apart(last: tuple[str, float | None] | None, text: str, at: float | None, gap: float = 3.0) -> bool:

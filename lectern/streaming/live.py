@@ -6,14 +6,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.functions.text import credit_line
-from lectern.shared import fresh
+from lectern.shared import fresh, hadoop, written
 from lectern.streaming import folds
 
 #: How long a key's state stays without new rows (ms).
@@ -26,20 +27,41 @@ def read(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def in_parts(rows: DataFrame, key: str, part: Column, parts: int, name: str = "parts") -> DataFrame:
+    """A stream over rows in `parts` steps (part counts from 0): each is written as files of its own, one after the other, so
+    that a step's rows come before the next one's; the rows of a key are in one file of a step."""
+    where, most = fresh(rows.sparkSession, name), 1
+    for i in range(parts):
+        step = f"{where}/{i}"
+        rows.where(part == i).repartition(key).write.parquet(step)
+        path, fs = hadoop(rows.sparkSession, step)
+        most = max(most, sum(1 for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")))
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", most).parquet(f"{where}/*")
+
+
 def run_to_end(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """The rows of a stream over all input there is, as a table in the shared folder.
 
     A micro-batch writes its own folder, named by its number and written over when it is repeated, so a restart makes no
-    duplicates. In update mode the last batch's row of each key counts; in complete mode the last batch's rows."""
+    duplicates. In update mode the last batch's row of each key counts; in complete mode the last batch's rows. What a
+    fold (`folded`) still holds at the end of the input is read from its state and emitted, as its time-out would."""
     spark = stream.sparkSession
-    root = fresh(spark, name)
+    root, state = fresh(spark, name), fresh(spark, name + "-state")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
 
-    # State with a timeout in processing time would ask for empty batches for ever.
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", fresh(spark, name + "-state")).foreachBatch(put).trigger(availableNow=True).start()
+    # State with a time-out in processing time would ask for empty batches for ever. The query has its own copy of the
+    # session once it has started, so the caller's setting is put back then.
+    option = "spark.sql.streaming.noDataMicroBatches.enabled"
+    fold = getattr(stream, "_fold", None)
+    before = spark.conf.get(option)
+    if fold:
+        spark.conf.set(option, "false")
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(put).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(option, before)
     query.awaitTermination()
     rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch int").option("recursiveFileLookup", "false").parquet(root)
     if mode == "complete":
@@ -47,7 +69,8 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append", keys: list[st
     if mode == "update" and keys:
         w = Window.partitionBy(*keys).orderBy(F.desc("batch"))
         return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "batch")
-    return rows.drop("batch")
+    rows = rows.drop("batch")
+    return rows.unionByName(written(fold.rest(spark, state), name + "-rest")) if fold and fold.end else rows
 
 
 def windowed(events: DataFrame, time: str, size: str, by: list[str], aggs: list, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -61,49 +84,74 @@ def sessions(events: DataFrame, time: str, gap: str, by: list[str], aggs: list,
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *by).agg(*aggs)
 
 
-def folded(stream: DataFrame, key: str, out: str, begin: Callable[[], object], step: Callable[[object, dict], tuple[object, list[tuple]]], end: Callable[[object], list[tuple]] | None = None, keep_ms: int = KEEP_MS) -> DataFrame:
+class Fold(NamedTuple):
+    """How a stream was folded, for what its state holds when the input has ended."""
+
+    keys: list[str]
+    names: list[str]
+    schema: str
+    end: Callable[[object], list[tuple]] | None
+
+    def rest(self, spark: SparkSession, checkpoint: str) -> DataFrame:
+        """What end() makes of each key's state, read from the state store behind the last micro-batch."""
+        held = spark.read.format("statestore").load(checkpoint)
+        state = held.select(*[F.col(f"key.`{k}`").alias(k) for k in self.keys], F.col("value.groupState.state").alias("_state"))
+
+        def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in pdfs:
+                made = [(*r[:-1], *x) for r in pdf.itertuples(index=False, name=None) for x in self.end(json.loads(r[-1]))]
+                yield pd.DataFrame(made, columns=[*self.keys, *self.names])
+
+        return state.mapInPandas(run, self.schema)
+
+
+def folded(stream: DataFrame, key: str | list[str], out: str, begin: Callable[[], object], step: Callable[[object, dict], tuple[object, list[tuple]]], end: Callable[[object], list[tuple]] | None = None, keep_ms: int = KEEP_MS) -> DataFrame:
     """A fold per key over the rows of a stream (which have `seq`), or of a table. step(state, row) gives (state, rows to
-    emit), end(state) what is emitted when the key times out, or at the end of a table. States must be JSON."""
+    emit), end(state) what is emitted when the key times out, or at the end of the input. States must be JSON."""
+    keys = [key] if isinstance(key, str) else list(key)
     names = [f.strip().split(" ")[0] for f in out.split(",")]
-    kind = dict(stream.dtypes)[key]
-    schema = f"`{key}` {kind}, {out}"
+    kinds = dict(stream.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", {out}"
 
-    def go(k, state, pdf: pd.DataFrame) -> tuple[object, list[tuple]]:
+    def go(ks: tuple, state, pdf: pd.DataFrame) -> tuple[object, list[tuple]]:
         made = []
-        for row in pdf.sort_values("seq").to_dict("records"):
+        for row in pdf.sort_values("seq", kind="stable").to_dict("records"):
             state, rows = step(state, row)
-            made += [(k, *r) for r in rows]
+            made += [(*ks, *r) for r in rows]
         return state, made
 
     def streaming(ks: tuple, pdfs: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = json.loads(held.get[0]) if held.exists else begin()
         if held.hasTimedOut:
-            made = [(ks[0], *r) for r in (end(state) if end else [])]
+            made = [(*ks, *r) for r in (end(state) if end else [])]
             held.remove()
         else:
-            state, made = go(ks[0], state, pd.concat(list(pdfs)))
+            state, made = go(ks, state, pd.concat(list(pdfs)))
             held.update((json.dumps(state),))
             held.setTimeoutDuration(keep_ms)
-        yield pd.DataFrame(made, columns=[key, *names])
+        yield pd.DataFrame(made, columns=[*keys, *names])
 
     def batch(ks: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state, made = go(ks[0], begin(), pdf)
-        return pd.DataFrame(made + [(ks[0], *r) for r in (end(state) if end else [])], columns=[key, *names])
+        state, made = go(ks, begin(), pdf)
+        return pd.DataFrame(made + [(*ks, *r) for r in (end(state) if end else [])], columns=[*keys, *names])
 
     if stream.isStreaming:
-        return stream.groupBy(key).applyInPandasWithState(streaming, schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
-    return stream.groupBy(key).applyInPandas(batch, schema)
+        made = stream.groupBy(*keys).applyInPandasWithState(streaming, schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        made._fold = Fold(keys, names, schema, end)
+        return made
+    return stream.groupBy(*keys).applyInPandas(batch, schema)
 
 
 def committed_lines(chunks: DataFrame, key: str = "session") -> DataFrame:
-    """(key, line_seq, line) from chunks (key, seq, text, rms, and if there is one: flush): see `folds.live_line`."""
+    """(key, line_seq, line) from chunks (key, seq, text, rms, and if there is one: flush): see `folds.live_line`. What is
+    pending at the end, or when a session times out, is a line of the last chunk."""
     flags = {"_credit": credit_line(F.col("text"))} | ({} if "flush" in chunks.columns else {"flush": F.lit(False)})
 
     def step(state, row):
-        left, lines = folds.live_line(state, row["text"], row["rms"], bool(row["_credit"]), bool(row["flush"]))
-        return left, [(row["seq"], x) for x in lines]
+        left, lines = folds.live_line(state[0], row["text"], row["rms"], bool(row["_credit"]), bool(row["flush"]))
+        return [left, int(row["seq"])], [(row["seq"], x) for x in lines]
 
-    return folded(chunks.withColumns(flags), key, "line_seq long, line string", lambda: "", step)
+    return folded(chunks.withColumns(flags), key, "line_seq long, line string", lambda: ["", 0], step, lambda s: [(s[1], s[0])] if s[0] else [])
 
 
 def buffered_captions(captions: DataFrame, key: str = "session") -> DataFrame:
@@ -118,14 +166,16 @@ def buffered_captions(captions: DataFrame, key: str = "session") -> DataFrame:
 
 
 def confirmed(hypotheses: DataFrame, key: str = "session") -> DataFrame:
-    """(key, at_seq, committed, rest) after each hypothesis (key, seq, text, reset): see `folds.confirmed_prefix`."""
+    """(key, at_seq, n_committed, added, rest) after each hypothesis (key, seq, text, reset): how many words are committed by
+    then, those that it added, and the rest of it; see `folds.confirmed_prefix`. The state is the last hypothesis and a
+    number, and what was committed is said once."""
 
     def step(state, row):
-        before, done = ([], []) if row.get("reset") else state
-        now, done, rest = folds.confirmed_prefix(before, done, row["text"])
-        return [now, done], [(row["seq"], " ".join(done), rest)]
+        before, n = ([], 0) if row.get("reset") else state
+        now, added, rest = folds.confirmed_prefix(before, n, row["text"])
+        return [now, n + len(added)], [(row["seq"], n + len(added), " ".join(added), rest)]
 
-    return folded(hypotheses, key, "at_seq long, committed string, rest string", lambda: [[], []], step)
+    return folded(hypotheses, key, "at_seq long, n_committed long, added string, rest string", lambda: [[], 0], step)
 
 
 def merged_fragments(fragments: DataFrame, key: str = "session", most: int = 12) -> DataFrame:
@@ -168,22 +218,35 @@ def active_changes(clock: DataFrame, cues: DataFrame, key: str = "session") -> D
     return folded(at.select(key, "seq", "cue"), key, "at_seq long, cue long", lambda: None, step)
 
 
-def final_rows(messages: DataFrame, key: str, record: str) -> DataFrame:
-    """One row per record from messages (key, record, seq, stage, text, translation): previews never count, the first final
-    makes the record, later ones replace what they bring, a blank translation replaces nothing. A stream gives updates."""
+def final_rows(messages: DataFrame, key: str, record: str, keep_ms: int = KEEP_MS) -> DataFrame:
+    """(key, record, at_seq, text, translation): a record after each message (key, record, seq, stage, text, translation) that
+    changes it: previews never count, the first final makes the record, later ones replace what they bring, a blank
+    translation replaces nothing. A record's state goes `keep_ms` after its last message; `latest` gives the last rows."""
     m = messages.where(~F.col("stage").contains("preview") & (F.col("stage") != "source"))
-    said = F.struct("seq", F.nullif(F.trim("translation"), F.lit("")).alias("x"))
-    return m.groupBy(key, record).agg(F.min_by("text", "seq").alias("text"), F.max_by(F.when(said["x"].isNotNull(), said["x"]), F.when(said["x"].isNotNull(), F.col("seq"))).alias("translation"), F.max("seq").alias("last_seq"))
+
+    def step(state, row):
+        said = (row["translation"] or "").strip(" ")
+        text = row["text"] if state is None else state[0]
+        new = [text, said or (state[1] if state else None)]
+        return new, [(row["seq"], *new)] if new != state else []
+
+    return folded(m, [key, record], "at_seq long, text string, translation string", lambda: None, step, keep_ms=keep_ms)
+
+
+def latest(rows: DataFrame, keys: list[str], by: str = "at_seq") -> DataFrame:
+    """The last row of each key."""
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), by).alias("r")).select(*keys, "r.*")
 
 
-def submitted_jobs(requests: DataFrame, key: str = "request_id", payload: str = "payload", time: str | None = None, keep: str = "1 hour") -> DataFrame:
-    """(key, seq, state) of requests: the first of an id is accepted, an equal one is known, one with another payload is a
-    conflict. Payloads are compared by their digest; ids are forgotten after `keep` without requests."""
+def submitted_jobs(requests: DataFrame, key: str = "request_id", payload: str = "payload", keep_ms: int = KEEP_MS) -> DataFrame:
+    """(key, at_seq, job) of requests: the first of an id is accepted, an equal one is known, one with another payload is a
+    conflict. Payloads are compared by their digest; ids are forgotten after `keep_ms` without requests."""
     r = requests.withColumn("_print", F.sha2(payload, 256)).select(key, "seq", "_print")
 
     def step(state, row):
         if state is None:
-            return row["_print"], [(row["seq"], "accepted")]
-        return state, [(row["seq"], "known" if row["_print"] == state else "conflict")]
+            return row["_print"] or "", [(row["seq"], "accepted")]
+        return state, [(row["seq"], "known" if (row["_print"] or "") == state else "conflict")]
 
-    return folded(r, key, "at_seq long, job string", lambda: None, step)
+    return folded(r, key, "at_seq long, job string", lambda: None, step, keep_ms=keep_ms)
