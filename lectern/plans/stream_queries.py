@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.plans.registry import query
-from lectern.streaming import live
+from lectern.streaming import live, timers
 
 
 def turns(spark, d):
@@ -118,3 +118,38 @@ def stream_overlap_merge(spark, d):
     said = out.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at_seq", "added"))), lambda x: F.when(x["added"] != "", x["added"])), " ").alias("said"))
     whole = c.select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("session"), F.array_join("w", " ").alias("w"))
     return whole.join(said, "session").select("conv_id", "turn", (F.col("said") == F.col("w")).alias("whole"))
+
+
+def _tried(text: str, context: list[str], tries: int) -> str | None:
+    """A model that needs as many tries as the length of a text says, and never manages lengths divisible by 7."""
+    return None if len(text) % 7 == 0 or tries < len(text) % 3 else f"{len(text)}/{len(context)}"
+
+
+@query(
+    "with recursive c as (select conv_id as session, turn as seq, 1000 + 1500 * turn as tm, length(text) n, row_number() over (partition by conv_id order by turn) r from conversations where regexp_matches(text, '[^\\s]')), "
+    "f as (select session, r, seq, n, tm + case when n % 7 = 0 then 3000 else [0, 1000, 3000][1 + n % 3] end as free, 0 as ctx, n % 7 <> 0 as ok from c where r = 1 union all "
+    "select c.session, c.r, c.seq, c.n, greatest(f.free, c.tm) + case when c.n % 7 = 0 then 3000 else [0, 1000, 3000][1 + c.n % 3] end, least(8, f.ctx + cast(f.ok as int)), c.n % 7 <> 0 from f join c on c.session = f.session and c.r = f.r + 1) "
+    "select session, seq, 'source-final' stage, '' translation, cast(tm as bigint) as \"at\" from c union all select session, seq, case when ok then 'professional-final' else 'error' end, case when ok then n || '/' || ctx else '' end, cast(free as bigint) from f"
+)
+def stream_session_queue(spark, d):
+    """Turns 1.5 seconds apart go through a session's queue; a try that fails waits longer each time."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), (1000 + 1500 * F.col("turn")).alias("at"), "text")
+    rows = timers.closed(c)
+    step = F.when(F.col("session") == timers.CLOCK, 3).otherwise(F.least(F.floor(F.col("seq") / 3), F.lit(2)))
+    out = live.run_to_end(timers.session_queue(live.in_parts(rows, "session", step, 4, "sentences"), _tried), "queue")
+    return out.where(F.col("session") != timers.CLOCK)
+
+
+@query(
+    "with x as (select user_id as session, event_id as seq, epoch_us(ts) // 1000 tm, event_type as text from events where user_id is not null), f as (select *, lag(text) over w b, lead(tm) over w nxt from x window w as (partition by session order by tm, seq)), "
+    "g as (select session, tm, text, b is null or b <> text as new from f), h as (select session, tm, text, lead(tm) over (partition by session order by tm) nxt from g where new) "
+    "select session, tm + 650 as \"at\", text as caption from h where nxt is null or nxt >= tm + 650"
+)
+def stream_still_captions(spark, d):
+    """Types of events as captions of users: those that no other type follows within 650 ms."""
+    e = spark.read.parquet(f"{d}/events.parquet").where("user_id is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = timers.closed(e.select(F.col("user_id").cast("long").alias("session"), F.col("event_id").alias("seq"), F.unix_millis("ts").alias("at"), F.col("event_type").alias("text")))
+    first, last = rows.where(F.col("session") != timers.CLOCK).agg(F.min("at"), F.max("at")).first()
+    step = F.when(F.col("session") == timers.CLOCK, 3).otherwise(F.least(F.floor((F.col("at") - F.lit(first or 0)) * 3 / F.lit(max((last or 0) - (first or 0), 1))), F.lit(2)))
+    out = live.run_to_end(timers.still_captions(live.in_parts(rows, "session", step, 4, "captions"), timers.PLAYER_STILL_MS), "still")
+    return out.where(F.col("session") != timers.CLOCK)

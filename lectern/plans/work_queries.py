@@ -21,6 +21,8 @@ def _ask(texts: list[str], depth: int) -> B.Reply:
 
 
 def _plain(text: str, mode: str) -> B.Reply:
+    if mode == "forced-chunk":
+        return B.Reply(None, 503, "no chunks")
     return B.Reply(None, 401, "no key") if len(text) % 53 == 0 else B.Reply(_said(text))
 
 

@@ -5,6 +5,7 @@ pending then is emitted. Rows of a key are folded in the order of `seq` within a
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.functions.text import credit_line
-from lectern.shared import fresh, hadoop, written
+from lectern.shared import fresh, written
 from lectern.streaming import folds
 
 #: How long a key's state stays without new rows (ms).
@@ -27,16 +28,24 @@ def read(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+#: Bytes of input for one file of a step.
+STEP_BYTES = 32 << 20
+
+
 def in_parts(rows: DataFrame, key: str, part: Column, parts: int, name: str = "parts") -> DataFrame:
-    """A stream over rows in `parts` steps (part counts from 0): each is written as files of its own, one after the other, so
-    that a step's rows come before the next one's; the rows of a key are in one file of a step."""
-    where, most = fresh(rows.sparkSession, name), 1
+    """A stream over rows in `parts` micro-batches (part counts from 0). Each is written as files, one after the other, so
+    that a step's rows come before the next one's; the rows of a key are in one file of a step. All steps have the same
+    number of files (a filler row keeps an empty one there), so that a micro-batch is one step and never parts of two."""
+    spark = rows.sparkSession
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, math.ceil(size / STEP_BYTES)))
+    where = fresh(spark, name)
+    own = rows.withColumn("_file", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn("_filler", F.lit(False))
+    fillers = spark.range(n).select(F.col("id").cast("int").alias("_file"), F.lit(True).alias("_filler"))
     for i in range(parts):
-        step = f"{where}/{i}"
-        rows.where(part == i).repartition(key).write.parquet(step)
-        path, fs = hadoop(rows.sparkSession, step)
-        most = max(most, sum(1 for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")))
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", most).parquet(f"{where}/*")
+        own.where(part == i).unionByName(fillers, allowMissingColumns=True).repartitionById(n, "_file").write.parquet(f"{where}/{i}")
+    read = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", n).parquet(f"{where}/*")
+    return read.where("not _filler").drop("_file", "_filler")
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
@@ -53,15 +62,16 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append", keys: list[st
 
     # State with a time-out in processing time would ask for empty batches for ever. The query has its own copy of the
     # session once it has started, so the caller's setting is put back then.
-    option = "spark.sql.streaming.noDataMicroBatches.enabled"
     fold = getattr(stream, "_fold", None)
-    before = spark.conf.get(option)
-    if fold:
-        spark.conf.set(option, "false")
+    options = getattr(stream, "_options", {}) | ({"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if fold else {})
+    before = {k: spark.conf.get(k, None) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
     try:
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(put).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(option, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch int").option("recursiveFileLookup", "false").parquet(root)
     if mode == "complete":
