@@ -53,6 +53,8 @@ def segments(texts: list[str | None], length: int = 100) -> tuple[np.ndarray, ..
     b, ends = flat(texts)
     window = length - GRAM + 1
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64), np.zeros(1, np.uint64))
+    if len(b) > int(PLACE) + 1:
+        raise ValueError(f"{len(b)} bytes of text in one batch: a place has {int(PLACE).bit_length()} bits, so a single text may have {int(PLACE) + 1} bytes at most")
     if len(b) < length:
         return none
     sums = prefix_sums(b)

@@ -1,11 +1,14 @@
 """Nulls, large and repeated ids, clashing columns and forced parts: the n-gram join, the mix, and every pipeline stage."""
 import random
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 from tests.llm.test_operators import brute_components
 
 import corpus_pipeline as P
-from lectern.llm import mixing, ngram_join
+from lectern.llm import mixing, ngram_join, suffix_dedup
 
 
 def family_docs(n=260):
@@ -76,3 +79,8 @@ def test_every_stage_on_odd_rows(spark):
     for name, f in P.STAGES:
         out = f(spark, docs.limit(0), "")
         assert out.count() == 0 and (name == "bpe" or out.columns == docs.columns)
+
+
+def test_texts_beyond_the_places_are_refused(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PLACE", np.uint64(255))
+    assert len(suffix_dedup.segments(["x" * 256])[0]) and pytest.raises(ValueError, suffix_dedup.segments, ["x" * 257])
