@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.runs import greedy_batches  # noqa: F401
+
 
 def context_before(rows: DataFrame, key: str, order: str, text: str, n: int = 4, chars: int = 1600) -> DataFrame:
     """rows with `context`: the n texts before, joined by spaces, of which the last `chars` characters count."""
@@ -31,21 +33,6 @@ def ready_prefix(rows: DataFrame, key: str, order: str, done: Column, end: str)
     return ok.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("_ok") == 1, F.col(end))), F.lit(0)).alias("ready"))
 
 
-def greedy_batches(rows: DataFrame, key: str, order: str, size: Column, max_items: int, max_size: int) -> DataFrame:
-    """(key, order, batch): items in order, a new batch where an item would exceed either limit. One fold per key over
-    (order, size) pairs only; texts never enter it. An item over the limit has a batch of its own."""
-    items = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), size.cast("long").alias("s")))).alias("items"))
-    begin = F.struct(F.lit(-1).alias("b"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("t"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        fresh = (a["b"] < 0) | (a["n"] >= max_items) | (a["t"] + x["s"] > max_size)
-        b = F.when(fresh, a["b"] + 1).otherwise(a["b"])
-        return F.struct(b.alias("b"), F.when(fresh, 1).otherwise(a["n"] + 1).alias("n"), F.when(fresh, x["s"]).otherwise(a["t"] + x["s"]).alias("t"), F.concat(a["out"], F.array(b)).alias("out"))
-
-    folded = items.withColumn("b", F.aggregate("items", begin, step, lambda a: a["out"]))
-    return folded.select(key, F.explode(F.arrays_zip("items", "b")).alias("x")).select(key, F.col("x.items.o").alias(order), F.col("x.b").cast("long").alias("batch"))
-
-
 def asof_backward(probes: DataFrame, lines: DataFrame, key: str, time: str, value: str, probe_id: str) -> DataFrame:
     """probes with the value of the last line at or before their time, by one sort per key over the union of both."""
     tie = F.lit(0)

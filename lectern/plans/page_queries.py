@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import page_text as T
 from lectern.operators import pages as P
+from lectern.operators import runs as R
 from lectern.plans.registry import query, t
 from lectern.plans.text_queries import lines
 
@@ -80,3 +81,14 @@ def caption_lines(spark, d):
     head = F.when(k == 0, F.concat(F.lit("Fig. "), n, F.lit(": "))).when(k == 1, F.concat(F.lit("TABLE "), n, F.lit(" "))).when(k == 2, F.concat(F.lit("Scheme S"), n, F.lit("a. "))).when(k == 3, "Figures ").otherwise("")
     x = lines(spark, d).select("doc_id", "line", F.concat(head, F.col("l")).alias("x"))
     return x.select("doc_id", "line", T.is_caption(F.col("x")).alias("caption"), T.is_table_caption(F.col("x")).alias("of_table"), T.is_narrative(F.col("x")).alias("prose"))
+
+
+@query()
+def translation_units(spark, d):
+    """Lines of documents as blocks of pages of 40, in units of a class of document, whose translation is divided again."""
+    b = captioned(spark, d).withColumn("place", F.col("block"))
+    kinds = F.array(*[F.lit(k) for k in R.UNITS])
+    u = R.translation_units(b, kind=F.get(kinds, (F.col("doc") % len(R.UNITS)).cast("int")))
+    said = R.with_translations(u, u.select("doc", "unit", F.upper("text").alias("translation")))
+    whole = said.groupBy("doc", "unit").agg(F.count("*").alias("parts"), F.count_if("anchor").alias("anchors"))
+    return u.join(whole, ["doc", "unit"], "left").select("doc", "unit", "page", F.size("pages").cast("long").alias("pages"), F.size("blocks").cast("long").alias("blocks"), F.md5("text").alias("text"), "role", "parts", "anchors")

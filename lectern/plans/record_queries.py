@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.operators import runs as R
 from lectern.operators import sequences as O
 from lectern.operators.bags import similar_bags
 from lectern.operators.numbering import number_rows
@@ -51,6 +52,18 @@ def greedy_batches(spark, d):
     return O.greedy_batches(t(spark, d, "conversations"), "conv_id", "turn", F.length("text"), 24, 4000)
 
 
+@query(
+    "with recursive s as (select conv_id, turn, length(coalesce(text, '')) chars, 20.0 * turn + turn % 3 as a, 20.0 * turn + 19.0 + turn % 2 as z, regexp_matches(coalesce(text, ''), '[.!?。！？][\"''”’)]?$') ends, row_number() over (partition by conv_id order by turn) r from conversations), "
+    "f as (select conv_id, turn, r, cast(0 as bigint) batch, 1 n, chars tot, a as first, z as last, chars >= 500 and ends as closed from s where r = 1 union all "
+    "select x.conv_id, x.turn, x.r, case when x.new then x.batch + 1 else x.batch end, case when x.new then 1 else x.n + 1 end, case when x.new then x.chars else x.tot + x.chars end, case when x.new then x.a else x.first end, x.z, case when x.new then x.chars else x.tot + x.chars end >= 500 and x.ends from "
+    "(select s.*, f.batch, f.n, f.tot, f.first, f.closed or f.n >= 24 or f.tot + s.chars > 4000 or s.a - f.last >= 2 or s.z - f.first > 45 as new from f join s on f.conv_id = s.conv_id and s.r = f.r + 1) x) select conv_id, turn, batch from f"
+)
+def cue_batches(spark, d):
+    """Turns as segments of 20 seconds with pauses of up to two: what goes to a model together."""
+    c = t(spark, d, "conversations").withColumns({"start": 20.0 * F.col("turn") + F.col("turn") % 3, "end": 20.0 * F.col("turn") + 19.0 + F.col("turn") % 2})
+    return R.cue_batches(c, "conv_id", "turn", "text")
+
+
 @query("select user_id, bool_and(value >= b or b is null) monotone, cast(count(*) as bigint) n from (select user_id, value, lag(value) over (partition by user_id order by ts, event_id) b from events) group by user_id")
 def sequence_monotone_check(spark, d):
     b = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
