@@ -64,9 +64,10 @@ def test_names_quotes_and_heads(spark):
         (1, "http://a.b/", '<article><p class="navy-history">ships</p><p id="menuetto">dance</p><p class=promontory-guide>cliffs</p><p class="main-nav">no</p><p class="promo_box">no</p></article>'),
         (2, "http://a.b/", '<p class="x>Hello one</p>'),
         (3, "http://a.b/", "<main><p title=\"a hidden place\">seen</p><p hidden>not seen</p><p data-x='>'>quoted</p><p class=\"" + "y" * 200_000 + "\">long name</p></main>"),
+        (5, "http://a.b/", "<article>" + "İ" * 50 + "<script>x</SCRIPT>after the script<p>end</article>"),
         (4, "http://a.b/", "<head><title>no</title><body><article>an end tag of head may be left out</article>"),
     ]
-    assert texts(spark, rows) == {1: "ships\ndance\ncliffs", 2: "Hello one", 3: "seen\nquoted\nlong name", 4: "an end tag of head may be left out"}
+    assert texts(spark, rows) == {1: "ships\ndance\ncliffs", 2: "Hello one", 3: "seen\nquoted\nlong name", 4: "an end tag of head may be left out", 5: "İ" * 50 + "after the script\nend"}
 
 
 def test_odd_markup_takes_linear_time():
