@@ -38,3 +38,41 @@ def around(text: Column, part: Column, width: int = 200) -> Column:
     at = F.position(part, text)
     begin = F.greatest(at - width, F.lit(1))
     return F.when(at > 0, F.substr(text, begin, at - begin + F.length(part) + width))
+
+
+#: Entries and characters of an analysis that are kept.
+CHAPTERS, QUOTES, MOMENTS, TITLE, SUMMARY, QUOTE = 100, 50, 100, 300, 1500, 3000
+
+
+def safe_seconds(value: Column, most: Column) -> Column:
+    """Whole seconds of a time within a medium; null for others. A medium of no known length has no bound."""
+    bound = F.when(most > 0, most)
+    v = value.try_cast("double")
+    return F.when(~F.isnan(v) & (v >= 0) & (v < float("inf")) & F.coalesce(v <= bound, F.lit(True)), F.floor(v))
+
+
+def minutes(seconds: Column) -> Column:
+    """Seconds as m:ss."""
+    return F.concat(F.floor(seconds / 60).cast("string"), F.lit(":"), F.lpad((seconds % 60).cast("string"), 2, "0"))
+
+
+def _timed(entries: Column, most: Column, limit: int, fields: dict[str, int], need: str) -> Column:
+    one = lambda x, i: F.struct(safe_seconds(x["seconds"], most).alias("seconds"), i.alias("i"), *[F.left(F.trim(F.coalesce(x[f], F.lit(""))), F.lit(n)).alias(f) for f, n in fields.items()])
+    fine = F.filter(F.transform(F.slice(F.coalesce(entries, F.array()), F.lit(1), limit), one), lambda x: x["seconds"].isNotNull() & (x[need] != ""))
+    return F.transform(F.array_sort(fine), lambda x: F.struct(x["seconds"].alias("seconds"), minutes(x["seconds"]).alias("at"), *[x[f].alias(f) for f in fields]))
+
+
+def safe_chapters(chapters: Column, most: Column) -> Column:
+    """Chapters (struct of seconds, title, summary) of an analysis, in order of time: those without a title or with a time
+    outside the medium go, long texts are cut."""
+    return _timed(chapters, most, CHAPTERS, {"title": TITLE, "summary": SUMMARY}, "title")
+
+
+def safe_quotes(quotes: Column, most: Column) -> Column:
+    """Quotes (struct of seconds, quote) of an analysis, in the same way."""
+    return _timed(quotes, most, QUOTES, {"quote": QUOTE}, "quote")
+
+
+def safe_moments(moments: Column, most: Column) -> Column:
+    """Times of an analysis that lie within the medium, as they come."""
+    return F.slice(F.filter(F.transform(F.coalesce(moments, F.array()), lambda x: safe_seconds(x, most)), lambda x: x.isNotNull()), F.lit(1), MOMENTS)

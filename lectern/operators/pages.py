@@ -334,8 +334,8 @@ def split_grids(blocks: list[Block]) -> list[Block]:
 
 
 def blocks(lines: DataFrame, page_width: float) -> DataFrame:
-    """(doc, page, block, text, x, y, width, height, font, line_height, n_lines, body, caption, reference, level, title, lines)
-    of the lines of pages: lines stacked to blocks, headings and captions joined, grids apart. `body` is the page's body font
+    """(doc, page, block, text, x, y, width, height, font, line_height, n_lines, body, caption, reference, level, section,
+    title, own, lines) of the lines of pages: lines stacked to blocks, headings and captions joined, grids apart. `body` is the page's body font
     size; caption, reference, level and title say what a block is by its words; lines has their baselines."""
     names = [c.split()[0] for c in LINE.split(", ")]
     kinds = {c: lines.schema[c].dataType.simpleString() for c in PAGE}
@@ -352,11 +352,11 @@ def blocks(lines: DataFrame, page_width: float) -> DataFrame:
         for i, b in enumerate(made):
             n = len(b.lines)
             level = T.section_level(b.text) if T.own_heading(b.text, n) else 0
-            rows.append((pdf["doc"].iat[0], pdf["page"].iat[0], i, body, T.caption(b.text), reference_start(b.text), level, T.title_like(b.text, n, b.font, body), T.own_heading(b.text, n), [vars(x) for x in b.lines]))
-        return pd.DataFrame(rows, columns=["doc", "page", "block", "body", "caption", "reference", "level", "title", "own", "lines"])
+            rows.append((pdf["doc"].iat[0], pdf["page"].iat[0], i, body, T.caption(b.text), reference_start(b.text), level, T.section_level(b.text), T.title_like(b.text, n, b.font, body), T.own_heading(b.text, n), [vars(x) for x in b.lines]))
+        return pd.DataFrame(rows, columns=["doc", "page", "block", "body", "caption", "reference", "level", "section", "title", "own", "lines"])
 
     parts = LINE.replace(" ", ": ").replace(",:", ",")
-    made = lines.select(*PAGE, "line", *names).groupBy(*PAGE).applyInPandas(run, f"doc {kinds['doc']}, page {kinds['page']}, block long, body double, caption boolean, reference boolean, level int, title boolean, own boolean, lines array<struct<{parts}>>")
+    made = lines.select(*PAGE, "line", *names).groupBy(*PAGE).applyInPandas(run, f"doc {kinds['doc']}, page {kinds['page']}, block long, body double, caption boolean, reference boolean, level int, section int, title boolean, own boolean, lines array<struct<{parts}>>")
     each = lambda c: F.transform("lines", lambda x: x[c])
     n = F.size("lines")
     text = F.aggregate(F.slice(each("text"), F.lit(2), F.greatest(n - 1, F.lit(0))), F.get(each("text"), 0), joined_text)
@@ -365,7 +365,7 @@ def blocks(lines: DataFrame, page_width: float) -> DataFrame:
     font = _median(each("font"))
     return made.select(
         *PAGE, "block", text.alias("text"), x.alias("x"), y.alias("y"), (F.array_max(each("right")) - x).alias("width"), (F.array_max(each("bottom")) - y).alias("height"), font.alias("font"),
-        F.when(n > 1, _median(steps)).otherwise(font * 1.18).alias("line_height"), n.cast("long").alias("n_lines"), "body", "caption", "reference", "level", "title", "own", each("baseline").alias("lines"),
+        F.when(n > 1, _median(steps)).otherwise(font * 1.18).alias("line_height"), n.cast("long").alias("n_lines"), "body", "caption", "reference", "level", "section", "title", "own", each("baseline").alias("lines"),
     )
 
 
@@ -401,6 +401,48 @@ def page_blocks(tokens: DataFrame, page_width: float, page_height: float) -> Dat
     return roles(without_overlapping_copies(made), page_width, page_height)
 
 
+# --- Recognised pages ------------------------------------------------------------------------------------------------------
+
+
+def recognised_tokens(lines: DataFrame) -> DataFrame:
+    """Tokens of a recogniser's lines (doc, page, text, x, y, width, height in pixels, image_width, image_height, page_width,
+    page_height): each is one token that ends its line, scaled to the page, its font size 0.82 of its height."""
+    across, down = F.col("page_width") / F.greatest(F.lit(1.0), F.col("image_width")), F.col("page_height") / F.greatest(F.lit(1.0), F.col("image_height"))
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    x, y = F.greatest(F.lit(0.0), number("x")) * across, F.greatest(F.lit(0.0), number("y")) * down
+    width, height = F.greatest(F.lit(1.0), number("width")) * across, F.greatest(F.lit(6.0), number("height")) * down
+    font = F.greatest(F.lit(6.0), height * 0.82)
+    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " "))
+    t = lines.select(*PAGE, text.alias("text"), x.alias("x"), F.greatest(F.lit(1.0), width).alias("width"), (y + height - font * 0.12).alias("baseline"), font.alias("font"), F.lit(True).alias("eol"))
+    return t.where("text <> ''").withColumns({"right": F.col("x") + F.col("width"), "y": F.col("baseline") - F.col("font"), "bottom": F.col("baseline") + F.col("font") * 0.12})
+
+
+def read_across(blocks: DataFrame, page_width: float, page_height: float, first_page: int = 1) -> DataFrame:
+    """blocks with `place` (from 1) in the order in which two columns are read: what spans the page above them, the left
+    column, the right one, what spans it below. On the first page all down to the last heading of a section in its lower
+    half comes first, from top to bottom."""
+    b = blocks.withColumns({"_right": F.col("x") + F.col("width"), "_wide": F.col("width") > page_width * SPANS})
+    page = Window.partitionBy(*PAGE)
+    late = (F.col("role") == "heading") & (F.col("section") >= 2) & (F.col("y") >= page_height * 0.45)
+    b = b.withColumn("_late", F.max(F.when(late, F.struct("y", (-F.col("block")).alias("n")))).over(page)).withColumn("_first", F.min(F.when(~F.col("_wide"), F.col("y"))).over(page))
+    column = F.when((F.col("x") + F.col("_right")) / 2 < page_width / 2, 1).otherwise(2)
+    lead = F.when(F.col("_late").isNull() | (F.col("y") < F.col("_late.y")) | (F.col("block") == -F.col("_late.n")), 0).when(F.col("_wide"), 3).otherwise(column)
+    other = F.when(F.col("_first").isNull(), 0).when(~F.col("_wide"), column).when(F.col("y") <= F.col("_first") + F.col("font"), 0).otherwise(3)
+    b = b.withColumn("_group", F.when(F.col("page") == first_page, lead).otherwise(other))
+    place = F.row_number().over(page.orderBy("_group", "y", "x", "block"))
+    return b.withColumn("place", place.cast("long")).drop("_right", "_wide", "_late", "_first", "_group")
+
+
+def recognised_blocks(lines: DataFrame, page_width: float, page_height: float, first_page: int = 1) -> DataFrame:
+    """(doc, page, id, role, source, left, top, right, bottom) of a recogniser's lines: blocks with a Latin letter that say
+    something, in reading order, as p001b001 and on."""
+    b = read_across(page_blocks(recognised_tokens(lines), page_width, page_height), page_width, page_height, first_page)
+    b = b.where(~F.col("role").isin("artifact", "figure-content") & F.col("text").rlike("[A-Za-z]"))
+    n = F.row_number().over(Window.partitionBy(*PAGE).orderBy("place"))
+    box = {"left": F.col("x"), "top": F.col("y"), "right": F.col("x") + F.col("width"), "bottom": F.col("y") + F.col("height")}
+    return b.select(*PAGE, F.format_string("p%03db%03d", F.col("page"), n).alias("id"), "role", F.col("text").alias("source"), *[F.round(v, 2).alias(k) for k, v in box.items()])
+
+
 # --- Regions ----------------------------------------------------------------------------------------------------------------
 
 

@@ -154,3 +154,25 @@ def largest_player(players: DataFrame, key: str) -> DataFrame:
     """The player of each page: one that plays before others, then the largest, then the first."""
     w = Window.partitionBy(key).orderBy(F.desc("playing"), F.desc("area"), "ord")
     return players.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def cached_matches(current: DataFrame, saved: DataFrame) -> DataFrame:
+    """(doc, page, block, saved_page, saved_block, tier, translation): saved translations for the blocks (doc, page, block, text
+    in its normal form) of documents. First those of the same place and text, then, in order, those of the same text on the
+    same page, then those of the same text anywhere in the document. A saved block serves once; blank texts and saved
+    blocks (doc, page, block, text, translation) without a translation match nothing."""
+    cur = current.where("text <> ''").select("doc", "page", "block", "text")
+    old = saved.where((F.col("text") != "") & (F.coalesce("translation", F.lit("")) != "")).select("doc", F.col("page").alias("saved_page"), F.col("block").alias("saved_block"), "text", "translation")
+    same = (cur["doc"] == old["doc"]) & (cur["text"] == old["text"]) & (cur["page"] == old["saved_page"]) & (cur["block"] == old["saved_block"])
+    found = [cur.join(old, same).select(cur["doc"], "page", "block", "saved_page", "saved_block", F.lit(1).alias("tier"), "translation")]
+    for tier, by in ((2, ["doc", "page", "text"]), (3, ["doc", "text"])):
+        met = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        left = cur.join(met.select("doc", "page", "block"), ["doc", "page", "block"], "left_anti")
+        free = old.join(met.select("doc", "saved_page", "saved_block"), ["doc", "saved_page", "saved_block"], "left_anti")
+        # The nth block of a text that is still open takes the nth one that is still free.
+        mine = left.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("page", "block")))
+        own = ["doc", "saved_page", "text"] if tier == 2 else ["doc", "text"]
+        theirs = free.withColumn("_n", F.row_number().over(Window.partitionBy(*own).orderBy("saved_page", "saved_block")))
+        theirs = theirs.withColumn("page", F.col("saved_page")) if tier == 2 else theirs
+        found.append(mine.join(theirs, [*by, "_n"]).select("doc", "page", "block", "saved_page", "saved_block", F.lit(tier).alias("tier"), "translation"))
+    return found[0].unionByName(found[1]).unionByName(found[2])

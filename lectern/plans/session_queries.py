@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions import formats as M
 from lectern.operators import sessions as S
 from lectern.plans.registry import query, t
 from lectern.plans.text_queries import _LINES, lines
@@ -124,3 +125,35 @@ def caption_source_choice(spark, d):
     pick = lambda xs, n: F.get(F.array(*[F.lit(x) for x in xs]), (i % n).cast("int"))
     c = t(spark, d, "part").select("p_brand", pick(("media", "track", "loaded", "archive", "previous"), 5).alias("kind"), pick(("de", "en-US", "en", "fr"), 4).alias("language"), i.alias("ord"), (F.col("p_size") > 25).alias("usable"))
     return timedtext.chosen_source(c, "p_brand", F.lit("en"))
+
+
+_PLACES = "case when line % 8 = 5 then line + 1000000 when line % 4 = 2 then line + 1 when line % 4 = 3 then line - 1 else line end"
+
+
+@query(
+    f"with {_LINES}, cur as (select doc_id doc, line // 10 page, line % 10 block, l as text from lines where l <> ''), old as (select doc_id doc, p // 10 page, p % 10 block, l as text from (select *, {_PLACES} p from lines where l <> '' and line % 7 <> 3)), "
+    "t1 as (select doc, page, block, page sp, block sb from cur join old using (doc, page, block, text)), "
+    "c2 as (select *, row_number() over (partition by doc, page, text order by block) n from cur anti join t1 using (doc, page, block)), o2 as (select *, row_number() over (partition by doc, page, text order by block) n from old anti join (select doc, sp page, sb block from t1) using (doc, page, block)), "
+    "t2 as (select c2.doc, c2.page, c2.block, o2.page sp, o2.block sb from c2 join o2 on c2.doc = o2.doc and c2.page = o2.page and c2.text = o2.text and c2.n = o2.n), b as (select * from t1 union all select * from t2), "
+    "c3 as (select *, row_number() over (partition by doc, text order by page, block) n from cur anti join b using (doc, page, block)), o3 as (select *, row_number() over (partition by doc, text order by page, block) n from old anti join (select doc, sp page, sb block from b) using (doc, page, block)) "
+    "select doc, page, block, sp saved_page, sb saved_block, 1 tier from t1 union all select doc, page, block, sp, sb, 2 from t2 union all select c3.doc, c3.page, c3.block, o3.page, o3.block, 3 from c3 join o3 on c3.doc = o3.doc and c3.text = o3.text and c3.n = o3.n"
+)
+def cached_block_matches(spark, d):
+    """Lines as blocks of pages of ten; of those saved some are gone, some swapped with a neighbour, some far away."""
+    n = F.col("line")
+    place = F.when(n % 8 == 5, n + 1_000_000).when(n % 4 == 2, n + 1).when(n % 4 == 3, n - 1).otherwise(n)
+    at = lambda c: [F.col("doc_id").alias("doc"), F.floor(c / 10).alias("page"), (c % 10).alias("block"), F.col("l").alias("text")]
+    x = lines(spark, d).where("l <> ''")
+    return S.cached_matches(x.select(*at(n)), x.where("line % 7 <> 3").select(*at(place), F.lit("T").alias("translation"))).drop("translation")
+
+
+@query(
+    "with c as (select conv_id, turn, 37 * turn - 20 s, trim(text) x from conversations), k as (select *, row_number() over (partition by conv_id order by turn) r from c), f as (select * from k where r <= 100 and s between 0 and 120 and x <> '') "
+    "select conv_id, cast(row_number() over (partition by conv_id order by s, r) - 1 as bigint) pos, cast(s as bigint) as \"seconds\", s // 60 || ':' || lpad(cast(s % 60 as varchar), 2, '0') as \"at\", md5(x[1:300]) title, md5(x[1:1500]) summary from f"
+)
+def safe_chapters(spark, d):
+    """Turns as chapters of an analysis; some lie before or behind their medium of two minutes."""
+    one = F.struct("turn", (37 * F.col("turn") - 20).cast("string").alias("seconds"), F.col("text").alias("title"), F.col("text").alias("summary"))
+    c = t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("c"))
+    safe = M.safe_chapters(F.col("c"), F.lit(120.0))
+    return c.select("conv_id", F.posexplode(safe).alias("pos", "x")).select("conv_id", F.col("pos").cast("long").alias("pos"), "x.seconds", "x.at", F.md5("x.title").alias("title"), F.md5("x.summary").alias("summary"))

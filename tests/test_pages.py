@@ -108,3 +108,16 @@ def test_regions(spark):
     w = P.regions(alone, 900.0, 1200.0).first()
     assert (round(w["x"], 6), round(w["x"] + w["width"], 6), w["y"]) == (32.0, 859.5, 48.0)
     assert P.regions(b.limit(0), 900.0, 1200.0).count() == 0 and P.regions(b.where("role = 'body'"), 900.0, 1200.0).count() == 0
+
+
+def test_recognised_pages(spark):
+    left = [(1, " ".join(PROSE.split()[:6]) + (" more" if i else "") + (" ends." if i == 4 else ""), 80, 400 + 30 * i, 500, 22) for i in range(5)]
+    right = [(1, "Right column text that goes on" + (" here." if i == 3 else ""), 960, 400 + 30 * i, 480, 22) for i in range(4)]
+    rows = [(1, "A wide title over both columns of this page, set large", 80, 100, 1500, 60), *right, *left, (1, " ", 80, 900, 100, 20), (1, "12 of 40", 700, 2340, 100, 20)]
+    rows += [(2, "Late words", 80, 700, 300, 22), (2, "2. Results", 80, 1500, 300, 22), (2, "Under it", 80, 1700, 300, 22), (2, "Beside it", 960, 1400, 300, 22)]
+    df = spark.createDataFrame([(7, p, t, float(x), float(y), float(w), float(h), 1800.0, 2400.0, 900.0, 1200.0) for p, t, x, y, w, h in rows], "doc long, page long, text string, x double, y double, width double, height double, image_width double, image_height double, page_width double, page_height double")
+    token = P.recognised_tokens(df.where("text like 'A wide%'")).first()
+    assert (token["x"], token["width"], round(token["font"], 9)) == (40.0, 750.0, 24.6) and abs(token["baseline"] - (50 + 30 - 24.6 * 0.12)) < 1e-9
+    got = {(r["page"], r["id"]): r["source"][:12] for r in P.recognised_blocks(df, 900.0, 1200.0, first_page=2).collect()}
+    assert [got[k] for k in sorted(got)] == ["A wide title", "Words of run", "Right column", "Late words", "Beside it", "2. Results", "Under it"]
+    assert sorted(got)[0] == (1, "p001b001") and P.recognised_blocks(df.limit(0), 900.0, 1200.0).count() == 0
