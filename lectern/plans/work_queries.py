@@ -44,7 +44,7 @@ def _service(request: str, cues: list[tuple[str, str]]) -> tuple[str, list[tuple
     return "complete", [(i, f"{len(x)} {x.strip()[:20]}") for i, x in reversed(cues)]
 
 
-@query("select conv_id as session, turn as seq, md5(case when regexp_matches(coalesce(text, ''), '^ *$') then coalesce(text, '') else trim(length(text) || ' ' || substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 20)) end) as translation, 'complete' status from conversations")
+@query("select conv_id as session, turn as seq, md5(case when regexp_matches(coalesce(text, ''), '^ *$') then coalesce(text, '') else regexp_replace(length(text) || ' ' || substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 20), '\\s+$', '') end) as translation, 'complete' status from conversations")
 def outbox_translations(spark, d):
     """Turns of conversations as segments, through an outbox to its end."""
     c = t(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.col("text").alias("source"), (2.0 * F.col("turn")).alias("start"), (2.0 * F.col("turn") + 1.9).alias("end"))
