@@ -69,9 +69,13 @@ def document_links(pages: DataFrame, key: str = "page_id", url: str = "url", htm
 def publisher_candidates(url: Column) -> Column:
     """Addresses of documents that a publisher's address stands for, by PUBLISHERS in order, each once; a number in a query
     stands in for a path without one where the service takes both."""
-    u = A.plain_form(url)
-    origin, path, query = F.regexp_extract(u, "^(https?://[^/?#]*)", 1), A.part(u, A.PATH), A.part(u, A.QUERY)
-    host = F.regexp_extract(origin, "^https?://(?:[^/@]*@)?([^:/]*)", 1)
+    # Arrays of one, so that the compared form and its parts are made once for an address and not once for each rule.
+    parts = F.transform(F.array(A.plain_form(url)), lambda u: F.struct(F.regexp_extract(u, "^(https?://[^/?#]*)", 1).alias("origin"), A.part(u, A.PATH).alias("path"), A.part(u, A.QUERY).alias("query")))
+    parts = F.transform(parts, lambda p: F.struct(F.regexp_extract(p["origin"], "^https?://(?:[^/@]*@)?([^:/]*)", 1).alias("host"), p["origin"].alias("origin"), p["path"].alias("path"), p["query"].alias("query")))
+    return F.get(F.transform(parts, lambda p: _by_publishers(p["host"], p["origin"], p["path"], p["query"])), 0)
+
+
+def _by_publishers(host: Column, origin: Column, path: Column, query: Column) -> Column:
     found = []
     for name, exact, pattern, target, search in PUBLISHERS:
         fits = (host == name if exact else host.endswith(name)) & path.rlike(pattern)
