@@ -16,3 +16,12 @@ def test_publishers_compare_an_address_once(spark):
     assert [r["c"] for r in df.collect()] == [["https://www.mdpi.com/1/2/pdf"], ["https://ieeexplore.ieee.org/stampPDF/getPDF.jsp?tp=&arnumber=7"], [], []]
     lowered = lambda x: x._jdf.queryExecution().analyzed().toString().count("lower(")
     assert lowered(df) == lowered(spark.range(1).select(A.plain_form(F.lit("http://x")).alias("c")))
+
+
+def test_signals_of_logic_have_ascii_edges(spark):
+    df = spark.createDataFrame([("das m\u00fcno here",), ("knot",), ("\u4e2dnot\u6587",), ("is not",), ("no_t",)], "x string")
+    got = [[s["signal"] for s in r["s"]] for r in df.select(Y.logic_signals(F.col("x"), F.lit("\u4e0d")).alias("s")).collect()]
+    assert got == [["negation"], [], ["negation"], ["negation"], []]
+    refs = df.sparkSession.createDataFrame([("\u53c2\u8003\u6587\u732e x",), ("\u53c2\u8003\u6587\u732eA",), ("references\u00e9",)], "x string")
+    want = [duckdb.execute("select regexp_matches(?, ?)", [r["x"], Y.REFERENCES]).fetchall()[0][0] for r in refs.collect()]
+    assert [r["b"] for r in refs.select(Y.bibliography(F.col("x")).alias("b")).collect()] == want == [False, True, True]
