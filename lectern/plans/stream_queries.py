@@ -66,14 +66,14 @@ def stream_prefix_confirm(spark, d):
     return out.select("session", "at_seq", "n_committed", F.md5("added").alias("added"), F.md5("rest").alias("rest"))
 
 
-@query("with m as (select conv_id as session, turn // 3 as record, turn as seq, case when turn % 5 = 4 then 'fast-preview' when turn % 3 = 0 then 'source-final' else 'final' end stage, text, case when turn % 3 = 0 then '' when turn % 7 = 1 then ' ' else 'T:' || text end as translation from conversations) select session, record, md5(arg_min(text, seq)) as text, md5(coalesce(arg_max(trim(translation), seq) filter (trim(translation) <> ''), '')) as translation from m where stage not like '%preview%' group by all")
+@query("with m as (select conv_id as session, turn // 3 as record, turn as seq, case when turn % 5 = 4 then 'fast-preview' when turn % 3 = 0 then 'source-final' else 'final' end stage, text, case when turn % 3 = 0 then '' when turn % 7 = 1 then ' ' else 'T:' || text end as translation from conversations) select session, record, md5(arg_min(text, seq)) as text, md5(coalesce(arg_max(trim(translation), seq) filter (trim(translation) <> ''), '')) as translation, max(seq) last_seq from m where stage not like '%preview%' group by all")
 def stream_final_rows(spark, d):
     seq = F.col("seq")
     stage = F.when(seq % 5 == 4, "fast-preview").when(seq % 3 == 0, "source-final").otherwise("final")
     said = F.when(seq % 3 == 0, "").when(seq % 7 == 1, " ").otherwise(F.concat(F.lit("T:"), "text"))
     m = turns(spark, d).select("session", F.floor(seq / 3).alias("record"), "seq", stage.alias("stage"), "text", said.alias("translation"))
-    out = live.latest(live.run_to_end(live.final_rows(m, "session", "record"), "finals"), ["session", "record"])
-    return out.select("session", "record", F.md5("text").alias("text"), F.md5(F.coalesce("translation", F.lit(""))).alias("translation"))
+    out = live.latest(live.run_to_end(live.final_rows(m, "session", "record", every=True), "finals"), ["session", "record"])
+    return out.select("session", "record", F.md5("text").alias("text"), F.md5(F.coalesce("translation", F.lit(""))).alias("translation"), F.col("at_seq").alias("last_seq"))
 
 
 @query("with r as (select user_id % 50 as request_id, event_id as seq, event_type as payload from events), f as (select *, first_value(payload) over (partition by request_id order by seq) first, row_number() over (partition by request_id order by seq) n from r) select request_id, job, cast(count(*) as bigint) n from (select request_id, case when n = 1 then 'accepted' when payload = first then 'known' else 'conflict' end job from f) group by all")

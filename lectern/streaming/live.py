@@ -228,9 +228,9 @@ def active_changes(clock: DataFrame, cues: DataFrame, key: str = "session") -> D
     return folded(at.select(key, "seq", "cue"), key, "at_seq long, cue long", lambda: None, step)
 
 
-def final_rows(messages: DataFrame, key: str, record: str, keep_ms: int = KEEP_MS) -> DataFrame:
+def final_rows(messages: DataFrame, key: str, record: str, keep_ms: int = KEEP_MS, every: bool = False) -> DataFrame:
     """(key, record, at_seq, text, translation): a record after each message (key, record, seq, stage, text, translation) that
-    changes it: previews never count, the first final makes the record, later ones replace what they bring, a blank
+    changes it, or with `every` after each that counts: previews never count, the first final makes the record, later ones replace what they bring, a blank
     translation replaces nothing. A record's state goes `keep_ms` after its last message; `latest` gives the last rows."""
     m = messages.where(~F.col("stage").contains("preview") & (F.col("stage") != "source"))
 
@@ -238,7 +238,7 @@ def final_rows(messages: DataFrame, key: str, record: str, keep_ms: int = KEEP_M
         said = (row["translation"] or "").strip(" ")
         text = row["text"] if state is None else state[0]
         new = [text, said or (state[1] if state else None)]
-        return new, [(row["seq"], *new)] if new != state else []
+        return new, [(row["seq"], *new)] if every or new != state else []
 
     return folded(m, [key, record], "at_seq long, text string, translation string", lambda: None, step, keep_ms=keep_ms)
 

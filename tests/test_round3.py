@@ -25,3 +25,12 @@ def test_signals_of_logic_have_ascii_edges(spark):
     refs = df.sparkSession.createDataFrame([("\u53c2\u8003\u6587\u732e x",), ("\u53c2\u8003\u6587\u732eA",), ("references\u00e9",)], "x string")
     want = [duckdb.execute("select regexp_matches(?, ?)", [r["x"], Y.REFERENCES]).fetchall()[0][0] for r in refs.collect()]
     assert [r["b"] for r in refs.select(Y.bibliography(F.col("x")).alias("b")).collect()] == want == [False, True, True]
+
+
+def test_final_rows_say_their_last_message(spark, tmp_path):
+    # The second turn changes nothing, and is the last of the record all the same; the fifth is a preview.
+    spark.createDataFrame([(1, t, "user", f"x{t}") for t in (0, 1, 3, 4, 6, 8)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLES["stream_final_rows"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["stream_final_rows"](spark, str(tmp_path)).collect()) == want and [w[-1] for w in want] == [1, 3, 8]
