@@ -151,5 +151,5 @@ def stream_still_captions(spark, d):
     rows = timers.closed(e.select(F.col("user_id").cast("long").alias("session"), F.col("event_id").alias("seq"), F.unix_millis("ts").alias("at"), F.col("event_type").alias("text")))
     first, last = rows.where(F.col("session") != timers.CLOCK).agg(F.min("at"), F.max("at")).first()
     step = F.when(F.col("session") == timers.CLOCK, 3).otherwise(F.least(F.floor((F.col("at") - F.lit(first or 0)) * 3 / F.lit(max((last or 0) - (first or 0), 1))), F.lit(2)))
-    out = live.run_to_end(timers.still_captions(live.in_parts(rows, "session", step, 4, "captions"), timers.PLAYER_STILL_MS), "still")
+    out = live.run_to_end(timers.still_captions(live.in_parts(rows, "session", step, 4, "captions"), timers.PLAYER_STILL_MS, again=True), "still")
     return out.where(F.col("session") != timers.CLOCK)

@@ -86,19 +86,23 @@ class Timed(StatefulProcessor):
 
 
 class Still(Timed):
-    """Captions that stay for `wait` ms; a new one begins the time anew, one that is shown or waiting already does not."""
+    """Captions that stay for `wait` ms; a new one begins the time anew, one that is shown or waiting already does not. With
+    `again`, new is what differs from the caption that came before it, so the one shown may come back and take the place of
+    one that waits."""
 
     columns = ["session", "at", "caption"]
 
-    def __init__(self, wait: int):
-        self.wait = wait
+    def __init__(self, wait: int, again: bool = False):
+        self.wait, self.again = wait, again
 
     def begin(self) -> dict:
         return {"shown": None, "text": None, "due": None}
 
     def arrive(self, state, row, at):
         text = " ".join((row["text"] or "").split())
-        if text and text not in (state["shown"], state["text"]):
+        # What came last is waiting, or is shown if nothing waits.
+        known = (state["shown"] if state["due"] is None else state["text"],) if self.again else (state["shown"], state["text"])
+        if text and text not in known:
             state["text"], state["due"] = text, at + self.wait
         return []
 
@@ -172,10 +176,10 @@ def _timed(rows: DataFrame, processor: Timed, out: str, late: str) -> DataFrame:
     return made
 
 
-def still_captions(captions: DataFrame, wait: int = STILL_MS, late: str = "1 second") -> DataFrame:
+def still_captions(captions: DataFrame, wait: int = STILL_MS, late: str = "1 second", again: bool = False) -> DataFrame:
     """(session, at, caption) of captions (session, seq, at in ms, text) that no other replaced for `wait` ms, at the time when
-    that was sure. Rows that come later than `late` are lost, as with any watermark."""
-    return _timed(captions, Still(wait), "session long, at long, caption string", late)
+    that was sure; with `again`, a caption that is shown already replaces others too. Rows that come later than `late` are lost, as with any watermark."""
+    return _timed(captions, Still(wait, again), "session long, at long, caption string", late)
 
 
 def session_queue(sentences: DataFrame, translate: Translate, late: str = "1 second") -> DataFrame:

@@ -27,6 +27,18 @@ def test_signals_of_logic_have_ascii_edges(spark):
     assert [r["b"] for r in refs.select(Y.bibliography(F.col("x")).alias("b")).collect()] == want == [False, True, True]
 
 
+def test_shown_captions_replace_those_that_wait(spark, tmp_path):
+    # a is shown, b waits, a comes back within the wait: b is not shown, and a is again.
+    rows = [(1, 0, 1, "a"), (1, 1, 5000, "b"), (1, 2, 5300, "a"), (1, 3, 5400, "a"), (1, 4, 9000, "b"), (1, 5, 9650, "a")]
+    df = spark.createDataFrame(rows, "session long, seq long, at long, text string")
+    assert sorted(tuple(r) for r in timers.still_captions(df, 650, again=True).collect()) == [(1, 651, "a"), (1, 5950, "a"), (1, 9650, "b"), (1, 10300, "a")]
+    spark.createDataFrame(rows, "user_id long, event_id long, ms long, event_type string").select("event_id", F.timestamp_millis("ms").cast("timestamp_ntz").alias("ts"), "user_id", "event_type").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLES["stream_still_captions"]).fetchall())
+    assert sorted((r["session"], r["at"], r["caption"]) for r in QUERIES["stream_still_captions"](spark, str(tmp_path)).collect()) == want and len(want) == 4
+
+
 def test_final_rows_say_their_last_message(spark, tmp_path):
     # The second turn changes nothing, and is the last of the record all the same; the fifth is a preview.
     spark.createDataFrame([(1, t, "user", f"x{t}") for t in (0, 1, 3, 4, 6, 8)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
