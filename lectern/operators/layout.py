@@ -4,10 +4,11 @@ A block has doc, page, block (its number), x, y, width, height, text; right and
 which has hundreds of blocks at most, so joins meet by (doc, page)."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.runs import folded_groups
+
 PAGE = ["doc", "page"]
 #: Shares of a page's width below which a block can be of a column, and of a gap between columns; points of the
 #: least gap; share of blocks that a column has; columns at most; area that makes an overlap; longest list of lines of a page.
@@ -59,14 +60,17 @@ def without_overlapping_copies(blocks: DataFrame, least: int = 80) -> DataFrame:
     have `lines` (baselines), SAME_LINES of whose lines it has, to LINE_NEAR points. Of two blocks of equal letters each
     covers the other, and both go as the rule says."""
     letters = F.lower(F.regexp_replace("text", r"[^A-Za-z0-9㐀-鿿]+", ""))
-    lines = F.col("lines") if "lines" in blocks.columns else F.array().cast("array<double>")
-    names = ["block", "letters", "x", "right", "y", "bottom", "width", "height", "_lines"]
-    a, b = _sides(blocks.withColumn("letters", letters).withColumn("_lines", lines).where(F.length("letters") >= least), names)
+    with_lines = "lines" in blocks.columns
+    names = ["block", "letters", "n", "x", "right", "y", "bottom", "width", "height", *(["lines"] if with_lines else [])]
+    a, b = _sides(blocks.withColumn("letters", letters).withColumn("n", F.length("letters")).where(F.col("n") >= least), names)
     shared = overlap(F.col("a_x"), F.col("a_right"), F.col("b_x"), F.col("b_right")) * overlap(F.col("a_y"), F.col("a_bottom"), F.col("b_y"), F.col("b_bottom"))
-    copy = (F.col("a_block") != F.col("b_block")) & (F.length("a_letters") >= least) & (F.length("b_letters") >= F.length("a_letters")) & F.contains("b_letters", F.col("a_letters"))
-    met = F.size(F.filter("a__lines", lambda y: F.exists("b__lines", lambda z: F.abs(y - z) <= LINE_NEAR)))
-    in_lines = met >= SAME_LINES * F.greatest(F.size("a__lines"), F.lit(1))
-    gone = a.join(b, PAGE).where(copy & ((shared >= SAME_AREA * F.greatest(F.lit(1.0), F.col("a_width") * F.col("a_height"))) | in_lines)).select(*PAGE, F.col("a_block").alias("block")).distinct()
+    # Numbers come before letters: most pairs of a page do not touch.
+    longer = (F.col("a_block") != F.col("b_block")) & (F.col("b_n") >= F.col("a_n"))
+    same = shared >= SAME_AREA * F.greatest(F.lit(1.0), F.col("a_width") * F.col("a_height"))
+    if with_lines:
+        met = F.size(F.filter("a_lines", lambda y: F.exists("b_lines", lambda z: F.abs(y - z) <= LINE_NEAR)))
+        same = same | (met >= SAME_LINES * F.greatest(F.size("a_lines"), F.lit(1)))
+    gone = a.join(b, PAGE).where(longer & same & F.contains("b_letters", F.col("a_letters"))).select(*PAGE, F.col("a_block").alias("block")).distinct()
     return blocks.join(gone, [*PAGE, "block"], "left_anti")
 
 
@@ -93,6 +97,11 @@ def overlay_height(blocks: DataFrame) -> DataFrame:
     return blocks.join(nxt, [*PAGE, "block"], "left").select(*PAGE, "block", room.alias("room"))
 
 
+def _says(text: str) -> Column:
+    """Whether a text has two characters or more without the white space around it."""
+    return F.length(F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")) >= 2
+
+
 def bands_of(spans: list[tuple[float, float]], width: float) -> list[tuple[float, float, float, int]]:
     """(centre, left, right, blocks) of columns among spans (x, right): centres in order join the column before while they are
     near its mean; columns of few blocks do not count."""
@@ -115,12 +124,11 @@ def bands_of(spans: list[tuple[float, float]], width: float) -> list[tuple[float
 def column_bands(blocks: DataFrame, width: float) -> DataFrame:
     """(doc, page, band, centre, left, right, blocks): the columns of each page."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = pdf[pdf["text"].str.strip().str.len() >= 2]
-        made = bands_of(list(zip(b["x"], b["x"] + b["width"], strict=True)), width)
-        return pd.DataFrame([(pdf["doc"].iloc[0], pdf["page"].iloc[0], i, *m) for i, m in enumerate(made)], columns=["doc", "page", "band", "centre", "left", "right", "blocks"])
+    def run(rows: list[tuple]) -> list[tuple]:
+        return [(i, *m) for i, m in enumerate(bands_of([(x, x + w) for x, w in rows], width))]
 
-    return blocks.select(*PAGE, "x", "width", "text").groupBy(*PAGE).applyInPandas(run, "doc long, page long, band long, centre double, left double, right double, blocks long")
+    said = blocks.where(_says("text")).select(*PAGE, "x", "width")
+    return folded_groups(said, PAGE, [F.col("x"), F.col("width")], ["x", "width"], run, "band long, centre double, left double, right double, blocks long")
 
 
 def nearest_band(blocks: DataFrame, bands: DataFrame) -> DataFrame:
@@ -142,18 +150,18 @@ def in_reading_order(blocks: DataFrame, width: float) -> DataFrame:
 
     def region(rows: list[dict]) -> list[dict]:
         down = sorted(rows, key=lambda b: (b["y"], b["x"]))
-        bands = bands_of([(b["x"], b["x"] + b["width"]) for b in rows if len(b["text"].strip()) >= 2], width)
+        bands = bands_of([(b["x"], b["x"] + b["width"]) for b in rows if b["said"]], width)
         if len(bands) < 2:
             return down
         near = lambda b: min(range(len(bands)), key=lambda i: abs(b["x"] + b["width"] / 2 - bands[i][0]))
         return sorted(down, key=near)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.to_dict("records")
+    def run(rows: list[tuple]) -> list[tuple]:
+        rows = [dict(zip(names, r, strict=True)) for r in rows]
         narrow = [b for b in rows if b["width"] < width * NARROW]
         middle = lambda b: b["y"] + b["height"] / 2
         out: list[dict] = []
-        if len(bands_of([(b["x"], b["x"] + b["width"]) for b in rows if len(b["text"].strip()) >= 2], width)) < 2:
+        if len(bands_of([(b["x"], b["x"] + b["width"]) for b in rows if b["said"]], width)) < 2:
             out = sorted(rows, key=lambda b: (b["y"], b["x"]))
         else:
             top = float("-inf")
@@ -161,9 +169,12 @@ def in_reading_order(blocks: DataFrame, width: float) -> DataFrame:
                 out += region([b for b in narrow if top <= middle(b) < middle(wide)]) + [wide]
                 top = max(top, middle(wide))
             out += region([b for b in narrow if middle(b) >= top])
-        return pd.DataFrame([(b["doc"], b["page"], b["block"], i + 1) for i, b in enumerate(out)], columns=["doc", "page", "block", "place"])
+        return [(b["block"], i + 1) for i, b in enumerate(out)]
 
-    return blocks.select(*PAGE, "block", "x", "y", "width", "height", "text").groupBy(*PAGE).applyInPandas(run, "doc long, page long, block long, place long")
+    # Of a text, only whether it says something goes to the fold.
+    names = ["block", "x", "y", "width", "height", "said"]
+    own = blocks.select(*PAGE, "block", "x", "y", "width", "height", F.coalesce(_says("text"), F.lit(False)).alias("said"))
+    return folded_groups(own, PAGE, [F.col("block")], names, run, "block long, place long")
 
 
 def recognised_lines(found: DataFrame, least: float = 0.45) -> DataFrame:

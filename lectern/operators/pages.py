@@ -13,15 +13,17 @@ import re
 from bisect import insort
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 from statistics import median
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import page_text as T
 from lectern.functions.split import reference_start
 from lectern.operators.layout import PAGE, joined_text
+from lectern.operators.runs import folded_groups
+from lectern.shared import written
 
 #: Fixed values of the rules. Tolerance of a baseline in points and in font sizes, for tokens and for fragments of lines.
 BASELINE, FRAGMENT = (2.5, 0.48), (2.2, 0.38)
@@ -38,6 +40,12 @@ ENDED, DANGLING, PANEL, ACRONYMS, BARE = (re.compile(p) for p in (T.ENDED, T.DAN
 # --- Lines ------------------------------------------------------------------------------------------------------------------
 
 
+def middle_of(values: list[float]) -> float:
+    """The median of numbers that are in order already."""
+    n = len(values)
+    return values[n // 2] if n % 2 else (values[n // 2 - 1] + values[n // 2]) / 2
+
+
 def baselines(tokens: list[tuple[float, float]], least: float, share: float) -> list[int]:
     """The number of its baseline for each (baseline, font), which stand in order of their baselines: the first whose median
     is near enough for the larger of the two font sizes; medians follow their members."""
@@ -53,7 +61,7 @@ def baselines(tokens: list[tuple[float, float]], least: float, share: float) ->
             middles.append((at, font))
         insort(made[near][0], at)
         insort(made[near][1], font)
-        middles[near] = (median(made[near][0]), median(made[near][1]))
+        middles[near] = (middle_of(made[near][0]), middle_of(made[near][1]))
         out.append(near)
     return out
 
@@ -64,7 +72,7 @@ def cuts(tokens: list[tuple[float, float, float, bool]], page_width: float) -> l
     line, fonts, begin, right, ended = 0, [], 0.0, float("-inf"), False
     for x, r, font, last in tokens:
         if fonts:
-            size, gap = median(fonts), x - right
+            size, gap = middle_of(fonts), x - right
             if ended or gap > max(CUT[0], size * CUT[1]) or (r - begin > page_width * LONG_LINE and gap > size * SMALL_CUT):
                 line, fonts = line + 1, []
         if not fonts:
@@ -83,24 +91,24 @@ def lines(tokens: DataFrame, page_width: float) -> DataFrame:
     eol = F.coalesce(F.col("eol").cast("boolean"), F.lit(False)) if "eol" in tokens.columns else F.lit(False)
     own = tokens.where(F.col("text") != "").select(*PAGE, *[F.col(c).cast("double").alias(c) if c != "text" else F.col(c) for c in names], eol.alias("eol"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["baseline", "x", "text"], kind="stable")
-        pdf["band"] = baselines(list(zip(pdf["baseline"], pdf["font"], strict=True)), *BASELINE)
-        rows = []
-        for band, part in pdf.groupby("band"):
-            part = part.sort_values("x", kind="stable")
-            of = cuts(list(zip(part["x"], part["right"], part["font"], part["eol"], strict=True)), page_width)
-            records = part[names].to_dict("records")
+    def run(rows: list[tuple]) -> list[tuple]:
+        bands: dict[int, list[tuple]] = {}
+        for band, row in zip(baselines([(r[6], r[7]) for r in rows], *BASELINE), rows, strict=True):
+            bands.setdefault(band, []).append(row)
+        out = []
+        for band, part in bands.items():
+            part.sort(key=lambda r: r[0])
+            of = cuts([(r[0], r[2], r[7], r[8]) for r in part], page_width)
             start = 0
             for i in range(1, len(of) + 1):
                 if i == len(of) or of[i] != of[start]:
-                    rows.append((pdf["doc"].iat[0], pdf["page"].iat[0], band, of[start], records[start:i]))
+                    out.append((band, of[start], [dict(zip(names, r, strict=False)) for r in part[start:i]]))
                     start = i
-        return pd.DataFrame(rows, columns=["doc", "page", "band", "cut", "tokens"])
+        return out
 
     kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
     parts = ", ".join(f"{c}: {kinds[c]}" for c in names)
-    made = own.groupBy(*PAGE).applyInPandas(run, f"doc {kinds['doc']}, page {kinds['page']}, band long, cut long, tokens array<struct<{parts}>>")
+    made = folded_groups(own, PAGE, [F.asc_nulls_last(c) for c in ("baseline", "x", "text")], [*names, "eol"], run, f"band long, cut long, tokens array<struct<{parts}>>")
     made = made.withColumns(_line_columns(F.col("tokens"))).drop("tokens")
     made = made.where((F.length("text") > 1) & ~F.col("text").rlike(T.NO_TEXT))
     place = F.row_number().over(Window.partitionBy(*PAGE).orderBy("y", "x", "band", "cut"))
@@ -338,25 +346,22 @@ def blocks(lines: DataFrame, page_width: float) -> DataFrame:
     title, own, lines) of the lines of pages: lines stacked to blocks, headings and captions joined, grids apart. `body` is the page's body font
     size; caption, reference, level and title say what a block is by its words; lines has their baselines."""
     names = [c.split()[0] for c in LINE.split(", ")]
-    kinds = {c: lines.schema[c].dataType.simpleString() for c in PAGE}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line")
-        made = stacked([Line(*r) for r in pdf[names].itertuples(index=False)], page_width)
+    def run(rows: list[tuple]) -> list[tuple]:
+        made = stacked([Line(*r) for r in rows], page_width)
         body = body_size(made)
         joined_headings(made, body, page_width)
         joined_titles(made, body, page_width)
         joined_captions(made, body, page_width)
-        made = split_grids(made)
-        rows = []
-        for i, b in enumerate(made):
+        out = []
+        for i, b in enumerate(split_grids(made)):
             n = len(b.lines)
-            level = T.section_level(b.text) if T.own_heading(b.text, n) else 0
-            rows.append((pdf["doc"].iat[0], pdf["page"].iat[0], i, body, T.caption(b.text), reference_start(b.text), level, T.section_level(b.text), T.title_like(b.text, n, b.font, body), T.own_heading(b.text, n), [vars(x) for x in b.lines]))
-        return pd.DataFrame(rows, columns=["doc", "page", "block", "body", "caption", "reference", "level", "section", "title", "own", "lines"])
+            own, section = T.own_heading(b.text, n), T.section_level(b.text)
+            out.append((i, float(body), T.caption(b.text), reference_start(b.text), section if own else 0, section, T.title_like(b.text, n, b.font, body), own, [vars(x) for x in b.lines]))
+        return out
 
     parts = LINE.replace(" ", ": ").replace(",:", ",")
-    made = lines.select(*PAGE, "line", *names).groupBy(*PAGE).applyInPandas(run, f"doc {kinds['doc']}, page {kinds['page']}, block long, body double, caption boolean, reference boolean, level int, section int, title boolean, own boolean, lines array<struct<{parts}>>")
+    made = folded_groups(lines, PAGE, [F.col("line")], names, run, f"block long, body double, caption boolean, reference boolean, level int, section int, title boolean, own boolean, lines array<struct<{parts}>>")
     each = lambda c: F.transform("lines", lambda x: x[c])
     n = F.size("lines")
     text = F.aggregate(F.slice(each("text"), F.lit(2), F.greatest(n - 1, F.lit(0))), F.get(each("text"), 0), joined_text)
@@ -397,7 +402,8 @@ def page_blocks(tokens: DataFrame, page_width: float, page_height: float) -> Dat
     from lectern.operators.layout import without_overlapping_copies, without_repeated_tokens
 
     own = without_repeated_tokens(tokens) if "ord" in tokens.columns else tokens
-    made = blocks(lines(own, page_width), page_width)
+    # Blocks are read three times below, and made once.
+    made = written(blocks(lines(own, page_width), page_width), "blocks")
     return roles(without_overlapping_copies(made), page_width, page_height)
 
 
@@ -460,14 +466,18 @@ class Box:
     def width(self) -> float:
         return self.right - self.x
 
+    @cached_property
+    def narrative(self) -> bool:
+        return T.narrative(self.text)
+
     @property
     def prose(self) -> bool:
-        return self.role == "body" and T.narrative(self.text)
+        return self.role == "body" and self.narrative
 
     @property
     def drawn(self) -> bool:
         """Neither prose nor at the edge of what the page says."""
-        return self.role not in ("metadata", "caption", "artifact") and not T.narrative(self.text)
+        return self.role not in ("metadata", "caption", "artifact") and not self.narrative
 
 
 def _part(b: Box, left: float, right: float) -> float:
@@ -536,25 +546,26 @@ def covered(b: Box, region: tuple[float, float, float, float]) -> bool:
 def regions(blocks: DataFrame, page_width: float, page_height: float) -> DataFrame:
     """(doc, page, caption, kind, x, y, width, height, members): the figure or table of each caption (a block's number), from
     top to bottom. What lies in a region is its content, and no prose or row for the captions after it."""
-    kinds = {c: blocks.schema[c].dataType.simpleString() for c in PAGE}
+    names = ["block", "text", "x", "width", "y", "height", "role", "body"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = [Box(r.block, r.text, r.x, r.x + r.width, r.y, r.y + r.height, r.role) for r in pdf.itertuples(index=False)]
+    def run(rows: list[tuple]) -> list[tuple]:
+        if all(r[6] != "figure-caption" for r in rows):
+            return []
+        boxes = [Box(block, text, x, x + width, y, y + height, role) for block, text, x, width, y, height, role, _ in rows]
         out = []
         for c in sorted((b for b in boxes if b.role == "figure-caption"), key=lambda b: (b.y, b.x, b.block)):
             table = T.table_caption(c.text)
-            found = (table_region if table else figure_region)(c, boxes, page_width, page_height, pdf["body"].iat[0])
+            found = (table_region if table else figure_region)(c, boxes, page_width, page_height, rows[0][7])
             if found:
                 inside = [b for b in boxes if b is not c and b.role != "figure-caption" and covered(b, found)]
                 for b in inside:
                     b.role = "figure-content"
                 left, top, right, bottom = found
-                out.append((pdf["doc"].iat[0], pdf["page"].iat[0], c.block, "table" if table else "figure", left, top, right - left, bottom - top, sorted(b.block for b in inside)))
-        return pd.DataFrame(out, columns=["doc", "page", "caption", "kind", "x", "y", "width", "height", "members"])
+                out.append((c.block, "table" if table else "figure", left, top, right - left, bottom - top, sorted(b.block for b in inside)))
+        return out
 
     own = blocks.select(*PAGE, "block", "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height", "body")], "role")
-    with_caption = own.withColumn("_any", F.max(F.col("role") == "figure-caption").over(Window.partitionBy(*PAGE))).where("_any").drop("_any")
-    return with_caption.groupBy(*PAGE).applyInPandas(run, f"doc {kinds['doc']}, page {kinds['page']}, caption long, kind string, x double, y double, width double, height double, members array<long>")
+    return folded_groups(own, PAGE, [F.col("block")], names, run, "caption long, kind string, x double, y double, width double, height double, members array<long>")
 
 
 def with_contents(blocks: DataFrame, regions: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Cues and characters of a batch, seconds of pause and of span, characters from which a sentence's end closes it.
 CUES, CHARS, PAUSE, SPAN, FULL = 24, 4000, 2.0, 45.0, 500
@@ -64,6 +66,42 @@ def cue_batches(segments: DataFrame, key: str, order: str, source: str = "source
     return numbered_runs(segments, key, [order], fields, goes_on, lambda r: (1, r[0], r[1], r[2], closes(r[0], r[3])), "batch")
 
 
+#: Pages or other keys whose rows go out as one batch.
+KEYS_PER_BATCH = 256
+
+
+def folded_groups(rows: DataFrame, keys: list[str], order: list[Column], fields: list[str], run: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """(keys, schema): what run(rows of fields) makes of each key's rows, in the order of `order`. Partitions are hashed by key
+    and sorted, and read batch by batch; a key costs its rows as tuples, and no frame of its own."""
+    kinds = dict(rows.dtypes)
+    whole = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + schema
+    out = to_arrow_schema(StructType.fromDDL(whole))
+
+    def made(found: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*found, strict=True) if found else [()] * len(out)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group, found, n = None, [], [], 0
+        for b in batches:
+            key_of = zip(*[b.column(k).to_pylist() for k in keys], strict=True)
+            for k, row in zip(key_of, zip(*[b.column(c).to_pylist() for c in fields], strict=True), strict=True):
+                if group and k != held:
+                    found += [(*held, *x) for x in run(group)]
+                    group, n = [], n + 1
+                    if n == KEYS_PER_BATCH:
+                        yield made(found)
+                        found, n = [], 0
+                held = k
+                group.append(row)
+        if group:
+            found += [(*held, *x) for x in run(group)]
+        yield made(found)
+
+    own = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return own.select(*keys, *fields).mapInArrow(go, whole)
+
+
 # --- Units of translation -----------------------------------------------------------------------------------------------------
 
 #: Fixed values by class of document: whether units cross pages, and characters of a unit.

@@ -46,3 +46,21 @@ def test_final_rows_say_their_last_message(spark, tmp_path):
     con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     want = sorted(con.execute(ORACLES["stream_final_rows"]).fetchall())
     assert sorted(tuple(r) for r in QUERIES["stream_final_rows"](spark, str(tmp_path)).collect()) == want and [w[-1] for w in want] == [1, 3, 8]
+
+
+def test_pages_cost_no_frame_of_their_own(spark):
+    # Folds read sorted partitions, so that a page costs its rows; a page that straddles Arrow batches is whole.
+    from lectern.operators import layout, pages
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(doc, 0, k, f"word{k}", 40.0 * (k % 5), 40.0 * (k % 5) + 38, 38.0, 20.0 * (k // 5), 20.0 * (k // 5) + 11, 20.0 * (k // 5) + 10, 10.0) for doc in range(9) for k in range(20)]
+        tokens = spark.createDataFrame(rows, "doc long, page long, ord long, text string, x double, right double, width double, y double, bottom double, baseline double, font double")
+        got = pages.lines(tokens.drop("ord"), 900.0)
+        assert sorted((r["doc"], r["line"], r["text"]) for r in got.collect()) == [(doc, n + 1, " ".join(f"word{5 * n + i}" for i in range(5))) for doc in range(9) for n in range(4)]
+        blocks = tokens.select("doc", "page", F.col("ord").alias("block"), "text", "x", "y", "width", F.lit(18.0).alias("height"))
+        for made in (got, pages.blocks(got, 900.0), layout.column_bands(blocks, 900.0), layout.in_reading_order(blocks, 900.0)):
+            assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+        assert layout.in_reading_order(blocks, 900.0).count() == 180
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
