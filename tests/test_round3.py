@@ -64,3 +64,18 @@ def test_pages_cost_no_frame_of_their_own(spark):
         assert layout.in_reading_order(blocks, 900.0).count() == 180
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_normal_forms_hold_few_texts_at_a_time(spark):
+    from lectern.functions import normal
+
+    rows = [(i, None if i % 7 == 0 else "" if i % 7 == 1 else f"ﬁne Å {i}" if i % 2 else f"plain {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, x string").coalesce(1)
+    got = df.select("i", normal.normal_source(F.col("x")).alias("y"))
+    assert {r["i"]: r["y"] for r in got.collect()} == {i: x if x is None else normal.normal_source_of(x) for i, x in rows}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and normal.SLICE < 300
+    # The function takes Arrow's own arrays, so that no batch is a column of strings.
+    import pyarrow as pa
+
+    assert normal._form("NFKC", True).func(pa.array(["ﬁ", None])).to_pylist() == ["fi", None]
