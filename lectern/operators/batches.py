@@ -17,8 +17,11 @@ from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lectern.functions import quality as Q
 from lectern.functions.normal import normal_source_of
@@ -30,6 +33,8 @@ from lectern.shared import written
 DEPTH, UNTRANSLATED_DEPTH = 4, 2
 #: Chunks from which a text is asked for in chunks first; characters of a message that the log keeps (fixed values).
 CHUNKED_FIRST, MESSAGE = 3, 240
+#: Requests that are held as objects of Python at a time.
+SLICE = 64
 ATTEMPT = "struct<stage:string,status:int,code:string,message:string>"
 
 
@@ -64,6 +69,19 @@ def aligned(answers: list | dict, n: int) -> list[str]:
     return out
 
 
+def in_slices(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """rows.mapInPandas(run, schema), but only SLICE requests of an Arrow batch are objects of Python at a time."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, SLICE):
+                for made in run(iter([pd.DataFrame(b.slice(i, SLICE).to_pylist(), columns=b.schema.names, dtype=object)])):
+                    yield pa.RecordBatch.from_arrays([pa.array(made[f.name].tolist(), f.type) for f in kind], schema=kind)
+
+    return rows.mapInArrow(go, schema)
+
+
 def untranslated(source: Column, answer: Column, target: str, role: Column) -> Column:
     """Whether an answer is its source again, or lacks the target language; both in their normal forms."""
     return Q.quality(source, answer, F.lit(target), role).isin("source-copy", "target-language-missing")
@@ -94,7 +112,7 @@ def translate_batches(rows: DataFrame, ask: Ask, plain: AskPlain, batch: str = "
     empty = F.array().cast(f"array<{ATTEMPT}>")
     for depth in range(DEPTH + 1):
         requests = work.groupBy("batch", "node").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "role"))).alias("items"))
-        answered = requests.mapInPandas(call(depth), f"batch {kinds[batch]}, node string, status int, broken boolean, message string, items array<{item}>")
+        answered = in_slices(requests, call(depth), f"batch {kinds[batch]}, node string, status int, broken boolean, message string, items array<{item}>")
         answered = written(answered, "answers")
         bad = lambda x: (x["answer"] != "") & untranslated(x["source"], x["said"], target, x["role"])
         as_heard = lambda x: F.when(bad(x), "").when((x["answer"] == "") & Q.source_preserving(x["source"], x["role"]), x["text"]).otherwise(x["answer"])
@@ -174,7 +192,7 @@ def _single(rest: DataFrame, plain: AskPlain, target: str, kinds: dict[str, str]
     good = [left.where(kept).select("batch", "pos", F.col("text").alias("translation"), "depth", "attempts")]
     left, over = left.where(~kept).select(*open_), []
     for step in range(3):
-        asked = written(left.mapInPandas(call(step), f"{columns}, mode string, parts int, said {replies}, whole string, normal string"), "plain")
+        asked = written(in_slices(left, call(step), f"{columns}, mode string, parts int, said {replies}, whole string, normal string"), "plain")
         weak = lambda x: (x["answer"] == "") | untranslated(x["source"], x["said"], target, F.col("role"))
         # The first chunk (or the only answer) that does not hold ends the stage.
         a = asked.where("mode is not null").withColumn("first", F.array_position(F.transform("said", weak), F.lit(True)).cast("int"))

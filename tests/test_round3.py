@@ -79,3 +79,16 @@ def test_normal_forms_hold_few_texts_at_a_time(spark):
     import pyarrow as pa
 
     assert normal._form("NFKC", True).func(pa.array(["ﬁ", None])).to_pylist() == ["fi", None]
+
+
+def test_requests_are_held_in_slices(spark):
+    from lectern.operators import batches
+
+    def run(pdfs):
+        for pdf in pdfs:
+            yield pdf.assign(n=[len(pdf)] * len(pdf))
+
+    rows = [(None if i == 3 else i, f"x{i}") for i in range(150)]
+    df = spark.createDataFrame(rows, "pos long, text string").coalesce(1)
+    got = [tuple(r) for r in batches.in_slices(df, run, "pos long, text string, n int").collect()]
+    assert [r[:2] for r in got] == rows and sorted({r[2] for r in got}) == [22, 64]
