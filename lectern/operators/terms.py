@@ -6,6 +6,7 @@ targets), requires_context and strict. Texts and spellings are compared in the f
 a letter a-z or a digit on either side, so "C++" and "p-value" are terms, and scripts without spaces match anywhere."""
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.normal import normal_target, normal_term
+from lectern.functions.normal import SLICE, normal_target, normal_term
 
 TOKEN = "[a-z0-9]+|[^a-z0-9]"
 #: Fields that a dictionary may leave out.
@@ -189,10 +190,65 @@ def term_spans(docs: DataFrame, names: DataFrame, key: str, text: str, name: str
     return e.withColumn("start", start).select(key, "alias", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("alias")).cast("long").alias("end"))
 
 
+def _chosen(x: str, places: list[tuple[str, int]], blockers: frozenset[str], most: int) -> list[tuple[str, int, int]]:
+    """(spelling, start, end) of the first `most` places, the leftmost and there the longest, that neither overlap nor lie
+    inside a blocker's place."""
+    spans = _from_left(x, places)
+    starts, ends = [], []
+    for a, z in sorted((a, z) for s, a, z in spans if s in blockers):
+        starts.append(a)
+        ends.append(max(z, ends[-1]) if ends else z)
+    out, free = [], 0
+    for a, neg, s in sorted((a, -z, s) for s, a, z in spans if s not in blockers):
+        i = bisect_right(starts, a)
+        if (not out or free <= a) and not (i and ends[i - 1] >= -neg):
+            out.append((s, a, -neg))
+            free = -neg
+            if len(out) == most:
+                break
+    return out
+
+
+def _protected(text: Column, index: DataFrame, most: int) -> Column:
+    """array<struct(n, start, end, alias, target)> of protected places in a text, for an index of at most BROADCAST_SPELLINGS."""
+    rows = index.select("alias", F.lower("alias").alias("low"), "target", "safe").collect()
+    target = {r["alias"]: r["target"] for r in rows if r["safe"]}
+    safe = {r["low"] for r in rows if r["safe"]}
+
+    def machine(words) -> ahocorasick.Automaton:
+        m = ahocorasick.Automaton()
+        for s in words:
+            m.add_word(s, s)
+        m.make_automaton()
+        return m
+
+    places = lambda m, x: [(s, end + 1 - len(s)) for end, s in m.iter(x)]
+    inside = machine(safe) if safe else None
+    # A longer spelling matters only if it has a safe one inside.
+    blockers = frozenset(r["low"] for r in rows if safe and not r["safe"] and r["low"] not in safe and _from_left(r["low"], places(inside, r["low"])))
+    kind = pa.list_(pa.struct([("n", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("alias", pa.string()), ("target", pa.string())]))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = machine(safe | blockers) if safe else None
+
+        def one(x: str | None) -> list[dict]:
+            kept = _chosen(x, places(m, x), blockers, most) if x and m else ()
+            return [{"n": n, "start": a, "end": z, "alias": s, "target": target[s]} for n, (s, a, z) in enumerate(kept) if s in target]
+
+        for b in batches:
+            parts = [pa.array([one(x) for x in b.slice(i, SLICE).to_pylist()], kind) for i in range(0, len(b), SLICE)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return F.arrow_udf(run, "array<struct<n:bigint,start:bigint,end:bigint,alias:string,target:string>>")(F.lower(text))
+
+
 def protected_spans(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", most: int = 4) -> DataFrame:
     """The first `most` places of safe terms of each text, longest first at one place, that do not overlap and do not lie
-    inside a longer known spelling (an anti-join of intervals)."""
+    inside a longer known spelling."""
     index = safe_terms(terms)
+    if index.count() <= BROADCAST_SPELLINGS:
+        return docs.select(key, F.explode(_protected(F.col(text), index, most)).alias("x")).select(key, "x.*")
+    # Too many for a task: an anti-join of intervals.
     safe = index.where("safe").select("alias", "target")
     longer = index.where("not safe").select(F.col("alias").alias("long"))
     # A longer spelling matters only if it has a safe one inside: found as in any text.
@@ -214,9 +270,13 @@ def with_markers(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: s
 
     c = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(key, masked(c).alias("_m"), literals(c).alias("_v"))
-    spans = protected_spans(base, terms, key, "_m", most)
-    at = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "target"))).alias("_s"))
-    x = base.join(at, key, "left").withColumn("_s", F.coalesce("_s", F.array().cast("array<struct<start:bigint,end:bigint,target:string>>")))
+    index = safe_terms(terms)
+    if index.count() <= BROADCAST_SPELLINGS:
+        x = base.withColumn("_s", _protected(F.col("_m"), index, most))
+    else:
+        spans = protected_spans(base, terms, key, "_m", most)
+        at = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "target"))).alias("_s"))
+        x = base.join(at, key, "left").withColumn("_s", F.coalesce("_s", F.array().cast("array<struct<start:bigint,end:bigint,target:string>>")))
     n, size = F.size("_v"), F.size("_s")
     before = lambda i: F.when(i > 0, F.get("_s", i - 1)["end"]).otherwise(F.lit(0).cast("long"))
     piece = F.transform("_s", lambda s, i: F.concat(F.substr(F.col("_m"), (before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int")), F.lit(MARK[0]), (n + i).cast("string"), F.lit(MARK[1])))
@@ -226,6 +286,14 @@ def with_markers(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: s
 
 def markers_kept(answer: Column, values: Column, literals: Column) -> Column:
     """Whether an answer has no unknown marker, and the marker of each term exactly once."""
-    marks = F.transform(F.regexp_extract_all(answer, F.lit("QS_PROTECTED_([0-9]+)"), F.lit(1)), lambda m: F.coalesce(m.try_cast("int"), F.lit(2**31 - 1)))
-    wanted = F.filter(F.sequence(F.lit(0), F.size(values)), lambda i: (i >= literals) & (i < F.size(values)))
-    return ~F.exists(marks, lambda m: m >= F.size(values)) & F.forall(wanted, lambda i: F.size(F.filter(marks, lambda m: m == i)) == 1)
+    from lectern.functions.text import once
+
+    found = F.transform(F.regexp_extract_all(answer, F.lit("QS_PROTECTED_([0-9]+)"), F.lit(1)), lambda m: F.coalesce(m.try_cast("int"), F.lit(2**31 - 1)))
+    wanted = lambda n: F.filter(F.sequence(F.lit(0), n), lambda i: (i >= literals) & (i < n))
+
+    def kept(p: Column) -> Column:
+        # Only the marks of terms, which are few, are looked up one by one.
+        own = F.filter(p["marks"], lambda m: m >= literals)
+        return ~F.exists(p["marks"], lambda m: m >= p["n"]) & once(own, lambda o: F.forall(wanted(p["n"]), lambda i: F.size(F.filter(o, lambda m: m == i)) == 1))
+
+    return once(F.struct(found.alias("marks"), F.size(values).alias("n")), kept)

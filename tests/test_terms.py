@@ -149,3 +149,17 @@ def test_models_that_damage_markers(spark):
     calls = run(some, 0)
     assert all(t.startswith("说 ") for t, *_ in calls.values()) and {w for _, w, _ in calls.values()} <= {"terms", "plain", "literals"}
     assert run(lambda texts, a, b: ["说"] * len(texts), 3)[2][2] == "literal lost"
+
+
+def test_marked_texts_are_not_shuffled(spark, monkeypatch):
+    words = ["bond yield", "yield curve", "long bond yield", "e-mail list", "list of", "x y"]
+    terms = spark.createDataFrame([(i, w, f"t{i}", "m", [], w == "long bond yield") for i, w in enumerate(words)], DICT)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice([*words, "bond", "Yield", "long", "12 %", "x  y", "list", "İ"]) for _ in range(rng.randrange(14)))) for i in range(120)] + [(120, None), (121, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert "Exchange" not in J.with_markers(docs, terms)._jdf.queryExecution().executedPlan().toString()
+    got = []
+    for most in (50_000, 0):
+        monkeypatch.setattr(J, "BROADCAST_SPELLINGS", most)
+        got.append([sorted(map(str, f.collect())) for f in (J.protected_spans(docs, terms).select("doc_id", "n", "start", "end", "alias", "target"), J.with_markers(docs, terms))])
+    assert got[0] == got[1] and len(got[0][0]) > 100
