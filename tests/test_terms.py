@@ -163,3 +163,17 @@ def test_marked_texts_are_not_shuffled(spark, monkeypatch):
         monkeypatch.setattr(J, "BROADCAST_SPELLINGS", most)
         got.append([sorted(map(str, f.collect())) for f in (J.protected_spans(docs, terms).select("doc_id", "n", "start", "end", "alias", "target"), J.with_markers(docs, terms))])
     assert got[0] == got[1] and len(got[0][0]) > 100
+
+
+def test_captions_in_two_passes_over_the_text(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["中", "文", " ", " ", "，", ".", "a", "!", "：", "\n", "　", " "]) for _ in range(rng.randrange(16))) for _ in range(600)]
+    df = spark.createDataFrame([(x,) for x in texts], "x string").select("x", normal_caption(F.col("x")).alias("y"))
+    steps = ((r"\s+", " "), ("([㐀-鿿]) ([㐀-鿿])", r"\1\2"), ("([，。；：！？]) (?=[㐀-鿿])", r"\1"), (" ([,.;:!?，。；：！？])", r"\1"))
+    for r in df.collect():
+        want = r["x"]
+        for a, b in steps:
+            want = re.sub(a, b, want)
+        assert r["y"] == want.strip(" "), r["x"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2
