@@ -161,18 +161,20 @@ def cached_matches(current: DataFrame, saved: DataFrame) -> DataFrame:
     in its normal form) of documents. First those of the same place and text, then, in order, those of the same text on the
     same page, then those of the same text anywhere in the document. A saved block serves once; blank texts and saved
     blocks (doc, page, block, text, translation) without a translation match nothing."""
-    cur = current.where("text <> ''").select("doc", "page", "block", "text")
-    old = saved.where((F.col("text") != "") & (F.coalesce("translation", F.lit("")) != "")).select("doc", F.col("page").alias("saved_page"), F.col("block").alias("saved_block"), "text", "translation")
-    same = (cur["doc"] == old["doc"]) & (cur["text"] == old["text"]) & (cur["page"] == old["saved_page"]) & (cur["block"] == old["saved_block"])
-    found = [cur.join(old, same).select(cur["doc"], "page", "block", "saved_page", "saved_block", F.lit(1).alias("tier"), "translation")]
-    for tier, by in ((2, ["doc", "page", "text"]), (3, ["doc", "text"])):
-        met = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-        left = cur.join(met.select("doc", "page", "block"), ["doc", "page", "block"], "left_anti")
-        free = old.join(met.select("doc", "saved_page", "saved_block"), ["doc", "saved_page", "saved_block"], "left_anti")
+    # Within a document texts are compared by 128 bits of a hash: one shuffle by document and text serves all tiers, and no text is shuffled.
+    same = F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("_h")
+    kind = {c: saved.schema[c].dataType for c in ("page", "block", "translation")}
+    at = ["doc", "page", "block", same]
+    cur = current.where("text <> ''").select(*at, F.lit(False).alias("_old"), F.lit(None).cast(kind["translation"]).alias("translation"))
+    old = saved.where((F.col("text") != "") & (F.coalesce("translation", F.lit("")) != "")).select(*at, F.lit(True).alias("_old"), "translation")
+    x = cur.unionByName(old).repartition("doc", "_h").withColumn("_met", F.lit(None).cast("struct<tier:int," + ",".join(f"{c}:{k.simpleString()}" for c, k in kind.items()) + ">"))
+    for tier, by in ((1, ["doc", "_h", "page", "block"]), (2, ["doc", "_h", "page"]), (3, ["doc", "_h"])):
         # The nth block of a text that is still open takes the nth one that is still free.
-        mine = left.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("page", "block")))
-        own = ["doc", "saved_page", "text"] if tier == 2 else ["doc", "text"]
-        theirs = free.withColumn("_n", F.row_number().over(Window.partitionBy(*own).orderBy("saved_page", "saved_block")))
-        theirs = theirs.withColumn("page", F.col("saved_page")) if tier == 2 else theirs
-        found.append(mine.join(theirs, [*by, "_n"]).select("doc", "page", "block", "saved_page", "saved_block", F.lit(tier).alias("tier"), "translation"))
-    return found[0].unionByName(found[1]).unionByName(found[2])
+        w = Window.partitionBy(*by, "_old", F.isnull("_met")).orderBy("page", "block")
+        x = x.withColumn("_n", F.when(F.isnull("_met"), F.row_number().over(w)))
+        pair = Window.partitionBy(*by, "_n")
+        theirs = F.max(F.when(F.col("_old"), F.struct(F.lit(tier).alias("tier"), *[F.col(c).cast(k).alias(c) for c, k in kind.items()]))).over(pair)
+        mine = F.max(~F.col("_old")).over(pair)
+        hit = F.col("_n").isNotNull() & F.col("_t").isNotNull() & F.col("_m")
+        x = x.withColumn("_t", theirs).withColumn("_m", mine).withColumn("_met", F.when(hit, F.col("_t")).otherwise(F.col("_met"))).drop("_n", "_t", "_m")
+    return x.where(~F.col("_old") & F.col("_met").isNotNull()).select("doc", "page", "block", F.col("_met.page").alias("saved_page"), F.col("_met.block").alias("saved_block"), "_met.tier", "_met.translation")

@@ -35,3 +35,11 @@ def test_analyses_made_safe(spark):
     assert [(x["seconds"], x["at"], x["title"]) for x in got[1]["c"] if x["seconds"] > 1] == [(30, "0:30", "A"), (30, "0:30", "A2"), (90, "1:30", "B")] and len(got[1]["c"][-1]["summary"]) == 1500
     assert len(got[1]["c"]) == 92 + 3 and len(got[1]["q"][0]["quote"]) == 3000 and got[1]["m"] == [3]
     assert got[2]["c"] == got[2]["q"] == got[2]["m"] == [] and [x["title"] for x in got[3]["c"]] == ["A", "B", "far"]
+
+
+def test_saved_blocks_are_met_in_one_shuffle(spark):
+    rows = spark.range(500).select((F.col("id") % 5).alias("doc"), (F.col("id") / 100).cast("long").alias("page"), F.col("id").alias("block"), F.repeat(F.lit("x"), (F.col("id") % 7).cast("int")).alias("text"))
+    met = S.cached_matches(rows, rows.withColumn("block", F.col("block") + 5).withColumn("translation", F.lit("T")))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert met.count() == 428 and not met.where("block % 7 = 0").count()
