@@ -29,7 +29,7 @@ def read(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
 
 
 #: Bytes of input for one file of a step.
-STEP_BYTES = 32 << 20
+STEP_BYTES = 4 << 20
 
 
 def in_parts(rows: DataFrame, key: str, part: Column, parts: int, name: str = "parts") -> DataFrame:
@@ -115,6 +115,13 @@ class Fold(NamedTuple):
         return state.mapInPandas(run, self.schema)
 
 
+def in_order(pdfs: list[pd.DataFrame], by: list[str]) -> list[dict]:
+    """Rows of a key in order. Most keys have a few rows, for which the ways of pandas cost more than the fold itself."""
+    names = list(pdfs[0].columns)
+    rows = [dict(zip(names, r, strict=True)) for pdf in pdfs for r in zip(*[pdf[c].tolist() for c in names], strict=True)]
+    return sorted(rows, key=lambda r: [(pd.isna(r[c]), 0 if pd.isna(r[c]) else r[c]) for c in by]) if len(rows) > 1 else rows
+
+
 def folded(stream: DataFrame, key: str | list[str], out: str, begin: Callable[[], object], step: Callable[[object, dict], tuple[object, list[tuple]]], end: Callable[[object], list[tuple]] | None = None, keep_ms: int = KEEP_MS) -> DataFrame:
     """A fold per key over the rows of a stream (which have `seq`), or of a table. step(state, row) gives (state, rows to
     emit), end(state) what is emitted when the key times out, or at the end of the input. States must be JSON."""
@@ -125,7 +132,7 @@ def folded(stream: DataFrame, key: str | list[str], out: str, begin: Callable[[]
 
     def go(ks: tuple, state, pdf: pd.DataFrame) -> tuple[object, list[tuple]]:
         made = []
-        for row in pdf.sort_values("seq", kind="stable").to_dict("records"):
+        for row in in_order([pdf], ["seq"]):
             state, rows = step(state, row)
             made += [(*ks, *r) for r in rows]
         return state, made
@@ -136,7 +143,8 @@ def folded(stream: DataFrame, key: str | list[str], out: str, begin: Callable[[]
             made = [(*ks, *r) for r in (end(state) if end else [])]
             held.remove()
         else:
-            state, made = go(ks, state, pd.concat(list(pdfs)))
+            got = list(pdfs)
+            state, made = go(ks, state, got[0] if len(got) == 1 else pd.concat(got))
             held.update((json.dumps(state),))
             held.setTimeoutDuration(keep_ms)
         yield pd.DataFrame(made, columns=[*keys, *names])

@@ -2,6 +2,7 @@
 import datetime
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lectern.streaming import folds, live
@@ -93,3 +94,9 @@ def test_windows_and_sessions(spark, tmp_path):
     assert sorted((r["start"].hour, r["k"], r["n"]) for r in w.collect()) == [(0, 0, 2), (1, 0, 1), (1, 1, 1), (3, 0, 1), (3, 1, 1), (6, 0, 1)]
     s = live.run_to_end(live.sessions(events, "ts", "30 minutes", ["k"], [F.count("*").alias("n")]), "sessions", "complete")
     assert sorted(r["n"] for r in s.collect()) == [1, 1, 1, 1, 1, 2]
+
+
+def test_rows_of_a_key_in_order():
+    a, b = pd.DataFrame({"seq": [3, 1], "text": ["x", None]}), pd.DataFrame({"seq": [1, 2], "text": ["y", "z"]})
+    assert live.in_order([a, b], ["seq"]) == [{"seq": 1, "text": None}, {"seq": 1, "text": "y"}, {"seq": 2, "text": "z"}, {"seq": 3, "text": "x"}]
+    assert [r["text"] for r in live.in_order([pd.DataFrame({"seq": [None, 2.0, 1.0], "text": ["n", "b", "a"]})], ["seq"])] == ["a", "b", "n"]
