@@ -47,13 +47,19 @@ def quantised(samples: np.ndarray) -> np.ndarray:
     return np.trunc(np.where(s < 0, s * 32768, s * 32767)).astype("<i2")
 
 
+def _numbers(samples) -> np.ndarray:
+    """Samples as they come in a row; a null is silence."""
+    x = np.zeros(0) if samples is None else np.asarray(samples)
+    return np.array([0.0 if v is None else v for v in x], np.float64) if x.dtype == object else x.astype(np.float64, copy=False)
+
+
 def audio_chunks(pieces: DataFrame, key: str = "session") -> DataFrame:
     """(key, chunk, pcm) of pieces (key, seq, rate, samples: array of float) of a capture, as a stream or a table: chunks of
     CHUNK samples as little-endian bytes, numbered from 0; the last one is shorter. A null sample is silence."""
 
     def step(state, row):
         came, went, last, number, left = state
-        x = np.array([0.0 if v is None else v for v in row["samples"]], np.float64) if row["samples"] is not None else np.zeros(0)
+        x = _numbers(row["samples"])
         (came, went, last), out = resampled((came, went, last), x, int(row["rate"]))
         have = base64.b64decode(left) + quantised(out).tobytes()
         whole = len(have) // (2 * CHUNK)

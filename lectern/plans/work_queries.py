@@ -61,7 +61,9 @@ def stream_audio_chunks(spark, d):
     """Letters as samples of 48 kHz, a turn at a time; a third of them comes out."""
     c = t(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.coalesce("text", F.lit("")).alias("x"))
     letters = F.filter(F.split("x", ""), lambda y: y != "")
-    c = c.select("session", "seq", F.lit(48_000).alias("rate"), F.transform(letters, lambda y: F.ascii(y) % 128 / 128.0).alias("samples"))
-    out = live.run_to_end(A.audio_chunks(live.in_parts(c, "session", F.least(F.floor(F.col("seq") / 3), F.lit(2)), 3, "audio")), "chunks")
+    # Texts go to the steps' files; their samples, which take eight times as much, are made behind them.
+    parts = live.in_parts(c, "session", F.least(F.floor(F.col("seq") / 3), F.lit(2)), 3, "audio")
+    pieces = parts.select("session", "seq", F.lit(48_000).alias("rate"), F.transform(letters, lambda y: F.ascii(y) % 128 / 128.0).alias("samples"))
+    out = live.run_to_end(A.audio_chunks(pieces), "chunks")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", F.lower(F.hex("pcm")).alias("h")))), lambda y: y["h"]), "")
     return out.groupBy("session").agg(F.sum(F.length("pcm") / 2).cast("long").alias("samples"), F.count("*").alias("chunks"), F.md5(whole).alias("pcm"))

@@ -44,3 +44,9 @@ def test_media_windows(spark):
     p = {r["id"]: (r["done"], r["windows"], r["progress"]) for r in A.progress(heard.where("not (id = 1 and window > 1)"), media).collect()}
     assert p == {1: (2, 4, 0.5), 2: (1, 1, 1.0), 4: (0, 1, 0.0)}
     assert [r["segment"] for r in A.numbered_segments(heard).orderBy("start").collect()] == list(range(8))
+
+
+def test_samples_of_a_row_are_taken_as_they_come():
+    assert A._numbers(None).tolist() == [] and A._numbers([None, 0.5]).tolist() == [0.0, 0.5] and A._numbers([]).dtype == np.float64
+    x = np.array([0.25, 0.5])
+    assert A._numbers(x) is x
