@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from lectern.streaming.live import in_order
+
 #: Milliseconds that a caption must be still: read from the page, and from a player (fixed values).
 STILL_MS, PLAYER_STILL_MS = 280, 650
 #: Times that a sentence is tried, milliseconds that the next try waits for each before, sentences of context (fixed values).
@@ -59,21 +61,24 @@ class Timed(StatefulProcessor):
         return out
 
     def _moved(self, key: tuple, state: dict, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        # A key has one timer at most; the state says which, since each question to the store is a round trip.
+        at, was = self.next(state), state.get("timer")
+        if at != was:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            if at is not None:
+                self.handle.registerTimer(at)
+            state["timer"] = at
         self.state.update((json.dumps(state),))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        at = self.next(state)
-        if at is not None:
-            self.handle.registerTimer(at)
         yield pd.DataFrame([(key[0], *r) for r in out], columns=self.columns)
 
     def _held(self) -> dict:
-        return json.loads(self.state.get()[0]) if self.state.exists() else self.begin()
+        held = self.state.get()
+        return json.loads(held[0]) if held else self.begin()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self._held()
-        got = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")
-        yield from self._moved(key, state, self.folded(state, got.to_dict("records")))
+        yield from self._moved(key, state, self.folded(state, in_order(list(rows), ["at", "seq"])))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self._held()

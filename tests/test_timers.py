@@ -2,6 +2,7 @@
 import random
 import zlib
 
+import pandas as pd
 from lectern.streaming import live, timers
 from pyspark.sql import functions as F
 
@@ -73,3 +74,36 @@ def test_session_queue(spark):
     assert got(live.run_to_end(timers.session_queue(feed(spark, rows), translate), "queue")) == sorted(want)
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
     assert got(timers.session_queue(spark.createDataFrame([], SCHEMA), translate)) == []
+
+
+def test_a_key_asks_the_store_for_no_timers():
+    import json
+
+    from lectern.streaming import timers as T
+
+    class Store:
+        asked, held, timers = [], None, set()
+
+        def get(self):
+            return self.held
+
+        def update(self, x):
+            self.held = x
+
+        def listTimers(self):
+            self.asked.append("list")
+            return list(self.timers)
+
+        def registerTimer(self, t):
+            self.timers.add(t)
+
+        def deleteTimer(self, t):
+            self.timers.discard(t)
+
+    q, s = T.Still(100), Store()
+    q.handle = q.state = s
+    rows = lambda *r: iter([pd.DataFrame(r, columns=["seq", "at", "text"])])
+    list(q.handleInputRows((1,), rows((1, 1000, "a")), None))
+    assert s.timers == {1100}
+    list(q.handleInputRows((1,), rows((3, 1080, "c"), (2, 1050, "b")), None))
+    assert s.timers == {1180} and json.loads(s.held[0])["text"] == "c" and not s.asked
