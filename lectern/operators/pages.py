@@ -2,8 +2,9 @@
 
 Three steps need the order of a page: which tokens are on one baseline and which of them make a line, which lines make a
 block, and which regions captions have. Each is a fold over one page in its own group and says no more than what belongs
-together; texts, boxes, medians, roles and levels are derived from that as columns. A page has some thousands of tokens at
-most, whatever the table; pages are dealt out by (doc, page), so nothing but the size of one page bounds a task.
+together, with its text and box; roles and levels are derived from that as columns. A page has some thousands of tokens at
+most, whatever the table; pages are dealt out by (doc, page), so nothing but the size of one page bounds a task. lines_of and
+blocks_of take one page, so where a row has its pages whole (runs.folded_within), no token or line is shuffled.
 
 Defined results: tokens without text are none; equal tokens (operators.layout.without_repeated_tokens) should be taken out
 before; ties of place are read in the order of their texts; a page without lines has no blocks, one without captions no regions."""
@@ -11,9 +12,10 @@ from __future__ import annotations
 
 import re
 from bisect import insort
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import cached_property
+from operator import itemgetter
 from statistics import median
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import page_text as T
 from lectern.functions.split import reference_start
-from lectern.operators.layout import PAGE, joined_text
+from lectern.operators.layout import PAGE
 from lectern.operators.runs import folded_groups
 from lectern.shared import written
 
@@ -34,6 +36,11 @@ MOST_MEMBERS, SPANS, HEADING_SPANS = 18, 0.68, 0.55
 #: Weight of a block's text for the body's font size: least and greatest.
 WEIGHT = (20, 1200)
 LINE = "text string, x double, right double, y double, bottom double, baseline double, font double, cells int"
+#: Fields of a token as folds get it, and of a block as they give it.
+TOKENS = ["x", "text", "right", "width", "y", "bottom", "baseline", "font", "eol"]
+BLOCK = "block long, text string, x double, y double, width double, height double, font double, line_height double, n_lines long, body double, caption boolean, reference boolean, level int, section int, title boolean, own boolean, lines array<double>"
+#: White space as in the statements: ASCII's.
+BLANK, NO_TEXT = re.compile(r"\s+", re.ASCII), re.compile(T.NO_TEXT, re.ASCII)
 ENDED, DANGLING, PANEL, ACRONYMS, BARE = (re.compile(p) for p in (T.ENDED, T.DANGLING, T.PANEL, T.ACRONYMS, T.BARE_LABEL))
 
 
@@ -49,19 +56,24 @@ def middle_of(values: list[float]) -> float:
 def baselines(tokens: list[tuple[float, float]], least: float, share: float) -> list[int]:
     """The number of its baseline for each (baseline, font), which stand in order of their baselines: the first whose median
     is near enough for the larger of the two font sizes; medians follow their members."""
-    made: list[tuple[list[float], list[float]]] = []
+    ats: list[list[float]] = []
+    fonts: list[list[float]] = []
     middles: list[tuple[float, float]] = []
     out, reach, begin = [], max([least, *(share * f for _, f in tokens)]), 0
     for at, font in tokens:
         while begin < len(middles) and middles[begin][0] < at - reach:
             begin += 1  # no later token is nearer
-        near = next((i for i in range(begin, len(made)) if abs(middles[i][0] - at) <= max(least, max(middles[i][1], font) * share)), len(made))
-        if near == len(made):
-            made.append(([], []))
+        near, n = begin, len(middles)
+        while near < n and abs(middles[near][0] - at) > max(least, max(middles[near][1], font) * share):
+            near += 1
+        if near == n:
+            ats.append([at])
+            fonts.append([font])
             middles.append((at, font))
-        insort(made[near][0], at)
-        insort(made[near][1], font)
-        middles[near] = (middle_of(made[near][0]), middle_of(made[near][1]))
+        else:
+            ats[near].append(at)  # in order, as the tokens are
+            insort(fonts[near], font)
+            middles[near] = (middle_of(ats[near]), middle_of(fonts[near]))
         out.append(near)
     return out
 
@@ -83,56 +95,53 @@ def cuts(tokens: list[tuple[float, float, float, bool]], page_width: float) -> l
     return out
 
 
+def line_of(tokens: list[tuple]) -> tuple:
+    """(text, x, right, y, bottom, baseline, font, cells) of a line's TOKENS in order of x: a space where the gap is wider than
+    a letter's."""
+    before, parts = tokens[0], [tokens[0][1]]
+    for t in tokens[1:]:
+        if t[0] - before[2] > max(1.2, min(before[7], t[7]) * 0.14):
+            parts.append(" ")
+        parts.append(t[1])
+        before = t
+    text = BLANK.sub(" ", "".join(parts)).strip(" ")
+    xs, _, rights, _, ys, bottoms, at, fonts, _ = zip(*tokens, strict=True)
+    font = fonts[0] if min(fonts) == max(fonts) else weighted_middle((t[7], max(t[3], float(len(t[1])))) for t in tokens)
+    return text, min(xs), max(rights), min(ys), max(bottoms), middle_of(sorted(at)), font, len(tokens)
+
+
+def lines_of(rows: list[tuple], page_width: float) -> list[tuple]:
+    """The numbered lines (LINE behind the number) of one page's TOKENS in order of baseline, x and text."""
+    bands: dict[int, list[tuple]] = {}
+    for band, row in zip(baselines([(r[6], r[7]) for r in rows], *BASELINE), rows, strict=True):
+        bands.setdefault(band, []).append(row)
+    made = []
+    for band, part in bands.items():
+        part.sort(key=itemgetter(0))
+        of = cuts([(r[0], r[2], r[7], r[8]) for r in part], page_width)
+        start = 0
+        for i in range(1, len(of) + 1):
+            if i == len(of) or of[i] != of[start]:
+                line = line_of(part[start:i])
+                if len(line[0]) > 1 and not NO_TEXT.search(line[0]):
+                    made.append((line[3], line[1], band, of[start], line))
+                start = i
+    made.sort(key=itemgetter(0, 1, 2, 3))
+    return [(n, *m[4]) for n, m in enumerate(made, 1)]
+
+
+def _folded_tokens(tokens: DataFrame, run: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """What run makes of each page's TOKENS in order of baseline, x and text."""
+    eol = F.coalesce(F.col("eol").cast("boolean"), F.lit(False)) if "eol" in tokens.columns else F.lit(False)
+    own = tokens.where(F.col("text") != "").select(*PAGE, *[F.col(c).cast("double").alias(c) if c != "text" else F.col(c) for c in TOKENS[:-1]], eol.alias("eol"))
+    return folded_groups(own, PAGE, [F.asc_nulls_last(c) for c in ("baseline", "x", "text")], TOKENS, run, schema)
+
+
 def lines(tokens: DataFrame, page_width: float) -> DataFrame:
     """(doc, page, line, text, x, right, y, bottom, baseline, font, cells) of tokens (doc, page, text, x, right, width, y,
     bottom, baseline, font; eol, whether it ends its line, if there): tokens of one baseline up to a wide gap, numbered from
     top to bottom. Lines of one character or of nothing but digits and marks are left out."""
-    names = ["x", "text", "right", "width", "y", "bottom", "baseline", "font"]
-    eol = F.coalesce(F.col("eol").cast("boolean"), F.lit(False)) if "eol" in tokens.columns else F.lit(False)
-    own = tokens.where(F.col("text") != "").select(*PAGE, *[F.col(c).cast("double").alias(c) if c != "text" else F.col(c) for c in names], eol.alias("eol"))
-
-    def run(rows: list[tuple]) -> list[tuple]:
-        bands: dict[int, list[tuple]] = {}
-        for band, row in zip(baselines([(r[6], r[7]) for r in rows], *BASELINE), rows, strict=True):
-            bands.setdefault(band, []).append(row)
-        out = []
-        for band, part in bands.items():
-            part.sort(key=lambda r: r[0])
-            of = cuts([(r[0], r[2], r[7], r[8]) for r in part], page_width)
-            start = 0
-            for i in range(1, len(of) + 1):
-                if i == len(of) or of[i] != of[start]:
-                    out.append((band, of[start], [dict(zip(names, r, strict=False)) for r in part[start:i]]))
-                    start = i
-        return out
-
-    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
-    parts = ", ".join(f"{c}: {kinds[c]}" for c in names)
-    made = folded_groups(own, PAGE, [F.asc_nulls_last(c) for c in ("baseline", "x", "text")], [*names, "eol"], run, f"band long, cut long, tokens array<struct<{parts}>>")
-    made = made.withColumns(_line_columns(F.col("tokens"))).drop("tokens")
-    made = made.where((F.length("text") > 1) & ~F.col("text").rlike(T.NO_TEXT))
-    place = F.row_number().over(Window.partitionBy(*PAGE).orderBy("y", "x", "band", "cut"))
-    return made.select(*PAGE, place.cast("long").alias("line"), "text", "x", "right", "y", "bottom", "baseline", "font", "cells")
-
-
-def _line_columns(tokens: Column) -> dict[str, Column]:
-    """A line's text and box from its tokens in order of x: a space where the gap is wider than a letter's."""
-    each = lambda c: F.transform(tokens, lambda t: t[c])
-    wide = lambda a, b: (b["x"] - a["right"]) > F.greatest(F.lit(1.2), F.least(a["font"], b["font"]) * 0.14)
-    with_gap = F.transform(tokens, lambda t, i: F.concat(F.when((i > 0) & wide(F.get(tokens, i - 1), t), " ").otherwise(""), t["text"]))
-    middle = F.array_sort(each("baseline"))
-    n = F.size(middle)
-    weights = F.array_sort(F.transform(tokens, lambda t: F.struct(t["font"].alias("v"), F.greatest(t["width"], F.length(t["text"]).cast("double")).alias("w"))))
-    half = F.aggregate(weights, F.lit(0.0), lambda s, t: s + t["w"]) / 2
-    font = F.aggregate(weights, F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("v")), lambda s, t: F.struct((s["s"] + t["w"]).alias("s"), F.when(s["v"].isNull() & (s["s"] + t["w"] >= half), t["v"]).otherwise(s["v"]).alias("v")), lambda s: s["v"])
-    return {
-        "text": F.trim(F.regexp_replace(F.array_join(with_gap, ""), r"\s+", " ")),
-        **{c: F.array_min(each(c)) for c in ("x", "y")},
-        **{c: F.array_max(each(c)) for c in ("right", "bottom")},
-        "baseline": (F.get(middle, F.floor((n - 1) / 2).cast("int")) + F.get(middle, F.floor(n / 2).cast("int"))) / 2,
-        "font": font,
-        "cells": F.size(tokens),
-    }
+    return _folded_tokens(tokens, lambda rows: lines_of(rows, page_width), f"line long, {LINE}")
 
 
 # --- Blocks -----------------------------------------------------------------------------------------------------------------
@@ -221,13 +230,19 @@ def continues(block: Block, line: Line, page_width: float) -> bool:
 
 def stacked(lines: Iterable[Line], page_width: float) -> list[Block]:
     """Blocks of lines that come from top to bottom: each goes to the nearest block above that it continues."""
+    lines = list(lines)
     made: list[Block] = []
+    live: list[Block] = []
+    down = all(a.y <= b.y for a, b in zip(lines, lines[1:], strict=False))
+    reach = max([6.0, *(x.font for x in lines)]) * 1.05 if down else float("inf")
     for line in lines:
-        fits = [b for b in made if continues(b, line, page_width)]
+        live = [b for b in live if line.y - b.lines[-1].bottom <= reach]  # no later line is nearer
+        fits = [b for b in live if continues(b, line, page_width)]
         if fits:
             min(fits, key=lambda b: (line.y - b.lines[-1].bottom, abs(line.x - b.lines[-1].x))).add(line)
         else:
             made.append(Block([line]))
+            live.append(made[-1])
     return made
 
 
@@ -341,43 +356,28 @@ def split_grids(blocks: list[Block]) -> list[Block]:
     return out
 
 
+def blocks_of(lines: Iterable[tuple], page_width: float) -> list[tuple]:
+    """The blocks (BLOCK) of one page's lines (LINE), which stand from top to bottom."""
+    made = stacked([Line(*r) for r in lines], page_width)
+    body = body_size(made)
+    joined_headings(made, body, page_width)
+    joined_titles(made, body, page_width)
+    joined_captions(made, body, page_width)
+    out = []
+    for i, b in enumerate(split_grids(made)):
+        n = len(b.lines)
+        own, section, at = T.own_heading(b.text, n), T.section_level(b.text), [x.baseline for x in b.lines]
+        step = median([q - p for p, q in zip(at, at[1:], strict=False)]) if n > 1 else b.font * 1.18
+        kind = T.caption(b.text), reference_start(b.text), section if own else 0, section, T.title_like(b.text, n, b.font, body), own
+        out.append((i, b.text, b.x, b.y, b.right - b.x, b.bottom - b.y, b.font, step, n, float(body), *kind, at))
+    return out
+
+
 def blocks(lines: DataFrame, page_width: float) -> DataFrame:
     """(doc, page, block, text, x, y, width, height, font, line_height, n_lines, body, caption, reference, level, section,
     title, own, lines) of the lines of pages: lines stacked to blocks, headings and captions joined, grids apart. `body` is the page's body font
     size; caption, reference, level and title say what a block is by its words; lines has their baselines."""
-    names = [c.split()[0] for c in LINE.split(", ")]
-
-    def run(rows: list[tuple]) -> list[tuple]:
-        made = stacked([Line(*r) for r in rows], page_width)
-        body = body_size(made)
-        joined_headings(made, body, page_width)
-        joined_titles(made, body, page_width)
-        joined_captions(made, body, page_width)
-        out = []
-        for i, b in enumerate(split_grids(made)):
-            n = len(b.lines)
-            own, section = T.own_heading(b.text, n), T.section_level(b.text)
-            out.append((i, float(body), T.caption(b.text), reference_start(b.text), section if own else 0, section, T.title_like(b.text, n, b.font, body), own, [vars(x) for x in b.lines]))
-        return out
-
-    parts = LINE.replace(" ", ": ").replace(",:", ",")
-    made = folded_groups(lines, PAGE, [F.col("line")], names, run, f"block long, body double, caption boolean, reference boolean, level int, section int, title boolean, own boolean, lines array<struct<{parts}>>")
-    each = lambda c: F.transform("lines", lambda x: x[c])
-    n = F.size("lines")
-    text = F.aggregate(F.slice(each("text"), F.lit(2), F.greatest(n - 1, F.lit(0))), F.get(each("text"), 0), joined_text)
-    x, y = F.array_min(each("x")), F.array_min(each("y"))
-    steps = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.get(each("baseline"), i) - F.get(each("baseline"), i - 1))
-    font = _median(each("font"))
-    return made.select(
-        *PAGE, "block", text.alias("text"), x.alias("x"), y.alias("y"), (F.array_max(each("right")) - x).alias("width"), (F.array_max(each("bottom")) - y).alias("height"), font.alias("font"),
-        F.when(n > 1, _median(steps)).otherwise(font * 1.18).alias("line_height"), n.cast("long").alias("n_lines"), "body", "caption", "reference", "level", "section", "title", "own", each("baseline").alias("lines"),
-    )
-
-
-def _median(values: Column) -> Column:
-    v = F.array_sort(values)
-    n = F.size(v)
-    return (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+    return folded_groups(lines, PAGE, [F.col("line")], [c.split()[0] for c in LINE.split(", ")], lambda rows: blocks_of(rows, page_width), BLOCK)
 
 
 def roles(blocks: DataFrame, page_width: float, page_height: float) -> DataFrame:
@@ -403,7 +403,7 @@ def page_blocks(tokens: DataFrame, page_width: float, page_height: float) -> Dat
 
     own = without_repeated_tokens(tokens) if "ord" in tokens.columns else tokens
     # Blocks are read three times below, and made once.
-    made = written(blocks(lines(own, page_width), page_width), "blocks")
+    made = written(_folded_tokens(own, lambda rows: blocks_of([r[1:] for r in lines_of(rows, page_width)], page_width), BLOCK), "blocks")
     return roles(without_overlapping_copies(made), page_width, page_height)
 
 

@@ -4,7 +4,7 @@ A run is found by reading a key's rows in order, batch by batch, with a few numb
 a key of any length takes constant memory. Partitions are hashed by key and sorted, so rows are shuffled once."""
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -70,16 +70,23 @@ def cue_batches(segments: DataFrame, key: str, order: str, source: str = "source
 KEYS_PER_BATCH = 256
 
 
+def _batches_of(schema: str) -> Callable[[list[tuple]], pa.RecordBatch]:
+    """Rows as a batch of a schema."""
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def made(found: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*found, strict=True) if found else [()] * len(out)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
+
+    return made
+
+
 def folded_groups(rows: DataFrame, keys: list[str], order: list[Column], fields: list[str], run: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
     """(keys, schema): what run(rows of fields) makes of each key's rows, in the order of `order`. Partitions are hashed by key
     and sorted, and read batch by batch; a key costs its rows as tuples, and no frame of its own."""
     kinds = dict(rows.dtypes)
     whole = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + schema
-    out = to_arrow_schema(StructType.fromDDL(whole))
-
-    def made(found: list[tuple]) -> pa.RecordBatch:
-        cols = zip(*found, strict=True) if found else [()] * len(out)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
+    made = _batches_of(whole)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, group, found, n = None, [], [], 0
@@ -102,6 +109,28 @@ def folded_groups(rows: DataFrame, keys: list[str], order: list[Column], fields:
     return own.select(*keys, *fields).mapInArrow(go, whole)
 
 
+def folded_within(rows: DataFrame, key: str, field: str, groups: Callable[[object], Iterable[tuple]], run: Callable[[list[tuple]], list[tuple]], name: str, schema: str) -> DataFrame:
+    """(key, name, schema): what run makes of each group of rows that groups(field) finds within a row, as (name, rows in
+    order); name is a long. A row holds its groups whole, so nothing is shuffled, sorted or written for them, and one group
+    at a time is held beside the batch that was read."""
+    made = _batches_of(f"`{key}` {dict(rows.dtypes)[key]}, `{name}` long, {schema}")
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = [], 0
+        for b in batches:
+            for k, v in zip(b.column(0), b.column(1), strict=True):
+                k = k.as_py()
+                for g, group in groups(v.as_py()):
+                    found += [(k, g, *x) for x in run(group)]
+                    n += 1
+                    if n == KEYS_PER_BATCH:
+                        yield made(found)
+                        found, n = [], 0
+        yield made(found)
+
+    return rows.select(key, field).mapInArrow(go, f"`{key}` {dict(rows.dtypes)[key]}, `{name}` long, {schema}")
+
+
 # --- Units of translation -----------------------------------------------------------------------------------------------------
 
 #: Fixed values by class of document: whether units cross pages, and characters of a unit.

@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.plans.registry import query, t
+from lectern.shared import written
+
+#: Ids that are broadcast, counted first.
+SMALL_IDS = 100_000
 
 
 @query(r"select doc_id, cast(len(regexp_extract_all(text, '[A-Z]{2,6}[0-9]{0,4}')) as bigint) acronyms, cast(len(regexp_extract_all(text, '\[[0-9,; -]+\]')) as bigint) citations, cast(len(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) as bigint) numbers from documents")
@@ -46,7 +50,23 @@ _LINES = "lines as (select doc_id, cast(unnest(range(0, len(ls))) as bigint) lin
 
 
 def lines(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l")).withColumn("line", F.col("line").cast("long"))
+    return lines_of(t(spark, d, "documents"))
+
+
+def lines_of(docs):
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l")).withColumn("line", F.col("line").cast("long"))
+
+
+def by_own_id(docs):
+    """(documents whose id is theirs alone, the others or None): only ids are counted, and texts stay where they are unless
+    many share an id."""
+    shared = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    shared = written(shared, "shared-ids")
+    n = shared.count()
+    if not n:
+        return docs, None
+    same = F.broadcast(shared) if n <= SMALL_IDS else shared
+    return docs.join(same, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti"), docs.join(same, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 @query(
