@@ -4,6 +4,8 @@ A block has doc, page, block (its number), x, y, width, height, text; right and
 which has hundreds of blocks at most, so joins meet by (doc, page)."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ PAGE = ["doc", "page"]
 NARROW, GAP, LEAST_GAP, SUBSTANTIAL, MOST_BANDS, SAME_AREA, MOST_LINES = 0.72, 0.105, 34.0, 0.06, 4, 0.45, 5000
 #: Share of its lines that a copy has in common with its original, and points by which they may differ (fixed values).
 SAME_LINES, LINE_NEAR = 0.65, 1.2
+#: What is no letter where blocks are compared.
+OTHERS = re.compile("[^A-Za-z0-9㐀-鿿]+")
 
 
 def overlap(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
@@ -55,22 +59,52 @@ def _sides(blocks: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
     return tuple(b.select(*PAGE, *[F.col(c).alias(p + c) for c in names]) for p in ("a_", "b_"))
 
 
+def _covers(a: tuple, b: tuple) -> bool:
+    """Whether block b covers SAME_AREA of block a, or has SAME_LINES of its lines."""
+    if None not in a[2:6] and None not in b[2:6]:
+        wide = min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2])
+        high = min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3])
+        if max(0.0, wide) * max(0.0, high) >= SAME_AREA * max(1.0, a[4] * a[5]):
+            return True
+    return bool(a[6] and b[6]) and sum(any(abs(y - z) <= LINE_NEAR for z in b[6]) for y in a[6]) >= SAME_LINES * len(a[6])
+
+
+def copies_of(rows: list[tuple], least: int = 80) -> list[tuple]:
+    """(block,) of the overlapping copies among one page's (block, text, x, y, width, height, lines): see
+    without_overlapping_copies. Only blocks whose heights or lines meet are compared, and letters are taken of these alone."""
+    spans = []
+    for i, r in enumerate(rows):
+        ends = [*(() if r[3] is None or r[5] is None else (r[3], r[3] + r[5])), *(z + e for z in r[6] or () for e in (-LINE_NEAR, LINE_NEAR))]
+        if ends and r[1] is not None and len(r[1]) >= least:
+            spans.append((min(ends), max(ends), i))
+    spans.sort()
+    letters: dict[int, str] = {}
+
+    def of(i: int) -> str:
+        if i not in letters:
+            letters[i] = OTHERS.sub("", rows[i][1]).lower()
+        return letters[i]
+
+    gone: set = set()
+    for n, (_, end, i) in enumerate(spans):
+        for m in range(n + 1, len(spans)):
+            if spans[m][0] > end:
+                break
+            for j, k in ((i, spans[m][2]), (spans[m][2], i)):
+                a, b = rows[j], rows[k]
+                if a[0] != b[0] and a[0] not in gone and _covers(a, b) and least <= len(of(j)) <= len(of(k)) and of(j) in of(k):
+                    gone.add(a[0])
+    return [(k,) for k in gone]
+
+
 def without_overlapping_copies(blocks: DataFrame, least: int = 80) -> DataFrame:
     """blocks without those whose letters stand in another block of the page that covers SAME_AREA of them, or, where blocks
     have `lines` (baselines), SAME_LINES of whose lines it has, to LINE_NEAR points. Of two blocks of equal letters each
-    covers the other, and both go as the rule says."""
-    letters = F.lower(F.regexp_replace("text", r"[^A-Za-z0-9㐀-鿿]+", ""))
-    with_lines = "lines" in blocks.columns
-    names = ["block", "letters", "n", "x", "right", "y", "bottom", "width", "height", *(["lines"] if with_lines else [])]
-    a, b = _sides(blocks.withColumn("letters", letters).withColumn("n", F.length("letters")).where(F.col("n") >= least), names)
-    shared = overlap(F.col("a_x"), F.col("a_right"), F.col("b_x"), F.col("b_right")) * overlap(F.col("a_y"), F.col("a_bottom"), F.col("b_y"), F.col("b_bottom"))
-    # Numbers come before letters: most pairs of a page do not touch.
-    longer = (F.col("a_block") != F.col("b_block")) & (F.col("b_n") >= F.col("a_n"))
-    same = shared >= SAME_AREA * F.greatest(F.lit(1.0), F.col("a_width") * F.col("a_height"))
-    if with_lines:
-        met = F.size(F.filter("a_lines", lambda y: F.exists("b_lines", lambda z: F.abs(y - z) <= LINE_NEAR)))
-        same = same | (met >= SAME_LINES * F.greatest(F.size("a_lines"), F.lit(1)))
-    gone = a.join(b, PAGE).where(longer & same & F.contains("b_letters", F.col("a_letters"))).select(*PAGE, F.col("a_block").alias("block")).distinct()
+    covers the other, and both go as the rule says. A block without a box covers nothing. Texts are dealt out once, by page."""
+    names = ["block", "text", "x", "y", "width", "height", "lines"]
+    lines = F.col("lines") if "lines" in blocks.columns else F.lit(None)
+    own = blocks.where(F.length("text") >= least).select(*PAGE, "block", "text", *[F.col(c).cast("double").alias(c) for c in names[2:6]], lines.cast("array<double>").alias("lines"))
+    gone = folded_groups(own, PAGE, [F.col("block")], names, lambda rows: copies_of(rows, least), f"block {dict(blocks.dtypes)['block']}")
     return blocks.join(gone, [*PAGE, "block"], "left_anti")
 
 

@@ -58,9 +58,9 @@ def lines_of(docs):
 
 
 def by_own_id(docs):
-    """(documents whose id is theirs alone, the others or None): only ids are counted, and texts stay where they are unless
+    """(documents whose id is theirs alone, the others and those without one, or None): only ids are counted, and texts stay where they are unless
     many share an id."""
-    shared = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    shared = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
     shared = written(shared, "shared-ids")
     n = shared.count()
     if not n:
